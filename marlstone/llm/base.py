@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +66,20 @@ def stash(df: DataFrame) -> DataFrame:
     return back
 
 
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow, after the package's code has gone to the executors (once in a session, through Spark's own file server)."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_marlstone_shipped", False):
+        top = Path(__file__).resolve().parent.parent
+        out = os.path.join(tempfile.mkdtemp(prefix="marlstone-code-"), "marlstone_code.zip")
+        with zipfile.ZipFile(out, "w") as z:
+            for path in sorted(top.rglob("*.py")):
+                z.write(path, path.relative_to(top.parent))
+        context.addPyFile(out)
+        context._marlstone_shipped = True
+    return df.mapInArrow(f, schema)
+
+
 def bounded(small: DataFrame, row_bytes: int) -> DataFrame:
     """small with a broadcast hint if its rows (of a stashed table) fit; else without one."""
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small

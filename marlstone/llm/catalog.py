@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from . import exact_dedup, secrets, url_filter  # noqa: F401
+from . import decontaminate, exact_dedup, language, secrets, toxicity, url_filter  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
