@@ -114,7 +114,7 @@ def bit(bitmap: Column, position: Column) -> Column:
 
 def input_bytes(df: DataFrame, default: int = 0) -> int:
     """Catalyst's estimate of df's size; default where it has none."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return n if n < 1 << 60 else default
 
 
