@@ -66,9 +66,9 @@ def stash(df: DataFrame) -> DataFrame:
     return back
 
 
-def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """df.mapInArrow, after the package's code has gone to the executors (once in a session, through Spark's own file server)."""
-    context = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to the executors, once in a session, through Spark's own file server."""
+    context = spark.sparkContext
     if not getattr(context, "_marlstone_shipped", False):
         top = Path(__file__).resolve().parent.parent
         out = os.path.join(tempfile.mkdtemp(prefix="marlstone-code-"), "marlstone_code.zip")
@@ -77,6 +77,10 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
                 z.write(path, path.relative_to(top.parent))
         context.addPyFile(out)
         context._marlstone_shipped = True
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 

@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from . import decontaminate, exact_dedup, language, lm_score, packing, secrets, substring_dedup, toxicity, url_filter  # noqa: F401
+from . import decontaminate, exact_dedup, language, lm_score, near_dedup, packing, secrets, substring_dedup, toxicity, url_filter  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
