@@ -235,8 +235,7 @@ def unpivot_facts(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
 
 def entity_match(docs: DataFrame, aliases: DataFrame, key: Sequence[str], names: str, alias: str, code: str) -> DataFrame:
     """Distinct (key, code): `names` holds ';'-separated names with '#offset' tails; equal alias keys match."""
-    token = F.regexp_replace(F.explode(F.split(names, ";")), "#.*$", "")
-    left = docs.select(*key, token.alias("__n")).select(*key, S.alias_key(F.col("__n")).alias("__k")).filter("__k IS NOT NULL")
+    left = docs.select(*key, F.explode(F.split(names, ";")).alias("__n")).select(*key, S.alias_key(F.regexp_replace("__n", "#.*$", "")).alias("__k")).filter("__k IS NOT NULL")
     right = aliases.select(code, S.alias_key(F.col(alias)).alias("__k")).filter("__k IS NOT NULL")
     return left.join(right, "__k").drop("__k").distinct()
 

@@ -70,7 +70,7 @@ def moving_block_ci(df: DataFrame, time: str, ret: str, block: int = 12, reps: i
         means.sort()
         return pd.DataFrame({"low": [means[int(0.025 * reps)]], "high": [means[max(0, int(0.975 * reps) - 1)]]})
 
-    return df.select(time, ret).groupBy(F.lit(1)).applyInPandas(run, "low double, high double")
+    return df.select(time, ret, F.lit(1).alias("__k")).groupBy("__k").applyInPandas(run, "low double, high double")
 
 
 def cost_grid(df: DataFrame, ret: str, bps: Sequence[int] = (0, 10, 25, 50)) -> DataFrame:
