@@ -102,7 +102,7 @@ def evaluate_claim(rule: str, facts: DataFrame, **p) -> DataFrame:
     """(claim_class, figure): supported, contradicted, mixed or insufficient, by a named rule over a claim's facts."""
     if rule == "entity_trend":
         out = share_increasing(facts, ["entity"], "period", "value", p.get("least", 0.6))
-        return out.select(F.when(F.col("entities") == 0, "insufficient").when("holds", "supported").otherwise("contradicted").alias("claim_class"), F.round("share", 4).alias("figure"))
+        return out.select(F.when(F.col("entities") == 0, "insufficient").when(F.col("holds"), "supported").otherwise("contradicted").alias("claim_class"), F.round("share", 4).alias("figure"))
     if rule == "early_recent":
         out = early_and_recent(facts.withColumn("__k", F.lit(1)), ["__k"], "period", "value", p.get("most", 7))
         change = S.try_ratio(F.col("recent_mean") - F.col("early_mean"), F.abs("early_mean"))

@@ -118,8 +118,11 @@ def share_increasing(df: DataFrame, key: Sequence[str], time: str, value: str, l
 
 def multiscale_window(series: Column, t: Column, steps: Sequence[int] = (1, 5, 21), samples: int = 100) -> Column:
     """For each step the values at t, t - step, ...: indexes are clipped to the series, oldest first."""
-    at = lambda k: F.greatest(F.lit(0), F.least(t - k, F.size(series) - 1)).cast("int")
-    return F.array(*(F.transform(F.sequence(F.lit(samples - 1), F.lit(0)), lambda k, s=s: F.get(series, at(k * s))) for s in steps))
+    def at_step(step: int) -> Column:
+        index = lambda k: F.greatest(F.lit(0), F.least(t - k * step, F.size(series) - 1)).cast("int")
+        return F.transform(F.sequence(F.lit(samples - 1), F.lit(0)), lambda k: F.get(series, index(k)))
+
+    return F.array(*map(at_step, steps))
 
 
 def next_period(df: DataFrame, key: Sequence[str], time: str, value: str, out: str = "target") -> DataFrame:
