@@ -152,7 +152,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataF
     return marked.filter(~is_contaminated(n_words, n_hit)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-@base.query("op2_decontaminate")
+_ORACLE = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{base.UPPER}', '{base.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+b as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), '{base.UPPER}', '{base.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+bw as (select item, least(13, len(ws)) n, unnest(generate_series(1, len(ws) - least(13, len(ws)) + 1)) i, ws from b where len(ws) > 0),
+bg as (select distinct item, n, array_to_string(ws[i:i + n - 1], ' ') g from bw),
+dw as (select doc_id, n, unnest(generate_series(1, len(ws) - n + 1)) i, ws from d, (select distinct n from bg) where len(ws) >= n),
+h as (select doc_id, i, n, item from (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') g from dw) join bg using (n, g)),
+hit as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) p from h) group by 1),
+it as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, item from h) group by 1)
+select d.doc_id, len(ws) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) contaminated
+from d left join hit using (doc_id) left join it using (doc_id)
+"""
+
+
+@base.query("op2_decontaminate", _ORACLE)
 def op2_decontaminate(spark, sf_dir):
     marked, (n_words, n_hit, items, _) = mark(base.table(spark, sf_dir, "documents").select("doc_id", "text"), base.table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort(items), ","), 256)
