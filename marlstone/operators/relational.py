@@ -261,3 +261,47 @@ def map_ids(df: DataFrame, ids: str, lookup: DataFrame, key: str, value: str, ou
     pairs = numbered.select(name, F.explode(ids).alias(key)).join(lookup.select(key, value), key)
     found = pairs.groupBy(name).agg(F.array_sort(F.collect_set(value)).alias(out))
     return numbered.join(found, name, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop(name)
+
+
+def select_range(df: DataFrame, column: str, low, high) -> DataFrame:
+    """Rows in a closed range; an empty result is an error."""
+    out = df.filter(F.col(column).between(low, high))
+    if out.isEmpty():
+        raise ValueError(f"no rows with {column} in {low}..{high}")
+    return out
+
+
+def distinct_matches(df: DataFrame, text: str, pattern: str, group: int = 1) -> DataFrame:
+    """How many different texts a pattern's group matches anywhere: (n)."""
+    found = df.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))).alias("m"))
+    return found.agg(F.countDistinct("m").alias("n"))
+
+
+def named_codes(df: DataFrame, code: str, name: str, ordinal: str) -> DataFrame:
+    """Each code once with the name of its first row, by name."""
+    return df.groupBy(code).agg(F.min_by(name, ordinal).alias(name)).orderBy(name, code)
+
+
+def sample_per_group(df: DataFrame, group: str, order: str, found: str) -> DataFrame:
+    """The first row of each group; `coverage` is the share of such rows for which `found` holds."""
+    one = keep_row(df, [group], [F.col(order).asc()])
+    return one.withColumn("coverage", one.select(F.avg(F.col(found).cast("double"))).scalar())
+
+
+def mapped_mean(values: DataFrame, mapping: DataFrame, key: str, target: str, value: str) -> DataFrame:
+    """For each target the mean value of the keys that a mapping gives it: (target, value)."""
+    return values.join(small(mapping), key).groupBy(target).agg(F.avg(value).alias(value))
+
+
+def evidence_ref(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """JSON of those of the columns that are there and have a value."""
+    return df.withColumn("evidence", F.to_json(F.struct(*[c for c in columns if c in df.columns]), {"ignoreNullFields": "true"}))
+
+
+def regime_signals(values: DataFrame, key: str, time: str, value: str, pc1: str, direction: str, window: int = 5) -> DataFrame:
+    """Mean of the last rows (up to `window`), turned in extreme regimes, squashed and classified: the signal for the next row of each key."""
+    w = Window.partitionBy(key).orderBy(time).rowsBetween(1 - window, 0)
+    raw = F.avg(value).over(w) * S.regime_direction(F.col(pc1), F.col(direction))
+    out = values.withColumn("__s", S.squash(raw))
+    after = Window.partitionBy(key).orderBy(time)
+    return out.withColumn("signal", F.lag("__s").over(after)).drop("__s")

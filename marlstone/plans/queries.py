@@ -531,3 +531,56 @@ def pca_factors(spark, sf):
 @query("monte_carlo_wealth")
 def monte_carlo(spark, sf):
     return portfolio.monte_carlo_wealth(spark, 100_000, 104, 0.05, 0.2)
+
+
+@query("date_range_select", f"select o_orderpriority, {N} n from orders where o_orderdate between timestamp '1996-01-01' and timestamp '1996-12-31' group by 1")
+def date_range(spark, sf):
+    stamp = lambda s: F.lit(s).cast("timestamp_ntz")
+    return R.select_range(orders(spark, sf), "o_orderdate", stamp("1996-01-01"), stamp("1996-12-31")).groupBy("o_orderpriority").agg(n_())
+
+
+@query("distinct_matches", "select cast(count(distinct m) as bigint) n from (select unnest(regexp_extract_all(props, '\"k\": (\\d+)', 1)) m from events)")
+def distinct_matches(spark, sf):
+    return R.distinct_matches(table(spark, sf, "events"), "props", r'"k": (\d+)')
+
+
+@query("named_codes", "select c_nationkey, min_by(c_name, c_custkey) c_name from customer group by 1")
+def named_codes(spark, sf):
+    return R.named_codes(table(spark, sf, "customer"), "c_nationkey", "c_name", "c_custkey")
+
+
+@query("sample_per_group", "with o as (select *, row_number() over (partition by c_nationkey order by c_custkey) rn from customer) select c_nationkey, c_custkey, round(avg(case when c_acctbal > 0 then 1.0 else 0.0 end) over (), 6) coverage from o where rn = 1")
+def sample_per_group(spark, sf):
+    c = table(spark, sf, "customer").withColumn("ok", F.col("c_acctbal") > 0)
+    return R.sample_per_group(c, "c_nationkey", "c_custkey", "ok").select("c_nationkey", "c_custkey", r6(F.col("coverage"), "coverage"))
+
+
+@query("mapped_mean", "select n_regionkey, round(avg(c_acctbal), 6) c_acctbal from customer join nation on c_nationkey = n_nationkey group by 1")
+def mapped_mean(spark, sf):
+    m = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    return R.mapped_mean(table(spark, sf, "customer"), m, "c_nationkey", "n_regionkey", "c_acctbal").select("n_regionkey", r6(F.col("c_acctbal"), "c_acctbal"))
+
+
+@query("condition_screen", f"select p_brand, {N} n from part where p_size >= 10 and p_size < 40 and p_retailprice > 1000 group by 1")
+def condition_screen(spark, sf):
+    return table(spark, sf, "part").filter(R.compile_conditions([("p_size", "gte", 10), ("p_size", "lt", 40), ("p_retailprice", "gt", 1000)])).groupBy("p_brand").agg(n_())
+
+
+@query("padded_lookup", "select c_custkey, coalesce(a.s_name, b.s_name) s_name from customer left join supplier a on c_custkey = a.s_suppkey left join supplier b on cast(c_custkey || repeat('0', greatest(0, 5 - length(cast(c_custkey as varchar)))) as varchar)[1:5] = cast(b.s_suppkey as varchar)")
+def padded_lookup(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("code"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("s"), "s_name")
+    return R.padded_lookup(c, s, "code", "s", ["s_name"]).select("c_custkey", "s_name")
+
+
+@query("regime_signals", "with m as (select event_type, ts, event_id, avg(value / 100 - 0.5) over (partition by event_type order by ts, event_id rows between 4 preceding and current row) v from events), t as (select *, tanh(case when event_id % 5 > 2 then -v else v end) s from m), l as (select event_id, lag(s) over (partition by event_type order by ts, event_id) s from t) select event_id, round(s, 6) score, case when s >= 0.6 then 'long' when s <= -0.6 then 'short' when s is not null then 'neutral' end as action from l")
+def regime_signals(spark, sf):
+    e = table(spark, sf, "events").withColumns({"t": F.struct("ts", "event_id"), "v": F.col("value") / 100 - 0.5, "pc1": (F.col("event_id") % 5).cast("double"), "one": F.lit(1)})
+    return R.regime_signals(e, "event_type", "t", "v", "pc1", "one").select("event_id", r6(F.col("signal.score"), "score"), F.col("signal.action").alias("action"))
+
+
+@query("html_tables")
+def html_tables(spark, sf):
+    from ..sources.readers import html_text
+
+    return html_text(table(spark, sf, "pages"), "page_id", "html")
