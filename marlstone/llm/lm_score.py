@@ -14,9 +14,9 @@ from . import base
 from . import textbytes as tb
 
 #: Slots of words and of word pairs. The vocabulary is the hash range: the same for both models, whatever the input.
-WORDS, PAIRS = 1 << 18, 1 << 21
-#: Slots in a block of counts.
-BLOCK = 1 << 15
+WORDS, PAIRS = 1 << 20, 1 << 22
+#: Slots in a block of counts, and words that are gathered before they are counted.
+BLOCK, GATHERED = 1 << 15, 1 << 20
 #: Weight of the shorter context: counts that the word's own probability, and the uniform one, stand for.
 PRIOR_PAIR, PRIOR_WORD = 20.0, 1000.0
 
@@ -42,14 +42,25 @@ def count(docs: DataFrame, target: str, text_col: str) -> dict[str, np.ndarray]:
 
     def read(batches):
         total = {k: np.zeros((2, n), np.int64) for k, n in sizes.items()}
+        held: list[tuple] = []
+
+        def settle():
+            if held:
+                own = np.concatenate([x[0] for x in held])
+                for i, (k, n) in enumerate(sizes.items(), 1):
+                    at = np.concatenate([x[i] for x in held])
+                    total[k][1] += np.bincount(at, minlength=n)
+                    total[k][0] += np.bincount(at[own], minlength=n)
+                held.clear()
+
         for batch in batches:
             for part, data, offsets in tb.chunks(batch, "text"):
                 words = tb.tokenize(data, offsets, tb.ALNUM)
                 good = part.column(part.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool)
-                own = np.repeat(good, words.counts)
-                for (k, n), at in zip(sizes.items(), slots(words), strict=True):
-                    total[k][1] += np.bincount(at, minlength=n)
-                    total[k][0] += np.bincount(at[own], minlength=n)
+                held.append((np.repeat(good, words.counts), *slots(words)))
+                if sum(len(x[0]) for x in held) > GATHERED:
+                    settle()
+        settle()
         yield from _blocks({(k, i): x[:, i * BLOCK : (i + 1) * BLOCK] for k, x in total.items() for i in range(x.shape[1] // BLOCK)})
 
     def add(batches):
