@@ -19,6 +19,8 @@ ORACLES: dict[str, str] = {}
 #: A side of a join is broadcast up to this many bytes; beyond, both sides shuffle.
 BROADCAST_BYTES = 32 << 20
 
+_written: dict[str, list[str]] = {}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(found)
@@ -60,12 +62,22 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     back = spark.read.schema(df.schema).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return back
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that stash() has written in this application, once its results are stored. How many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package's code to the executors, once in a session, through Spark's own file server."""
     context = spark.sparkContext
