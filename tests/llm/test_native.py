@@ -163,3 +163,16 @@ def test_registered_queries_on_tables(spark):
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
     want = sorted(con.execute(exact_dedup.base.ORACLES["op4_exact_dedup"]).fetchall())
     assert sorted(tuple(r) for r in exact_dedup.op4_exact_dedup(spark, sf).collect()) == want
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert exact_dedup.exact_dedup(docs).count() == 0 and secrets.find_secrets(docs).count() == 0 and url_filter.url_filter(pages).count() == 0
+
+
+def test_shuffled_candidates(docs, monkeypatch):
+    """Bitmaps that are too large to broadcast are joined by a shuffle, with the same result."""
+    want = sorted(map(str, secrets.find_secrets(docs).collect()))
+    monkeypatch.setattr(secrets.base, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, secrets.find_secrets(docs).collect())) == want
