@@ -17,10 +17,11 @@ from . import textbytes as tb
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
 #: Bytes of input (as Catalyst estimates them) for each partition of the hash shuffles.
-BYTES_A_PARTITION = 12 << 20
+BYTES_A_PARTITION = 16 << 20
 
-_ROWS = "bucket int, rid long, payload binary"
-_FOUND = "rid long, positions binary"
+_ROWS = "bucket int, found boolean, payload binary"
+_FOUND = "bucket int, payload binary"
+_RUNS = "rid long, runs binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -86,13 +87,56 @@ class _Entries:
             if len(own):
                 at = part[4][own]
                 doc = np.searchsorted(part[3], at, "right") - 1
-                yield from _by_document(doc, at - part[3][doc], part[2])
+                yield part[2][doc], at - part[3][doc]
 
 
-def _by_document(doc, position, rids):
-    cut = np.flatnonzero(np.diff(doc, prepend=-1))
-    for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-        yield int(rids[doc[a]]), position[a:b].astype(np.int32).tobytes()
+class _Found:
+    """Found positions of rows, packed by group of rows; given out when there are many."""
+
+    def __init__(self, groups: int):
+        self.groups, self.held, self.n = groups, [], 0
+
+    def add(self, rids: np.ndarray, positions: np.ndarray):
+        self.held.append((rids, positions.astype(np.uint32)))
+        self.n += len(rids)
+        return self.flush() if self.n > 2_000_000 else []
+
+    def flush(self):
+        if not self.n:
+            return []
+        rids, positions = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.n = [], 0
+        group = _group(rids, self.groups)
+        order = np.lexsort((positions, rids, group))
+        rids, positions, group = rids[order], positions[order], group[order]
+        rows = []
+        for a, b in _cuts(group):
+            r, p = rids[a:b], positions[a:b]
+            first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            step = np.diff(p, prepend=np.uint32(0))
+            step[first] = p[first]
+            rows.append((int(group[a]), struct.pack("<I", len(first)) + r[first].tobytes() + _planes(np.diff(np.append(first, len(r)))) + _planes(step)))
+        return rows
+
+
+def _group(rids: np.ndarray, groups: int) -> np.ndarray:
+    return (tb.mix(rids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _cuts(x: np.ndarray):
+    """(start, end) of the runs of equal values."""
+    cut = np.append(np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))), len(x)) if len(x) else np.zeros(1, int)
+    return list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+
+def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<I", payload)
+    view = memoryview(payload)
+    rids, counts = np.frombuffer(view, np.int64, n, 4), _unplanes(view[4 + 8 * n : 4 + 12 * n])
+    step = _unplanes(view[4 + 12 * n :]).astype(np.int64)
+    total = np.cumsum(step)
+    first = np.cumsum(counts) - counts
+    return np.repeat(rids, counts), total - np.repeat(total[first] - step[first], counts)
 
 
 def _deal(low, high, at, known, words, rids, buckets, wide):
@@ -100,10 +144,10 @@ def _deal(low, high, at, known, words, rids, buckets, wide):
     first = words.first[:-1]
     at_known = at[known[0]]
     if len(at_known):
-        at_known = np.sort(at_known)
         doc = np.searchsorted(words.first, at_known, "right") - 1
-        for i, (rid, positions) in enumerate(_by_document(doc, at_known - first[doc], rids)):
-            yield i % buckets, rid, positions
+        found = _Found(buckets)
+        for group, payload in [*found.add(rids[doc], at_known - first[doc]), *found.flush()]:
+            yield group, True, payload
     sent = known[1]
     bucket = ((low[sent] & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
@@ -112,7 +156,7 @@ def _deal(low, high, at, known, words, rids, buckets, wide):
     for b in np.flatnonzero(np.diff(cut)):
         i = sent[order[cut[b] : cut[b + 1]]]
         keys = (low[i], high[i]) if wide else ((low[i] >> np.uint64(25) << np.uint64(1)) | high[i], None)
-        yield int(b), None, _payload(keys, at[i], first[filled], rids[filled])
+        yield int(b), False, _payload(keys, at[i], first[filled], rids[filled])
 
 
 def _anchors(words: tb.Words, rids, buckets):
@@ -141,12 +185,12 @@ def _windows(words: tb.Words, rids, buckets, hits):
     """Every window of WINDOW words that holds a hit."""
     low = tb.rolling(words.hash, WINDOW)
     cover = np.zeros(len(words.hash) + 1, np.int64)
-    for d, blobs in enumerate(hits):
-        n, a = int(words.counts[d]), int(words.first[d])
-        if blobs and n >= WINDOW:
-            p = np.frombuffer(b"".join(blobs), np.int32).astype(np.int64)
-            np.add.at(cover, a + np.maximum(p - (WINDOW - BLOCK), 0), 1)
-            np.add.at(cover, a + np.minimum(p, n - WINDOW) + 1, -1)
+    for d, runs in enumerate(hits):
+        # a run of hit blocks lies in the windows that begin up to WINDOW - BLOCK words before it
+        r = np.frombuffer(runs, np.int32).reshape(-1, 2).astype(np.int64) + words.first[d]
+        last = max(int(words.first[d + 1]) - WINDOW, int(words.first[d]) - 1)
+        np.add.at(cover, np.minimum(np.maximum(r[:, 0] - (WINDOW - BLOCK), words.first[d]), last + 1), 1)
+        np.add.at(cover, np.minimum(r[:, 1] - BLOCK, last) + 1, -1)
     at = np.flatnonzero(np.cumsum(cover)[: len(low)] > 0)
     if not len(at):
         return
@@ -160,11 +204,10 @@ def _windows(words: tb.Words, rids, buckets, hits):
     yield from _deal(low, high, at, (known, sent), words, rids, buckets, True)
 
 
-def _runs(blobs, length: int) -> np.ndarray:
-    """Disjoint (start, end) ranges that cover `length` words from each of the positions."""
-    p = np.unique(np.frombuffer(b"".join(blobs), np.int32))
-    new = np.flatnonzero(np.diff(p, prepend=p[0] - length - 1) > length) if len(p) else p
-    return np.stack((p[new], p[np.append(new[1:], len(p)) - 1] + length), 1).astype(np.int32) if len(p) else np.zeros((0, 2), np.int32)
+def _runs(p: np.ndarray, length: int) -> np.ndarray:
+    """Disjoint (start, end) ranges that `length` words from each of the sorted positions cover; ranges that touch are one."""
+    new = np.flatnonzero(np.concatenate(([True], np.diff(p) > length)))
+    return np.stack((p[new], p[np.append(new[1:], len(p)) - 1] + length), 1).astype(np.int32)
 
 
 def _rows(rows, schema_names, types):
@@ -175,31 +218,49 @@ def _rows(rows, schema_names, types):
 
 
 def _shuffle(rows: DataFrame, make, buckets: int, wide: bool) -> DataFrame:
-    """rows through make() into payloads by bucket, and the positions that each bucket finds, together for each document: (rid, list of blobs)."""
+    """rows through make() into payloads by bucket, what each bucket finds by group of rows, and (rid, runs) of what is found."""
+    length = WINDOW if wide else BLOCK
 
     def read(batches):
         for batch in batches:
             for part, data, offsets in tb.chunks(batch, "text"):
                 rids = part.column(part.schema.get_field_index("rid")).to_numpy()
-                hits = part.column(part.schema.get_field_index("hits")).to_pylist() if wide else None
+                hits = part.column(part.schema.get_field_index("runs")).to_pylist() if wide else None
                 words = tb.tokenize(data, offsets, tb.SPACED)
-                yield from _rows(make(words, rids, buckets, *([hits] if wide else [])), ["bucket", "rid", "payload"], [pa.int32(), pa.int64(), pa.binary()])
+                yield from _rows(make(words, rids, buckets, *([hits] if wide else [])), ["bucket", "found", "payload"], [pa.int32(), pa.bool_(), pa.binary()])
 
     def find(batches):
         held: dict[int, _Entries] = {}
+        out, names, kinds = _Found(buckets), ["bucket", "payload"], [pa.int32(), pa.binary()]
         for batch in batches:
-            known = []
-            for b, rid, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rid is not None:
-                    known.append((rid, payload))
+            for b, known, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if known:
+                    yield from _rows(out.add(*_unpack(payload)), names, kinds)
                 else:
                     held.setdefault(b, _Entries(wide)).add(payload)
-            yield from _rows(known, ["rid", "positions"], [pa.int64(), pa.binary()])
         for b in list(held):
-            yield from _rows(held.pop(b).hits(), ["rid", "positions"], [pa.int64(), pa.binary()])
+            for rids, positions in held.pop(b).hits():
+                yield from _rows(out.add(rids, positions), names, kinds)
+        yield from _rows(out.flush(), names, kinds)
+
+    def gather(batches):
+        parts = [_unpack(p) for batch in batches for p in batch.column(1).to_pylist()]
+        if parts:
+            rids, positions = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((positions, rids))
+            rids, positions = rids[order], positions[order]
+            cuts = _cuts(rids)
+            for k in range(0, len(cuts), 4096):
+                yield from _rows([(int(rids[a]), _runs(positions[a:b], length).tobytes()) for a, b in cuts[k : k + 4096]], ["rid", "runs"], [pa.int64(), pa.binary()])
 
     dealt = base.map_arrow(rows, read, _ROWS).repartitionById(buckets, F.col("bucket"))
-    return base.map_arrow(dealt, find, _FOUND).groupBy("rid").agg(F.collect_list("positions").alias("hits"))
+    return base.map_arrow(base.map_arrow(dealt, find, _FOUND).repartitionById(buckets, F.col("bucket")), gather, _RUNS)
+
+
+def _fitting(runs: DataFrame) -> DataFrame:
+    """runs, broadcast if they fit."""
+    held = runs.agg(F.coalesce(F.sum(F.octet_length("runs") + 32), F.lit(0)).alias("n")).first().n
+    return F.broadcast(runs) if held <= base.BROADCAST_BYTES else runs
 
 
 def repeats(docs: DataFrame, text_col: str, rid) -> DataFrame:
@@ -207,16 +268,7 @@ def repeats(docs: DataFrame, text_col: str, rid) -> DataFrame:
     rows = docs.select(rid.alias("rid"), F.col(text_col).alias("text"))
     buckets = base.partitions(docs, BYTES_A_PARTITION)
     hits = base.stash(_shuffle(rows, _anchors, buckets, False))
-    held = base.stash(hits.agg(F.coalesce(F.sum(F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 32)), F.lit(0)).alias("n"))).first().n
-    side = F.broadcast(hits) if held <= base.BROADCAST_BYTES else hits
-    starts = _shuffle(rows.join(side, "rid"), _windows, buckets, True)
-
-    def merge(batches):
-        for batch in batches:
-            runs = [_runs(b, WINDOW).tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["rid", "runs"])
-
-    return base.stash(base.map_arrow(starts, merge, "rid long, runs binary"))
+    return base.stash(_shuffle(rows.join(_fitting(hits), "rid"), _windows, buckets, True))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -232,9 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rid = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     runs = repeats(docs, text_col, rid)
-    held = runs.agg(F.coalesce(F.sum(F.octet_length("runs") + 32), F.lit(0)).alias("n")).first().n
-    side = F.broadcast(runs) if held <= base.BROADCAST_BYTES else runs
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rid.alias("rid")).join(side, "rid", "left").select("id", "text", "runs")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rid.alias("rid")).join(_fitting(runs), "rid", "left").select("id", "text", "runs")
 
     def cut(batches):
         for batch in batches:
