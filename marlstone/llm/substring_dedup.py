@@ -310,6 +310,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return base.map_arrow(rows, cut, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=False))).withColumnRenamed("id", id_col)
 
 
-@base.query("op9_substring_dedup")
+_ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+w as (select doc_id, unnest(generate_series(1, len(ws) - 34)) i, ws from d where len(ws) >= 35),
+g as (select doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) g from w),
+r as (select doc_id, i from (select *, count(*) over (partition by g) n from g) where n > 1),
+gone as (select distinct doc_id, unnest(generate_series(i, i + 34)) p from r),
+k as (select doc_id, p, ws[p] word from (select doc_id, ws, unnest(generate_series(1, len(ws))) p from d) anti join gone using (doc_id, p)),
+kept as (select doc_id, count(*) n, string_agg(word, ' ' order by p) t from k group by 1)
+select d.doc_id, len(ws) n_words, len(ws) - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)
+"""
+
+
+@base.query("op9_substring_dedup", _ORACLE)
 def op9_substring_dedup(spark, sf_dir):
     return remove_repeats(base.table(spark, sf_dir, "documents"))
