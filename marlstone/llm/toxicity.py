@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +16,7 @@ EXAMPLES = 3000
 #: Neighbours that vote, and examples in a block of the index.
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms: words, and the first 4, 5 and 6 bytes of longer words. A term counts if it tells the labels apart by such a G-test value on the examples, at most so many.
-PREFIXES, LEAST_G, MOST_TERMS = (4, 5, 6), 15.0, 4096
+PREFIXES, LEAST_G, MOST_TERMS = (4, 5, 6), 30.0, 4096
 #: score at which a document is predicted toxic.
 THRESHOLD = 0.3
 
@@ -93,23 +91,38 @@ class Index:
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0, largest first, ties by number: exact.
 
-        A block is read only while the sum of its largest weights can still beat the k-th best.
+        The blocks of the largest bounds (sums of their largest weights) are read first; of the others only those whose bound reaches the k-th best of these.
         """
         bound = w @ self.largest[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(at, w, strict=True):
-                low, high = self.first[t], self.first[t + 1]
-                low, high = low + np.searchsorted(self.doc[low:high], (b * BLOCK, (b + 1) * BLOCK))
-                scores[self.doc[low:high] - b * BLOCK] += x * self.w[low:high]
-            for i in np.flatnonzero(scores > 0):
-                one = (round(float(scores[i]), 12), -(int(b) * BLOCK + int(i)))
-                if -one[1] != without:
-                    heapq.heappush(best, one) if len(best) < k else heapq.heappushpop(best, one)
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+        order = np.argsort(-bound, kind="stable")
+        first = order[: -(-k // BLOCK) + 1]
+        scores = self._read(at, w, first)
+        found = np.flatnonzero(scores > 0)
+        kth = np.partition(scores[found], len(found) - k)[len(found) - k] if len(found) >= k + 1 else 0.0
+        rest = order[len(first) :]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-12)]
+        if len(rest):
+            scores += self._read(at, w, rest)
+        scores = np.round(scores, 12)
+        if without >= 0:
+            scores[without] = 0
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            least = np.partition(scores[found], len(found) - k)[len(found) - k]
+            found = found[scores[found] >= least]
+        found = found[np.argsort(-scores[found], kind="stable")][:k]
+        return list(zip(scores[found].tolist(), found.tolist(), strict=True))
+
+    def _read(self, at, w, blocks) -> np.ndarray:
+        """Cosines with the examples of some blocks; those of others stay 0."""
+        alive = np.zeros(self.largest.shape[1], bool)
+        alive[blocks] = True
+        out = np.zeros(len(self.labels))
+        for t, x in zip(at, w, strict=True):
+            doc = self.doc[self.first[t] : self.first[t + 1]]
+            live = alive[doc // BLOCK]
+            out[doc[live]] += x * self.w[self.first[t] : self.first[t + 1]][live]
+        return out
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of the toxic votes; a vote weighs the cosine and what its label stands for, beside half a vote of the prior."""
