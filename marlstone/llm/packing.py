@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import re
+import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,11 @@ CAPACITY, PIECE = 2048, 512
 WINDOWS, SLACK = 128, 3
 #: The id that ends a document.
 END_ID = 1
-_CACHE_WORDS, _CACHE_LENGTH = 400_000, 40
-_SPACE = re.compile(r"[ \n\r\t]+")
+_CACHE_WORDS, _CACHE_LENGTH = 500_000, 40
+_END = struct.pack("<I", END_ID)
+#: str.split also splits at these, which the tokenizer doesn't take for white space.
+_CONTROL, _SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"[ \n\r\t]+")
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -68,35 +72,57 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 class Encoder:
-    """Ids of whole texts. The pre-tokenizer drops white space and no token crosses it, so the words between
-    spaces, tabs and line ends are encoded apart, and frequent ones just once."""
+    """Ids of whole texts, as little-endian uint32.
+
+    The pre-tokenizer drops white space and cuts between letters and other signs, and no token crosses these cuts. So words
+    are encoded apart, and frequent ones once. Words of plain Latin letters, with or without closing signs, are put
+    together from their lower-cased letters and the signs; all others go to the tokenizer as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_SPACE.split(t) for t in texts]
-        if len(self.known) > _CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*words).difference(self.known))
-        found = _Layers(self.known) if any(len(w) > _CACHE_LENGTH for w in new) else self.known
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self.known if len(w) <= _CACHE_LENGTH else found)[w] = tuple(e.ids)
-        get = found.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, w)), (END_ID,)), np.dtype("<u4")) for w in words]
-
-
-class _Layers(dict):
-    """Long words of one call, over the known ones."""
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def __init__(self, below):
-        self.below = below
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Of words of letters only, each of which ends where a token does that ends a word: all in one text."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cut) != len(words):
+            return self._apart(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)] if words else []
 
-    def __missing__(self, key):
-        return self.below[key]
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words = [_SPACE.split(t) if _CONTROL.search(t) else t.split() for t in texts]
+        if len(self.known) > _CACHE_WORDS:
+            self.known.clear()
+        known = self.known
+        new = set().union(*words).difference(known)
+        cut = [(w, m[1].lower(), m[2]) for w in new if (m := _PLAIN.fullmatch(w))]
+        other = list(new.difference(w for w, _, _ in cut))
+        known.update(zip(other, self._apart(other), strict=True))
+        letters, signs = list({a for _, a, _ in cut}), list({b for _, _, b in cut})
+        part = dict(zip(letters, self._letters(letters), strict=True)) | dict(zip(signs, self._apart(signs), strict=True))
+        known.update((w, part[a] + part[b]) for w, a, b in cut)
+        get = known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, w)) + _END, "<u4") for w in words]
+        for w in new:
+            if len(w) > _CACHE_LENGTH:
+                del known[w]
+        return out
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each process, so that its words stay known from task to task."""
+    return Encoder(path)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
 
     def run(batches):
-        encode, at = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, at = encoder(tokenizer), TaskContext.get().partitionId() << 40
         group: list[tuple] = []
         size, most = 0, WINDOWS * (CAPACITY - SLACK)
 
