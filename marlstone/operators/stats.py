@@ -118,11 +118,16 @@ def confusion(df: DataFrame, truth: str, predicted: str, key: Sequence[str] = ()
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve with average ranks of ties.
 
-    Scores are first counted by value, so that only distinct ones are ordered, by range over all tasks' counts.
+    Scores are first counted by value; values are summed up in 256 ranges between approximate quantiles, and ranks are exact: each range
+    is ordered by itself and begins at the sum of those before it.
     """
-    v = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    r = v.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    v = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count("*").alias("n"))
+    edges = v.agg(F.percentile_approx("s", [k / 256 for k in range(1, 256)], 10_000)).scalar()
+    v = v.withColumn("__e", edges).withColumn("b", F.size(F.filter("__e", lambda e: e < F.col("s")))).drop("__e")
+    before = F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    begins = v.groupBy("b").agg(F.sum("n").alias("m")).select("b", F.coalesce(before, F.lit(0)).alias("begin"))
+    within = F.sum("n").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    r = v.withColumn("w", within).join(F.broadcast(begins), "b").withColumn("rank", F.col("begin") + F.col("w") - (F.col("n") - 1) / 2)
     a = r.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("np"), F.sum(F.col("n") - F.col("p")).cast("double").alias("nn"))
     return a.select(try_ratio(F.col("r") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn")).alias("auc"))
 
