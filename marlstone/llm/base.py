@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def first_of_each(df: DataFrame, key: str, ident: str, n: int, parts: int = 256) -> DataFrame:
+    """The first n rows of each key in the order of a hash of ident. Each key is first cut to n in `parts` parts, so that no task meets all rows of one."""
+    for salt in ([F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(parts))], []):
+        order = Window.partitionBy(key, *salt).orderBy(F.xxhash64(ident), ident)
+        df = df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("place")
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have."""
     have, out = {c.lower() for c in df.columns}, []

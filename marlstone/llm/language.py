@@ -118,10 +118,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows: int = ROWS_A_LANGUAGE) -> Model:
     """A model of at most `rows` labelled rows of each language that aren't held out."""
     ids = docs.filter(~base.held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = base.stash(ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id").distinct())
+    chosen = base.stash(base.first_of_each(ids, "lang", "id", rows).select("id").distinct())
     found = docs.join(F.broadcast(chosen), F.col(id_col) == chosen["id"], "left_semi").filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     return Model([(r.t, r.l) for r in found.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy(F.xxhash64("t"), "t", "l").limit(rows * 200).collect()])
 

@@ -28,3 +28,9 @@ def test_bits(spark):
 def test_lower_only_ascii(spark):
     r = spark.createDataFrame([("AbÉ",), ("ABZ[",), ("",)], "t string").select(base.ascii_lower(F.col("t")).alias("t")).collect()
     assert [x.t for x in r] == ["abÉ", "abz[", ""]
+
+
+def test_first_of_each(spark):
+    df = spark.createDataFrame([(i, i % 10 // 9) for i in range(3000)], "id long, k int")
+    whole = base.first_of_each(df, "k", "id", 40, parts=1).collect()
+    assert sorted(base.first_of_each(df, "k", "id", 40, parts=7).collect()) == sorted(whole) and len(whole) == 80
