@@ -32,6 +32,33 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out), np.concatenate(of)
 
 
+def _in_parts(rows: list[tuple[str, int]], size: int = 200):
+    """(number of the first row, hashes, documents) of the terms of so many rows at a time."""
+    for i in range(0, len(rows), size):
+        yield i, *_terms(*tb.buffers(pa.array([t for t, _ in rows[i : i + size]], pa.string())))
+
+
+def _frequencies(rows: list[tuple[str, int]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All terms, and in how many rows of label 0 and of label 1 each stands; added up part by part."""
+    y = np.array([t for _, t in rows], np.int64)
+    terms, df, held = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2, []
+
+    def settle(terms, df):
+        every, at = np.unique(np.concatenate([terms, *(t for t, _ in held)]), return_inverse=True)
+        out = [np.bincount(at, np.concatenate([df[k], *(c[k] for _, c in held)]), len(every)).astype(np.int64) for k in (0, 1)]
+        held.clear()
+        return every, out
+
+    for first, h, doc in _in_parts(rows):
+        each, at = np.unique(h, return_inverse=True)
+        pair = np.unique(at.astype(np.int64) * len(rows) + doc)
+        label, at = y[pair % len(rows) + first], pair // len(rows)
+        held.append((each, [np.bincount(at[label == k], minlength=len(each)) for k in (0, 1)]))
+        if len(held) == 8:
+            terms, df = settle(terms, df)
+    return settle(terms, df)
+
+
 class Index:
     """Examples as unit TF-IDF vectors, in blocks, with postings by term and the largest weight of each term in each block."""
 
@@ -41,20 +68,16 @@ class Index:
         n = np.bincount(y, minlength=2)
         total = total or tuple(n)
         self.weight = np.array([total[0] / max(1, n[0]), total[1] / max(1, n[1])])
-        data, offsets = tb.buffers(pa.array([t for t, _ in rows], pa.string()))
-        h, doc = _terms(data, offsets)
-        terms, at = np.unique(h, return_inverse=True)
-        pair, count = np.unique(at.astype(np.int64) * max(1, len(rows)) + doc, return_counts=True)
-        at, doc = pair // max(1, len(rows)), pair % max(1, len(rows))
-        df = [np.bincount(at[y[doc] == k], minlength=len(terms)) for k in (0, 1)]
+        terms, df = _frequencies(rows)
         g = _g_test(df[1], df[0], n[1], n[0])
         chosen = np.sort(np.argsort(-g, kind="stable")[: min(MOST_TERMS, int((g >= LEAST_G).sum()))])
         self.terms = terms[chosen]
         self.idf = np.log((len(rows) + 1) / (df[0] + df[1] + 1))[chosen] + 1
-        number = np.full(len(terms), -1)
-        number[chosen] = np.arange(len(chosen))
-        ok = number[at] >= 0
-        at, doc, w = number[at[ok]], doc[ok], (1 + np.log(count[ok])) * self.idf[number[at[ok]]]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for first, h, doc in _in_parts(rows):
+            found.append(self._counts(h, doc + first))
+        doc, at, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        w = (1 + np.log(count)) * self.idf[at]
         norm = np.sqrt(np.bincount(doc, w * w, len(rows)))
         some = np.flatnonzero(norm > 0)
         strongest = np.zeros(len(rows), np.int64)
@@ -75,14 +98,17 @@ class Index:
         self.calibrated = self.grid
         self._calibrate()
 
-    def vectors(self, data: np.ndarray, offsets: np.ndarray):
-        """For each document its (term numbers, weights), of length 1, or none."""
-        h, doc = _terms(data, offsets)
+    def _counts(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term number, count) of the index's terms, by document and term."""
         at = np.searchsorted(self.terms, h)
         at[at == len(self.terms)] = 0
         ok = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
         pair, count = np.unique(doc[ok].astype(np.int64) * max(1, len(self.terms)) + at[ok], return_counts=True)
-        doc, at = pair // max(1, len(self.terms)), pair % max(1, len(self.terms))
+        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), count
+
+    def vectors(self, data: np.ndarray, offsets: np.ndarray):
+        """For each document its (term numbers, weights), of length 1, or none."""
+        doc, at, count = self._counts(*_terms(data, offsets))
         w = (1 + np.log(count)) * self.idf[at]
         cut = np.searchsorted(doc, np.arange(len(offsets)))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
