@@ -17,6 +17,8 @@ EXAMPLES = 3000
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms: words, and the first 4, 5 and 6 bytes of longer words. A term counts if it tells the labels apart by such a G-test value on the examples, at most so many.
 PREFIXES, LEAST_G, MOST_TERMS = (4, 5, 6), 30.0, 4096
+#: Word hashes by which copies among the examples are told.
+SKETCH = 3
 #: score at which a document is predicted toxic.
 THRESHOLD = 0.3
 
@@ -38,6 +40,20 @@ def _in_parts(rows: list[tuple[str, int]], size: int = 200):
         yield i, *_terms(*tb.buffers(pa.array([t for t, _ in rows[i : i + size]], pa.string())))
 
 
+def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The first of the rows whose label and whose smallest SKETCH word hashes are the same: a group of copies isn't evidence for its words."""
+    seen, out = set(), []
+    for i in range(0, len(rows), 200):
+        part = rows[i : i + 200]
+        words = tb.tokenize(*tb.buffers(pa.array([t for t, _ in part], pa.string())), tb.ALNUM)
+        for row, a, b in zip(part, words.first[:-1], words.first[1:], strict=True):
+            key = (row[1], np.unique(words.hash[a:b])[:SKETCH].tobytes())
+            if key not in seen:
+                seen.add(key)
+                out.append(row)
+    return out
+
+
 def _frequencies(rows: list[tuple[str, int]]) -> tuple[np.ndarray, list[np.ndarray]]:
     """All terms, and in how many rows of label 0 and of label 1 each stands; added up part by part."""
     y = np.array([t for _, t in rows], np.int64)
@@ -64,9 +80,10 @@ class Index:
 
     def __init__(self, rows: list[tuple[str, int]], total: tuple[int, int] | None = None):
         """total: how many labelled rows there are of each label, which the prior follows; else those given."""
+        total = total or tuple(np.bincount(np.array([t for _, t in rows], np.int64), minlength=2))
+        rows = _without_copies(rows)
         y = np.array([t for _, t in rows], np.int64)
         n = np.bincount(y, minlength=2)
-        total = total or tuple(n)
         self.weight = np.array([total[0] / max(1, n[0]), total[1] / max(1, n[1])])
         terms, df = _frequencies(rows)
         g = _g_test(df[1], df[0], n[1], n[0])
