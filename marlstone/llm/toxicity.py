@@ -1,7 +1,10 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms of the examples."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,10 +16,12 @@ from . import textbytes as tb
 
 #: Labelled rows that are examples at most, of each label; the first in the order of a hash of the id.
 EXAMPLES = 3000
-#: Neighbours that vote, and examples in a block of the index.
-NEIGHBOURS, BLOCK = 15, 64
-#: Terms: words, and the first 4, 5 and 6 bytes of longer words. A term counts if it tells the labels apart by such a G-test value on the examples, at most so many.
-PREFIXES, LEAST_G, MOST_TERMS = (4, 5, 6), 30.0, 4096
+#: Neighbours that vote.
+NEIGHBOURS = 15
+#: Terms: words, and the first 4, 5 and 6 bytes of longer words.
+PREFIXES = (4, 5, 6)
+#: A term of more than 1 / FREQUENT of the examples is a row of the matrix; queries that are multiplied with it together; counts in a block.
+FREQUENT, TOGETHER, COUNTS = 8, 128, 1 << 15
 #: Word hashes by which copies among the examples are told.
 SKETCH = 3
 #: score at which a document is predicted toxic.
@@ -54,74 +59,83 @@ def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def _frequencies(rows: list[tuple[str, int]]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """All terms, and in how many rows of label 0 and of label 1 each stands; added up part by part."""
-    y = np.array([t for _, t in rows], np.int64)
-    terms, df, held = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2, []
+def _frequencies(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All terms, and in how many rows each stands; added up part by part."""
+    terms, df, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
     def settle(terms, df):
         every, at = np.unique(np.concatenate([terms, *(t for t, _ in held)]), return_inverse=True)
-        out = [np.bincount(at, np.concatenate([df[k], *(c[k] for _, c in held)]), len(every)).astype(np.int64) for k in (0, 1)]
+        out = np.bincount(at, np.concatenate([df, *(c for _, c in held)]), len(every)).astype(np.int64)
         held.clear()
         return every, out
 
-    for first, h, doc in _in_parts(rows):
+    for _, h, doc in _in_parts(rows):
         each, at = np.unique(h, return_inverse=True)
-        pair = np.unique(at.astype(np.int64) * len(rows) + doc)
-        label, at = y[pair % len(rows) + first], pair // len(rows)
-        held.append((each, [np.bincount(at[label == k], minlength=len(each)) for k in (0, 1)]))
+        held.append((each, np.bincount(np.unique(at.astype(np.int64) * len(rows) + doc) // len(rows), minlength=len(each))))
         if len(held) == 8:
             terms, df = settle(terms, df)
     return settle(terms, df)
 
 
 class Index:
-    """Examples as unit TF-IDF vectors, in blocks, with postings by term and the largest weight of each term in each block."""
+    """Examples as unit TF-IDF vectors over all their terms. Frequent terms are rows of a matrix, the others have postings."""
 
-    def __init__(self, rows: list[tuple[str, int]], total: tuple[int, int] | None = None):
-        """total: how many labelled rows there are of each label, which the prior follows; else those given."""
+    def __init__(self, rows: list[tuple[str, int]], total: tuple[int, int] | None = None, documents: Callable | None = None):
+        """total: how many labelled rows there are of each label, which the prior follows; documents: from terms to the number of documents and of those with each term, which the idf follows. Else those given."""
         total = total or tuple(np.bincount(np.array([t for _, t in rows], np.int64), minlength=2))
         rows = _without_copies(rows)
         y = np.array([t for _, t in rows], np.int64)
         n = np.bincount(y, minlength=2)
         self.weight = np.array([total[0] / max(1, n[0]), total[1] / max(1, n[1])])
-        terms, df = _frequencies(rows)
-        g = _g_test(df[1], df[0], n[1], n[0])
-        chosen = np.sort(np.argsort(-g, kind="stable")[: min(MOST_TERMS, int((g >= LEAST_G).sum()))])
-        self.terms = terms[chosen]
-        self.idf = np.log((len(rows) + 1) / (df[0] + df[1] + 1))[chosen] + 1
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.terms, df = _frequencies(rows)
+        every, df = documents(self.terms) if documents else (len(rows), df)
+        self.idf = np.log((every + 1) / (df + 1)) + 1
+        found = [(np.zeros(0, np.int32),) * 3]
         for first, h, doc in _in_parts(rows):
-            found.append(self._counts(h, doc + first))
+            found.append(tuple(x.astype(np.int32) for x in self._counts(h, doc + first)))
         doc, at, count = (np.concatenate(x) for x in zip(*found, strict=True))
-        w = (1 + np.log(count)) * self.idf[at]
-        norm = np.sqrt(np.bincount(doc, w * w, len(rows)))
-        some = np.flatnonzero(norm > 0)
-        strongest = np.zeros(len(rows), np.int64)
-        order = np.lexsort((at, w, doc))
-        strongest[doc[order]] = at[order]
-        some = some[np.lexsort((some, strongest[some]))]  # like examples share blocks
-        place = np.full(len(rows), -1)
-        place[some] = np.arange(len(some))
+        del found
+        some = np.unique(doc)
         self.labels = y[some]
-        blank = y[norm == 0]
+        blank = np.delete(y, some)
         self.prior = float((self.weight[1] * (blank == 1).sum() + 0.5) / (self.weight[blank].sum() + 10))
-        order = np.lexsort((place[doc], at))
-        at, doc, w = at[order], place[doc[order]], w[order] / norm[doc[order]]
-        self.first, self.doc, self.w = np.searchsorted(at, np.arange(len(chosen) + 1)), doc, w
-        self.largest = np.zeros((len(chosen), -(-len(some) // BLOCK)))
-        np.maximum.at(self.largest, (at, doc // BLOCK), w)
+        self._build(at, count, np.append(np.searchsorted(doc, some), len(doc)))
         self.grid = np.linspace(0, 1, 21)
         self.calibrated = self.grid
         self._calibrate()
 
+    def _build(self, at: np.ndarray, count: np.ndarray, cut: np.ndarray):
+        """Vectors, postings and matrix of the examples, whose term numbers and counts are at[cut[i] : cut[i + 1]] and so on."""
+        self.counts = zlib.compress(np.diff(at, prepend=0).astype(np.int32).tobytes(), 1), zlib.compress(count.astype(np.int32).tobytes(), 1), cut
+        n = len(cut) - 1
+        doc, w = np.repeat(np.arange(n, dtype=np.int32), np.diff(cut)), (1 + np.log(count)) * self.idf[at]
+        w /= np.sqrt(np.bincount(doc, w * w, n))[doc]
+        self.own = at.astype(np.int32), w, cut
+        order = np.argsort(at, kind="stable")
+        at, self.doc, self.w = at[order], doc[order], w[order]
+        del order
+        self.first = np.searchsorted(at, np.arange(len(self.terms) + 1))
+        self.size = np.diff(self.first)
+        often = np.flatnonzero(self.size > max(8, n // FREQUENT))
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), n))
+        dense = self.row[at] >= 0
+        self.matrix[self.row[at[dense]], self.doc[dense]] = self.w[dense]
+
+    def __getstate__(self):
+        """What executors can't make anew from the counts."""
+        return {k: x for k, x in vars(self).items() if k not in ("own", "doc", "w", "first", "size", "row", "matrix")}
+
+    def __setstate__(self, state):
+        vars(self).update(state)
+        at, count, cut = self.counts
+        self._build(np.cumsum(np.frombuffer(zlib.decompress(at), np.int32), dtype=np.int32), np.frombuffer(zlib.decompress(count), np.int32), cut)
+        del self.own
+
     def _counts(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term number, count) of the index's terms, by document and term."""
-        at = np.searchsorted(self.terms, h)
-        at[at == len(self.terms)] = 0
-        ok = self.terms[at] == h if len(self.terms) else np.zeros(len(h), bool)
-        pair, count = np.unique(doc[ok].astype(np.int64) * max(1, len(self.terms)) + at[ok], return_counts=True)
-        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), count
+        return _counts(self.terms, h, doc)
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray):
         """For each document its (term numbers, weights), of length 1, or none."""
@@ -132,39 +146,29 @@ class Index:
             yield at[a:b], w[a:b] / np.sqrt((w[a:b] ** 2).sum()) if b > a else w[a:b]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine above 0, largest first, ties by number: exact.
-
-        The blocks of the largest bounds (sums of their largest weights) are read first; of the others only those whose bound reaches the k-th best of these.
-        """
-        bound = w @ self.largest[at]
-        order = np.argsort(-bound, kind="stable")
-        first = order[: -(-k // BLOCK) + 1]
-        scores = self._read(at, w, first)
-        found = np.flatnonzero(scores > 0)
-        kth = np.partition(scores[found], len(found) - k)[len(found) - k] if len(found) >= k + 1 else 0.0
-        rest = order[len(first) :]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-12)]
-        if len(rest):
-            scores += self._read(at, w, rest)
-        scores = np.round(scores, 12)
-        if without >= 0:
-            scores[without] = 0
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            least = np.partition(scores[found], len(found) - k)[len(found) - k]
-            found = found[scores[found] >= least]
-        found = found[np.argsort(-scores[found], kind="stable")][:k]
-        return list(zip(scores[found].tolist(), found.tolist(), strict=True))
-
-    def _read(self, at, w, blocks) -> np.ndarray:
-        """Cosines with the examples of some blocks; those of others stay 0."""
-        alive = np.zeros(self.largest.shape[1], bool)
-        alive[blocks] = True
-        out = np.zeros(len(self.labels))
-        for t, x in zip(at, w, strict=True):
-            doc = self.doc[self.first[t] : self.first[t + 1]]
-            live = alive[doc // BLOCK]
-            out[doc[live]] += x * self.w[self.first[t] : self.first[t + 1]][live]
+        """The k examples of the largest cosine above 0, largest first, ties by number: exact."""
+        return self.all_nearest([(at, w)], k, [without])[0]
+
+    def all_nearest(self, queries: list, k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of each of the queries."""
+        out = []
+        for low in range(0, len(queries), TOGETHER):
+            part = queries[low : low + TOGETHER]
+            dense = np.zeros((len(part), len(self.matrix)))
+            for i, (at, w) in enumerate(part):
+                r = self.row[at]
+                dense[i, r[r >= 0]] = w[r >= 0]
+            for i, ((at, w), scores) in enumerate(zip(part, dense @ self.matrix, strict=True)):
+                rare = self.row[at] < 0
+                begin, n = self.first[at[rare]], self.size[at[rare]]
+                where = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+                scores = np.round(scores + np.bincount(self.doc[where], self.w[where] * np.repeat(w[rare], n), len(scores)), 12)
+                if without is not None and without[low + i] >= 0:
+                    scores[without[low + i]] = 0
+                least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+                found = np.flatnonzero((scores > 0) & (scores >= least))
+                found = found[np.argsort(-scores[found], kind="stable")][:k]
+                out.append(list(zip(scores[found].tolist(), found.tolist(), strict=True)))
         return out
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -174,13 +178,17 @@ class Index:
         return float((s[y == 1].sum() + 0.5 * self.prior) / (s.sum() + 0.5))
 
     def _calibrate(self):
-        """Isotonic fit of the examples' labels to the votes that the others cast."""
-        votes = np.zeros(len(self.labels))
-        order = np.lexsort((np.arange(len(self.doc)), self.doc))
-        at, cut = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))[order], np.searchsorted(self.doc[order], np.arange(len(self.labels) + 1))
-        for i in range(len(votes)):
-            mine = order[cut[i] : cut[i + 1]]
-            votes[i] = self.vote(self.nearest(at[cut[i] : cut[i + 1]], self.w[mine], without=i))
+        """Isotonic fit of the examples' labels to the votes that the others cast. An example's vector is then over the terms of the others, as that of any text."""
+        terms, values, cut = self.own
+        votes, shared = np.zeros(len(self.labels)), self.size > 1
+        for low in range(0, len(votes), TOGETHER):
+            queries, own = [], list(range(low, min(low + TOGETHER, len(votes))))
+            for i in own:
+                at, w = terms[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
+                at, w = at[shared[at]], w[shared[at]]
+                queries.append((at, w / np.sqrt((w**2).sum()) if len(at) else w))
+            votes[own] = [self.vote(found) for found in self.all_nearest(queries, without=own)]
+        del self.own
         if len(votes):
             order = np.argsort(votes, kind="stable")
             means: list[list[float]] = []
@@ -191,21 +199,60 @@ class Index:
                     means[-1] = [a + b for a, b in zip(means[-1], last, strict=True)]
             self.grid, self.calibrated = np.array([m[0] / m[2] for m in means]), np.array([m[1] / m[2] for m in means])
 
-    def score(self, at: np.ndarray, w: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        """Calibrated score and the neighbours. No term: the prior of examples without terms."""
-        found = self.nearest(at, w) if len(at) else []
-        return (float(np.interp(self.vote(found), self.grid, self.calibrated)) if found else self.prior), found
+    def scores(self, queries: list) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Calibrated score and the neighbours of each query. No term: the prior of examples without terms."""
+        return [(float(np.interp(self.vote(found), self.grid, self.calibrated)) if found else self.prior, found) for found in self.all_nearest(queries)]
+
+
+def _counts(terms: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, number of the term in the sorted terms, count), by document and term; hashes of no term are left out."""
+    at = np.searchsorted(terms, h)
+    at[at == len(terms)] = 0
+    ok = terms[at] == h if len(terms) else np.zeros(len(h), bool)
+    pair, count = np.unique(doc[ok].astype(np.int64) * max(1, len(terms)) + at[ok], return_counts=True)
+    return pair // max(1, len(terms)), pair % max(1, len(terms)), count
+
 
+def spread(docs: DataFrame, text_col: str, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many hold each of the sorted terms: one narrow pass and a shuffle of blocks of counts, both bounded by the terms in each task."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
-def _g_test(a, b, na, nb):
-    """G-test value of how differently a term is spread over two sets of documents."""
-    n, t = na + nb, a + b
-    out = np.zeros(len(a))
-    for seen, size in ((a, na), (b, nb)):
-        for x, e in ((seen, t * size / max(1, n)), (size - seen, (n - t) * size / max(1, n))):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out += np.where(x > 0, x * np.log(x / e), 0)
-    return 2 * out
+    def blocks(n, df):
+        yield -1, np.array([n], np.int64)
+        for i in range(0, len(df), COUNTS):
+            yield i, df[i : i + COUNTS]
+
+    def rows(found):
+        for i, x in found:
+            if x.any():
+                yield pa.RecordBatch.from_pydict({"first": pa.array([i], pa.int64()), "counts": pa.array([zlib.compress(np.ascontiguousarray(x).tobytes(), 1)], pa.binary())})
+
+    def read(batches):
+        terms, n = sent.value, 0
+        df = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for part, data, offsets in tb.chunks(batch, "text"):
+                n += part.num_rows
+                df += np.bincount(_counts(terms, *_terms(data, offsets))[1], minlength=len(terms))
+        yield from rows(blocks(n, df))
+
+    def add(batches):
+        total: dict = {}
+        for batch in batches:
+            for i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(x), np.int64)
+        yield from rows(total.items())
+
+    schema = "first long, counts binary"
+    parts = base.map_arrow(docs.select(F.col(text_col).alias("text")), read, schema).repartition("first")
+    n, df = 0, np.zeros(len(terms), np.int64)
+    for r in base.map_arrow(parts, add, schema).collect():  # at most the terms, whatever the input
+        x = np.frombuffer(zlib.decompress(r.counts), np.int64)
+        if r.first < 0:
+            n = int(x[0])
+        else:
+            df[r.first : r.first + len(x)] = x
+    return n, df
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most: int = EXAMPLES) -> Index:
@@ -215,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = base.stash(base.first_of_each(known, "y", "id", most))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id").select("id", "t", "y").orderBy("id", "t").limit(4 * most).collect()
-    return Index([(r.t or "", int(r.y)) for r in rows], (total.get(0, 0), total.get(1, 0)))
+    return Index([(r.t or "", int(r.y)) for r in rows], (total.get(0, 0), total.get(1, 0)), lambda terms: spread(docs, text_col, terms))
 
 
 def rate(docs: DataFrame, index: Index, text_col: str = "text") -> tuple[DataFrame, list[str]]:
@@ -223,7 +270,7 @@ def rate(docs: DataFrame, index: Index, text_col: str = "text") -> tuple[DataFra
 
     evidence: the neighbours as array<struct<example int, toxic int, cosine double>>, nearest first. Texts that hold no
     term, null and empty ones too, have the rate of such examples as score and no evidence. A narrow pass: no shuffle;
-    the index is of a bounded size. Documents with the same terms in the same numbers are looked up once in a batch.
+    the index is of a bounded size. Documents with the same terms in the same numbers are looked up once in a part of a batch.
     """
     names = base.fresh(docs, "score", "predicted", "evidence")
     kinds = ("double", "int", "array<struct<example:int,toxic:int,cosine:double>>")
@@ -231,18 +278,15 @@ def rate(docs: DataFrame, index: Index, text_col: str = "text") -> tuple[DataFra
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index, known = sent.value, {}
+        index = sent.value
         for batch in batches:
             for part, data, offsets in tb.chunks(batch, text_col):
-                score, why = [], []
-                for at, w in index.vectors(data, offsets):
-                    if (key := (at.tobytes(), w.tobytes())) not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        known[key] = index.score(at, w)
-                    s, found = known[key]
-                    score.append(s)
-                    why.append([{"example": i, "toxic": int(index.labels[i]), "cosine": c} for c, i in found])
+                queries = list(index.vectors(data, offsets))
+                keys = [(at.tobytes(), w.tobytes()) for at, w in queries]
+                first = {key: i for i, key in reversed(list(enumerate(keys)))}
+                known = dict(zip(first, index.scores([queries[i] for i in first.values()]), strict=True))
+                score = [known[key][0] for key in keys]
+                why = [[{"example": i, "toxic": int(index.labels[i]), "cosine": c} for c, i in known[key][1]] for key in keys]
                 new = [pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32()), pa.array(why, pa.list_(pa.struct([("example", pa.int32()), ("toxic", pa.int32()), ("cosine", pa.float64())])))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
 

@@ -185,3 +185,15 @@ def test_lm_tells_targets_apart(spark):
     assert max(s[i] for i in s if i % 2) < min(s[i] for i in s if not i % 2)
     assert lm_score.score(df.limit(0), df.select("doc_id"))[0].count() == 0
     assert all(math.isfinite(x[score]) for x in lm_score.score(df, df.limit(0).select("doc_id"))[0].collect())
+
+
+def test_all_terms_are_indexed(spark):
+    """A word of one toxic example, and words that don't tell the labels apart, are terms; the idf follows all documents."""
+    rows = [(f"plain w{i} w{i + 1}", 0) for i in range(40)] + [("plain onlyhere w3", 1)]
+    ix = toxicity.Index(rows)
+    (at, w), *_ = ix.vectors(*tb.buffers(pa.array(["onlyhere"])))
+    assert [ix.labels[i] for _, i in ix.nearest(at, w)] == [1] and len(ix.terms) > 41
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(i, "onlyhere") for i in range(100, 150)] + [(200, None)], "doc_id long, text string").repartition(3)
+    n, df = toxicity.spread(docs, "text", ix.terms)
+    k = np.searchsorted(ix.terms, tb.tokenize(*tb.buffers(pa.array(["onlyhere", "plain"])), tb.ALNUM).hash)
+    assert n == 92 and df[k].tolist() == [51, 41]
