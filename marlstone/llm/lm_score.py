@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,96 +13,91 @@ from pyspark.sql import types as T
 from . import base
 from . import textbytes as tb
 
-#: Slots of words and of word pairs. The vocabulary is the hash range: the same for both models, whatever the input.
-WORDS, PAIRS = 1 << 20, 1 << 22
-#: Slots in a block of counts, and words that are gathered before they are counted.
-BLOCK, GATHERED = 1 << 15, 1 << 20
+#: Words and pairs are told apart by all 64 bits of their hashes; words that a model hasn't seen share the uniform distribution over these.
+WORDS, PAIRS = 1 << 64, 1 << 64
+#: Bytes of text in a block, whose distinct words and pairs are looked up together, and bytes of the input for each part of the table of counts.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 #: Weight of the shorter context: counts that the word's own probability, and the uniform one, stand for.
 PRIOR_PAIR, PRIOR_WORD = 20.0, 1000.0
+KINDS = ("word", "context", "pair")
 
 
-def slots(words: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slot of each word, of the word before it (0 at the start of a document), and of the pair."""
-    word = (words.hash & np.uint64(WORDS - 1)).astype(np.int64)
-    before_hash = np.concatenate((np.zeros(1, np.uint64), words.hash[:-1])) if len(word) else words.hash
-    opens = words.first[:-1][words.counts > 0]
-    before_hash[opens] = 0
-    before = (before_hash & np.uint64(WORDS - 1)).astype(np.int64)
-    before[opens] = 0
-    pair = (tb.mix(before_hash * np.uint64(0x9E3779B97F4A7C15) + words.hash) & np.uint64(PAIRS - 1)).astype(np.int64)
-    return word, before, pair
+def hashes(words: tb.Words) -> dict[str, np.ndarray]:
+    """Hash of each word, of the word before it (0 at the start of a document), and of the pair."""
+    before = np.concatenate((np.zeros(1, np.uint64), words.hash[:-1])) if len(words.hash) else words.hash
+    before[words.first[:-1][words.counts > 0]] = 0
+    return dict(zip(KINDS, (words.hash, before, tb.mix(before * np.uint64(0x9E3779B97F4A7C15) + words.hash)), strict=True))
 
 
-def count(docs: DataFrame, target: str, text_col: str) -> dict[str, np.ndarray]:
-    """Counts over all documents: words, contexts and pairs, each as (target, all).
+def _blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """For each block of docs (any columns, text, target) its rows as compressed Arrow data, in the column hashes of the kind documents; and the hashes and counts of its distinct words, contexts and pairs, cut by the hash into parts."""
+    schema = "block long, kind string, part int, hashes binary, counts binary"
+    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
-    Each task counts what it reads and hands on blocks of slots; blocks are added as they arrive, so that memory is bounded by the slots.
-    """
-    sizes = {"word": WORDS, "context": WORDS, "pair": PAIRS}
+    def run(batches):
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part, data, offsets in tb.chunks(batch, "text", BLOCK_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "kind": pa.array(["documents"]), "part": pa.array([0], pa.int32()), "hashes": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "counts": pa.nulls(1, pa.binary())})
+                words = tb.tokenize(data, offsets, tb.ALNUM)
+                good = np.repeat(part.column(part.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool), words.counts)
+                for kind, h in hashes(words).items():
+                    each, at = np.unique(h, return_inverse=True)
+                    counts = np.stack([np.bincount(at[good], minlength=len(each)), np.bincount(at, minlength=len(each))]).astype(np.int64)
+                    cut = np.concatenate(([0], np.searchsorted(each, edges), [len(each)]))
+                    some = np.flatnonzero(np.diff(cut))
+                    yield pa.RecordBatch.from_pydict({
+                        "block": pa.array(np.full(len(some), block, np.int64)), "kind": pa.array([kind] * len(some), pa.string()), "part": pa.array(some.astype(np.int32)),
+                        "hashes": pa.array([_pack_hashes(each[cut[i] : cut[i + 1]]) for i in some], pa.binary()), "counts": pa.array([_pack(counts[:, cut[i] : cut[i + 1]]) for i in some], pa.binary()),
+                    })
+                block += 1
 
-    def read(batches):
-        total = {k: np.zeros((2, n), np.int64) for k, n in sizes.items()}
-        held: list[tuple] = []
+    return base.map_arrow(docs, run, schema)
 
-        def settle():
-            if held:
-                own = np.concatenate([x[0] for x in held])
-                for i, (k, n) in enumerate(sizes.items(), 1):
-                    at = np.concatenate([x[i] for x in held])
-                    total[k][1] += np.bincount(at, minlength=n)
-                    total[k][0] += np.bincount(at[own], minlength=n)
-                held.clear()
 
-        for batch in batches:
-            for part, data, offsets in tb.chunks(batch, "text"):
-                words = tb.tokenize(data, offsets, tb.ALNUM)
-                good = part.column(part.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool)
-                held.append((np.repeat(good, words.counts), *slots(words)))
-                if sum(len(x[0]) for x in held) > GATHERED:
-                    settle()
-        settle()
-        yield from _blocks({(k, i): x[:, i * BLOCK : (i + 1) * BLOCK] for k, x in total.items() for i in range(x.shape[1] // BLOCK)})
-
-    def add(batches):
-        total: dict = {}
-        for batch in batches:
-            for k, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[k, i] = total.get((k, i), 0) + np.frombuffer(zlib.decompress(x), np.int64).reshape(2, -1)
-        yield from _blocks(total)
+def _pack_hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes as differences, whose bytes of one place stand together."""
+    return zlib.compress(np.ascontiguousarray(np.diff(h, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
 
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    schema = "kind string, block int, counts binary"
-    parts = base.map_arrow(rows, read, schema).repartition("kind", "block")
-    out = {k: np.zeros((2, n), np.int64) for k, n in sizes.items()}
-    for r in base.map_arrow(parts, add, schema).collect():  # at most the slots, whatever the input
-        out[r.kind][:, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(r.counts), np.int64).reshape(2, -1)
-    return out
+def _unpack_hashes(h: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(h), np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
 
 
-def _blocks(total: dict):
-    for (k, i), x in total.items():
-        if x.any():
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k]), "block": pa.array([i], pa.int32()), "counts": pa.array([zlib.compress(np.ascontiguousarray(x).tobytes(), 1)], pa.binary())})
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(counts, np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-class Model:
-    """Both models. The counts of all documents are scaled to as many words as the target has, so that smoothing weighs the same in both."""
+def _unpack(counts: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(counts), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, -1)
 
-    def __init__(self, counts: dict[str, np.ndarray]):
-        n = counts["word"].sum(1)
-        self.scale = float(n[0] / n[1]) if n[1] else 1.0
-        self.word = [((x * s + PRIOR_WORD / WORDS) / (x.sum() * s + PRIOR_WORD)).astype(np.float32) for x, s in zip(counts["word"], (1.0, self.scale), strict=True)]
-        self.context = [(x * s).astype(np.float32) for x, s in zip(counts["context"], (1.0, self.scale), strict=True)]
-        self.pair = [(x * s).astype(np.float32) for x, s in zip(counts["pair"], (1.0, self.scale), strict=True)]
 
-    def losses(self, words: tb.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of each word in nats under the target's model and under that of all documents. A pair counts no more than its context does."""
-        word, before, pair = slots(words)
-        out = []
-        for m in (0, 1):
-            p, seen = self.word[m][word].astype(np.float64), self.context[m][before].astype(np.float64)
-            out.append(-np.log((np.minimum(self.pair[m][pair], seen) + PRIOR_PAIR * p) / (seen + PRIOR_PAIR)))
-        return out[0], out[1]
+def _add(key, table):
+    """One part of the table of counts, and from it the answers to the blocks, in the order of their hashes."""
+    blocks, counts = table["block"].to_pylist(), table["counts"].to_pylist()
+    asked = [_unpack_hashes(h) for h in table["hashes"].to_pylist()]
+    every, at = np.unique(np.concatenate(asked), return_inverse=True)
+    total, cut = np.zeros((2, len(every)), np.int64), np.cumsum([0, *(len(h) for h in asked)])
+    for i, c in enumerate(counts):
+        total[:, at[cut[i] : cut[i + 1]]] += _unpack(c)  # hashes are distinct within a block
+    answers = [_pack(total[:, at[cut[i] : cut[i + 1]]]) for i in range(len(blocks))]
+    return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([key[0].as_py()] * len(blocks), pa.string()), "part": pa.array([key[1].as_py()] * len(blocks), pa.int32()), "counts": pa.array(answers, pa.binary())})
+
+
+def losses(counts: dict[str, np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of each token in nats under the target's model and under that of all documents, from the counts (target, all) of its word, context and pair.
+
+    The counts of all documents are scaled to as many words as the target has, so that smoothing weighs the same in both.
+    """
+    out = []
+    for m, scale in enumerate((1.0, float(n[0] / n[1]) if n[1] else 1.0)):
+        word, seen, pair = (counts[k][m] * scale for k in KINDS)
+        p = (word + PRIOR_WORD / WORDS) / (n[m] * scale + PRIOR_WORD)
+        out.append(-np.log((np.minimum(pair, seen) + PRIOR_PAIR * p) / (seen + PRIOR_PAIR)))
+    return out[0], out[1]
 
 
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
@@ -111,28 +106,48 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     The lower the score, the more a document is like the target documents, those whose id is in target_ids; the background is all
     documents. Cross-entropies are means over the words; a document without words has none: null. With no target documents both
     models are alike but for the scale: its counts are empty and its losses those of the uniform model.
-    Two narrow passes over the texts and one shuffle of count blocks; the ids are broadcast if they fit, else joined by a shuffle.
+    The table of counts grows with the corpus and is nowhere whole: each block of documents hands its distinct words and pairs on, cut by the hash
+    into parts; a part adds up its counts and answers the blocks, which come together with their documents by a shuffle. No task holds
+    more than a block or a part. The ids are broadcast if they fit, else joined by a shuffle.
     """
     ids = base.stash(target_ids.select(F.col(target_ids.columns[0]).alias("id")).filter("id is not null").distinct())
     names = base.fresh(docs, "n_tokens", "ce_target", "ce_background", "score")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    model = Model(count(texts.join(base.bounded(ids.withColumn("target", F.lit(True)), 32), "id", "left"), "target", "text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names[1:])])
-
-    def run(batches):
-        model = sent.value
-        for batch in batches:
-            for part, data, offsets in tb.chunks(batch, text_col):
-                words = tb.tokenize(data, offsets, tb.ALNUM)
-                n = words.counts
-                sums = [np.bincount(words.doc, x, len(n)) for x in model.losses(words)]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ce = [x / n for x in sums]
-                new = [pa.array(n.astype(np.int64)), *(pa.array(x, mask=n == 0) for x in (*ce, ce[0] - ce[1]))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
-
-    return base.map_arrow(docs, run, schema), names
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(base.bounded(ids.withColumn("target", F.lit(True)), 32), "id", "left")
+    others = F.struct(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col)).alias("row") if len(docs.columns) > 1 else F.lit(0).alias("row")
+    rows = rows.select(others, "text", F.coalesce("target", F.lit(False)).alias("target"))
+    blocks = base.stash(_blocks(rows, base.input_bytes(docs) // PART_BYTES + 8))
+    asked = blocks.filter("kind <> 'documents'")
+    answers = base.stash(asked.groupBy("kind", "part").applyInArrow(_add, "block long, kind string, part int, counts binary"))
+    sums = base.map_arrow(asked.filter("kind = 'word'").select("counts"), _sums, "target long, every long")
+    n = np.array(sums.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first(), np.int64)
+    new = [T.StructField(names[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names[1:])]
+
+    def run(texts, answers):
+        found: dict = {}
+        for kind, _, c in sorted(zip(*(answers[k].to_pylist() for k in ("kind", "part", "counts")), strict=True), key=lambda x: x[:2]):
+            found.setdefault(kind, []).append(_unpack(c))
+        texts = pa.ipc.open_stream(texts["hashes"][0].as_py()).read_all()
+        words = tb.tokenize(*tb.buffers(texts["text"]), tb.ALNUM)
+        size = words.counts
+        counts = {kind: np.concatenate(found[kind], 1)[:, np.unique(h, return_inverse=True)[1]] if len(h) else np.zeros((2, 0)) for kind, h in hashes(words).items()}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ce = [np.bincount(words.doc, x, len(size)) / size for x in losses(counts, n)]
+        columns = [pa.array(size.astype(np.int64)), *(pa.array(x, mask=size == 0) for x in (*ce, ce[0] - ce[1]))]
+        return pa.table([texts["row"], texts["text"], *columns], names=["row", "text", *names])
+
+    texts = blocks.filter("kind = 'documents'").select("block", "hashes").groupBy("block")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name in ("row", "text")), *new])
+    base.ship(docs.sparkSession)
+    scored = texts.cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    kept = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return scored.select(*kept, *names), names
+
+
+def _sums(batches):
+    for batch in batches:
+        n = sum((_unpack(c).sum(1) for c in batch.column(0).to_pylist()), np.zeros(2, np.int64))
+        yield pa.RecordBatch.from_pydict({"target": pa.array([int(n[0])]), "every": pa.array([int(n[1])])})
 
 
 @base.query("op1_lm_score")

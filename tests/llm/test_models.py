@@ -197,3 +197,15 @@ def test_all_terms_are_indexed(spark):
     n, df = toxicity.spread(docs, "text", ix.terms)
     k = np.searchsorted(ix.terms, tb.tokenize(*tb.buffers(pa.array(["onlyhere", "plain"])), tb.ALNUM).hash)
     assert n == 92 and df[k].tolist() == [51, 41]
+
+
+def test_distinct_pairs_stay_apart(spark):
+    """Words whose hashes agree in their 20 low bits are counted apart, and so are their pairs."""
+    words = [f"q{i}" for i in range(6000)]
+    h = tb.tokenize(*tb.buffers(pa.array(words)), tb.ALNUM).hash & np.uint64((1 << 20) - 1)
+    first: dict = {}
+    a, b = next((first[x], w) for w, x in zip(words, h.tolist(), strict=True) if first.setdefault(x, w) != w)
+    df = spark.createDataFrame([(i, f"{a} {a} {a}") for i in range(20)] + [(50, f"{b} {b} {b}")], "doc_id long, text string")
+    found, (n, target, every, _) = lm_score.score(df, df.filter("doc_id < 20").select("doc_id"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert got[50][n] == 3 and got[50][target] > got[0][target] + 5 and got[50][every] > got[0][every] + 1
