@@ -186,11 +186,44 @@ def mean_variance_moments(mu: Sequence[float], sigma: Sequence[Sequence[float]],
     return wealth + gain / (2 * beta), gain / (4 * beta * beta)
 
 
-def monte_carlo_wealth(spark: SparkSession, paths: int, steps: int, mu: float, sigma: float, seed: int = 1) -> DataFrame:
-    """Mean and variance of the final wealth of geometric Brownian paths, in one distributed aggregate.
+def monte_carlo_wealth(spark: SparkSession, paths: int, steps: int, mu: float | Sequence[float], sigma: float | Sequence[float], seed: int = 1, weights: Sequence[float] = (1.0,), corr: Sequence[Sequence[float]] | None = None, wealth: float = 1.0, horizon: float = 1.0) -> DataFrame:
+    """Mean and variance of the final wealth of paths over correlated geometric Brownian assets, in one distributed aggregate.
 
-    The sum of a path's steps is normal, so that each path takes one draw for each step only where steps are asked for one by one.
+    Each step is drawn: wealth * (1 + sum of weights * simple returns), so that the portfolio is brought back to its weights at every step.
+    mu and sigma are annual, one for each weight or one for all; corr: the correlations of the assets, else none. What the weights leave is held at no return.
     """
-    z = sum((F.randn(seed + k) for k in range(steps)), F.lit(0.0)) if steps <= 16 else F.randn(seed) * math.sqrt(steps)
-    w = F.exp((mu - sigma * sigma / 2) + sigma * z / math.sqrt(steps))
-    return spark.range(paths).select(w.alias("w")).agg(F.avg("w").alias("mean"), F.var_pop("w").alias("variance"), F.count("*").alias("n"))
+    import numpy as np
+
+    n, dt = len(weights), horizon / steps
+    mu, sigma = (np.broadcast_to(np.asarray(x, float), (n,)) for x in (mu, sigma))
+    root, held, drift = np.linalg.cholesky(np.eye(n) if corr is None else np.asarray(corr, float)), np.asarray(weights, float), (mu - sigma**2 / 2) * dt
+
+    def run(batches):
+        for pdf in batches:
+            for low in range(0, len(pdf), 5000):
+                ids = pdf["id"].to_numpy()[low : low + 5000]
+                rng, w = np.random.default_rng([seed, int(ids[0])]), np.full(len(ids), wealth)
+                for _ in range(steps):
+                    moves = rng.standard_normal((len(ids), n)) @ root.T * math.sqrt(dt)
+                    w = w * (1 + np.expm1(drift + sigma * moves) @ held)
+                yield pd.DataFrame({"w": w})
+
+    return spark.range(paths).mapInPandas(run, "w double").agg(F.avg("w").alias("mean"), F.var_pop("w").alias("variance"), F.count("*").alias("n"))
+
+
+def reapplied_window(df: DataFrame, date: str, asset: str, weight: str, ret: str, market: str, window: int = 60) -> DataFrame:
+    """(date, sigma, corr): for each date the weights of the date before it, applied to the assets' returns of the `window` dates before it: deviation (1e-8 at least) and correlation with the market.
+
+    The first date has no weights before it: 1e-8 and 0. A missing weight or return counts 0. Dates are numbered in one task; their rows aren't.
+    """
+    days = df.groupBy(date).agg(F.first(market, ignorenulls=True).alias("__m")).withColumn("__t", F.row_number().over(Window.orderBy(date)))
+    rows = df.join(days.select(date, "__t"), date)
+    held = rows.select(F.col(asset).alias("__a"), (F.col("__t") + 1).alias("__t"), F.col(weight).alias("__w"))
+    past = rows.select(F.col(asset).alias("__a"), F.col("__t").alias("__s"), F.col(ret).alias("__r")).withColumn("__t", F.explode(F.sequence(F.col("__s") + 1, F.col("__s") + window)))
+    own = held.join(past, ["__a", "__t"]).groupBy("__t", "__s").agg(F.sum(F.col("__w") * F.col("__r")).alias("__p"))
+    grid = days.select(date, "__t", F.explode(F.sequence(F.greatest(F.lit(1), F.col("__t") - window), F.col("__t") - 1)).alias("__s")).filter("__s < __t and __s > 0 and __t > 1")
+    both = grid.join(own, ["__t", "__s"], "left").join(days.select(F.col("__t").alias("__s"), "__m"), "__s").withColumn("__p", F.coalesce("__p", F.lit(0.0)))
+    sd, sm = F.stddev_pop("__p"), F.stddev_pop("__m")
+    corr = F.when((F.count("*") >= 2) & (sd > 1e-12) & (sm > 1e-12), try_ratio(F.covar_pop("__p", "__m"), sd * sm)).otherwise(0.0)
+    out = both.groupBy("__t").agg(F.greatest(sd, F.lit(1e-8)).alias("sigma"), corr.alias("corr"))
+    return days.join(out, "__t", "left").select(date, F.coalesce("sigma", F.lit(1e-8)).alias("sigma"), F.coalesce("corr", F.lit(0.0)).alias("corr"))

@@ -158,6 +158,32 @@ def permutation_p(hits: Column, reps: int) -> Column:
     return (hits + 1) / (reps + 1)
 
 
+def significance(df: DataFrame, truth: str, predicted: str, reps: int = 2000, permutations: int = 10_000, seed: int = 42) -> DataFrame:
+    """(metric, value, low, high, p_value) of 0/1 columns: 95 % intervals of accuracy, precision, recall, F1 (0 where undefined) and MCC by resampled rows, and of accuracy the share of permuted predictions that reach it.
+
+    All metrics follow from the four counts. Drawing rows anew draws the counts from a multinomial distribution, and permuting the predictions draws the hits from a
+    hypergeometric one: both exact, so that only four counts come to the driver, whatever the rows.
+    """
+    import numpy as np
+
+    c = confusion(df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull()), truth, predicted).select("tp", "fp", "fn", "tn").first()
+    counts, rng = np.array(c, np.int64), np.random.default_rng(seed)
+    n = int(counts.sum())
+
+    def metrics(x):
+        tp, fp, fn, tn = (x[:, i].astype(float) for i in range(4))
+        ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
+        mcc = ratio(tp * tn - fp * fn, np.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+        return {"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "mcc": mcc}
+
+    point, drawn = metrics(counts[None]), metrics(rng.multinomial(n, counts / max(1, n), reps) if n else np.zeros((reps, 4), np.int64))
+    tp, fp, fn, tn = (int(x) for x in counts)
+    both = rng.hypergeometric(tp + fn, fp + tn, tp + fp, permutations) if n else np.zeros(permutations, np.int64)
+    hits = int((2 * both + n - (tp + fn) - (tp + fp) >= tp + tn).sum())
+    rows = [(k, float(point[k][0]), *(float(x) for x in np.percentile(drawn[k], [2.5, 97.5])), (hits + 1) / (permutations + 1) if k == "accuracy" else None) for k in point]
+    return df.sparkSession.createDataFrame(rows, "metric string, value double, low double, high double, p_value double")
+
+
 def strategy_stats(df: DataFrame, key: Sequence[str], ret: str) -> DataFrame:
     """Mean, population volatility, Sharpe and win rate by key."""
     return df.groupBy(*key).agg(F.avg(ret).alias("mean"), F.stddev_pop(ret).alias("vol"), sharpe(ret, sample=False).alias("sharpe"), F.avg((F.col(ret) > 0).cast("double")).alias("win_rate"))

@@ -211,3 +211,32 @@ def test_numeric(spark):
     assert same.agg(stats.safe_corr("x", "y").alias("c")).first().c == 0
     tr = portfolio.simulate_positions(spark.createDataFrame([(1, i, s, r) for i, (s, r) in enumerate([(1, 0.1), (1, 0.1), (0, 0.5), (-1, 0.1)])], "k int, t int, s int, r double"), ["k"], "t", "s", "r", cost=0.0).first()
     assert (tr.trades, tr.wins, round(tr.gross, 9)) == (2, 1, 0.1) and round(tr.net, 9) == 0.08
+
+
+def test_stepwise_wealth(spark):
+    """Weights are restored at each step: over equal assets, correlation decides the variance."""
+    args = (spark, 40_000, 104, [0.05, 0.05], [0.2, 0.2])
+    apart, alike = (portfolio.monte_carlo_wealth(*args, weights=[0.5, 0.5], corr=[[1, c], [c, 1]]).first() for c in (0.0, 0.999))
+    assert abs(apart.mean - math.exp(0.05)) < 0.01 and apart.n == 40_000
+    assert math.isclose(apart.variance, math.exp(0.1) * (math.exp(0.02) - 1), rel_tol=0.05) and math.isclose(alike.variance, math.exp(0.1) * (math.exp(0.04) - 1), rel_tol=0.05)
+
+
+def test_reapplied_window(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    r, w, m = rng.normal(0, 0.01, (30, 3)), rng.normal(0, 1, (30, 3)), rng.normal(0, 0.01, 30)
+    df = spark.createDataFrame([(t, a, float(w[t, a]), float(r[t, a]), float(m[t])) for t in range(30) for a in range(3)], "d int, a int, w double, r double, m double")
+    got = {x.d: x for x in portfolio.reapplied_window(df, "d", "a", "w", "r", "m", 10).collect()}
+    assert len(got) == 30 and (got[0].sigma, got[0].corr, got[1].corr) == (1e-8, 0, 0)
+    for t in range(2, 30):
+        p, b = r[max(0, t - 10) : t] @ w[t - 1], m[max(0, t - 10) : t]
+        assert math.isclose(got[t].sigma, p.std(), rel_tol=1e-9) and math.isclose(got[t].corr, np.corrcoef(p, b)[0, 1], rel_tol=1e-9)
+
+
+def test_significance(spark):
+    df = spark.createDataFrame([(i % 2, i % 2 if i % 10 else 1 - i % 2) for i in range(200)], "y int, p int")
+    got = {r.metric: r for r in stats.significance(df, "y", "p").collect()}
+    assert len(got) == 5 and all(r.low < r.value < r.high or r.value == r.high == 1 for r in got.values()) and got["accuracy"].p_value == 1 / 10_001
+    chance = spark.createDataFrame([(i % 2, i // 2 % 2) for i in range(200)], "y int, p int")
+    assert stats.significance(chance, "y", "p").first().p_value > 0.3
