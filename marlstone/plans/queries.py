@@ -515,12 +515,12 @@ def open_to_open(spark, sf):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    return stats.moving_block_ci(monthly(spark, sf), "month", "ret", reps=2000)
+    return stats.moving_block_ci(monthly(spark, sf), "month", "ret")
 
 
 @query("poisson_bootstrap")
 def poisson_bootstrap(spark, sf):
-    return stats.bootstrap_ci(monthly(spark, sf), "ret", 500)
+    return stats.bootstrap_ci(monthly(spark, sf), "ret")
 
 
 @query("pca_factors")

@@ -240,3 +240,15 @@ def test_significance(spark):
     assert len(got) == 5 and all(r.low < r.value < r.high or r.value == r.high == 1 for r in got.values()) and got["accuracy"].p_value == 1 / 10_001
     chance = spark.createDataFrame([(i % 2, i // 2 % 2) for i in range(200)], "y int, p int")
     assert stats.significance(chance, "y", "p").first().p_value > 0.3
+
+
+def test_registered_resamples(spark, monkeypatch):
+    """The queries take the operators' numbers of resamples."""
+    from marlstone.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries.stats, "moving_block_ci", lambda *a, **k: seen.append((len(a), k)))
+    monkeypatch.setattr(queries.stats, "bootstrap_ci", lambda *a, **k: seen.append((len(a), k)))
+    queries.bootstrap_ci(spark, "/root/testdata/sf0.001")
+    queries.poisson_bootstrap(spark, "/root/testdata/sf0.001")
+    assert seen == [(3, {}), (2, {})]
