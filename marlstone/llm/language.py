@@ -116,11 +116,12 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows: int = ROWS_A_LANGUAGE) -> Model:
-    """A model of at most `rows` labelled rows of each language that aren't held out."""
-    ids = docs.filter(~base.held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    chosen = base.stash(base.first_of_each(ids, "lang", "id", rows).select("id").distinct())
-    found = docs.join(F.broadcast(chosen), F.col(id_col) == chosen["id"], "left_semi").filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    return Model([(r.t, r.l) for r in found.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).orderBy(F.xxhash64("t"), "t", "l").limit(rows * 200).collect()])
+    """A model of at most `rows` labelled rows of each language that aren't held out; of rows that repeat an id and language, one."""
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null")
+    ids = labelled.filter(~base.held_out(F.col("id"))).groupBy("l", "id").agg(F.min(F.xxhash64("t")).alias("h"))
+    chosen = base.stash(base.first_of_each(ids, "l", "id", rows).filter("id is not null"))
+    found = labelled.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "l", "h"]).groupBy("id", "l").agg(F.min("t").alias("t"))
+    return Model([(r.t, r.l) for r in found.orderBy(F.xxhash64("t"), "t", "l").collect()])  # at most `rows` of each language
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:

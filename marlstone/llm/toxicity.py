@@ -256,12 +256,13 @@ def spread(docs: DataFrame, text_col: str, terms: np.ndarray) -> tuple[int, np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most: int = EXAMPLES) -> Index:
-    """An index of at most `most` labelled rows of each label that aren't held out. Repeated or null labels: the largest counts, null is none."""
+    """An index of at most `most` labelled rows of each label that aren't held out. Repeated or null labels: the largest counts, null is none. Repeated ids: one text counts."""
     known = labels.filter(~base.held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    known = base.stash(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().join(known, "id"))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    known = base.stash(texts.groupBy("id").agg(F.min(F.xxhash64("t")).alias("h")).join(known, "id"))
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = base.stash(base.first_of_each(known, "y", "id", most))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id").select("id", "t", "y").orderBy("id", "t").limit(4 * most).collect()
+    rows = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "y").agg(F.min("t").alias("t")).orderBy("id").collect()
     return Index([(r.t or "", int(r.y)) for r in rows], (total.get(0, 0), total.get(1, 0)), lambda terms: spread(docs, text_col, terms))
 
 

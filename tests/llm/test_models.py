@@ -209,3 +209,15 @@ def test_distinct_pairs_stay_apart(spark):
     found, (n, target, every, _) = lm_score.score(df, df.filter("doc_id < 20").select("doc_id"))
     got = {r.doc_id: r for r in found.collect()}
     assert got[50][n] == 3 and got[50][target] > got[0][target] + 5 and got[50][every] > got[0][every] + 1
+
+
+def test_hot_id_leaves_room_for_others(spark, monkeypatch):
+    """An id that stands on very many rows is one row of what classifiers are fitted on."""
+    rows = [(1, f"hot {i}", "a") for i in range(900)] + [(i, f"text {i}", "b") for i in (5, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "Model", lambda rows: rows)
+    got = Counter(lang for _, lang in language.fit(docs, rows=2))
+    assert got == {"a": 1, "b": 2}
+    monkeypatch.setattr(toxicity, "Index", lambda rows, *_: rows)
+    labels = spark.createDataFrame([(1, 0), (5, 1), (8, 1), (9, 1), (10, 1)], "doc_id long, toxic int")
+    assert Counter(y for _, y in toxicity.fit(docs, labels, most=2)) == {0: 1, 1: 2}
