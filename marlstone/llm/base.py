@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -19,6 +18,12 @@ ORACLES: dict[str, str] = {}
 #: A side of a join is broadcast up to this many bytes; beyond, both sides shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of a batch that goes to Python, where Python and the JVM hold it at the same time.
+ARROW_BYTES = 4 << 20
+_ARROW, _CLEANUP = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of a Bloom filter for each of its keys, and at most; with more keys it lets more through, which costs work but changes no result.
+BLOOM_BITS, BLOOM_MOST = 16, 1 << 28
+
 _written: dict[str, list[str]] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,16 +62,18 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Afterwards the shuffle files of the stages that made it can go.
+    The shuffle files of the stages that made it go when it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return back
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
@@ -79,8 +86,10 @@ def release(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package's code to the executors, once in a session, through Spark's own file server."""
+    """Give the package's code to the executors, once in a session, through Spark's own file server. Arrow batches are of at most ARROW_BYTES unless the session says otherwise."""
     context = spark.sparkContext
+    if spark.conf.get(_ARROW, None) is None:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     if not getattr(context, "_marlstone_shipped", False):
         top = Path(__file__).resolve().parent.parent
         out = os.path.join(tempfile.mkdtemp(prefix="marlstone-code-"), "marlstone_code.zip")
@@ -101,6 +110,43 @@ def bounded(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
+def place(key: Column, bits: int) -> Column:
+    """Where a key stands in a filter of so many bits."""
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits)) + 1
+
+
+def bitmaps(places: DataFrame) -> DataFrame:
+    """(bucket, bitmap) of a column of places; a bucket is 32,768 of them. Put together in the map tasks first."""
+    return places.toDF("p").groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+
+
+def probe(df: DataFrame, at: Column, maps: DataFrame, out: str) -> DataFrame:
+    """df with a further boolean column: whether the bit at this place is set in maps, whose size must be bounded."""
+    p, b, m = fresh(df, "probe_place", "probe_bucket", "probe_bitmap")
+    side = F.broadcast(maps.select(F.col("bucket").alias(b), F.col("bitmap").alias(m)))
+    found = df.withColumn(p, at).join(side, F.bitmap_bucket_number(p) == F.col(b), "left")
+    return found.withColumn(out, bit(F.col(m), F.bitmap_bit_position(p))).drop(p, b, m)
+
+
+def semi_first(rows: DataFrame, side: DataFrame, key: str, row_bytes: int = 64, how: str = "inner") -> DataFrame:
+    """rows joined with side, a stashed table, on a column that both have.
+
+    If side doesn't fit in a broadcast, a Bloom filter of its keys, of BLOOM_MOST bits at most, goes first, so that of rows
+    without a partner only the filter's few errors shuffle; with how='left' the others pass with nulls.
+    """
+    n = side.count()
+    if n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(side), key, how)
+    bits = min(BLOOM_MOST, 1 << max(16, (n * BLOOM_BITS - 1).bit_length()))
+    maps = stash(bitmaps(side.select(place(F.col(key), bits))))
+    (maybe,) = fresh(rows, "maybe")
+    probed = probe(rows, place(F.col(key), bits), maps, maybe)
+    joined = probed.filter(maybe).drop(maybe).join(side, key, how)
+    if how == "left":
+        joined = joined.unionByName(probed.filter(~F.col(maybe)).drop(maybe), allowMissingColumns=True)
+    return joined
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the faster function, with the same result."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -111,6 +157,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def row_key(ident: Column, text: Column) -> Column:
+    """64 bits by which a row with this id and text is found again; nulls count as such."""
+    return F.xxhash64(ident.cast("string"), ident.isNull(), text)
+
+
 def first_of_each(df: DataFrame, key: str, ident: str, n: int, parts: int = 256) -> DataFrame:
     """The first n rows of each key in the order of a hash of ident. Each key is first cut to n in `parts` parts, so that no task meets all rows of one."""
     for salt in ([F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(parts))], []):

@@ -17,6 +17,8 @@ from . import textbytes as tb
 ROWS_A_LANGUAGE = 400
 #: n-grams of 2 and 3 bytes share so many slots; it is also the size of what is broadcast, times the bits.
 SLOTS = 1 << 16
+#: Bytes whose n-grams are held at once, within long texts too.
+PIECE_BYTES = 128 << 10
 #: Two best codewords whose losses differ by less are ambiguous.
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
@@ -36,20 +38,22 @@ def codewords(n: int) -> np.ndarray:
     return max(codes, key=lambda c: min(int((a != b).sum()) for a, b in combinations(c, 2)))
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all 2- and 3-grams that hold a letter, and the document of each. Other bytes count as spaces."""
-    x = _FOLD[data].astype(np.uint32)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    slots, docs = [], []
+def ngrams(data: np.ndarray, offsets: np.ndarray, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all 2- and 3-grams that hold a letter and start at bytes low to high, and the document of each. Other bytes count as spaces."""
+    high = len(data) if high is None else min(high, len(data))
+    x = _FOLD[data[low : high + 2]].astype(np.uint32)
+    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(np.clip(offsets, low, low + len(x))))
+    slots, docs = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
     for n in (2, 3):
-        if len(x) >= n:
-            code = np.zeros(len(x) - n + 1, np.uint32)
-            for k in range(n):
-                code = code * np.uint32(256) + x[k : len(x) - n + 1 + k]
-            ok = (doc[: len(code)] == doc[n - 1 :]) & (code != sum(32 << 8 * k for k in range(n)))
+        m = min(high - low, len(x) - n + 1)
+        if m > 0:
+            code = x[:m]
+            for k in range(1, n):
+                code = code * np.uint32(256) + x[k : m + k]
+            ok = (doc[:m] == doc[n - 1 : m + n - 1]) & (code != sum(32 << 8 * k for k in range(n)))
             slots.append(((code[ok] + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(16))
-            docs.append(doc[: len(code)][ok])
-    return (np.concatenate(slots), np.concatenate(docs)) if slots else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            docs.append(doc[:m][ok])
+    return np.concatenate(slots), np.concatenate(docs)
 
 
 class Model:
@@ -83,9 +87,13 @@ class Model:
 
     def means(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean weight of each document's n-grams, for each bit; 0 where there are none."""
-        slots, docs = ngrams(data, offsets)
-        n = np.bincount(docs, minlength=len(offsets) - 1)
-        return np.stack([np.bincount(docs, w[slots], len(offsets) - 1) for w in self.weights.T], 1) / np.maximum(n, 1)[:, None] if self.codes.size else np.zeros((len(offsets) - 1, self.codes.shape[1]))
+        n, total = np.zeros(len(offsets) - 1), np.zeros((len(offsets) - 1, self.codes.shape[1]))
+        for low in range(0, len(data), PIECE_BYTES):
+            slots, docs = ngrams(data, offsets, low, low + PIECE_BYTES)
+            n += np.bincount(docs, minlength=len(n))
+            for b, w in enumerate(self.weights.T):
+                total[:, b] += np.bincount(docs, w[slots], len(n))
+        return total / np.maximum(n, 1)[:, None]
 
     def decode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: number of the nearest codeword, score, ambiguous. The loss of a codeword is the bits' logistic loss, weighted by reliability."""

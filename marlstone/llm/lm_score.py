@@ -37,7 +37,7 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part, data, offsets in tb.chunks(batch, "text", BLOCK_BYTES):
+            for part, data, offsets in tb.chunks(batch, "text", BLOCK_BYTES, 1 << 20):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)

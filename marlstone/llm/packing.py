@@ -22,9 +22,12 @@ from . import textbytes as tb
 CAPACITY, PIECE = 2048, 512
 #: Windows that are packed together, and tokens that are left free in each for their differences.
 WINDOWS, SLACK = 128, 3
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 20
 #: The id that ends a document.
 END_ID = 1
-_CACHE_WORDS, _CACHE_LENGTH = 500_000, 40
+#: Words that are kept, and the longest of them; some 200 bytes each.
+_CACHE_WORDS, _CACHE_LENGTH = 120_000, 24
 _END = struct.pack("<I", END_ID)
 #: str.split also splits at these, which the tokenizer doesn't take for white space.
 _CONTROL, _SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"[ \n\r\t]+")
@@ -154,7 +157,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             return rows
 
         for batch in batches:
-            for part, _, _ in tb.chunks(batch, "text"):
+            for part, _, _ in tb.chunks(batch, "text", TOGETHER):
                 rows = []
                 docs_ = part.column(part.schema.get_field_index("id")).to_pylist()
                 texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]

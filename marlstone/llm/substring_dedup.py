@@ -16,6 +16,8 @@ from . import textbytes as tb
 #: Words of a repeat, at least; blocks are of such a size that every window of WINDOW words holds a whole one.
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
+#: Bytes of text in which repeats are found before any shuffle.
+TOGETHER = 2 << 20
 #: Bytes of input (as Catalyst estimates them) for each partition of the hash shuffles.
 BYTES_A_PARTITION = 16 << 20
 
@@ -223,7 +225,7 @@ def _shuffle(rows: DataFrame, make, buckets: int, wide: bool) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for part, data, offsets in tb.chunks(batch, "text"):
+            for part, data, offsets in tb.chunks(batch, "text", TOGETHER, 1 << 16):
                 rids = part.column(part.schema.get_field_index("rid")).to_numpy()
                 hits = part.column(part.schema.get_field_index("runs")).to_pylist() if wide else None
                 words = tb.tokenize(data, offsets, tb.SPACED)

@@ -7,6 +7,7 @@ the bytes: the same in every task, process and run.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are taken together up to so many bytes; a longer text comes alone.
-CHUNK_BYTES = 2 << 20
+#: Texts are taken together up to so many bytes and rows; a longer text comes alone.
+CHUNK_BYTES, CHUNK_ROWS = 256 << 10, 1024
 _PIECE = 1 << 20
+#: Words of more bytes are hashed by BLAKE2b: a polynomial modulo 2^64 gives some pairs of long words (from 1,024 bytes) the same value.
+LONG_WORD = 64
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -103,14 +106,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch of at most so many bytes of text, or one row, with their bytes and offsets."""
+def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of at most so many bytes of text and rows, or one row, with their bytes and offsets."""
     texts = batch.column(batch.schema.get_field_index(column))
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         base = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
+        to = max(at + 1, min(at + rows, int(np.searchsorted(sizes, base + most, "right"))))
         part = batch.slice(at, to - at)
         yield part, *buffers(texts.slice(at, to - at))
         at = to
@@ -145,6 +148,8 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, kind: WordClass, prefixes: t
             long = np.flatnonzero(e - s > p)
             out[at + long] = mix((sums[s[long] + p] - sums[s[long]]) * down[s[long]] + np.uint64(p << 40))
         at = to
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(kind.fold[data[start[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
     words = Words(h, start, end, np.searchsorted(start, offsets))
     words.prefix = more
     return words
