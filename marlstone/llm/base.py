@@ -59,8 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+def stash(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. by: an int column whose values get folders of their own.
 
     The shuffle files of the stages that made it go when it is written.
     """
@@ -69,7 +69,7 @@ def stash(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)

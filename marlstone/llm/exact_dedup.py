@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 
-#: The filter never has more bits, whatever the input; beyond a sixteenth as many rows it lets more unique rows through to the shuffle, which changes no result.
-MAX_BITS, BITS_A_ROW = 1 << 28, 16
+#: Bits of the filter for each row, and of one part of it: with more rows, the rows are dealt into parts by their hash, each with a filter of its own, so that no broadcast exceeds PART_BITS / 8 bytes.
+BITS_A_ROW, PART_BITS = 16, 1 << 28
 
 
 def _digest(text):
     return F.unhex(F.sha2(base.ascii_lower(F.coalesce(text, F.lit(""))), 256))
 
 
-def repeated_filter(keys: DataFrame, sha: str, bits: int) -> DataFrame:
-    """Pass one: (bucket, bitmap) of the Bloom positions that at least two rows hit.
+def _place(seed: int, bits: int):
+    return F.pmod(F.xxhash64(F.col("sha"), F.lit(seed)), F.lit(bits)) + 1
 
-    Each row sets two positions; what shuffles are counts per position, combined in the map tasks.
-    """
-    positions = keys.select(F.explode(F.array(*(_position(sha, i, bits) for i in (1, 2)))).alias("p"))
-    often = positions.groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
-    return often.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+
+def repeated_filter(keys: DataFrame, seed: int, bits: int) -> DataFrame:
+    """(bucket, bitmap) of the positions that at least two rows hit. What shuffles is a position and a count for each row, combined in the map tasks."""
+    often = keys.select(_place(seed, bits).alias("p")).groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
+    return base.bitmaps(often.select("p"))
 
 
-def _position(sha: str, seed: int, bits: int):
-    return F.pmod(F.xxhash64(F.col(sha), F.lit(seed)), F.lit(bits)) + 1
+def _split(keys: DataFrame, bits: int) -> tuple[list[DataFrame], DataFrame]:
+    """Rows that are alone, in two tables, and those that may be repeated: rows whose first position another row hits go on to the second, which is counted among them only."""
+    alone = []
+    for seed in (1, 2):
+        filter_ = base.stash(repeated_filter(keys, seed, bits))
+        probed = base.stash(base.probe(keys, _place(seed, bits), filter_, "maybe"))
+        alone.append(probed.filter("not maybe").drop("maybe"))
+        keys = probed.filter("maybe").drop("maybe")
+    return alone, keys
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
@@ -34,25 +43,30 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
     row with the largest id stays (a null id is smallest); of rows that tie on id too, one stays.
-    Pass two probes each row's two positions in the broadcast bitmaps (at most MAX_BITS / 8 bytes).
-    Rows with a clear bit are unique and pass straight through; only the others shuffle, as digests.
+    Pass one counts positions of a filter of BITS_A_ROW bits a row (or `bits`) and keeps those hit twice; pass two probes all rows.
+    Rows with a clear bit are unique and pass straight through; of unique rows about one in 200 goes on. Only what goes on shuffles, as digests; the
+    sizes of its groups, combined in the map tasks, are joined to it by a broadcast or a join whose large partitions AQE can split, so that a hot group
+    needs no task of its own. The filter grows with the rows, in parts of PART_BITS. Very long texts are read whole.
     An empty table gives an empty result. Columns other than id and text are not read.
     """
     keys = base.stash(docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("sha"), F.monotonically_increasing_id().alias("row")))
-    bits = bits or min(MAX_BITS, 1 << max(16, (keys.count() * BITS_A_ROW - 1).bit_length()))
-    filter_ = base.stash(repeated_filter(keys, "sha", bits))
-    probed = keys.withColumns({"p1": _position("sha", 1, bits), "p2": _position("sha", 2, bits)})
-    for i in (1, 2):
-        side = F.broadcast(filter_.select(F.col("bucket").alias(f"b{i}"), F.col("bitmap").alias(f"m{i}")))
-        probed = probed.join(side, F.bitmap_bucket_number(f"p{i}") == F.col(f"b{i}"), "left")
-    probed = probed.select("id", "sha", "row", (base.bit(F.col("m1"), F.bitmap_bit_position("p1")) & base.bit(F.col("m2"), F.bitmap_bit_position("p2"))).alias("maybe"))
-    probed = base.stash(probed)
-    maybe = probed.filter("maybe")
-    groups = maybe.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("k"))
-    digest = F.lower(F.hex("sha")).alias("text_sha256")
-    shuffled = maybe.join(groups, "sha").select(F.col("id").alias(id_col), F.col("k.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("k.row")).alias("kept"), digest)
-    straight = probed.filter("not maybe").select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), digest)
-    return straight.unionByName(shuffled)
+    bits = bits or max(1 << 16, keys.count() * BITS_A_ROW)
+    parts = -(-bits // PART_BITS)
+    if parts > 1:
+        keys = base.stash(keys.withColumn("part", F.pmod(F.xxhash64("sha", F.lit(0)), F.lit(parts)).cast("int")), by="part")
+    alone, maybe = [], []
+    for part in range(parts):
+        one, several = _split(keys.filter(F.col("part") == part).drop("part") if parts > 1 else keys, -(-bits // parts))
+        alone += one
+        maybe.append(several)
+    alone, maybe = (reduce(DataFrame.unionByName, x) for x in (alone, maybe))
+    groups = base.stash(maybe.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("k")).filter("n > 1"))
+    shuffled = maybe.join(base.bounded(groups, 128), "sha", "left").select("id", "sha", "row", "n", "k")
+    rows = alone.select("id", "sha", "row", F.lit(None).cast("long").alias("n"), F.lit(None).cast(groups.schema["k"].dataType).alias("k")).unionByName(shuffled)
+    keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("k.id"))
+    return rows.select(
+        F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("row") == F.col("k.row"), F.lit(True)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

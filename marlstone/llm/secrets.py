@@ -106,24 +106,32 @@ def _query(items) -> list[frozenset[str]]:
     return [frozenset()] if frozenset() in found else sorted(found, key=sorted)
 
 
-def postings(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """The inverted index: (trigram number, bucket, bitmap of the ids that contain it, without regard to A-Z case).
+#: Places of the postings for each row: a row whose place a candidate shares is verified for nothing.
+PLACES_A_ROW = 4
 
-    A posting list is cut into bitmaps of 32,768 ids, put together in the map tasks, so that what shuffles is
-    a few KB for each trigram and range of ids.
+
+def _place(id_col: str, text_col: str, places: int) -> Column:
+    return F.pmod(base.row_key(F.col(id_col), F.col(text_col)), F.lit(places)) + 1
+
+
+def postings(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str, places: int) -> DataFrame:
+    """The inverted index: (trigram number, bucket, bitmap of the places of the rows that contain it, without regard to A-Z case).
+
+    A row's place is a hash of its id and text, so that ids may be of any type, far apart or repeated. A posting list is cut into
+    bitmaps of 32,768 places, put together in the map tasks, so that what shuffles is a few KB for each trigram and bucket.
     """
-    text = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), base.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    text = docs.select(_place(id_col, text_col, places).alias("p"), base.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     has = F.array_compact(F.array(*(F.when(F.contains("t", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
-    one = text.select("id", F.explode(has).alias("trigram"))
-    return one.groupBy("trigram", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bitmap"))
+    one = text.select("p", F.explode(has).alias("trigram"))
+    return one.groupBy("trigram", F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
 
 
-def candidates(docs: DataFrame, rules, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, a bitmap of candidate ids for each rule that has mandatory trigrams)."""
+def candidates(docs: DataFrame, rules, id_col: str, text_col: str, places: int) -> DataFrame:
+    """(bucket, a bitmap of candidate places for each rule that has mandatory trigrams)."""
     wanted = [(r.kind, i, t) for r in rules for i, branch in enumerate(trigram_query(r.regex)) for t in branch]
     trigrams = sorted({t for _, _, t in wanted})
     need = docs.sparkSession.createDataFrame([(trigrams.index(t), k, i, sum(1 for x in wanted if x[:2] == (k, i))) for k, i, t in wanted], "trigram int, kind string, branch int, need long")
-    hits = postings(docs, trigrams, id_col, text_col).join(F.broadcast(need), "trigram")
+    hits = postings(docs, trigrams, id_col, text_col, places).join(F.broadcast(need), "trigram")
     both = hits.groupBy("kind", "branch", "need", "bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count("*").alias("n")).filter("n = need")
     return both.groupBy("bucket").agg(*(F.bitmap_or_agg(F.when(F.col("kind") == k, F.col("bitmap"))).alias(k) for k in dict.fromkeys(k for k, _, _ in wanted)))
 
@@ -151,23 +159,25 @@ def find_spans(text: Column, rule: Rule, order: int) -> Column:
 def find_secrets(docs: DataFrame, rules=BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and found, the sorted array of (start, ord, end, kind) over the whole text.
 
-    Rules whose regex has mandatory trigrams are verified only on the documents that the intersected
-    postings name; the others (hex) scan every text. A null text is empty; a null id can't be indexed,
-    so its row is always verified; repeated ids share their bits and are verified alike. The candidate
-    bitmaps are broadcast if they fit in base.BROADCAST_BYTES, else joined by a shuffle on the id's bucket.
+    Rules whose regex has mandatory trigrams are verified only on the rows that the intersected
+    postings name, the others (hex) on every text. A null text is empty; ids may be null, strings or
+    repeated; repeated rows share their place and are verified alike. Texts of any length are read whole; a text with
+    very many matches has them in one array. The candidate bitmaps are broadcast if they fit in base.BROADCAST_BYTES, else joined by a shuffle on
+    the place's bucket.
     """
     indexed = [r for r in rules if trigram_query(r.regex) != [frozenset()]]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if indexed:
-        side = base.stash(candidates(docs, indexed, id_col, text_col))
-        rows = rows.join(base.bounded(side, 4200 * len(indexed)), F.bitmap_bucket_number(F.col("id").cast("long")) == F.col("bucket"), "left")
+        places = max(1 << 15, rows.count() * PLACES_A_ROW)
+        side = base.stash(candidates(docs, indexed, id_col, text_col, places))
+        rows = rows.withColumn("place", _place("id", "text", places))
+        rows = rows.join(base.bounded(side, 4200 * len(indexed)), F.bitmap_bucket_number("place") == F.col("bucket"), "left")
     spans = []
     for i, r in enumerate(rules):
         found = find_spans(text, r, i)
         if r in indexed:
-            named = F.col("id").isNull() | base.bit(F.col(r.kind), F.bitmap_bit_position(F.col("id").cast("long")))
-            found = F.when(named, found).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))
+            found = F.when(base.bit(F.col(r.kind), F.bitmap_bit_position("place")), found).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))
         spans.append(found)
     return rows.select(F.col("id").alias(id_col), F.array_sort(F.concat(*spans)).alias("found"))
 

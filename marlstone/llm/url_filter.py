@@ -35,9 +35,10 @@ def grams(url: Column) -> Column:
     """A code for each character: itself and the two symbols before it, in base SIZE."""
     text = F.translate(base.ascii_lower(F.coalesce(url, F.lit(""))), "123456789", "0" * 9)
     code = lambda c: F.when(F.instr(F.lit(SYMBOLS), c) > 0, F.instr(F.lit(SYMBOLS), c)).otherwise(SIZE - 1)
-    one = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), code)
-    step = F.aggregate(one, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array((F.element_at(acc, -1) * SIZE + c) % SIZE**3)))
-    return F.slice(step, F.lit(2), F.greatest(F.size(step) - 1, F.lit(0)))
+    before = lambda a, i, n: F.coalesce(F.get(a, i - n), F.lit(0)) * SIZE**n
+    # the symbols are bound to a lambda's variable, so that they are made once and each code looks back at two of them
+    one = F.array(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), code))
+    return F.flatten(F.transform(one, lambda a: F.transform(a, lambda c, i: c + before(a, i, 1) + before(a, i, 2))))
 
 
 def log_ratios(labelled: DataFrame) -> DataFrame:
@@ -83,9 +84,9 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     The urls that a rule decides are the accepted and rejected examples; both models count all of them
     but a fifth of the hosts (by crc32), which calibrate: the threshold on the length-normalised
     log-likelihood difference lies between the two means there, in proportion to the deviations.
-    Without examples of either kind every score is 0 and the verdict is allow. An empty or null url
-    has host, path '' and verdict block. The models take SIZE^3 doubles whatever the input; scores are
-    computed row by row, so neither a hot host nor a long url meets a shuffle.
+    Without examples of either kind every score is 0 and the verdict is allow. An empty or null url has
+    host and path '' and the score 0, which is held against the threshold as any other. The models take SIZE^3 doubles whatever the input; scores are
+    computed row by row, in time linear in the url, so neither a hot host nor a very long url meets a shuffle. Repeated rows are judged each for itself.
     """
     host, path = split_url(F.col(url_col))
     rule, says = match_rule(F.col("host"), F.col("path"), rules)
@@ -98,7 +99,7 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     between = (F.col("m1") * (F.col("s0") + 1e-9) + F.col("m0") * (F.col("s1") + 1e-9)) / (F.col("s0") + F.col("s1") + 2e-9)
     threshold = base.stash(fit.select(F.coalesce(between, F.lit(0.0)).alias("t"))).scalar()
     scored = rows.withColumn("ratios", ratios).withColumn("score", _mean(grams(F.col("url")), F.col("ratios")))
-    verdict = F.coalesce("says", F.when((F.col("url") != "") & (F.col("score") >= threshold), "allow").otherwise("block"))
+    verdict = F.coalesce("says", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 
 

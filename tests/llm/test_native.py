@@ -176,3 +176,48 @@ def test_shuffled_candidates(docs, monkeypatch):
     want = sorted(map(str, secrets.find_secrets(docs).collect()))
     monkeypatch.setattr(secrets.base, "BROADCAST_BYTES", 0)
     assert sorted(map(str, secrets.find_secrets(docs).collect())) == want
+
+
+def test_exact_dedup_filter_in_parts(docs, monkeypatch):
+    """More rows than one part of the filter serves, and groups that are joined by a shuffle: the same result."""
+    want = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "PART_BITS", 1 << 15)
+    monkeypatch.setattr(exact_dedup.base, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs, bits=3 << 15).collect())) == want
+
+
+@pytest.mark.parametrize("ids", [lambda i: f"x{i}", lambda i: i * 10**12])
+def test_secrets_ids_of_any_kind(spark, ids):
+    """Ids that are strings, or far apart."""
+    texts = ["token=abcdefgh12", "nothing", "AKIA0123456789ABCD", None]
+    df = spark.createDataFrame([(ids(i), t) for i, t in enumerate(texts)], f"k {'string' if isinstance(ids(0), str) else 'long'}, text string")
+    got = {r.k: [tuple(x) for x in r.found] for r in secrets.find_secrets(df, id_col="k").collect()}
+    assert got == {ids(i): brute_spans(t, secrets.BASE_RULES + secrets.MORE_RULES) for i, t in enumerate(texts)}
+
+
+def test_long_urls(spark):
+    """A url of a million characters takes seconds, and its score is that of its parts."""
+    import time
+
+    part = "http://a.example.net/en/"
+    rows = [(i, f"{part}{i}") for i in range(50)] + [(i, f"http://b{i}.net/x") for i in range(50, 100)] + [(100, "http://h.io/" + "ab/" * 333_333), (101, "http://h.io/" + "ab/" * 33), (102, "http://h.io/ab/"), (102, "http://h.io/ab/")]
+    start = time.perf_counter()
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert time.perf_counter() - start < 60 and len(got) == len(rows)
+    score = {r.page_id: r.score for r in got}
+    assert abs(score[100] - score[101]) < abs(score[101] - score[102]) + 1e-9
+
+
+def test_url_threshold(spark):
+    """The threshold lies between the calibration hosts' mean scores, in proportion to their deviations; verdicts follow from it."""
+    from statistics import fmean, pstdev
+    from zlib import crc32
+
+    sf = "/root/testdata/sf0.001"
+    got = url_filter.op3_url_filter(spark, sf).collect()
+    says = dict(url_filter.RULES)
+    of = {v: [r.score for r in got if r.rule and says[r.rule] == v and crc32(r.host.encode()) % 5 == 0] for v in ("allow", "block")}
+    m1, m0, s1, s0 = fmean(of["allow"]), fmean(of["block"]), pstdev(of["allow"]), pstdev(of["block"])
+    t = (m1 * (s0 + 1e-9) + m0 * (s1 + 1e-9)) / (s0 + s1 + 2e-9)
+    near = [r for r in got if abs(r.score - t) < 1e-9]
+    assert not near and {r.page_id: r.verdict for r in got} == {r.page_id: says[r.rule] if r.rule else "allow" if r.score >= t else "block" for r in got}
