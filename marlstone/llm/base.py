@@ -128,14 +128,14 @@ def probe(df: DataFrame, at: Column, maps: DataFrame, out: str) -> DataFrame:
     return found.withColumn(out, bit(F.col(m), F.bitmap_bit_position(p))).drop(p, b, m)
 
 
-def semi_first(rows: DataFrame, side: DataFrame, key: str, row_bytes: int = 64, how: str = "inner") -> DataFrame:
-    """rows joined with side, a stashed table, on a column that both have.
+def semi_first(rows: DataFrame, side: DataFrame, key: str, row_bytes: int = 64, how: str = "inner", size: int | None = None) -> DataFrame:
+    """rows joined with side, a stashed table, on a column that both have. size: the bytes of side, else its rows times row_bytes.
 
     If side doesn't fit in a broadcast, a Bloom filter of its keys, of BLOOM_MOST bits at most, goes first, so that of rows
     without a partner only the filter's few errors shuffle; with how='left' the others pass with nulls.
     """
     n = side.count()
-    if n * row_bytes <= BROADCAST_BYTES:
+    if (n * row_bytes if size is None else size) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(side), key, how)
     bits = min(BLOOM_MOST, 1 << max(16, (n * BLOOM_BITS - 1).bit_length()))
     maps = stash(bitmaps(side.select(place(F.col(key), bits))))

@@ -1,21 +1,21 @@
-"""Benchmark decontamination by winnowed fingerprints, extended to exact windows."""
+"""Benchmark decontamination: winnowed fingerprints of documents and items are joined, and hits are extended to exact windows."""
 
 from __future__ import annotations
 
-from itertools import chain, groupby
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import base
 from . import textbytes as tb
 
 #: Words in a window; a fingerprint covers K of them, and the smallest of each window counts: a shared span of WINDOW words always shares one.
 WINDOW, K = 13, 5
-#: Windows of items that are sent to the executors at once, about 40 bytes each; more items take further passes.
-BLOCK_WINDOWS = 200_000
+#: Bits of the Bloom filter for each fingerprint of the items, and at most (32 MB); with more fingerprints it lets more through to the join, which changes no result.
+FILTER_BITS, FILTER_MOST = 64, 1 << 28
+_WINDOWS = "print long, n int, a long, b long"
 
 
 def winnow(h: np.ndarray) -> np.ndarray:
@@ -28,108 +28,120 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return low
 
 
-class Index:
-    """Windows of a block of items: fingerprints, and exact windows by length."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        data, offsets = tb.buffers(pa.array([t for _, t in items], pa.string()))
-        words = tb.tokenize(data, offsets, tb.ALNUM)
-        self.prints, self.windows, self.n = set(), {}, 0
-        for (name, _), a, b in zip(items, words.first[:-1], words.first[1:], strict=True):
-            if b > a:
-                h = words.hash[a:b]
-                n = min(WINDOW, b - a)
-                if n == WINDOW:
-                    self.prints.update(winnow(h).tolist())
-                of = self.windows.setdefault(int(n), {})
-                for key in zip(tb.rolling(h, n).tolist(), tb.rolling(h, n, 1).tolist(), strict=True):
-                    of.setdefault(key, set()).add(name)
-                    self.n += 1
-        self.prints = np.array(sorted(self.prints), np.uint64)
-        self.first = {n: np.array(sorted({k for k, _ in of}), np.uint64) for n, of in self.windows.items()}
-
-    def hits(self, words: tb.Words):
-        """(start, length, items) of each window that occurs in the documents."""
-        for n, of in self.windows.items():
-            ok = tb.window_starts(words.first, n)
-            if not len(ok):
-                continue
-            if n == WINDOW:
-                low = winnow(words.hash)
-                new = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-                at = np.flatnonzero(np.repeat(_isin(low[new], self.prints), np.diff(np.append(new, len(low)))) & ok)
-                if not len(at):
-                    continue
-            else:
-                at = np.flatnonzero(ok)
-            keys = tb.rolling(words.hash, n)[at]
-            known = _isin(keys, self.first[n])
-            at, keys = at[known], keys[known]
-            if len(at):
-                for i, *key in zip(at.tolist(), keys.tolist(), tb.rolling(words.hash, n, 1)[at].tolist(), strict=True):
-                    if items := of.get(tuple(key)):
-                        yield i, n, items
-
-
-def _isin(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    i = np.searchsorted(known, x)
-    i[i == len(known)] = 0
-    return known[i] == x
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int):
-    """The items, in blocks of at most about so many windows; the driver holds one block at a time."""
-    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator(prefetchPartitions=True)
-    block, n = [], 0
-    for r in rows:
-        block.append(("" if r.i is None else r.i, r.t))
-        n += max(1, len(r.t) // 2)
-        if n >= most:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, list[str]]:
+def _windows(words: tb.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, fingerprint) of every window of n words: the winnowed one of whole windows, the hash of all words of shorter ones."""
+    low = winnow(words.hash) if n == WINDOW else tb.rolling(words.hash, n)
+    at = np.flatnonzero(tb.window_starts(words.first, n))
+    return at, low[at]
+
+
+def _keys(words: tb.Words, n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the windows of n words that start there."""
+    return tuple(tb.rolling(words.hash, n, k)[at].view(np.int64) for k in (0, 1))
+
+
+def _of_items(batches):
+    """The windows of items (item, text)."""
+    for batch in batches:
+        for part, data, offsets in tb.chunks(batch, "text"):
+            words = tb.tokenize(data, offsets, tb.ALNUM)
+            for n in np.unique(np.minimum(words.counts, WINDOW)).tolist():
+                at, prints = _windows(words, n) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                whole = np.minimum(words.counts, WINDOW)[words.doc[at]] == n
+                at, prints = at[whole], prints[whole]
+                a, b = _keys(words, n, at) if n else (at, at)
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(a), pa.array(b), part.column(0).take(pa.array(words.doc[at]))], names=["print", "n", "a", "b", "item"])
+
+
+class Filter:
+    """A Bloom filter of two places for each fingerprint."""
+
+    def __init__(self, prints: DataFrame):
+        """prints: a stashed column of distinct fingerprints. The driver holds the filter, never the fingerprints."""
+        self.bits = min(FILTER_MOST, 1 << max(16, (prints.count() * FILTER_BITS - 1).bit_length()))
+        place = lambda h: (h.bitwiseAND(self.bits - 1) + 1).alias("p")
+        places = prints.select(place(F.col("print"))).unionAll(prints.select(place(F.shiftrightunsigned("print", 32))))
+        self.bytes = np.zeros(self.bits // 8, np.uint8)
+        for r in base.bitmaps(places).collect():
+            self.bytes[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bitmap, np.uint8)
+
+    def __call__(self, prints: np.ndarray) -> np.ndarray:
+        """Which of these may be among the fingerprints."""
+        out = np.ones(len(prints), bool)
+        for p in (prints, prints >> np.uint64(32)):
+            p = (p & np.uint64(self.bits - 1)).astype(np.int64)
+            out &= (self.bytes[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def _of_documents(filter_, lengths: list[int]):
+    """A function that finds the windows of documents (key, text) that the filter lets through; at: the start and the length in the last four bits."""
+
+    def run(batches):
+        for batch in batches:
+            for part, data, offsets in tb.chunks(batch, "text"):
+                words = tb.tokenize(data, offsets, tb.ALNUM)
+                for n in lengths:
+                    at, prints = _windows(words, n)
+                    some = filter_.value(prints)
+                    at, prints = at[some], prints[some]
+                    if len(at):
+                        a, b = _keys(words, n, at)
+                        doc = words.doc[at]
+                        where = (at - words.first[doc]) * 16 + n
+                        yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(a), pa.array(b), part.column(0).take(pa.array(doc)), pa.array(where.astype(np.int64))], names=["print", "n", "a", "b", "key", "at"])
+
+    return run
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str, item_text: str, text_col: str) -> DataFrame:
+    """(key, at array<long>, items array<string>) of the documents that hold a window of an item; key: the digest of the text."""
+    spark = docs.sparkSession
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+    windows = base.stash(base.map_arrow(items, _of_items, f"{_WINDOWS}, item string").distinct())
+    prints = base.stash(windows.select("print").distinct())
+    lengths = sorted(r.n for r in windows.select("n").distinct().collect())  # WINDOW of them at most
+    sent = spark.sparkContext.broadcast(Filter(prints))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.unhex(F.md5(F.col(text_col))).alias("key"), F.col(text_col).alias("text"))
+    found = base.map_arrow(texts, _of_documents(sent, lengths), f"{_WINDOWS}, key binary, at long")
+    found = base.stash(found.groupBy("key", "at").agg(*(F.first(c).alias(c) for c in ("print", "n", "a", "b"))))  # copies of a text are one
+    join = ["print", "n", "a", "b"]
+    one = base.stash(found.join(base.bounded(base.stash(windows.select(*join).distinct()), 64), join))
+    at = one.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    of = one.join(base.bounded(windows, 128), join).select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return base.stash(at.join(of, "key"))
+
+
+def mark(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """docs with four further columns, whose names are returned: n_words, n_hit, items array<string>, spans array<int>.
 
     A window is WINDOW consecutive words of an item, or a whole shorter item; words inside any occurrence
     of one are hit. spans holds the merged hit ranges as start, end, start, end. Null or wordless texts have no words; items
-    without words and null items have no windows; items of null id go by ''; items with the same id are one.
-    Nothing shuffles: each block of items makes one narrow pass that adds to the columns.
+    without words and null items have no windows; items of null id go by ''; items with the same id are one. Repeated rows are marked alike.
+
+    1. Both sides give the winnowed fingerprint of each window; documents give those that a Bloom filter of the items' fingerprints, of a bounded size, lets through.
+    2. They are joined on the fingerprint and, which extends a hit to the whole window, on 128 bits of its words; windows of equal texts are joined once.
+    3. What is found is grouped by document and joined to the rows; documents without hits don't shuffle. A document's hits are held together, and they are at most its words.
     """
-    spark = docs.sparkSession
     names = base.fresh(docs, "n_words", "n_hit", "items", "spans")
-    words_c, hit_c, items_c, spans_c = names
-    out = docs.select("*", F.lit(0).cast("long").alias(words_c), F.array().cast("array<string>").alias(items_c), F.array().cast("array<int>").alias(spans_c))
-    found = blocks(benchmark, id_col, item_text, block_windows)
-    for block in chain([next(found, [])], found):
-        index = spark.sparkContext.broadcast(Index(block))
-        out = base.map_arrow(out, _pass(index, text_col, words_c, items_c, spans_c), out.schema)
-    n_hit = F.when(F.size(spans_c) > 0, F.aggregate(F.transform(spans_c, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x)).otherwise(0)
-    return out.withColumn(hit_c, n_hit.cast("long")), names
-
+    key, at, items = base.fresh(docs, "hit_key", "hit_at", "hit_items")
+    found = hits(docs, benchmark, id_col, item_text, text_col).toDF(key, at, items)
+    held = found.agg(F.sum(F.size(at) * 8 + 96 + F.octet_length(F.array_join(items, ",")))).first()[0] or 0
+    rows = base.semi_first(docs.withColumn(key, F.unhex(F.md5(F.col(text_col)))), found, key, how="left", size=held)
+    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), at, F.coalesce(items, F.array().cast("array<string>")).alias(names[2]))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in zip(names, ("long", "long", "array<string>", "array<int>"), strict=True))])
+    own = len(docs.columns)
 
-def _pass(index, text_col, words_c, items_c, spans_c):
     def run(batches):
         for batch in batches:
             for part, data, offsets in tb.chunks(batch, text_col):
                 words = tb.tokenize(data, offsets, tb.ALNUM)
-                items = part.column(part.schema.get_field_index(items_c)).to_pylist()
-                spans = part.column(part.schema.get_field_index(spans_c)).to_pylist()
-                docs = lambda hit: int(np.searchsorted(words.first, hit[0], "right")) - 1  # noqa: E731, B023
-                for d, hits in groupby(sorted(index.value.hits(words), key=lambda x: x[:2]), docs):
-                    hits, low = list(hits), int(words.first[d])
-                    items[d] = sorted({*items[d], *(x for h in hits for x in h[2])})
-                    old = spans[d]
-                    spans[d] = _merged([*zip(old[::2], old[1::2], strict=True), *((i - low, i - low + n) for i, n, _ in hits)])
-                new = {words_c: pa.array(words.counts, pa.int64()), items_c: pa.array(items, pa.list_(pa.string())), spans_c: pa.array(spans, pa.list_(pa.int32()))}
-                yield pa.RecordBatch.from_arrays([new.get(f.name, part.column(i)) for i, f in enumerate(part.schema)], names=part.schema.names)
+                spans = [_merged([(x >> 4, (x >> 4) + (x & 15)) for x in hit]) if hit else [] for hit in part.column(part.schema.get_field_index(at)).to_pylist()]
+                n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+                new = [pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), part.column(part.schema.get_field_index(names[2])), pa.array(spans, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:own], *new], names=schema.names)
 
-    return run
+    return base.map_arrow(rows, run, schema), names
 
 
 def _merged(spans) -> list[int]:

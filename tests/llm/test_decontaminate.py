@@ -88,19 +88,38 @@ def case():
     return docs + [(120, None), (121, ""), (5, docs[5][1]), (None, items[3][1]), (122, "Solo"), (123, text(30_000) + " " + items[4][1])], items
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 100])
-def test_decontaminate(spark, case, block):
+@pytest.mark.parametrize("broadcast", [decontaminate.base.BROADCAST_BYTES, 0])
+def test_decontaminate(spark, case, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate.base, "BROADCAST_BYTES", broadcast)
     docs, items = case
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, n_words int, spans string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    marked, (n_words, n_hit, found, _) = decontaminate.mark(df, bench, block_windows=block)
+    marked, (n_words, n_hit, found, _) = decontaminate.mark(df, bench)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r[n_words], r[n_hit], len(r[found]), hashlib.sha256(",".join(sorted(r[found])).encode()).hexdigest()) for r in marked.collect())
     assert got == sorted((d if d is not None else -1, *x) for d, *x, _ in brute(docs, items))
-    kept = decontaminate.drop_contaminated(df, bench, block_windows=block)
+    kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns
     assert kept.count() == sum(not x[-1] for x in brute(docs, items))
 
 
+def test_full_filter(spark, case, monkeypatch):
+    """A filter that lets everything through, as one of too few bits would, changes no result."""
+    docs, items = case
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate.Filter, "__call__", lambda self, prints: np.ones(len(prints), bool))
+    marked, (_, n_hit, *_) = decontaminate.mark(df, bench)
+    assert sorted(r[n_hit] for r in marked.collect()) == sorted(x[2] for x in brute(docs, items))
+
+
+def test_words_of_one_polynomial(spark):
+    """The words of 1,024 letters that follow the Thue-Morse sequence and its complement are not the same."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+    df, bench = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), spark.createDataFrame([(1, a)], "item_id long, text string")
+    marked, (_, n_hit, *_) = decontaminate.mark(df, bench)
+    assert {r.doc_id: r[n_hit] for r in marked.collect()} == {1: 1, 2: 0}
+
+
 def test_winnow_guarantee():
     r = np.random.default_rng(1)
     h = r.integers(0, 1 << 63, 400).astype(np.uint64)
