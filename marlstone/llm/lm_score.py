@@ -29,21 +29,47 @@ def hashes(words: tb.Words) -> dict[str, np.ndarray]:
     return dict(zip(KINDS, (words.hash, before, tb.mix(before * np.uint64(0x9E3779B97F4A7C15) + words.hash)), strict=True))
 
 
-def _blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """For each block of docs (any columns, text, target) its rows as compressed Arrow data, in the column hashes of the kind documents; and the hashes and counts of its distinct words, contexts and pairs, cut by the hash into parts."""
-    schema = "block long, kind string, part int, hashes binary, counts binary"
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(block, rows): docs (any columns, text, target) in blocks of BLOCK_BYTES of text, each as compressed Arrow data."""
+
+    def run(batches):
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out():
+            nonlocal block, held, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                for part in held:
+                    to.write_batch(part)
+            block, held, size = block + 1, [], 0
+            return pa.RecordBatch.from_pydict({"block": pa.array([block - 1]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+        for batch in batches:
+            for part, data, _ in tb.chunks(batch, "text", BLOCK_BYTES, 1 << 20):
+                held.append(part)
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield out()
+        if held:
+            yield out()
+
+    return base.map_arrow(docs, run, "block long, rows binary")
+
+
+def _read_block(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all().combine_chunks()
+
+
+def _distinct(parts: int):
+    """A function that gives the hashes and counts (target, all) of each block's distinct words, contexts and pairs, cut by the hash into parts."""
     edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
     def run(batches):
-        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part, data, offsets in tb.chunks(batch, "text", BLOCK_BYTES, 1 << 20):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block]), "kind": pa.array(["documents"]), "part": pa.array([0], pa.int32()), "hashes": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "counts": pa.nulls(1, pa.binary())})
-                words = tb.tokenize(data, offsets, tb.ALNUM)
-                good = np.repeat(part.column(part.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool), words.counts)
+            for block, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = _read_block(rows)
+                words = tb.tokenize(*tb.buffers(rows["text"]), tb.ALNUM)
+                good = np.repeat(rows["target"].to_numpy().astype(bool), words.counts)
                 for kind, h in hashes(words).items():
                     each, at = np.unique(h, return_inverse=True)
                     counts = np.stack([np.bincount(at[good], minlength=len(each)), np.bincount(at, minlength=len(each))]).astype(np.int64)
@@ -53,9 +79,8 @@ def _blocks(docs: DataFrame, parts: int) -> DataFrame:
                         "block": pa.array(np.full(len(some), block, np.int64)), "kind": pa.array([kind] * len(some), pa.string()), "part": pa.array(some.astype(np.int32)),
                         "hashes": pa.array([_pack_hashes(each[cut[i] : cut[i + 1]]) for i in some], pa.binary()), "counts": pa.array([_pack(counts[:, cut[i] : cut[i + 1]]) for i in some], pa.binary()),
                     })
-                block += 1
 
-    return base.map_arrow(docs, run, schema)
+    return run
 
 
 def _pack_hashes(h: np.ndarray) -> bytes:
@@ -84,6 +109,8 @@ def _add(key, table):
     for i, c in enumerate(counts):
         total[:, at[cut[i] : cut[i + 1]]] += _unpack(c)  # hashes are distinct within a block
     answers = [_pack(total[:, at[cut[i] : cut[i + 1]]]) for i in range(len(blocks))]
+    answers.append(_pack(total.sum(1, keepdims=True)))  # block -1: how many words the part counts
+    blocks.append(-1)
     return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([key[0].as_py()] * len(blocks), pa.string()), "part": pa.array([key[1].as_py()] * len(blocks), pa.int32()), "counts": pa.array(answers, pa.binary())})
 
 
@@ -106,9 +133,9 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     The lower the score, the more a document is like the target documents, those whose id is in target_ids; the background is all
     documents. Cross-entropies are means over the words; a document without words has none: null. With no target documents both
     models are alike but for the scale: its counts are empty and its losses those of the uniform model.
-    The table of counts grows with the corpus and is nowhere whole: each block of documents hands its distinct words and pairs on, cut by the hash
+    The table of counts grows with the corpus and is nowhere whole: documents are written in blocks, each of which hands its distinct words and pairs on, cut by the hash
     into parts; a part adds up its counts and answers the blocks, which come together with their documents by a shuffle. No task holds
-    more than a block or a part. The ids are broadcast if they fit, else joined by a shuffle.
+    more than a block or a part, so a very long text is a block of its own. Rows that are repeated count as often as they are there; repeated or null target ids count once or not at all. The ids are broadcast if they fit, else joined by a shuffle.
     """
     ids = base.stash(target_ids.select(F.col(target_ids.columns[0]).alias("id")).filter("id is not null").distinct())
     names = base.fresh(docs, "n_tokens", "ce_target", "ce_background", "score")
@@ -116,10 +143,10 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     rows = rows.join(base.bounded(ids.withColumn("target", F.lit(True)), 32), "id", "left")
     others = F.struct(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col)).alias("row") if len(docs.columns) > 1 else F.lit(0).alias("row")
     rows = rows.select(others, "text", F.coalesce("target", F.lit(False)).alias("target"))
-    blocks = base.stash(_blocks(rows, base.input_bytes(docs) // PART_BYTES + 8))
-    asked = blocks.filter("kind <> 'documents'")
+    blocks = base.stash(_blocks(rows))
+    asked = base.map_arrow(blocks, _distinct(base.input_bytes(docs) // PART_BYTES + 8), "block long, kind string, part int, hashes binary, counts binary")
     answers = base.stash(asked.groupBy("kind", "part").applyInArrow(_add, "block long, kind string, part int, counts binary"))
-    sums = base.map_arrow(asked.filter("kind = 'word'").select("counts"), _sums, "target long, every long")
+    sums = base.map_arrow(answers.filter("kind = 'word' and block < 0").select("counts"), _sums, "target long, every long")
     n = np.array(sums.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first(), np.int64)
     new = [T.StructField(names[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names[1:])]
 
@@ -127,7 +154,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
         found: dict = {}
         for kind, _, c in sorted(zip(*(answers[k].to_pylist() for k in ("kind", "part", "counts")), strict=True), key=lambda x: x[:2]):
             found.setdefault(kind, []).append(_unpack(c))
-        texts = pa.ipc.open_stream(texts["hashes"][0].as_py()).read_all()
+        texts = _read_block(texts["rows"][0].as_py())
         words = tb.tokenize(*tb.buffers(texts["text"]), tb.ALNUM)
         size = words.counts
         counts = {kind: np.concatenate(found[kind], 1)[:, np.unique(h, return_inverse=True)[1]] if len(h) else np.zeros((2, 0)) for kind, h in hashes(words).items()}
@@ -136,10 +163,10 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
         columns = [pa.array(size.astype(np.int64)), *(pa.array(x, mask=size == 0) for x in (*ce, ce[0] - ce[1]))]
         return pa.table([texts["row"], texts["text"], *columns], names=["row", "text", *names])
 
-    texts = blocks.filter("kind = 'documents'").select("block", "hashes").groupBy("block")
+    texts = blocks.groupBy("block")
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name in ("row", "text")), *new])
     base.ship(docs.sparkSession)
-    scored = texts.cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    scored = texts.cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(run, schema)
     kept = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return scored.select(*kept, *names), names
 

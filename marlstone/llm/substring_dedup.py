@@ -259,10 +259,9 @@ def _shuffle(rows: DataFrame, make, buckets: int, wide: bool) -> DataFrame:
     return base.map_arrow(base.map_arrow(dealt, find, _FOUND).repartitionById(buckets, F.col("bucket")), gather, _RUNS)
 
 
-def _fitting(runs: DataFrame) -> DataFrame:
-    """runs, broadcast if they fit."""
-    held = runs.agg(F.coalesce(F.sum(F.octet_length("runs") + 32), F.lit(0)).alias("n")).first().n
-    return F.broadcast(runs) if held <= base.BROADCAST_BYTES else runs
+def _held(runs: DataFrame) -> int:
+    """Bytes of runs."""
+    return runs.agg(F.coalesce(F.sum(F.octet_length("runs") + 32), F.lit(0)).alias("n")).first().n
 
 
 def repeats(docs: DataFrame, text_col: str, rid) -> DataFrame:
@@ -270,7 +269,7 @@ def repeats(docs: DataFrame, text_col: str, rid) -> DataFrame:
     rows = docs.select(rid.alias("rid"), F.col(text_col).alias("text"))
     buckets = base.partitions(docs, BYTES_A_PARTITION)
     hits = base.stash(_shuffle(rows, _anchors, buckets, False))
-    return base.stash(_shuffle(rows.join(_fitting(hits), "rid"), _windows, buckets, True))
+    return base.stash(_shuffle(base.semi_first(rows, hits, "rid", size=_held(hits)), _windows, buckets, True))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -282,11 +281,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are then compared whole, by 80 bits of two hashes besides the bucket, and what they cover are the maximal repeats. Both shuffles
     carry hashes only, in as many buckets as the input asks for; a key that repeats within a chunk of text is settled there and sent once.
     Null and empty texts have no words. Rows that are repeated count as often as they are there. Positions find their row again by a 64-bit
-    hash of id and text. Positions and runs are broadcast if they fit base.BROADCAST_BYTES, else both sides shuffle.
+    hash of id and text. Positions and runs are broadcast if they fit base.BROADCAST_BYTES; beyond, a Bloom filter of their rows goes first, so that of the texts only those with hits shuffle.
     """
-    rid = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rid = base.row_key(F.col(id_col), F.col(text_col))
     runs = repeats(docs, text_col, rid)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rid.alias("rid")).join(_fitting(runs), "rid", "left").select("id", "text", "runs")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rid.alias("rid"))
+    rows = base.semi_first(rows, runs, "rid", how="left", size=_held(runs)).select("id", "text", "runs")
 
     def cut(batches):
         for batch in batches:

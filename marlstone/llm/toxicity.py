@@ -20,10 +20,8 @@ EXAMPLES = 3000
 NEIGHBOURS = 15
 #: Terms: words, and the first 4, 5 and 6 bytes of longer words.
 PREFIXES = (4, 5, 6)
-#: A term of more than 1 / FREQUENT of the examples is a row of the matrix; queries that are multiplied with it together; counts in a block.
-FREQUENT, TOGETHER, COUNTS = 8, 128, 1 << 15
-#: Word hashes by which copies among the examples are told.
-SKETCH = 3
+#: A term of more than 1 / FREQUENT of the examples stands in blocks of BLOCK examples, each with its largest weight; blocks that are read before the others' bounds are held against what they hold; term counts that are sent together.
+FREQUENT, BLOCK, FIRST, COUNTS = 8, 8, 12, 1 << 15
 #: score at which a document is predicted toxic.
 THRESHOLD = 0.3
 
@@ -45,20 +43,6 @@ def _in_parts(rows: list[tuple[str, int]], size: int = 200):
         yield i, *_terms(*tb.buffers(pa.array([t for t, _ in rows[i : i + size]], pa.string())))
 
 
-def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The first of the rows whose label and whose smallest SKETCH word hashes are the same: a group of copies isn't evidence for its words."""
-    seen, out = set(), []
-    for i in range(0, len(rows), 200):
-        part = rows[i : i + 200]
-        words = tb.tokenize(*tb.buffers(pa.array([t for t, _ in part], pa.string())), tb.ALNUM)
-        for row, a, b in zip(part, words.first[:-1], words.first[1:], strict=True):
-            key = (row[1], np.unique(words.hash[a:b])[:SKETCH].tobytes())
-            if key not in seen:
-                seen.add(key)
-                out.append(row)
-    return out
-
-
 def _frequencies(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
     """All terms, and in how many rows each stands; added up part by part."""
     terms, df, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
@@ -78,12 +62,15 @@ def _frequencies(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Examples as unit TF-IDF vectors over all their terms. Frequent terms are rows of a matrix, the others have postings."""
+    """A block-max inverted index of examples, unit TF-IDF vectors over all their terms.
+
+    A frequent term's postings are cut into blocks of BLOCK neighbouring examples, each with the largest weight in it; alike examples stand together.
+    A rare term has plain postings, which are no more than its blocks would be.
+    """
 
     def __init__(self, rows: list[tuple[str, int]], total: tuple[int, int] | None = None, documents: Callable | None = None):
         """total: how many labelled rows there are of each label, which the prior follows; documents: from terms to the number of documents and of those with each term, which the idf follows. Else those given."""
         total = total or tuple(np.bincount(np.array([t for _, t in rows], np.int64), minlength=2))
-        rows = _without_copies(rows)
         y = np.array([t for _, t in rows], np.int64)
         n = np.bincount(y, minlength=2)
         self.weight = np.array([total[0] / max(1, n[0]), total[1] / max(1, n[1])])
@@ -96,10 +83,14 @@ class Index:
         doc, at, count = (np.concatenate(x) for x in zip(*found, strict=True))
         del found
         some = np.unique(doc)
-        self.labels = y[some]
+        cut = np.append(np.searchsorted(doc, some), len(doc))
+        order = self._order(at, cut)
+        self.labels = y[some][order]
         blank = np.delete(y, some)
         self.prior = float((self.weight[1] * (blank == 1).sum() + 0.5) / (self.weight[blank].sum() + 10))
-        self._build(at, count, np.append(np.searchsorted(doc, some), len(doc)))
+        size = np.diff(cut)[order]
+        where = np.repeat(cut[:-1][order] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self._build(at[where], count[where], np.append(0, np.cumsum(size)))
         self.grid = np.linspace(0, 1, 21)
         self.calibrated = self.grid
         self._calibrate()
@@ -119,13 +110,29 @@ class Index:
         often = np.flatnonzero(self.size > max(8, n // FREQUENT))
         self.row = np.full(len(self.terms), -1, np.int32)
         self.row[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), n))
-        dense = self.row[at] >= 0
-        self.matrix[self.row[at[dense]], self.doc[dense]] = self.w[dense]
+        dense, blocks = self.row[at] >= 0, -(-n // BLOCK)
+        self.blocks = np.zeros((blocks, len(often), BLOCK))
+        self.blocks[self.doc[dense] // BLOCK, self.row[at[dense]], self.doc[dense] % BLOCK] = self.w[dense]
+        self.bounds = np.ascontiguousarray(self.blocks.max(2).T)
+
+    def _order(self, at: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Examples by their frequent terms, alike ones next to each other: by the signs of the two main axes, then along the third."""
+        n = len(cut) - 1
+        often = np.flatnonzero(np.bincount(at, minlength=len(self.terms)) > max(8, n // FREQUENT))
+        if n < 3 or len(often) < 3:
+            return np.arange(n)
+        row = np.full(len(self.terms), -1, np.int32)
+        row[often] = np.arange(len(often))
+        has = np.zeros((n, len(often)), np.float32)
+        doc, r = np.repeat(np.arange(n), np.diff(cut)), row[at]
+        has[doc[r >= 0], r[r >= 0]] = 1
+        has -= has.mean(0)
+        axes = has @ np.linalg.eigh(has.T @ has)[1][:, -3:]
+        return np.lexsort((axes[:, 0], axes[:, 1] > 0, axes[:, 2] > 0))
 
     def __getstate__(self):
         """What executors can't make anew from the counts."""
-        return {k: x for k, x in vars(self).items() if k not in ("own", "doc", "w", "first", "size", "row", "matrix")}
+        return {k: x for k, x in vars(self).items() if k not in ("own", "doc", "w", "first", "size", "row", "blocks", "bounds")}
 
     def __setstate__(self, state):
         vars(self).update(state)
@@ -146,30 +153,37 @@ class Index:
             yield at[a:b], w[a:b] / np.sqrt((w[a:b] ** 2).sum()) if b > a else w[a:b]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine above 0, largest first, ties by number: exact."""
-        return self.all_nearest([(at, w)], k, [without])[0]
-
-    def all_nearest(self, queries: list, k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """nearest() of each of the queries."""
-        out = []
-        for low in range(0, len(queries), TOGETHER):
-            part = queries[low : low + TOGETHER]
-            dense = np.zeros((len(part), len(self.matrix)))
-            for i, (at, w) in enumerate(part):
-                r = self.row[at]
-                dense[i, r[r >= 0]] = w[r >= 0]
-            for i, ((at, w), scores) in enumerate(zip(part, dense @ self.matrix, strict=True)):
-                rare = self.row[at] < 0
-                begin, n = self.first[at[rare]], self.size[at[rare]]
-                where = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-                scores = np.round(scores + np.bincount(self.doc[where], self.w[where] * np.repeat(w[rare], n), len(scores)), 12)
-                if without is not None and without[low + i] >= 0:
-                    scores[without[low + i]] = 0
-                least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-                found = np.flatnonzero((scores > 0) & (scores >= least))
-                found = found[np.argsort(-scores[found], kind="stable")][:k]
-                out.append(list(zip(scores[found].tolist(), found.tolist(), strict=True)))
-        return out
+        """The k examples of the largest cosine above 0, largest first, ties by number: exact.
+
+        The rare terms' postings and the largest weights of the frequent terms' blocks bound what a block of examples can reach. The blocks of the largest
+        bounds are read first; then those whose bound reaches the k-th cosine found so far. The postings of the others are not read.
+        """
+        r = self.row[at]
+        rare, often = r < 0, r >= 0
+        begin, n = self.first[at[rare]], self.size[at[rare]]
+        where = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        part = np.bincount(self.doc[where], self.w[where] * np.repeat(w[rare], n), len(self.blocks) * BLOCK).reshape(-1, BLOCK)
+        rows, w = r[often], w[often]
+        bound = part.max(1) + w @ self.bounds[rows]
+
+        def read(blocks):
+            found = np.round(part[blocks] + w @ self.blocks[blocks[:, None], rows], 12)
+            found[blocks[:, None] * BLOCK + np.arange(BLOCK) == without] = 0
+            return found
+
+        if not len(bound):
+            return []
+        first = np.argpartition(bound, -FIRST)[-FIRST:] if len(bound) > FIRST else np.arange(len(bound))
+        scores = read(first)
+        least = np.partition(scores.ravel(), -k)[-k] if scores.size >= k else 0.0
+        bound[first] = -1
+        more = np.flatnonzero(bound >= max(least - 1e-9, 1e-300))
+        blocks, scores = np.append(first, more), np.concatenate((scores, read(more))).ravel()
+        number = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        some = scores >= least if least > 0 else scores > 0
+        scores, number = scores[some], number[some]
+        order = np.lexsort((number, -scores))[:k]
+        return list(zip(scores[order].tolist(), number[order].tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of the toxic votes; a vote weighs the cosine and what its label stands for, beside half a vote of the prior."""
@@ -181,13 +195,10 @@ class Index:
         """Isotonic fit of the examples' labels to the votes that the others cast. An example's vector is then over the terms of the others, as that of any text."""
         terms, values, cut = self.own
         votes, shared = np.zeros(len(self.labels)), self.size > 1
-        for low in range(0, len(votes), TOGETHER):
-            queries, own = [], list(range(low, min(low + TOGETHER, len(votes))))
-            for i in own:
-                at, w = terms[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
-                at, w = at[shared[at]], w[shared[at]]
-                queries.append((at, w / np.sqrt((w**2).sum()) if len(at) else w))
-            votes[own] = [self.vote(found) for found in self.all_nearest(queries, without=own)]
+        for i in range(len(votes)):
+            at, w = terms[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
+            at, w = at[shared[at]], w[shared[at]]
+            votes[i] = self.vote(self.nearest(at, w / np.sqrt((w**2).sum()) if len(at) else w, without=i))
         del self.own
         if len(votes):
             order = np.argsort(votes, kind="stable")
@@ -201,7 +212,7 @@ class Index:
 
     def scores(self, queries: list) -> list[tuple[float, list[tuple[float, int]]]]:
         """Calibrated score and the neighbours of each query. No term: the prior of examples without terms."""
-        return [(float(np.interp(self.vote(found), self.grid, self.calibrated)) if found else self.prior, found) for found in self.all_nearest(queries)]
+        return [(float(np.interp(self.vote(found), self.grid, self.calibrated)) if found else self.prior, found) for found in (self.nearest(at, w) for at, w in queries)]
 
 
 def _counts(terms: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
