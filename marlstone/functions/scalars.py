@@ -159,10 +159,10 @@ def money(initial: float, total_return: Column) -> tuple[Column, Column]:
     return F.lit(initial) * (1 + total_return), F.lit(initial) * total_return
 
 
-def squash(c: Column, long_at: float = 0.6, short_at: float = -0.6) -> Column:
-    """Struct (score in -1..1, action, confidence) of a raw signal."""
-    s = F.tanh(c)
-    return F.struct(s.alias("score"), F.when(s >= long_at, "long").when(s <= short_at, "short").otherwise("neutral").alias("action"), F.abs(s).alias("confidence"))
+def squash(c: Column, long_above: float = 0.33, short_below: float = -0.33, gain: float = 5.0) -> Column:
+    """Struct (score in -1..1, action, confidence) of a raw signal: tanh of gain times it; a score at a threshold is neutral."""
+    s = F.tanh(c * gain)
+    return F.struct(s.alias("score"), F.when(s > long_above, "long").when(s < short_below, "short").otherwise("neutral").alias("action"), F.abs(s).alias("confidence"))
 
 
 def regime_direction(pc1: Column, direction: Column, extreme: float = 2.0) -> Column:
@@ -176,3 +176,18 @@ def half_even(c: Column, digits: int) -> Column:
 
 def json_key_exists(c: Column, path: str) -> Column:
     return F.get_json_object(c, path).isNotNull()
+
+
+def arxiv_id(c: Column) -> Column:
+    """The identifier of an abstract's or PDF's url or of a bare id, without its version; null if there is none."""
+    return F.nullif(F.regexp_extract(c, r"(?:^|/)(\d{4}\.\d{4,5})(?:v\d+)?(?:\.pdf)?$", 1), F.lit(""))
+
+
+def arxiv_version(c: Column) -> Column:
+    """The number behind 'v' of a versioned identifier; null if it has none."""
+    return F.nullif(F.regexp_extract(c, r"\d{4}\.\d{4,5}v(\d+)", 1), F.lit("")).cast("int")
+
+
+def url_suffix(c: Column, ending: str) -> Column:
+    """The first url in a text that ends so."""
+    return F.nullif(F.regexp_extract(c, r"(https?://\S+" + ending.replace(".", "[.]") + ")", 1), F.lit(""))

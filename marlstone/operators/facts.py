@@ -1,133 +1,43 @@
-"""Metric facts: adapters from payloads to rows, claim evaluation, gates over nested documents, paper selection."""
+"""Selection and gates over research records: facts by feed and metric, candidate gates, paper selection, coverage, forecasts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .relational import unpivot_facts
-from .timeseries import early_and_recent, share_increasing
-
-FACT_COLUMNS = ("metric_id", "period", "period_granularity", "value", "unit", "fact_class", "entity", "qualifier", "source_url", "dimensions")
-
-#: name -> function of a payload's records to fact rows.
-ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-
-def adapter(name: str):
-    def put(f):
-        ADAPTERS[name] = f
-        return f
-
-    return put
-
-
-def as_facts(df: DataFrame, **given: str | Column) -> DataFrame:
-    """Rows with all fact columns; those that df lacks are null or as given. Rows without a value go; nothing is derived or filled in."""
-    cols = []
-    for c in FACT_COLUMNS:
-        x = given.get(c, F.col(c) if c in df.columns else F.lit(None))
-        kind = {"value": "double", "dimensions": "map<string,string>"}.get(c, "string")
-        cols.append((F.lit(x) if isinstance(x, str) else x).cast(kind).alias(c))
-    return df.select(*cols).filter("value IS NOT NULL")
-
-
-def wide_adapter(name: str, metrics: dict[str, str], period: str, granularity: str, fact_class: str = "reported", entity: str | None = None, qualifier: str | None = None):
-    """An adapter that unpivots numeric columns (name -> unit) of records."""
-
-    def run(df: DataFrame) -> DataFrame:
-        units = F.create_map(*(F.lit(x) for kv in metrics.items() for x in kv))
-        have = [m for m in metrics if m in df.columns]
-        rows = unpivot_facts(df, [period, *([entity] if entity else []), *([qualifier] if qualifier else [])], have)
-        return as_facts(rows, period=F.col(period), period_granularity=granularity, unit=units[F.col("metric_id")], fact_class=fact_class, **({"entity": F.col(entity)} if entity else {}), **({"qualifier": F.col(qualifier)} if qualifier else {}))
-
-    ADAPTERS[name] = run
-    return run
-
-
-wide_adapter("bls_productivity", {"percent_change": "percent", "index": "index"}, "year", "year", "official")
-wide_adapter("ai_infrastructure_capex", {"capex": "USD"}, "period", "quarter", entity="company")
-wide_adapter("ai_consumer_metrics", {"weekly_users": "users", "monthly_users": "users", "subscribers": "users"}, "date", "day", entity="product")
-wide_adapter("bitcoin_treasury_snapshots", {"btc_held": "BTC", "entity_count": "count"}, "date", "day", entity="category")
-wide_adapter("bitcoin_derivatives_daily", {"open_interest": "USD", "volume": "USD", "funding_rate": "rate"}, "date", "day", entity="venue")
-wide_adapter("tokenized_assets_issuer", {"market_cap": "USD", "holders": "count"}, "date", "day", entity="issuer", qualifier="asset_class")
-wide_adapter("defi_daily", {"aave_event_count": "count", "aave_liquidation_count": "count", "uniswap_swap_count": "count"}, "date", "day", "observed")
-wide_adapter("robotics_deployments", {"deployed_units": "units"}, "period", "year", entity="company", qualifier="status")
-wide_adapter("space_launches_monthly", {"launch_count": "count"}, "month", "month", "observed")
-wide_adapter("ark_etf_holdings_latest", {"shares": "shares", "market_value": "USD", "weight": "percent"}, "date", "day", entity="ticker", qualifier="fund")
-
-
-@adapter("nuclear_capacity")
-def nuclear_capacity(df: DataFrame) -> DataFrame:
-    """Nested status objects (status -> capacity and units) as rows."""
-    rows = df.select("period", F.explode("statuses").alias("qualifier", "s"))
-    one = F.explode(F.array(F.struct(F.lit("capacity").alias("m"), F.col("s.capacity_gw").cast("double").alias("v"), F.lit("GW").alias("u")), F.struct(F.lit("reactors").alias("m"), F.col("s.reactors").cast("double").alias("v"), F.lit("count").alias("u"))))
-    rows = rows.select("period", "qualifier", one.alias("x"))
-    return as_facts(rows, metric_id=F.col("x.m"), value=F.col("x.v"), unit=F.col("x.u"), period_granularity="year", fact_class="official")
-
-
-@adapter("autonomous_vehicles_summary")
-def autonomous_vehicles(df: DataFrame) -> DataFrame:
-    """Operators with arrays of metrics as rows."""
-    rows = df.select("operator", F.explode("metrics").alias("m"))
-    return as_facts(rows, metric_id=F.col("m.name"), period=F.col("m.period"), value=F.col("m.value"), unit=F.col("m.unit"), entity=F.col("operator"), period_granularity="day", fact_class="reported")
-
-
-@adapter("autonomous_logistics_events")
-def logistics_events(df: DataFrame) -> DataFrame:
-    """Event records with a value; the record's other keys stay as dimensions."""
-    return as_facts(df, metric_id=F.col("event_type"), period=F.col("date"), entity=F.col("operator"), period_granularity="day", fact_class="reported", dimensions=F.create_map(F.lit("region"), F.col("region")))
-
-
-def apply_adapter(name: str, df: DataFrame) -> DataFrame:
-    if name not in ADAPTERS:
-        raise KeyError(f"no adapter {name}")
-    return ADAPTERS[name](df)
-
-
-def projection(facts: dict[str, DataFrame]) -> DataFrame:
-    """All feeds' facts with the feed's name."""
-    return reduce(DataFrame.unionByName, (df.withColumn("feed_id", F.lit(n)) for n, df in facts.items()))
 
 
 def select_facts(facts: DataFrame, feeds: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     return facts.filter(F.col("feed_id").isin(list(feeds)) & F.col("metric_id").isin(list(metrics)))
 
 
-def evaluate_claim(rule: str, facts: DataFrame, **p) -> DataFrame:
-    """(claim_class, figure): supported, contradicted, mixed or insufficient, by a named rule over a claim's facts."""
-    if rule == "entity_trend":
-        out = share_increasing(facts, ["entity"], "period", "value", p.get("least", 0.6))
-        return out.select(F.when(F.col("entities") == 0, "insufficient").when(F.col("holds"), "supported").otherwise("contradicted").alias("claim_class"), F.round("share", 4).alias("figure"))
-    if rule == "early_recent":
-        out = early_and_recent(facts.withColumn("__k", F.lit(1)), ["__k"], "period", "value", p.get("most", 7))
-        change = S.try_ratio(F.col("recent_mean") - F.col("early_mean"), F.abs("early_mean"))
-        return out.select(F.when(F.col("early_mean").isNull(), "insufficient").when(F.col("recent_mean") > F.col("early_mean"), "supported").otherwise("contradicted").alias("claim_class"), F.round(change, 4).alias("figure"))
-    if rule in ("latest_above", "latest_below"):
-        last, edge = F.max_by("value", "period"), F.lit(float(p["threshold"]))
-        ok = last >= edge if rule == "latest_above" else last <= edge
-        return facts.agg(F.when(last.isNull(), "insufficient").when(ok, "supported").otherwise("contradicted").alias("claim_class"), F.round(last, 4).alias("figure"))
-    if rule == "share_positive":
-        share = F.avg((F.col("value") > 0).cast("double"))
-        return facts.agg(F.when(share.isNull(), "insufficient").when(share >= p.get("high", 0.6), "supported").when(share <= p.get("low", 0.4), "contradicted").otherwise("mixed").alias("claim_class"), F.round(share, 4).alias("figure"))
-    if rule == "any_evidence":
-        return facts.agg(F.when(F.count("*") > 0, "supported").otherwise("insufficient").alias("claim_class"), F.count("*").cast("double").alias("figure"))
-    raise KeyError(f"no rule {rule}")
-
-
 def three_valued(*values: Column) -> Column:
     """unknown if any is null, pass if all are above 0, else fail."""
     return F.when(reduce(lambda a, b: a | b, (v.isNull() for v in values)), "unknown").when(reduce(lambda a, b: a & b, (v > 0 for v in values)), "pass").otherwise("fail")
 
 
-def candidate_gates(df: DataFrame, growth: Sequence[str], value: Sequence[str], signals: str, least_signals: int = 2) -> DataFrame:
-    kinds = F.size(F.array_distinct(F.transform(signals, lambda s: s["type"])))
-    pressure = F.when(F.col(signals).isNull(), "unknown").when(kinds >= least_signals, "pass").otherwise("fail")
-    return df.withColumns({"growth_gate": three_valued(*map(F.col, growth)), "value_gate": three_valued(*map(F.col, value)), "pressure_gate": pressure})
+GROWTH = ("revenue_yoy", "operating_income_yoy", "net_income_yoy", "operating_cf_yoy")
+#: Margin of a weak case: price to earnings at most, yield of the free cash flow and net cash at least.
+MOST_PER, LEAST_FCF_YIELD, LEAST_NET_CASH = 10.0, 0.03, 0.0
+
+
+def candidate_gates(df: DataFrame, growth: Sequence[str] = GROWTH, signals: str = "pressure_signals", events: str = "negative_fundamental_events", least_signals: int = 2) -> DataFrame:
+    """underlying_reality, price_pressure_mechanism, weak_case_margin (pass, fail or unknown) and eligible_for_decision_snapshot.
+
+    signals: array of structs with a type; events: array of negative fundamental events; null arrays are empty. Also read: per, fcf_yield, net_cash_ratio.
+    Pressure passes with enough different types and no negative event, and is unknown without signals.
+    """
+    kinds = F.coalesce(F.size(F.array_distinct(F.transform(signals, lambda s: s["type"]))), F.lit(0))
+    n, bad = F.coalesce(F.size(signals), F.lit(0)), F.coalesce(F.size(events), F.lit(0))
+    pressure = F.when((kinds >= least_signals) & (bad <= 0), "pass").when(n <= 0, "unknown").otherwise("fail")
+    per, fcf, cash = F.col("per"), F.col("fcf_yield"), F.col("net_cash_ratio")
+    margin = F.when(per.isNull() | fcf.isNull() | cash.isNull(), "unknown").when((per <= MOST_PER) & (fcf >= LEAST_FCF_YIELD) & (cash >= LEAST_NET_CASH), "pass").otherwise("fail")
+    df = df.withColumns({"underlying_reality": three_valued(*map(F.col, growth)), "price_pressure_mechanism": pressure, "weak_case_margin": margin})
+    return df.withColumn("eligible_for_decision_snapshot", (F.col("underlying_reality") == "pass") & (F.col("price_pressure_mechanism") == "pass") & (F.col("weak_case_margin") == "pass"))
 
 
 def entry_blockers(df: DataFrame, gates: str = "gates") -> DataFrame:
@@ -150,19 +60,40 @@ def top(df: DataFrame, score: Column, ties: Sequence[str], k: int = 10, absolute
     return df.orderBy((F.abs(score) if absolute else score).desc(), *ties).limit(k)
 
 
-def select_papers(df: DataFrame, strong: Sequence[str], weak: Sequence[str], excluded: Sequence[str], title: str = "title", abstract: str = "abstract") -> DataFrame:
-    """decision SELECT, REVIEW or REJECT with a score of 3 for each strong and 1 for each weak term, in a total order."""
-    text = F.concat_ws(" ", title, abstract)
-    df = df.withColumns({"strong_terms": S.matched_terms(text, list(strong)), "weak_terms": S.matched_terms(text, list(weak)), "excluded_terms": S.matched_terms(text, list(excluded))})
-    score = 3 * F.size("strong_terms") + F.size("weak_terms") - 3 * F.size("excluded_terms")
-    no = F.col(abstract).isNull() | (F.col(abstract) == "") | (F.size("excluded_terms") > 0)
-    decision = F.when(no, "REJECT").when((F.size("strong_terms") > 0) & (F.size("weak_terms") > 0), "SELECT").when((F.size("strong_terms") > 0) | (F.size("weak_terms") > 1), "REVIEW").otherwise("REJECT")
-    return df.withColumns({"score": score, "decision": decision})
+#: Statuses of a paper and the group of terms that gives the cue for each.
+DIMENSIONS = {"investment_relevance": "investment_relevance", "method_clarity": "method", "data_reproducibility": "empirical_or_data", "pit_data_feasibility": "pit_data", "oos_testability": "oos", "transaction_cost_testability": "transaction_cost"}
+
+
+def select_papers(df: DataFrame, rules: dict) -> DataFrame:
+    """decision, priority_score, reason_codes, evidence (group -> matched terms) and a status for each of DIMENSIONS.
+
+    rules: required_metadata (columns), term_groups (group -> terms), decision_thresholds (select: least numbers of terms of investment_relevance, method and
+    empirical_or_data; review: of investment_relevance) and score_weights (group -> weight). Terms match as whole words of title and abstract, without regard to case and white
+    space. Missing metadata (null, '' or []) rejects with score 0 and is itself evidence. No other column is read.
+    """
+    text = F.concat_ws(" ", "title", "abstract")
+    groups = {g: S.matched_terms(text, list(terms)) for g, terms in sorted(rules["term_groups"].items())}
+    empty = lambda c: F.size(c) <= 0 if df.schema[c].dataType.typeName() == "array" else F.col(c).cast("string") == ""
+    lacks = [F.when(F.col(c).isNull() | F.coalesce(empty(c), F.lit(True)), F.lit(c)) if c in df.columns else F.lit(c) for c in sorted(rules["required_metadata"])]
+    df = df.withColumns({f"__{g}": m for g, m in groups.items()}).withColumn("__missing", F.array_compact(F.array(*lacks)))
+    n = lambda g: F.size(f"__{g}")
+    missing = F.size("__missing") > 0
+    select, review = rules["decision_thresholds"]["select"], rules["decision_thresholds"]["review"]
+    strong = reduce(lambda a, b: a & b, (n(g) >= select[f"min_{g}_terms"] for g in ("investment_relevance", "method", "empirical_or_data")))
+    some = n("investment_relevance") >= review["min_investment_relevance_terms"]
+    decision = F.when(missing, "REJECT").when(strong, "SELECT").when(some, "REVIEW").otherwise("REJECT")
+    reason = F.when(missing, "MISSING_REQUIRED_METADATA").when(strong, "STRONG_METADATA_EVIDENCE_FOR_PAPER_INSPECTION").when(some, "INSUFFICIENT_METADATA_EVIDENCE_FOR_AUTOMATIC_PROMOTION").otherwise("NO_INVESTMENT_RELEVANCE_EVIDENCE")
+    score = F.when(missing, 0).otherwise(reduce(lambda a, b: a + b, (F.lit(w) * n(g) for g, w in sorted(rules["score_weights"].items()))))
+    every = {**{g: F.col(f"__{g}") for g in groups}, "missing_required_metadata": F.col("__missing")}
+    evidence = F.map_filter(F.create_map(*(x for g, c in every.items() for x in (F.lit(g), c))), lambda k, v: F.size(v) > 0)
+    out = df.withColumns({"decision": decision, "priority_score": score.cast("int"), "reason_codes": F.array(reason), "evidence": evidence})
+    out = out.withColumns({d: F.when(n(g) > 0, "METADATA_CUE").otherwise("UNKNOWN") for d, g in DIMENSIONS.items() if g in groups})
+    return out.drop("__missing", *(f"__{g}" for g in groups))
 
 
 def ranked(df: DataFrame, ident: str) -> DataFrame:
     rank = F.when(F.col("decision") == "SELECT", 0).when(F.col("decision") == "REVIEW", 1).otherwise(2)
-    return df.orderBy(rank, F.col("score").desc(), ident)
+    return df.orderBy(rank, F.col("priority_score").desc(), ident)
 
 
 def coverage(themes: DataFrame, components: DataFrame, sources: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def neutral_weights(df: DataFrame, date: str, weight: str, out: str = "w") -> Da
     return df.withColumn(out, F.col("__c") / F.greatest(F.lit(1.0), F.sum(F.abs("__c")).over(w))).drop("__c")
 
 
-def weight_path(df: DataFrame, asset: str, date: str, weight: str, ret: str, cost_bps: float = 10.0, short_fee: float = 0.0) -> DataFrame:
+def weight_path(df: DataFrame, asset: str, date: str, weight: str, ret: str, cost_bps: float = 15.0, short_fee: float = 0.01) -> DataFrame:
     """By date: turnover, gross, net and short exposure, gross return, and the return net of costs and the annual fee on short positions.
 
     Weights are made neutral first; the first turnover is against no position.
@@ -34,9 +34,9 @@ def weight_path(df: DataFrame, asset: str, date: str, weight: str, ret: str, cos
 
 
 def path_metrics(path: DataFrame, benchmark: DataFrame, date: str, market: str) -> DataFrame:
-    """Observations, Sharpe, correlation with the benchmark, and the drawdown whose peak begins with the first equity."""
+    """Observations, Sharpe, cumulative return, mean turnover and gross, largest net exposure, correlation with the benchmark, and the drawdown whose peak begins with the first equity."""
     both = path.join(benchmark, date)
-    out = both.agg(F.count("*").alias("n"), sharpe("net_return").alias("sharpe"), safe_corr("net_return", market).alias("corr"), F.avg("turnover").alias("mean_turnover"), F.max(F.abs("net_exposure")).alias("max_net"))
+    out = both.agg(F.count("*").alias("n"), sharpe("net_return").alias("sharpe"), safe_corr("net_return", market).alias("corr"), F.avg("turnover").alias("mean_turnover"), F.avg("gross").alias("mean_gross"), F.max(F.abs("net_exposure")).alias("max_net"), (F.product(1 + F.col("net_return")) - 1).alias("cumulative_return"))
     return out.withColumn("max_drawdown", max_drawdown(both, [], date, "net_return", include_initial=False).scalar())
 
 
@@ -66,7 +66,7 @@ def compare_gates(primary: DataFrame, ablation: DataFrame, folds: int) -> DataFr
     both = primary.select(F.struct("*").alias("p")).withColumn("a", ablation.select(F.struct("*")).scalar())
     gates = {
         "market_neutral": F.abs(F.col("p.corr")) <= 0.15, "better_sharpe": F.col("p.sharpe") > F.col("a.sharpe"), "less_market": F.abs(F.col("p.corr")) < F.abs(F.col("a.corr")),
-        "neutral_weights": F.col("p.max_net") <= 1e-6, "enough_folds": F.lit(folds >= 2),
+        "neutral_weights": (F.col("p.max_net") <= 1e-6) & (F.col("p.mean_gross") <= 1 + 1e-6), "enough_folds": F.lit(folds >= 2),
     }
     out = both.select(*(g.alias(n) for n, g in gates.items()))
     return out.withColumn("decision", F.when(~F.col("enough_folds"), "feasibility_only").when(F.array_position(F.array(*gates), False) == 0, "confirm").otherwise("reject"))
@@ -113,52 +113,87 @@ def graph_message(edges: DataFrame, nodes: DataFrame, value: str = "x") -> DataF
     return edges.join(nodes.select(F.col("node").alias("j"), value), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("w") * F.col(value)).alias("message"))
 
 
-def simulate_positions(df: DataFrame, key: Sequence[str], time: str, signal: str, ret: str, cost: float = 0.001, tax: float = 0.2) -> DataFrame:
-    """Round trips of -1/0/1 signals: the position of a row earns that row's return, a change costs once for each side, gains are taxed at the end.
+def simulate_positions(df: DataFrame, key: str, time: str, signal: str, ret: str, long_size: float = 0.3, short_size: float = 0.3, cost_bps: float = 50.0, tax: float = 0.2) -> DataFrame:
+    """One row: total_returns_pct, tax_paid_pct, net_returns_pct, sharpe_ratio, max_drawdown_pct, win_rate, num_trades, num_winning_trades, num_losing_trades, round_trips.
 
-    Signals don't depend on results, so that positions are runs of equal signals and all is window arithmetic: by key trades, wins, gross and net.
+    df: a row for each key and time with a signal of -1, 0 or 1 and a return in percent. A position is a run of equal signals other than 0; its allocation is fixed when it is entered: the side's size over the
+    number of the side's signals then. Entering and leaving cost `cost_bps` of it each, and it earns the return of every row of the run, the first too. A day's gain compounds the portfolio; the tax is on the total, if
+    it is one. num_trades counts entries and exits, as num_winning_trades does wins at the exit (gain above its cost) or, of positions still open at the end, gains above 0; round_trips counts positions.
+    Signals don't depend on results, so positions are window arithmetic by key and the portfolio is an aggregate by time; only the row of each time meets one task.
+    """
+    rate = cost_bps / 10_000
+    df = df.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(signal).alias("s"), F.col(ret).alias("r"))
+    w = Window.partitionBy("k").orderBy("t")
+    side = F.count("*").over(Window.partitionBy("t", "s"))
+    size = F.when(F.col("s") == 1, long_size).when(F.col("s") == -1, short_size).otherwise(0.0) / side
+    new = F.col("s") != F.lag("s", 1, 0).over(w)
+    df = df.withColumns({"size": size, "run": F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "enters": new})
+    first = Window.partitionBy("k", "run").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("alloc", F.first("size").over(first)).withColumn("gain", F.col("alloc") * F.col("r") / 100 * F.col("s"))
+    left = F.when(F.col("enters"), F.coalesce(F.lag("alloc").over(w), F.lit(0.0))).otherwise(0.0)
+    entered = F.when(F.col("enters"), F.col("alloc")).otherwise(0.0)
+    days = df.withColumn("__c", (left + entered) * rate).groupBy("t").agg((F.sum("gain") - F.sum("__c")).alias("pnl"))
+    over = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("v", F.product(1 + F.col("pnl")).over(over)).withColumn("dd", 1 - F.col("v") / F.greatest(F.lit(1.0), F.max("v").over(over)))
+    last = F.max_by("v", "t")
+    total = days.agg(((F.coalesce(last, F.lit(1.0)) - 1) * 100).alias("total_returns_pct"), F.coalesce(F.sqrt(F.lit(252.0)) * try_ratio(F.avg("pnl"), F.stddev_pop("pnl")), F.lit(0.0)).alias("sharpe_ratio"), F.coalesce(100 * F.greatest(F.max("dd"), F.lit(0.0)), F.lit(0.0)).alias("max_drawdown_pct"))
+    runs = df.filter("s <> 0").groupBy("k", "run").agg(F.sum("gain").alias("g"), F.first("alloc").alias("a"), F.max("t").alias("t"))
+    ends = df.groupBy("k").agg(F.max("t").alias("__e"))
+    closed = F.col("t") < F.col("__e")
+    wins = F.when(closed, F.col("g") > rate * F.col("a")).otherwise(F.col("g") > 0)
+    trades = runs.join(ends, "k").agg((F.count("*") + F.count_if(closed)).alias("num_trades"), F.count_if(wins).alias("num_winning_trades"), F.count("*").alias("round_trips"))
+    both = total.crossJoin(trades)  # a row each
+    return both.select(
+        "total_returns_pct", F.greatest(F.col("total_returns_pct") * tax, F.lit(0.0)).alias("tax_paid_pct"), (F.col("total_returns_pct") - F.greatest(F.col("total_returns_pct") * tax, F.lit(0.0))).alias("net_returns_pct"), "sharpe_ratio", "max_drawdown_pct",
+        F.coalesce(try_ratio(F.col("num_winning_trades").cast("double"), F.col("num_trades").cast("double")), F.lit(0.0)).alias("win_rate"), "num_trades", "num_winning_trades", (F.col("num_trades") - F.col("num_winning_trades")).alias("num_losing_trades"), "round_trips",
+    )
+
+
+def simulate_open_to_open(df: DataFrame, key: Sequence[str], time: str, signal: str, opened: str, cost: float = 0.005, tax: float = 0.2) -> DataFrame:
+    """By key: trades, win_rate, total_return_pct, tax_paid_pct, net_return_pct, proven.
+
+    A signal of -1, 0 or 1 that differs from the position (none at first) closes it and opens the new one at the row's open; rows without a signal are passed over. A closed long earns exit / entry - 1, a short entry / exit - 1, each
+    less the cost, and compounds; what is open at the end isn't counted. The tax is on the total, if it is one. All is window arithmetic over the rows where the signal changes.
     """
     w = ordered(key, time)
-    before = F.lag(signal, 1, 0).over(w)
-    df = df.withColumns({"__new": (F.col(signal) != before).cast("int"), "__cost": F.abs(F.col(signal) - before) * cost})
-    df = df.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = df.groupBy(*key, "__run").agg(F.first(signal).alias("s"), F.sum(F.col(signal) * F.col(ret)).alias("g"), F.sum("__cost").alias("c"))
-    held = F.col("s") != 0
-    out = runs.groupBy(*key).agg(F.count_if(held).alias("trades"), F.count_if(held & (F.col("g") - F.col("c") > 0)).alias("wins"), F.sum("g").alias("gross"), F.sum(F.col("g") - F.col("c")).alias("net"))
-    return out.withColumn("net", F.when(F.col("net") > 0, F.col("net") * (1 - tax)).otherwise(F.col("net")))
+    rows = df.filter(F.col(signal).isNotNull()).withColumn("__b", F.lag(signal, 1, 0).over(w)).filter(F.col(signal) != F.col("__b"))
+    entry = F.lag(opened).over(w)
+    made = F.when(F.col("__b") == 1, try_ratio(F.col(opened), entry) - 1).when(F.col("__b") == -1, try_ratio(entry, F.col(opened)) - 1) - cost
+    out = rows.withColumn("__n", made).groupBy(*key).agg(F.count("__n").alias("trades"), F.count_if(F.col("__n") > 0).alias("wins"), ((F.coalesce(F.product(1 + F.col("__n")), F.lit(1.0)) - 1) * 100).alias("total_return_pct"))
+    out = df.select(*key).distinct().join(out, list(key), "left").na.fill({"trades": 0, "wins": 0, "total_return_pct": 0.0})
+    taxed = F.greatest(F.col("total_return_pct") * tax, F.lit(0.0))
+    out = out.withColumns({"win_rate": F.coalesce(try_ratio(F.col("wins").cast("double"), F.col("trades").cast("double")), F.lit(0.0)), "tax_paid_pct": taxed, "net_return_pct": F.col("total_return_pct") - taxed})
+    return out.withColumn("proven", F.col("net_return_pct") > 0).drop("wins")
 
 
-def simulate_open_to_open(df: DataFrame, key: Sequence[str], time: str, signal: str, opened: str, capital: float = 1_000_000.0, cost: float = 0.005, tax: float = 0.2) -> DataFrame:
-    """One name for each key: a buy signal enters at the next open, a sell signal leaves at the next open, each at a cost; gains are taxed when taken.
+#: Fixed values of the paper: market -> (basis points a side for the most traded tenth, for the others, and a year for borrowed positions).
+EXECUTION_COSTS = {"us_large_cap": (5.0, 15.0, 30.0), "uk_germany": (10.0, 15.0, 45.0), "hong_kong": (10.0, 20.0, 75.0), "china_proxy": (30.0, 30.0, 120.0)}
 
-    Capital feeds back, so each key runs in order in one task. A position that is open at the end is marked at the last open.
-    """
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
 
-    def run(k, pdf):
-        pdf = pdf.sort_values(time)
-        cash, shares, paid, trades, before = capital, 0.0, 0.0, 0, None
-        for s, price in zip(pdf[signal], pdf[opened], strict=True):
-            if before == 1 and not shares and price > 0:
-                paid, shares, cash = cash, cash * (1 - cost) / price, 0.0
-            elif before == -1 and shares:
-                got = shares * price * (1 - cost)
-                cash, shares, trades = got - max(0.0, got - paid) * tax, 0.0, trades + 1
-            before = s
-        value = cash + (shares * float(pdf[opened].iloc[-1]) if shares else 0.0)
-        return pd.DataFrame([[*k, trades, value, value / capital - 1]])
+def execution_cost(market: Column, top_decile: Column, traded: Column, short: Column) -> Column:
+    """Cost of a day: the traded weight at the market's rate, and a day of the fee on the short weight. An unknown market stops the run."""
+    row = F.raise_error(F.concat(F.lit("unknown market: "), market)).cast("struct<a:double,b:double,c:double>")
+    for name, (a, b, c) in EXECUTION_COSTS.items():
+        row = F.when(market == name, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))).otherwise(row)
+    return traded * F.when(top_decile, row["a"]).otherwise(row["b"]) / 1e4 + short * row["c"] / 1e4 / 252
+
 
-    return df.groupBy(*key).applyInPandas(run, f"{kinds}, trades int, value double, total_return double")
+def paper_reward(action: Column, before: Column, sigma_target: Column, sigma: Column, sigma_before: Column, ret: Column, price: Column, cost_rate: Column, mu: float = 1.0) -> Column:
+    """Reward of an action in -1, 0, 1 scaled to a target volatility, less the cost of changing the scaled position from the action before. Arguments out of range stop the run."""
+    now, then = sigma_target / sigma * action, sigma_target / sigma_before * before
+    ok = action.isin(-1, 0, 1) & before.isin(-1, 0, 1) & (F.least(sigma_target, sigma, sigma_before) > 0) & (price > 0) & (cost_rate >= 0) & F.lit(mu > 0)
+    return F.when(ok, mu * (now * ret - cost_rate * price * F.abs(now - then))).otherwise(F.raise_error(F.lit("action, volatility, price, cost rate or mu out of range")).cast("double"))
 
 
-#: Cost in basis points a side, by market.
-EXECUTION_COSTS = {"us": 10.0, "jp": 15.0, "default": 20.0}
+def signal_returns(signals: DataFrame, returns: DataFrame, key: str, time: str) -> DataFrame:
+    """Each signal with its key's return of the same time; without one, 0."""
+    return signals.join(returns.select(key, time, "ret"), [key, time], "left").na.fill(0.0, ["ret"])
 
 
 def pca_factors(df: DataFrame, date: str, columns: Sequence[str], k: int = 3, alpha: float = 0.1) -> DataFrame:
-    """(component, eigenvalue, loadings map): principal axes of the z-scored columns, their Gram matrix shrunk to the unit matrix by alpha.
+    """(component, eigenvalue, explained, loadings map): principal axes of the z-scored columns, their Gram matrix shrunk to the unit matrix by alpha.
 
-    The matrix is one aggregate over all rows, of the size of columns squared; its eigenvectors are found on the driver, with the largest loading positive.
+    explained: the eigenvalue's share of the k found. The matrix is one aggregate over all rows, of the size of columns squared; its eigenvectors are found on the driver, with the largest loading positive.
     """
     import numpy as np
 
@@ -169,11 +204,19 @@ def pca_factors(df: DataFrame, date: str, columns: Sequence[str], k: int = 3, al
     for i, j in pairs:
         gram[i, j] = gram[j, i] = a[f"c{i}_{j}"] * ((a.t - 1) / a.t if a.t else 0)
     values, vectors = np.linalg.eigh((1 - alpha) * gram + alpha * np.eye(n))
-    rows = []
-    for c, i in enumerate(np.argsort(-values)[:k]):
+    best, rows = np.argsort(-values)[:k], []
+    for c, i in enumerate(best):
         v = vectors[:, i] * (1 if vectors[np.abs(vectors[:, i]).argmax(), i] > 0 else -1)
-        rows.append((c, float(values[i]), dict(zip(columns, map(float, v), strict=True))))
-    return df.sparkSession.createDataFrame(rows, "component int, eigenvalue double, loadings map<string,double>")
+        rows.append((c, float(values[i]), float(values[i] / values[best].sum()), dict(zip(columns, map(float, v), strict=True))))
+    return df.sparkSession.createDataFrame(rows, "component int, eigenvalue double, explained double, loadings map<string,double>")
+
+
+def pca_scores(df: DataFrame, date: str, columns: Sequence[str], factors: DataFrame) -> DataFrame:
+    """(date, pc1, pc2, ...): the z-scored columns (sample deviation; 0 without spread) times each component's loadings."""
+    loadings = {r.component: r.loadings for r in factors.collect()}  # components times columns
+    stats = df.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
+    z = {c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"]) if stats[f"s_{c}"] else F.lit(0.0) for c in columns}
+    return df.select(date, *(sum((z[c] * float(v[c]) for c in columns), F.lit(0.0)).alias(f"pc{i + 1}") for i, v in sorted(loadings.items())))
 
 
 def mean_variance_moments(mu: Sequence[float], sigma: Sequence[Sequence[float]], beta: float, wealth: float = 1.0, horizon: float = 1.0) -> tuple[float, float]:

@@ -95,13 +95,35 @@ def recomputed(df: DataFrame, key: str, stored: str, again: Column, rel: float =
     return _rule(df.filter(~ok), "recomputed", F.col(key), F.concat_ws(" for ", F.col(stored).cast("string"), again.cast("string")))
 
 
-def bar_rules(df: DataFrame, code: str = "Code", date: str = "Date") -> DataFrame:
-    """Errors of daily bars: high below low or below open or close, prices that are not positive, volume below 0; and missing prices as warnings."""
-    o, h, l, c, v = (F.col(x) for x in ("Open", "High", "Low", "Close", "Volume"))
-    checks = {"high_low": h < l, "high_bound": (h < o) | (h < c), "low_bound": (l > o) | (l > c), "positive": (o <= 0) | (c <= 0), "volume": v < 0, "warn_missing": o.isNull() | c.isNull()}
-    each = F.array_compact(F.array(*(F.when(w, F.lit(n)) for n, w in checks.items())))
-    rows = df.select(F.concat_ws("|", code, date).alias("__k"), F.explode(each).alias("__r"))
-    return rows.select(F.col("__r").alias("rule"), F.col("__k").alias("key"), F.lit("").alias("detail"))
+def _listed(df: DataFrame, key: Column, checks: dict[str, Column], detail: Column | None = None) -> DataFrame:
+    """A violation for each check that holds; one pass."""
+    each = F.explode(F.array_compact(F.array(*(F.when(w, F.lit(n)) for n, w in checks.items()))))
+    return df.select(each.alias("rule"), key.cast("string").alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"))
+
+
+#: Columns that a daily bar must have.
+BAR_COLUMNS = ("Code", "Date", "AdjustmentClose", "AdjustmentVolume")
+
+
+def bar_rules(df: DataFrame, symbols: DataFrame | None = None, code: str = "Code", date: str = "Date") -> DataFrame:
+    """Errors and warnings of daily bars: (rule, key, detail), rules of warnings beginning with 'warn_'.
+
+    A null in one of BAR_COLUMNS is missing_<column>; a close that isn't a number is an error, a volume that isn't one a warning; of symbols (their column `code`) that have no bar, no_records.
+    """
+    checks = {f"missing_{c}": F.col(c).isNull() for c in BAR_COLUMNS} | {"nan_AdjustmentClose": F.isnan("AdjustmentClose"), "warn_nan_AdjustmentVolume": F.isnan("AdjustmentVolume")}
+    out = _listed(df, F.col(code), checks, F.col(date))
+    if symbols is not None:
+        out = out.unionByName(_rule(symbols.join(df.select(code), code, "left_anti"), "no_records", F.col(code), F.lit("")))
+    return out
+
+
+def bar_validity(df: DataFrame, symbols: DataFrame, code: str = "Code") -> DataFrame:
+    """(code, records, errors, warnings, valid) for each symbol: valid if it has bars and none of them an error."""
+    n = df.groupBy(F.col(code).alias("key")).agg(F.count("*").alias("records"))
+    warns = F.col("rule").startswith("warn_")
+    found = bar_rules(df, symbols, code).groupBy("key").agg(F.count_if(~warns).alias("errors"), F.count_if(warns).alias("warnings"))
+    out = symbols.select(F.col(code).cast("string").alias("key")).distinct().join(n, "key", "left").join(found, "key", "left").na.fill(0)
+    return out.withColumn("valid", F.col("errors") == 0).withColumnRenamed("key", code)
 
 
 def partition_of(whole: DataFrame, *parts: DataFrame) -> DataFrame:
@@ -162,16 +184,57 @@ def state_rules(df: DataFrame, key: str = "id") -> DataFrame:
     return found.select("rule", "key", F.lit("").alias("detail"))
 
 
-def missing_features(df: DataFrame, features: str, wanted: Sequence[str]) -> DataFrame:
+#: Fixed values of the paper's protocol: groups of features, and indices whose members must be known by date.
+FEATURE_GROUPS = (
+    "price_based", "volume_liquidity", "technical_indicators", "corporate_actions", "fundamentals", "earnings_surprises", "insider_trading", "sentiment",
+    "governance", "macroeconomic", "rates_curves", "volatility_options", "cross_asset_indices", "sector_indices", "metadata",
+)
+TIME_VARYING_INDICES = ("GSPC", "NDX", "FTSE", "GDAXI", "HSI", "DJI")
+
+
+def missing_features(df: DataFrame, features: str, wanted: Sequence[str] = FEATURE_GROUPS) -> DataFrame:
     return df.withColumn("blockers", F.array_except(F.array(*map(F.lit, wanted)), F.col(features)))
 
 
+def readiness(df: DataFrame, start: str = "2004-01-01", end: str = "2024-12-31", provider: str = "bloomberg") -> DataFrame:
+    """df with blockers, in order, and ready (whether there are none).
+
+    df: manifests (source_start, source_end, feature_groups array, index_membership map, providers array; a null is empty). The history must begin by `start` and hold `end`, all of
+    FEATURE_GROUPS must be there, all of TIME_VARYING_INDICES be time-varying, and the licensed provider be among those named, without regard to case.
+    """
+    strings = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    groups = F.array_sort(F.array_except(F.array(*map(F.lit, FEATURE_GROUPS)), strings(F.col("feature_groups"))))
+    fixed = F.filter(F.array(*map(F.lit, TIME_VARYING_INDICES)), lambda i: ~F.coalesce(F.try_element_at("index_membership", i) == "time-varying", F.lit(False)))
+    late = F.coalesce(F.try_to_date(F.col("source_start").cast("string")) > F.lit(start).cast("date"), F.lit(True))
+    early = F.coalesce(F.try_to_date(F.col("source_end").cast("string")) < F.lit(end).cast("date"), F.lit(True))
+    known = F.array_contains(F.transform(strings(F.col("providers")), F.lower), provider)
+    checks = (
+        (F.lit(f"source history must start no later than {start}"), late), (F.lit(f"source history must include {end}"), early), (F.concat(F.lit("missing feature groups: "), F.array_join(groups, ", ")), F.size(groups) > 0),
+        (F.concat(F.lit("missing time-varying constituent history: "), F.array_join(fixed, ", ")), F.size(fixed) > 0), (F.lit("licensed vendor data are required"), ~known),
+    )
+    return df.withColumn("blockers", F.array_compact(F.array(*(F.when(w, says) for says, w in checks)))).withColumn("ready", F.size("blockers") == 0)
+
+
 def stale(df: DataFrame, key: str, year: str, most: int = 1, now: Column | None = None) -> DataFrame:
     """Keys whose latest year is more than `most` years back."""
     last = df.groupBy(key).agg(F.max(year).alias("__y"))
     return _rule(last.filter(F.col("__y") < F.year(now if now is not None else F.current_date()) - most), "stale", F.col(key), F.col("__y"))
 
 
+def annual_history(df: DataFrame, key: str, year: str, first_year: int, now: Column, grace: int = 2, floor: int | None = None) -> DataFrame:
+    """Violations of annual series by key: another first year, a latest year before the required one (the year of `now` less grace, at least floor), years missing in between."""
+    a = df.groupBy(key).agg(F.min(year).alias("a"), F.max(year).alias("z"), F.count("*").alias("n"))
+    required = F.year(now) - grace if floor is None else F.greatest(F.lit(floor), F.year(now) - grace)
+    return _listed(a, F.col(key), {"first_year": F.col("a") != first_year, "stale": F.col("z") < required, "not_contiguous": F.col("n") != F.col("z") - F.col("a") + 1}, F.col("z"))
+
+
+def retained(df: DataFrame, key: str, year: str, now: Column) -> DataFrame:
+    """Violations of baselines that are kept while a source is away: the latest year must be last year's from April on, else that before."""
+    required = F.year(now) - F.when(F.month(now) >= 4, 1).otherwise(2)
+    last = df.groupBy(key).agg(F.max(year).alias("z"))
+    return _listed(last, F.col(key), {"stale": F.col("z") < required}, F.col("z"))
+
+
 def counts_by_year(df: DataFrame, year: str, wanted: DataFrame) -> DataFrame:
     """Years whose number of rows is not the wanted one (year, n)."""
     got = df.groupBy(F.col(year).alias("year")).agg(F.count("*").alias("got"))
@@ -179,10 +242,28 @@ def counts_by_year(df: DataFrame, year: str, wanted: DataFrame) -> DataFrame:
     return _rule(both, "year_count", F.col("year"), F.concat_ws(" for ", "got", "n"))
 
 
-def forbidden_keys(df: DataFrame, key: str, json_col: str, names: Sequence[str]) -> DataFrame:
-    """Rows whose JSON text has one of the names as a key, at any depth."""
-    found = F.filter(F.array(*map(F.lit, names)), lambda n: F.regexp_like(F.col(json_col), F.concat(F.lit('"'), n, F.lit('"\\s*:'))))
-    return _rule(df.filter(F.size(found) > 0), "forbidden_key", F.col(key), F.array_join(found, ","))
+def json_nodes(df: DataFrame, key: str, json_col: str, depth: int = 8) -> DataFrame:
+    """(key, name, node): every value below a JSON document with the name that it stands under (null in arrays), as a variant; one explode for each level, `depth` of them."""
+    level = df.select(F.col(key), F.try_parse_json(json_col).alias("node"))
+    found = []
+    for _ in range(depth):
+        level = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("node").outer())).select(key, F.col("key").alias("name") if key != "key" else F.col("key").alias("name"), F.col("value").alias("node"))
+        found.append(level)
+    return reduce(DataFrame.unionByName, found)
+
+
+def forbidden_keys(df: DataFrame, key: str, json_col: str, names: Sequence[str], depth: int = 8) -> DataFrame:
+    """Rows whose JSON has one of the names as a key of an object, down to `depth` levels; the same text within a value is none."""
+    nodes = json_nodes(df.withColumnRenamed(key, "__key"), "__key", json_col, depth).filter(F.col("name").isin(list(names)))
+    found = nodes.groupBy("__key").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("n"))
+    return _rule(found, "forbidden_key", F.col("__key"), F.col("n"))
+
+
+def json_urls(df: DataFrame, key: str, json_col: str, depth: int = 8) -> DataFrame:
+    """(key, url): the distinct urls among the text values of JSON documents."""
+    nodes = json_nodes(df.withColumnRenamed(key, "__key"), "__key", json_col, depth)
+    text = F.try_variant_get("node", "$", "string")
+    return nodes.select(F.col("__key").alias(key), text.alias("url")).filter(F.col("url").rlike("^https?://")).distinct()
 
 
 def capture_rules(df: DataFrame, key: str = "id") -> DataFrame:
@@ -222,3 +303,33 @@ class Registry:
         if name not in self.known:
             raise QualityError(f"no validator {name}")
         return self.known[name](df)
+
+
+#: What a manifest of empirical evidence must say.
+EVIDENCE_SCHEMA, EVIDENCE_STATE = "paper-evidence-manifest.v1", "EMPIRICALLY_RUN"
+
+
+def audit_evidence(manifests: DataFrame, reports: DataFrame, artifacts: DataFrame, files: DataFrame, verdicts: Sequence[str]) -> DataFrame:
+    """Violations along the chain from runs to what is registered of them: (rule, key, detail) by run_id.
+
+    manifests: run_id, schema_version, state, verdict, mutable_path_is_evidence. reports: run_id, state, verdict. artifacts: run_id, kind, sha256 as registered. files: run_id, kind, content.
+    A run needs one manifest and one report of the same, allowed verdict and an empirical state; a mutable path must be named as no evidence; every file's digest must be the registered one and every registered artifact have a file.
+    """
+    r = reports.select("run_id", F.col("state").alias("__s"), F.col("verdict").alias("__v"))
+    j = manifests.join(r, "run_id", "left")
+    checks = {
+        "schema": ~F.coalesce(F.col("schema_version").endswith(EVIDENCE_SCHEMA), F.lit(False)), "not_empirical": ~F.coalesce((F.col("state") == EVIDENCE_STATE) & (F.col("__s") == EVIDENCE_STATE), F.lit(False)), "no_report": F.col("__v").isNull(),
+        "verdict_mismatch": F.col("verdict") != F.col("__v"), "verdict_unknown": ~F.coalesce(F.col("__v").isin(list(verdicts)), F.lit(False)), "mutable_path": ~F.coalesce(~F.col("mutable_path_is_evidence"), F.lit(False)),
+    }
+    both = artifacts.join(files.select("run_id", "kind", F.sha2("content", 256).alias("__h")), ["run_id", "kind"], "full")
+    kinds = _listed(both, F.col("run_id"), {"unregistered_file": F.col("sha256").isNull(), "missing_file": F.col("__h").isNull(), "hash_mismatch": F.col("sha256") != F.col("__h")}, F.col("kind"))
+    return violations(manifests.sparkSession, unique_key(manifests, ["run_id"]), _listed(j, F.col("run_id"), checks), kinds)
+
+
+def pinned_inputs(selected: DataFrame, pins: DataFrame, required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, blocked): selected papers with their verified version pins, and those whose pin is missing, not VERIFIED, or lacks a required field. Repeated pins stop the run."""
+    assert_empty(unique_key(pins, ["arxiv_id"]))
+    j = selected.join(pins, "arxiv_id", "left")
+    whole = reduce(lambda a, b: a & b, (F.coalesce(F.col(c).cast("string"), F.lit("")) != "" for c in required))
+    ok = F.coalesce(F.col("availability_status") == "VERIFIED", F.lit(False)) & whole
+    return j.filter(ok), j.filter(~ok).select("arxiv_id").distinct()

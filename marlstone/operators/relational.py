@@ -305,3 +305,33 @@ def regime_signals(values: DataFrame, key: str, time: str, value: str, pc1: str,
     out = values.withColumn("__s", S.squash(raw))
     after = Window.partitionBy(key).orderBy(time)
     return out.withColumn("signal", F.lag("__s").over(after)).drop("__s")
+
+
+def keyword_or_member(kind: Column, kinds: Sequence, text: Column, term: str) -> Column:
+    """Whether a value is one of the kinds, or a text contains the term; null is neither."""
+    return F.coalesce(kind.isin(list(kinds)), F.lit(False)) | F.coalesce(F.contains(text, F.lit(term)), F.lit(False))
+
+
+def search_page(df: DataFrame, q: str, exact: Sequence[str], folded: Sequence[str], order: Sequence[Column], most: int = 100) -> DataFrame:
+    """The first `most` rows that a search finds, in a total order; an empty q gives the first page of all."""
+    return text_search(df, q, exact, folded).orderBy(*order).limit(most)
+
+
+def plot_window(df: DataFrame, year: str, last: int, value: str) -> DataFrame:
+    """Rows up to a year with a value, by year."""
+    return df.filter((F.col(year) <= last) & F.col(value).isNotNull()).orderBy(year)
+
+
+def table_stats(df: DataFrame, group: Sequence[str], date: str) -> DataFrame:
+    """Rows, first and last date of each group; nothing is taken to be sorted."""
+    return df.groupBy(*group).agg(F.count("*").alias("rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+
+
+def distinct_in_order(c: str | Column) -> Column:
+    """An array without repeats, each value where it stood first."""
+    return F.array_distinct(c)
+
+
+def locale_order(df: DataFrame, column: str, *ties: str, collation: str = "UNICODE") -> DataFrame:
+    """Rows in a locale's order of a text column, instead of that of code points."""
+    return df.orderBy(F.collate(column, collation), *ties)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import try_ratio
+from .relational import keep_row
 from .timeseries import max_drawdown, ordered
 
 
@@ -33,8 +34,8 @@ def factor_metrics(df: DataFrame, key: Sequence[str], time: str, ret: str, perio
     return out.join(worst, list(key)) if key else out.withColumn("max_drawdown", worst.scalar())
 
 
-def newey_west(df: DataFrame, key: Sequence[str], time: str, ret: str, lags: int = 6) -> DataFrame:
-    """t value of the mean with Bartlett weights over min(lags, n - 1) autocovariances; null if the variance isn't positive."""
+def newey_west(df: DataFrame, key: Sequence[str], time: str, ret: str, lags: int = 6, strict: bool = False) -> DataFrame:
+    """t value of the mean with Bartlett weights over min(lags, n - 1) autocovariances; if the variance isn't positive null, or with `strict` an error."""
     whole = Window.partitionBy(*key)
     c = df.withColumns({"__c": F.col(ret) - F.avg(ret).over(whole), "__n": F.count(ret).over(whole)})
     used = F.least(F.lit(lags), F.col("__n") - 1)
@@ -42,7 +43,8 @@ def newey_west(df: DataFrame, key: Sequence[str], time: str, ret: str, lags: int
     weight = [F.greatest(F.lit(0.0), 1 - F.lit(k) / (used + 1)) for k in range(1, lags + 1)]
     variance = F.sum(F.col("__c") * F.col("__c")) + 2 * sum((F.coalesce(F.sum(w * F.col(f"__c{k}")), F.lit(0.0)) for k, w in enumerate(weight, 1)), F.lit(0.0))
     out = c.groupBy(*key).agg(F.avg(ret).alias("mean"), F.count(ret).alias("n"), variance.alias("v"))
-    return out.select(*key, "n", "mean", F.when(F.col("v") > 0, F.col("mean") / F.sqrt(F.col("v") / F.col("n") / F.col("n"))).alias("t_nw"))
+    bad = F.raise_error(F.lit("long-run variance is not positive")).cast("double") if strict else F.lit(None).cast("double")
+    return out.select(*key, "n", "mean", F.when(F.col("v") > 0, F.col("mean") / F.sqrt(F.col("v") / F.col("n") / F.col("n"))).otherwise(bad).alias("t_nw"))
 
 
 def moving_block_ci(df: DataFrame, time: str, ret: str, block: int = 12, reps: int = 20_000, seed: int = 2306, periods: int = 12) -> DataFrame:
@@ -53,8 +55,9 @@ def moving_block_ci(df: DataFrame, time: str, ret: str, block: int = 12, reps: i
 
     def run(key, pdf):
         x = pdf.sort_values(time)[ret].tolist()
-        n, rng = len(x), random.Random(seed)
-        size = min(block, n)
+        n, rng, size = len(x), random.Random(seed), block
+        if n < size:
+            raise ValueError(f"{n} rows are fewer than a block of {size}")
         prefix = [0.0]
         for v in x:
             prefix.append(prefix[-1] + v)
@@ -110,7 +113,7 @@ def confusion(df: DataFrame, truth: str, predicted: str, key: Sequence[str] = ()
     n = F.expr("cast(tp + fp + fn + tn as double)")
     z = lambda a, b: F.coalesce(try_ratio(a, b), F.lit(0.0))
     col = lambda e: F.expr(f"cast({e} as double)")
-    c = c.withColumns({"fp_rate": z(col("fp"), n), "fn_rate": z(col("fn"), n), "accuracy": z(col("tp + tn"), n), "precision": z(col("tp"), col("tp + fp")), "recall": z(col("tp"), col("tp + fn"))})
+    c = c.withColumns({"tp_rate": z(col("tp"), n), "tn_rate": z(col("tn"), n), "fp_rate": z(col("fp"), n), "fn_rate": z(col("fn"), n), "accuracy": z(col("tp + tn"), n), "precision": z(col("tp"), col("tp + fp")), "recall": z(col("tp"), col("tp + fn"))})
     c = c.withColumn("f1", z(col("2 * tp"), col("2 * tp + fp + fn")))
     return c.withColumn("mcc", z(col("tp * tn - fp * fn"), F.sqrt(col("tp + fp") * col("tp + fn") * col("tn + fp") * col("tn + fn"))))
 
@@ -138,20 +141,29 @@ def majority_baseline(df: DataFrame, truth: str) -> Column:
 
 
 def bootstrap_ci(df: DataFrame, value: str, reps: int = 2000, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean: Poisson(1) weights instead of draws, so resamples add up in the map tasks.
+    """95 % interval of the mean: Poisson(1) weights instead of draws, so resamples add up in the map tasks: a task hands on one row of sums for each resample.
 
-    The weight of a row in a resample follows from hashes of the row's value and number, and of the resample.
+    The weight of a row in a resample follows from a hash of the row's value, its number among equal values and the resample: the same however the rows are dealt to tasks.
     """
-    r = df.filter(F.col(value).isNotNull()).withColumn("__id", F.monotonically_increasing_id())
-    u = lambda rep: F.pmod(F.xxhash64("__id", rep, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    steps, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    x = r.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("__u", u(F.col("rep")))
-    weight = sum(((F.col("__u") >= s).cast("int") for s in steps), F.lit(0))
-    means = x.groupBy("rep").agg(try_ratio(F.sum(weight * F.col(value)), F.sum(weight).cast("double")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    import numpy as np
+
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def run(batches):
+        total = np.zeros((2, reps))
+        for pdf in batches:
+            for low in range(0, len(pdf), 500):
+                x, h = pdf["x"].to_numpy()[low : low + 500], pdf["h"].to_numpy()[low : low + 500].view(np.uint64)
+                h = h[:, None] + np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(steps, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, "right").astype(float)
+                total += w.sum(0), x @ w
+        yield pd.DataFrame({"rep": np.arange(reps), "w": total[0], "x": total[1]})
+
+    r = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    sums = r.select("x", F.xxhash64("x", "i", F.lit(seed)).alias("h")).mapInPandas(run, "rep int, w double, x double").groupBy("rep").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
+    return sums.select(try_ratio(F.col("x"), F.col("w")).alias("m")).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
 def permutation_p(hits: Column, reps: int) -> Column:
@@ -190,9 +202,33 @@ def strategy_stats(df: DataFrame, key: Sequence[str], ret: str) -> DataFrame:
 
 
 def fundamentals(df: DataFrame, key: Sequence[str], year: str = "year") -> DataFrame:
-    """CAGR of revenue, mean ROE, latest margin and free cash flow of annual rows (revenue, operating_income, roe, cf_operating, cf_investing)."""
-    first, last, years = F.min_by("revenue", year), F.max_by("revenue", year), F.max(year) - F.min(year)
+    """CAGR of revenue and net income, mean ROE, first and latest margin and free cash flow of annual rows (revenue, net_income, operating_income, roe, cf_operating, cf_investing).
+
+    The periods of a CAGR are the rows less one; it is null where an end isn't positive.
+    """
+    first, last, years = (lambda c: F.min_by(c, year)), (lambda c: F.max_by(c, year)), F.count("*") - 1
+    cagr = lambda c: F.when((first(c) > 0) & (last(c) > 0) & (years > 0), F.pow(last(c) / first(c), 1 / F.nullif(years, F.lit(0))) - 1)
     return df.groupBy(*key).agg(
-        F.when((first > 0) & (last > 0) & (years > 0), F.pow(last / first, 1 / F.nullif(years, F.lit(0))) - 1).alias("revenue_cagr"), F.avg("roe").alias("mean_roe"),
-        try_ratio(F.max_by("operating_income", year), last).alias("operating_margin"), F.max_by(F.col("cf_operating") + F.col("cf_investing"), year).alias("free_cash_flow"),
+        cagr("revenue").alias("revenue_cagr"), cagr("net_income").alias("net_income_cagr"), F.avg("roe").alias("mean_roe"), try_ratio(first("operating_income"), first("revenue")).alias("first_margin"),
+        try_ratio(last("operating_income"), last("revenue")).alias("operating_margin"), last(F.col("cf_operating") + F.col("cf_investing")).alias("free_cash_flow"),
     )
+
+
+def reconstruction_audit(df: DataFrame, month: str, factors: dict[str, tuple[str, str]], most_bps: float = 3.0) -> DataFrame:
+    """For each factor (name -> rebuilt and official column): months in both, first and last, largest and mean absolute difference in basis points, and whether the largest is within `most_bps`. One pass."""
+    rows = F.array(*(F.struct(F.lit(n).alias("factor"), ((F.col(a) - F.col(b)) * 10_000).alias("d")) for n, (a, b) in factors.items()))
+    d = df.select(month, F.explode(rows).alias("x")).select(month, "x.*").filter("d IS NOT NULL")
+    out = d.groupBy("factor").agg(F.count("*").alias("months"), F.min(month).alias("first_month"), F.max(month).alias("last_month"), F.max(F.abs("d")).alias("max_abs_bps"), F.avg(F.abs("d")).alias("mean_abs_bps"))
+    return out.withColumn("within", F.col("max_abs_bps") <= most_bps + 1e-12)
+
+
+def verdict_stability(df: DataFrame, key: Sequence[str], verdict: str) -> DataFrame:
+    """Runs of each key, its verdicts with their numbers, and whether all runs agree."""
+    n = df.groupBy(*key, verdict).agg(F.count("*").alias("__n"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(verdict), F.col("__n")))))
+    return n.groupBy(*key).agg(F.sum("__n").alias("runs"), counts.alias("verdict_counts"), (F.count("*") == 1).alias("verdict_stable"))
+
+
+def best_restart(df: DataFrame, key: Sequence[str], objective: str, ident: str) -> DataFrame:
+    """The row of the largest objective of each key, the first by ident of equals."""
+    return keep_row(df, key, [F.col(objective).desc_nulls_last(), F.col(ident).asc()])

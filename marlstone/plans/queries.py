@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import facts, portfolio, quality, stats
+from ..operators import portfolio, quality, stats
 from ..operators import relational as R
 from ..operators import timeseries as TS
 from ..session import table
@@ -200,12 +200,6 @@ def event_query(spark, sf):
     return R.event_query(e, "event_id", time="ts", url="props", code="user_id", event_type="click").select("event_id", "ts", "user_id", "event_type")
 
 
-@query("anti_join_known", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-def anti_join(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey")
-    return R.anti_known(c, orders(spark, sf).select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
-
-
 @query("semi_join_targets", "select p_partkey, p_name from part where p_size < 10 and p_partkey in (select l_partkey from lineitem where l_quantity > 45)")
 def semi_join(spark, sf):
     t = table(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
@@ -309,13 +303,6 @@ def midpoint_split(spark, sf):
     return TS.midpoint(monthly(spark, sf), ["k"], "month").select("month", "half")
 
 
-@query("gate_verdict", f"with {MONTHLY}, h as (select ret, row_number() over (order by month) > count(*) over () // 2 late from monthly) select round(12 * avg(ret) filter (late), 6) late_mean, case when avg(ret) filter (late) > 0 and avg(ret) - 0.0025 > 0 and avg(ret) / (stddev_samp(ret) / sqrt(count(*))) >= 1.96 then 'confirmed' else 'not_confirmed' end verdict from h")
-def gate_verdict(spark, sf):
-    h = TS.midpoint(monthly(spark, sf), ["k"], "month")
-    a = h.agg(F.avg(F.when(F.col("half") == "late", F.col("ret"))).alias("late"), F.avg("ret").alias("m"), (F.avg("ret") / (F.stddev_samp("ret") / F.sqrt(F.count("ret")))).alias("t"))
-    return a.select(r6(12 * F.col("late"), "late_mean"), stats.gate(F.col("t"), F.lit(1.0), F.col("late"), F.col("m") - 0.0025).alias("verdict"))
-
-
 @query("safe_corr", "select l_returnflag, round(case when count(*) >= 2 and stddev_pop(l_quantity) > 1e-12 and stddev_pop(l_extendedprice) > 1e-12 then corr(l_quantity, l_extendedprice) else 0 end, 6) corr, 0.0::double as constant_corr from lineitem group by 1")
 def safe_corr(spark, sf):
     l = table(spark, sf, "lineitem").withColumn("one", F.lit(1.0))
@@ -495,24 +482,6 @@ def status_counts(spark, sf):
     return R.dense_counts(orders(spark, sf), "o_orderstatus", ["F", "O", "P", "X"])
 
 
-@query("fact_projection", "select 'defi' feed_id, metric_id, period, value from (select 'aave_event_count' metric_id, strftime(ts, '%Y-%m-%d') period, count(*)::double value from events where event_type = 'click' group by 2)")
-def fact_projection(spark, sf):
-    d = table(spark, sf, "events").filter("event_type = 'click'").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("aave_event_count"))
-    return facts.projection({"defi": facts.apply_adapter("defi_daily", d)}).select("feed_id", "metric_id", "period", "value")
-
-
-@query("round_trips")
-def round_trips(spark, sf):
-    e = table(spark, sf, "events").withColumns({"s": (F.col("event_id") % 3 - 1).cast("int"), "r": F.col("value") / 1e4})
-    return portfolio.simulate_positions(e, ["user_id"], "event_id", "s", "r")
-
-
-@query("open_to_open")
-def open_to_open(spark, sf):
-    e = table(spark, sf, "events").withColumns({"s": (F.col("event_id") % 3 - 1).cast("int"), "o": F.col("value") + 1})
-    return portfolio.simulate_open_to_open(e.select("user_id", "event_id", "s", "o"), ["user_id"], "event_id", "s", "o")
-
-
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
     return stats.moving_block_ci(monthly(spark, sf), "month", "ret")
@@ -561,11 +530,6 @@ def mapped_mean(spark, sf):
     return R.mapped_mean(table(spark, sf, "customer"), m, "c_nationkey", "n_regionkey", "c_acctbal").select("n_regionkey", r6(F.col("c_acctbal"), "c_acctbal"))
 
 
-@query("condition_screen", f"select p_brand, {N} n from part where p_size >= 10 and p_size < 40 and p_retailprice > 1000 group by 1")
-def condition_screen(spark, sf):
-    return table(spark, sf, "part").filter(R.compile_conditions([("p_size", "gte", 10), ("p_size", "lt", 40), ("p_retailprice", "gt", 1000)])).groupBy("p_brand").agg(n_())
-
-
 @query("padded_lookup", "select c_custkey, coalesce(a.s_name, b.s_name) s_name from customer left join supplier a on c_custkey = a.s_suppkey left join supplier b on cast(c_custkey || repeat('0', greatest(0, 5 - length(cast(c_custkey as varchar)))) as varchar)[1:5] = cast(b.s_suppkey as varchar)")
 def padded_lookup(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("code"))
@@ -573,12 +537,6 @@ def padded_lookup(spark, sf):
     return R.padded_lookup(c, s, "code", "s", ["s_name"]).select("c_custkey", "s_name")
 
 
-@query("regime_signals", "with m as (select event_type, ts, event_id, avg(value / 100 - 0.5) over (partition by event_type order by ts, event_id rows between 4 preceding and current row) v from events), t as (select *, tanh(case when event_id % 5 > 2 then -v else v end) s from m), l as (select event_id, lag(s) over (partition by event_type order by ts, event_id) s from t) select event_id, round(s, 6) score, case when s >= 0.6 then 'long' when s <= -0.6 then 'short' when s is not null then 'neutral' end as action from l")
-def regime_signals(spark, sf):
-    e = table(spark, sf, "events").withColumns({"t": F.struct("ts", "event_id"), "v": F.col("value") / 100 - 0.5, "pc1": (F.col("event_id") % 5).cast("double"), "one": F.lit(1)})
-    return R.regime_signals(e, "event_type", "t", "v", "pc1", "one").select("event_id", r6(F.col("signal.score"), "score"), F.col("signal.action").alias("action"))
-
-
 @query("html_tables")
 def html_tables(spark, sf):
     from ..sources.readers import html_text

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,17 @@ def local_session(name: str = "marlstone", cpus: str | int | None = None) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the directory may be any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to the executors, once in a session, through Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_marlstone_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    out = os.path.join(tempfile.mkdtemp(prefix="marlstone-code-"), "marlstone_code.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for path in sorted(top.rglob("*.py")):
+            z.write(path, path.relative_to(top.parent))
+    context.addPyFile(out)
+    context._marlstone_shipped = True

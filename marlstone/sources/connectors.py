@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators import quality
+
 #: Answers that mean "nothing there"; others that aren't 2xx are errors.
 ABSENT = (400, 403, 404)
 
@@ -119,8 +122,44 @@ def optional_number(get: Callable[[], dict], *names: str) -> float | None:
     return value
 
 
+def request_provenance(df: DataFrame, batch: str, ident: str) -> DataFrame:
+    """For each batch of a keyed fetch the digest of its ids, in order, and their number: what a request asked for can be told again."""
+    ids = F.array_join(F.array_sort(F.collect_list(ident)), ",")
+    return df.groupBy(batch).agg(F.sha2(ids, 256).alias("request_sha256"), F.count("*").alias("n"))
+
+
+#: Intervals that price histories come in.
+INTERVALS = ("1m", "1h", "6h", "1d", "1w", "max")
+
+
+def price_history_params(token: str, interval: str | None = None, start: int | None = None, end: int | None = None, fidelity: int | None = None) -> dict:
+    """Query parameters of a price history: a known interval, or a range of times that doesn't run backwards; a fidelity of minutes must be positive."""
+    if not token:
+        raise ValueError("a token is needed")
+    if (interval is None) == (start is None and end is None):
+        raise ValueError("either an interval or a range of times")
+    if interval is not None and interval not in INTERVALS:
+        raise ValueError(f"interval {interval} isn't one of {INTERVALS}")
+    if interval is None and (start is None or end is None or start > end):
+        raise ValueError("a range needs a start and an end, in order")
+    if fidelity is not None and fidelity <= 0:
+        raise ValueError("fidelity must be positive")
+    given = {"market": token, "interval": interval, "startTs": start, "endTs": end, "fidelity": fidelity}
+    return {k: v for k, v in given.items() if v is not None}
+
+
+def fetch_validate_write(client, start: str, end: str, path: str) -> tuple[dict, str]:
+    """(manifest, folder of the data): bars of a window from a client with bars(start, end) -> DataFrame, normalised, checked to have rows and unique keys, and written with their manifest."""
+    from .readers import normalize_prices
+    from .sinks import write_with_manifest
+
+    df = normalize_prices(client.bars(start, end))
+    quality.assert_empty(quality.require_columns(df, df.columns))
+    return write_with_manifest(df, path), f"{path}/data"
+
+
 class PagedSource(DataSource):
-    """spark.read.format("marlstone_pages"): one partition for each page of a registered API, by options api, pages and schema."""
+    """spark.read.format("marlstone_pages"): one partition for each page of an API, by options api, pages and schema. api: the name of one in `apis`, or module:function of one that executors can import."""
 
     apis: dict[str, Callable[[int], list[dict]]] = {}
 
@@ -132,7 +171,10 @@ class PagedSource(DataSource):
         return self.options["schema"]
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _PagedReader(self.apis[self.options["api"]], int(self.options.get("pages", "1")), schema.names)
+        name = self.options["api"]
+        module, _, function = name.partition(":")
+        get = getattr(importlib.import_module(module), function) if function else self.apis[name]
+        return _PagedReader(get, int(self.options.get("pages", "1")), schema.names)
 
 
 class _PagedReader(DataSourceReader):

@@ -205,9 +205,9 @@ def curve_csv(spark: SparkSession, path: str, curve: str) -> DataFrame:
 
 
 def fred_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(date, value) of positive values; '.' and blanks go."""
+    """(date, value, integral) of positive values; '.' and blanks go. integral: whether the value is a whole number, which views write as one."""
     df = read_csv(spark, path, "date string, raw string").select("date", S.parse_double(F.nullif(F.col("raw"), F.lit("."))).alias("value"))
-    return df.filter("value > 0")
+    return df.filter("value > 0").withColumn("integral", F.round("value") == F.col("value"))
 
 
 def parse_xlsx(content: bytes) -> dict[str, list[list[str | None]]]:
@@ -358,6 +358,24 @@ def xml_text(xml: Column, *paths: str) -> Column:
     return S.first_filled(*(F.trim(F.regexp_replace(F.xpath_string(xml, F.lit(p)), r"<[^>]+>|\s+", " ")) for p in paths))
 
 
+def zipped_xml_text(df: DataFrame, key: str, value: str, *paths: str) -> DataFrame:
+    """(key, text): xml_text of cached documents that are XML, or the base64 of a ZIP file whose first .xbrl or .xml member is."""
+    import base64
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for v in pdf[value]:
+                if v and v.startswith("UEsD"):
+                    members = [raw for name, raw in zip_members(base64.b64decode(v)) if name.lower().endswith((".xbrl", ".xml"))]
+                    v = members[0].decode("utf-8", "replace") if members else None
+                out.append(v)
+            yield pd.DataFrame({"key": pdf[key], "xml": out})
+
+    plain = df.select(key, value).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, xml string")
+    return plain.select("key", xml_text(F.col("xml"), *paths).alias("text"))
+
+
 def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
