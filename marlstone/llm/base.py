@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -73,12 +72,18 @@ def stash(df: DataFrame, by: str | None = None) -> DataFrame:
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stashed_at = path
+    return back
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that stash() has written in this application, once its results are stored. How many there were."""
+def release(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Delete the tables that stash() has written in this application, once its results are stored. keep: one of them that stays. How many there were."""
+    stays = getattr(keep, "_stashed_at", None)
     paths = _written.pop(spark.sparkContext.applicationId, [])
+    if stays in paths:
+        paths.remove(stays)
+        _written[spark.sparkContext.applicationId] = [stays]
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -86,18 +91,10 @@ def release(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package's code to the executors, once in a session, through Spark's own file server. Arrow batches are of at most ARROW_BYTES unless the session says otherwise."""
-    context = spark.sparkContext
+    """Give the package's code to the executors. Arrow batches are of at most ARROW_BYTES unless the session says otherwise."""
     if spark.conf.get(_ARROW, None) is None:
         spark.conf.set(_ARROW, str(ARROW_BYTES))
-    if not getattr(context, "_marlstone_shipped", False):
-        top = Path(__file__).resolve().parent.parent
-        out = os.path.join(tempfile.mkdtemp(prefix="marlstone-code-"), "marlstone_code.zip")
-        with zipfile.ZipFile(out, "w") as z:
-            for path in sorted(top.rglob("*.py")):
-                z.write(path, path.relative_to(top.parent))
-        context.addPyFile(out)
-        context._marlstone_shipped = True
+    session.ship(spark)
 
 
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:

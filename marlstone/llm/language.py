@@ -124,7 +124,10 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows: int = ROWS_A_LANGUAGE) -> Model:
-    """A model of at most `rows` labelled rows of each language that aren't held out; of rows that repeat an id and language, one."""
+    """A model of at most `rows` labelled rows of each language that aren't held out; of rows that repeat an id and language, one, that of the smallest hash of its text.
+
+    Null ids, texts and languages are left out; ties in the order of the ids' hashes go by id. Without labelled rows the model has no language and everything is UNKNOWN; the number of languages isn't bounded.
+    """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null")
     ids = labelled.filter(~base.held_out(F.col("id"))).groupBy("l", "id").agg(F.min(F.xxhash64("t")).alias("h"))
     chosen = base.stash(base.first_of_each(ids, "l", "id", rows).filter("id is not null"))
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
     """docs with three further columns, whose names are returned: lang_pred, score, ambiguous.
 
-    The whole text is read. lang_pred is UNKNOWN, with score 0, if the text is null or has no letter, or
+    The whole text is read, a very long one in pieces; repeated rows are judged each for itself, and alike. lang_pred is UNKNOWN, with score 0, if the text is null or has no letter, or
     if the model learned no language. A narrow pass: no shuffle, the model is of a fixed size.
     """
     names = base.fresh(docs, "lang_pred", "score", "ambiguous")

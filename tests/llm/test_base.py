@@ -9,6 +9,8 @@ def test_stash_and_release(spark):
     base.release(spark)
     back = base.stash(spark.range(5))
     assert back.count() == 5 and f"{base.shared_dir(spark)}/marlstone-" in back.inputFiles()[0]
+    other = base.stash(spark.range(7))
+    assert base.release(spark, keep=other) == 1 and other.count() == 7
     assert base.release(spark) == 1 and base.release(spark) == 0
 
 

@@ -40,6 +40,43 @@ def test_decoding_corrects_a_bit():
     assert m.languages[m.decode(data, off)[0][0]] == "a"
 
 
+def plain_slots(text):
+    """Slots of the 2- and 3-grams of a text's bytes, by the letter of the definition."""
+    fold = lambda b: b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    x, out = [fold(b) for b in (text or "").encode()], []
+    for n in (2, 3):
+        for i in range(len(x) - n + 1):
+            if any(b != 32 for b in x[i : i + n]):
+                code = 0
+                for b in x[i : i + n]:
+                    code = code * 256 + b
+                out.append(((code + n) * 2654435761 & 0xFFFFFFFF) >> 16)
+    return out
+
+
+def test_language_against_plain_python():
+    """Weights from plain counts, and labels and scores from a plain decode over all codewords."""
+    r = random.Random(2)
+    vocab = {k: ["".join(r.choice(a) for _ in range(4)) for _ in range(30)] for k, a in (("a", "abcde"), ("b", "fghij"), ("c", "aefij"))}
+    rows = [(" ".join(r.choice(vocab[k]) for _ in range(12)), k) for k in vocab for _ in range(20)]
+    m = language.Model(rows)
+    counts = {k: Counter(s for t, y in rows if y == k for s in plain_slots(t)) for k in vocab}
+    for bit in range(m.codes.shape[1]):
+        side = {s: [k for i, k in enumerate(m.languages) if m.codes[i, bit] == s] for s in (1, -1)}
+        for slot in sorted(set().union(*counts.values()))[:50]:
+            odds = [math.log((sum(counts[k][slot] / sum(counts[k].values()) for k in side[s]) / len(side[s]) * 1e6 + 0.5) / (1e6 + 0.5 * language.SLOTS)) for s in (1, -1)]
+            assert math.isclose(m.weights[slot, bit], odds[0] - odds[1], rel_tol=1e-4, abs_tol=1e-4)
+    texts = [t for t, _ in rows[::7]] + ["abc FGH ééé", "zz", "a"]
+    best, score, unsure = m.decode(*tb.buffers(pa.array(texts)))
+    for t, i, s, u in zip(texts, best, score, unsure, strict=True):
+        slots, losses = plain_slots(t), []
+        margin = [(sum(float(m.weights[x, b]) for x in slots) / max(1, len(slots))) * m.scale[b] + m.offset[b] for b in range(m.codes.shape[1])]
+        for code in m.codes:
+            losses.append(sum(w * math.log1p(math.exp(-c * g)) for w, c, g in zip(m.reliable, code, margin, strict=True)) / sum(m.reliable))
+        low = sorted(losses)
+        assert losses[i] == min(losses) and math.isclose(s, 1 / sum(math.exp((low[0] - x) * len(margin)) for x in losses), rel_tol=1e-5) and u == (low[1] - low[0] < language.AMBIGUOUS)
+
+
 def test_language_held_out(spark):
     docs = base.table(spark, SF, "documents")
     got = language.op5_language(spark, SF).collect()
@@ -113,6 +150,51 @@ def test_toxicity_odd_rows(spark):
     assert not len(toxicity.fit(odd, labels).terms) and toxicity.rate(odd.limit(0), ix)[0].count() == 0
 
 
+def test_toxicity_scores_against_plain_python():
+    """Votes of all examples sorted by cosine, and the isotonic fit by pooling neighbours that violate it."""
+    rows = toy(4, 120)
+    ix = toxicity.Index(rows)
+    dense = np.zeros((len(ix.labels), len(ix.terms)))
+    for t in range(len(ix.terms)):
+        at, w = ix.doc[ix.first[t] : ix.first[t + 1]], ix.w[ix.first[t] : ix.first[t + 1]]
+        dense[at, t] = w
+
+    def vote(cosines):
+        cosines = np.round(cosines, 12)
+        near = sorted((i for i in range(len(cosines)) if cosines[i] > 0), key=lambda i: (-cosines[i], i))[: toxicity.NEIGHBOURS]
+        toxic = sum(cosines[i] * ix.weight[1] for i in near if ix.labels[i])
+        return (toxic + 0.5 * ix.prior) / (toxic + sum(cosines[i] * ix.weight[0] for i in near if not ix.labels[i]) + 0.5), near
+
+    votes = []
+    for i, x in enumerate(dense):
+        x = np.where((dense > 0).sum(0) > 1, x, 0)
+        cosines = dense @ (x / max(np.sqrt((x**2).sum()), 1e-300))
+        cosines[i] = 0
+        votes.append(vote(cosines)[0])
+    pools = [[v * ix.weight[y], y * ix.weight[y], ix.weight[y]] for v, y in sorted(zip(votes, ix.labels, strict=True), key=lambda x: x[0])]
+    k = 0
+    while k < len(pools) - 1:
+        if pools[k][1] / pools[k][2] >= pools[k + 1][1] / pools[k + 1][2]:
+            pools[k] = [a + b for a, b in zip(pools[k], pools.pop(k + 1), strict=True)]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    grid, fit = [p[0] / p[2] for p in pools], [p[1] / p[2] for p in pools]
+    data, off = tb.buffers(pa.array([t for t, _ in toy(9, 40)] + [""]))
+    queries = list(ix.vectors(data, off))
+    for (at, w), (score, found) in zip(queries, ix.scores(queries), strict=True):
+        q = np.zeros(len(ix.terms))
+        q[at] = w
+        v, near = vote(dense @ q)
+        assert [i for _, i in found] == near and math.isclose(score, np.interp(v, grid, fit) if near else ix.prior, abs_tol=1e-9)
+
+
+def test_unlike_texts_of_common_words_stay_examples():
+    """Labelled texts that share words, and copies too, are all examples."""
+    rows = [(f"the same few words {i}", i % 2) for i in range(40)] + [("copy", 0)] * 3
+    assert len(toxicity.Index(rows).labels) == 43
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, sf).collect()}
