@@ -17,18 +17,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z, the row of the largest doc_id stays; of repeated rows one. Null and empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the row of the smallest doc_id stays; texts without words are classes of their own, repeated rows one."""
     return near_dedup.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more stands in windows of the benchmark's items go; null texts stay."""
     return decontaminate.drop_contaminated(docs, base.table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences, as op7_packing gives them; a null text is one piece of its end id."""
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 
@@ -45,8 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
+    """The rows of the last stage over documents. What the stages before have written goes as soon as the next one's result is stored."""
     docs = base.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = base.stash(stage(spark, docs, sf_dir))
+        base.release(spark, keep=docs)
     return docs
