@@ -159,12 +159,21 @@ def row_key(ident: Column, text: Column) -> Column:
     return F.xxhash64(ident.cast("string"), ident.isNull(), text)
 
 
-def first_of_each(df: DataFrame, key: str, ident: str, n: int, parts: int = 256) -> DataFrame:
-    """The first n rows of each key in the order of a hash of ident. Each key is first cut to n in `parts` parts, so that no task meets all rows of one."""
-    for salt in ([F.pmod(F.xxhash64(ident, F.lit(1)), F.lit(parts))], []):
-        order = Window.partitionBy(key, *salt).orderBy(F.xxhash64(ident), ident)
-        df = df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("place")
-    return df
+def first_of_each(df: DataFrame, key: str, ident: str, n: int, slots: int = 4096) -> DataFrame:
+    """The first n rows of each key in the order of a hash of ident, ties by ident.
+
+    Rows are first counted by key and slot of the hash, combined in the map tasks; only rows of the slots that hold the first n are ranked, so
+    that the task of a key meets n rows and a slot's share of the others, however many rows the key has.
+    """
+    h = F.xxhash64(ident)
+    (slot,) = fresh(df, "slot")
+    df = df.withColumn(slot, F.floor(h / (2.0**64 / slots)).cast("int"))
+    counts = df.groupBy(key, slot).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = stash(counts.withColumn("__b", before).filter(F.col("__b") < n).groupBy(key).agg(F.max(slot).alias("__last")))
+    near = df.join(bounded(last, 64), key).filter(F.col(slot) <= F.col("__last"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(h, ident))
+    return near.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place", "__last", slot)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

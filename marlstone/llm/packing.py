@@ -23,11 +23,11 @@ CAPACITY, PIECE = 2048, 512
 #: Windows that are packed together, and tokens that are left free in each for their differences.
 WINDOWS, SLACK = 128, 3
 #: Bytes of text that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 #: The id that ends a document.
 END_ID = 1
-#: Words that are kept, and the longest of them; some 200 bytes each.
-_CACHE_WORDS, _CACHE_LENGTH = 120_000, 24
+#: Words that are kept, and the characters of the longest: 250 bytes each at most, 100 MB in a process.
+_CACHE_WORDS, _CACHE_LENGTH = 400_000, 32
 _END = struct.pack("<I", END_ID)
 #: str.split also splits at these, which the tokenizer doesn't take for white space.
 _CONTROL, _SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"[ \n\r\t]+")

@@ -34,5 +34,8 @@ def test_lower_only_ascii(spark):
 
 def test_first_of_each(spark):
     df = spark.createDataFrame([(i, i % 10 // 9) for i in range(3000)], "id long, k int")
-    whole = base.first_of_each(df, "k", "id", 40, parts=1).collect()
-    assert sorted(base.first_of_each(df, "k", "id", 40, parts=7).collect()) == sorted(whole) and len(whole) == 80
+    whole = base.first_of_each(df, "k", "id", 40, slots=1).collect()
+    assert sorted(base.first_of_each(df, "k", "id", 40).collect()) == sorted(whole) and len(whole) == 80
+    order = df.orderBy(F.xxhash64("id")).collect()
+    assert sorted(whole) == sorted(r for k in (0, 1) for r in [x for x in order if x.k == k][:40])
+    assert base.first_of_each(df, "k", "id", 10_000).count() == 3000 and base.first_of_each(df.limit(0), "k", "id", 3).count() == 0
