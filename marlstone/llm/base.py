@@ -166,14 +166,14 @@ def first_of_each(df: DataFrame, key: str, ident: str, n: int, slots: int = 4096
     that the task of a key meets n rows and a slot's share of the others, however many rows the key has.
     """
     h = F.xxhash64(ident)
-    (slot,) = fresh(df, "slot")
+    (slot,), columns = fresh(df, "slot"), df.columns
     df = df.withColumn(slot, F.floor(h / (2.0**64 / slots)).cast("int"))
     counts = df.groupBy(key, slot).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = stash(counts.withColumn("__b", before).filter(F.col("__b") < n).groupBy(key).agg(F.max(slot).alias("__last")))
     near = df.join(bounded(last, 64), key).filter(F.col(slot) <= F.col("__last"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(h, ident))
-    return near.withColumn("__place", place).filter(F.col("__place") <= n).drop("__place", "__last", slot)
+    return near.withColumn("__place", place).filter(F.col("__place") <= n).select(*columns)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -1,8 +1,10 @@
 """Written tables, and the helpers on names and bits."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marlstone.llm import base
+from marlstone.llm import textbytes as tb
 
 
 def test_stash_and_release(spark):
@@ -39,3 +41,13 @@ def test_first_of_each(spark):
     order = df.orderBy(F.xxhash64("id")).collect()
     assert sorted(whole) == sorted(r for k in (0, 1) for r in [x for x in order if x.k == k][:40])
     assert base.first_of_each(df, "k", "id", 10_000).count() == 3000 and base.first_of_each(df.limit(0), "k", "id", 3).count() == 0
+
+
+def test_words_of_one_polynomial():
+    """Words of 1,024 and more letters that follow the Thue-Morse sequence and its complement have hashes of their own, in both kinds of words."""
+    for n in (1024, 4096):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        a, b = ("".join("ab"[x ^ k] for x in bits) for k in (0, 1))
+        for kind in (tb.ALNUM, tb.SPACED):
+            h = tb.tokenize(*tb.buffers(pa.array([f"{a} {b} {a}"])), kind).hash
+            assert h[0] == h[2] != h[1]
