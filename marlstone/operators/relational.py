@@ -61,9 +61,19 @@ def as_of_join(left: DataFrame, right: DataFrame, key: Sequence[str], time: str,
     return both.withColumn("__last", last).filter("__r = 1").select(*left.columns, *(F.col("__last")[v].alias(v) for v in values))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
-    """Points with the half-open ranges that hold them; ranges are few (folds, calendars) and checked to be."""
-    return points.join(small(ranges), (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, rows: int = SMALL_ROWS) -> DataFrame:
+    """Points with the half-open ranges that hold them.
+
+    Few ranges (folds, calendars) are broadcast. More are cut into bins as wide as the mean range, about two for each range, and joined by the bin; nulls and empty ranges hold nothing.
+    """
+    if ranges.limit(rows + 1).count() <= rows:
+        return points.join(F.broadcast(ranges), (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
+    number = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) if dict((points if c == at else ranges).dtypes)[c] in ("date", "timestamp", "timestamp_ntz") else F.col(c)).cast("double")
+    ranges = ranges.filter(F.col(low) < F.col(high))
+    width = ranges.agg(F.coalesce(F.avg(number(high) - number(low)), F.lit(1.0))).first()[0]
+    bin_ = lambda c: F.floor(number(c) / width)
+    cut = ranges.withColumn("__bin", F.explode(F.sequence(bin_(low), bin_(high))))
+    return points.withColumn("__bin", bin_(at)).join(cut, "__bin").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bin")
 
 
 def anti_known(df: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
