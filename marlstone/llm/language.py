@@ -131,7 +131,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null")
     ids = labelled.filter(~base.held_out(F.col("id"))).groupBy("l", "id").agg(F.min(F.xxhash64("t")).alias("h"))
     chosen = base.stash(base.first_of_each(ids, "l", "id", rows).filter("id is not null"))
-    found = labelled.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "l", "h"]).groupBy("id", "l").agg(F.min("t").alias("t"))
+    found = labelled.withColumn("h", F.xxhash64("t")).join(base.bounded(chosen, 64), ["id", "l", "h"]).groupBy("id", "l").agg(F.min("t").alias("t"))
     return Model([(r.t, r.l) for r in found.orderBy(F.xxhash64("t"), "t", "l").collect()])  # at most `rows` of each language
 
 

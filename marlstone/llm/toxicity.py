@@ -267,7 +267,10 @@ def spread(docs: DataFrame, text_col: str, terms: np.ndarray) -> tuple[int, np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most: int = EXAMPLES) -> Index:
-    """An index of at most `most` labelled rows of each label that aren't held out. Repeated or null labels: the largest counts, null is none. Repeated ids: one text counts."""
+    """An index of at most `most` labelled rows of each label that aren't held out; of more, the first in the order of a hash of the id. No example is left out for being like another.
+
+    Repeated or null labels: the largest counts, null is none. Repeated ids: the text of the smallest hash counts. Null texts are no examples, empty ones make the prior. Without labels every score is the same.
+    """
     known = labels.filter(~base.held_out(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     known = base.stash(texts.groupBy("id").agg(F.min(F.xxhash64("t")).alias("h")).join(known, "id"))
