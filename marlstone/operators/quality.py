@@ -243,25 +243,25 @@ def counts_by_year(df: DataFrame, year: str, wanted: DataFrame) -> DataFrame:
 
 
 def json_nodes(df: DataFrame, key: str, json_col: str, depth: int = 8) -> DataFrame:
-    """(key, name, node): every value below a JSON document with the name that it stands under (null in arrays), as a variant; one explode for each level, `depth` of them."""
-    level = df.select(F.col(key), F.try_parse_json(json_col).alias("node"))
-    found = []
+    """(__key, name, node): every value below a JSON document with the name that it stands under (null in arrays), as a variant; one explode for each level, `depth` of them. What isn't JSON has none."""
+    level, found = df.select(F.col(key).alias("__key"), F.try_parse_json(json_col).alias("node")), []
     for _ in range(depth):
-        level = level.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("node").outer())).select(key, F.col("key").alias("name") if key != "key" else F.col("key").alias("name"), F.col("value").alias("node"))
+        below = df.sparkSession.tvf.variant_explode(F.col("node").outer())
+        level = level.lateralJoin(below).select("__key", F.col("key").alias("name"), F.col("value").alias("node"))
         found.append(level)
     return reduce(DataFrame.unionByName, found)
 
 
 def forbidden_keys(df: DataFrame, key: str, json_col: str, names: Sequence[str], depth: int = 8) -> DataFrame:
     """Rows whose JSON has one of the names as a key of an object, down to `depth` levels; the same text within a value is none."""
-    nodes = json_nodes(df.withColumnRenamed(key, "__key"), "__key", json_col, depth).filter(F.col("name").isin(list(names)))
+    nodes = json_nodes(df, key, json_col, depth).filter(F.col("name").isin(list(names)))
     found = nodes.groupBy("__key").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("n"))
     return _rule(found, "forbidden_key", F.col("__key"), F.col("n"))
 
 
 def json_urls(df: DataFrame, key: str, json_col: str, depth: int = 8) -> DataFrame:
     """(key, url): the distinct urls among the text values of JSON documents."""
-    nodes = json_nodes(df.withColumnRenamed(key, "__key"), "__key", json_col, depth)
+    nodes = json_nodes(df, key, json_col, depth)
     text = F.try_variant_get("node", "$", "string")
     return nodes.select(F.col("__key").alias(key), text.alias("url")).filter(F.col("url").rlike("^https?://")).distinct()
 
