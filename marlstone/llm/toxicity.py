@@ -22,6 +22,8 @@ NEIGHBOURS = 15
 PREFIXES = (4, 5, 6)
 #: A term of more than 1 / FREQUENT of the examples stands in blocks of BLOCK examples, each with its largest weight; blocks that are read before the others' bounds are held against what they hold; term counts that are sent together.
 FREQUENT, BLOCK, FIRST, COUNTS = 8, 8, 12, 1 << 15
+#: Queries that are answered together, so that a block is read once for all that need it.
+TOGETHER = 128
 #: score at which a document is predicted toxic.
 THRESHOLD = 0.3
 
@@ -103,7 +105,7 @@ class Index:
         w /= np.sqrt(np.bincount(doc, w * w, n))[doc]
         self.own = at.astype(np.int32), w, cut
         order = np.argsort(at, kind="stable")
-        at, self.doc, self.w = at[order], doc[order], w[order]
+        at, self.doc, self.w = at[order], doc[order].astype(np.intp), w[order]
         del order
         self.first = np.searchsorted(at, np.arange(len(self.terms) + 1))
         self.size = np.diff(self.first)
@@ -153,37 +155,58 @@ class Index:
             yield at[a:b], w[a:b] / np.sqrt((w[a:b] ** 2).sum()) if b > a else w[a:b]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine above 0, largest first, ties by number: exact.
+        """The k examples of the largest cosine above 0, largest first, ties by number: exact."""
+        return self.all_nearest([(at, w)], k, [without])[0]
+
+    def all_nearest(self, queries: list, k: int = NEIGHBOURS, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of each of the queries.
 
         The rare terms' postings and the largest weights of the frequent terms' blocks bound what a block of examples can reach. The blocks of the largest
-        bounds are read first; then those whose bound reaches the k-th cosine found so far. The postings of the others are not read.
+        bounds are read first; then those whose bound reaches the k-th cosine found so far. The other blocks are not read.
         """
-        r = self.row[at]
-        rare, often = r < 0, r >= 0
-        begin, n = self.first[at[rare]], self.size[at[rare]]
-        where = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        part = np.bincount(self.doc[where], self.w[where] * np.repeat(w[rare], n), len(self.blocks) * BLOCK).reshape(-1, BLOCK)
-        rows, w = r[often], w[often]
-        bound = part.max(1) + w @ self.bounds[rows]
-
-        def read(blocks):
-            found = np.round(part[blocks] + w @ self.blocks[blocks[:, None], rows], 12)
-            found[blocks[:, None] * BLOCK + np.arange(BLOCK) == without] = 0
-            return found
-
-        if not len(bound):
-            return []
-        first = np.argpartition(bound, -FIRST)[-FIRST:] if len(bound) > FIRST else np.arange(len(bound))
-        scores = read(first)
-        least = np.partition(scores.ravel(), -k)[-k] if scores.size >= k else 0.0
-        bound[first] = -1
-        more = np.flatnonzero(bound >= max(least - 1e-9, 1e-300))
-        blocks, scores = np.append(first, more), np.concatenate((scores, read(more))).ravel()
-        number = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        some = scores >= least if least > 0 else scores > 0
-        scores, number = scores[some], number[some]
-        order = np.lexsort((number, -scores))[:k]
-        return list(zip(scores[order].tolist(), number[order].tolist(), strict=True))
+        out = []
+        for low in range(0, len(queries), TOGETHER):
+            part = queries[low : low + TOGETHER]
+            out += self._together(part, k, np.array(without[low : low + TOGETHER]) if without is not None else np.full(len(part), -1))
+        return out
+
+    def _together(self, queries: list, k: int, without: np.ndarray) -> list[list[tuple[float, int]]]:
+        nq, nb = len(queries), len(self.blocks)
+        if not nb:
+            return [[] for _ in queries]
+        q, scores = np.zeros((nq, self.blocks.shape[1])), np.zeros((nq, nb * BLOCK))
+        for i, (at, w) in enumerate(queries):
+            r = self.row[at]
+            rare, often = r < 0, r >= 0
+            q[i, r[often]] = w[often]
+            n = self.size[at[rare]]
+            cuts = list(zip(self.first[at[rare]].tolist(), (self.first[at[rare]] + n).tolist(), strict=True))
+            if cuts:
+                docs, weights = (np.concatenate([x[a:b] for a, b in cuts]) for x in (self.doc, self.w))
+                scores[i] = np.bincount(docs, weights * np.repeat(w[rare], n), nb * BLOCK)
+        cells = scores.reshape(nq, nb, BLOCK)
+        bound = cells.max(2) + q @ self.bounds
+        wanted, read = np.zeros((nq, nb), bool), np.zeros((nq, nb), bool)
+        np.put_along_axis(wanted, np.argpartition(bound, -min(FIRST, nb), 1)[:, -min(FIRST, nb) :], True, 1)
+        least = np.zeros(nq)
+        for _ in range(2):
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                rows = np.flatnonzero(wanted[:, b])
+                cells[rows, b] += q[rows] @ self.blocks[b]
+            read |= wanted
+            own = np.flatnonzero(without >= 0)
+            scores[own, without[own]] = 0
+            known = np.where(read[:, :, None], cells, 0).reshape(nq, -1)
+            known = np.round(known, 12)
+            if known.shape[1] >= k:
+                least = np.partition(known, -k, 1)[:, -k]
+            wanted = (bound >= np.maximum(least - 1e-9, 1e-300)[:, None]) & ~read
+        out = []
+        for row, edge in zip(known, least, strict=True):
+            some = np.flatnonzero((row > 0) & (row >= edge))
+            order = some[np.lexsort((some, -row[some]))[:k]]
+            out.append(list(zip(row[order].tolist(), order.tolist(), strict=True)))
+        return out
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of the toxic votes; a vote weighs the cosine and what its label stands for, beside half a vote of the prior."""
@@ -195,10 +218,13 @@ class Index:
         """Isotonic fit of the examples' labels to the votes that the others cast. An example's vector is then over the terms of the others, as that of any text."""
         terms, values, cut = self.own
         votes, shared = np.zeros(len(self.labels)), self.size > 1
-        for i in range(len(votes)):
-            at, w = terms[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
-            at, w = at[shared[at]], w[shared[at]]
-            votes[i] = self.vote(self.nearest(at, w / np.sqrt((w**2).sum()) if len(at) else w, without=i))
+        for low in range(0, len(votes), TOGETHER):
+            queries, numbers = [], list(range(low, min(low + TOGETHER, len(votes))))
+            for i in numbers:
+                at, w = terms[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]
+                at, w = at[shared[at]], w[shared[at]]
+                queries.append((at, w / np.sqrt((w**2).sum()) if len(at) else w))
+            votes[numbers] = [self.vote(found) for found in self.all_nearest(queries, without=numbers)]
         del self.own
         if len(votes):
             order = np.argsort(votes, kind="stable")
@@ -212,7 +238,7 @@ class Index:
 
     def scores(self, queries: list) -> list[tuple[float, list[tuple[float, int]]]]:
         """Calibrated score and the neighbours of each query. No term: the prior of examples without terms."""
-        return [(float(np.interp(self.vote(found), self.grid, self.calibrated)) if found else self.prior, found) for found in (self.nearest(at, w) for at, w in queries)]
+        return [(float(np.interp(self.vote(found), self.grid, self.calibrated)) if found else self.prior, found) for found in self.all_nearest(queries)]
 
 
 def _counts(terms: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
