@@ -22,6 +22,8 @@ NEIGHBOURS = 15
 PREFIXES = (4, 5, 6)
 #: A term of more than 1 / FREQUENT of the examples stands in blocks of BLOCK examples, each with its largest weight; blocks that are read before the others' bounds are held against what they hold; term counts that are sent together.
 FREQUENT, BLOCK, FIRST, COUNTS = 8, 8, 12, 1 << 15
+#: How far a cosine in 32-bit floats may be from the exact one; terms by which examples are put in order.
+INEXACT, ORDERED_BY = 1e-4, 256
 #: Queries that are answered together, so that a block is read once for all that need it.
 TOGETHER = 128
 #: score at which a document is predicted toxic.
@@ -104,23 +106,27 @@ class Index:
         doc, w = np.repeat(np.arange(n, dtype=np.int32), np.diff(cut)), (1 + np.log(count)) * self.idf[at]
         w /= np.sqrt(np.bincount(doc, w * w, n))[doc]
         self.own = at.astype(np.int32), w, cut
-        order = np.argsort(at, kind="stable")
-        at, self.doc, self.w = at[order], doc[order].astype(np.intp), w[order]
-        del order
-        self.first = np.searchsorted(at, np.arange(len(self.terms) + 1))
-        self.size = np.diff(self.first)
-        often = np.flatnonzero(self.size > max(8, n // FREQUENT))
+        size = np.bincount(at, minlength=len(self.terms))
+        often = np.flatnonzero(size > max(8, n // FREQUENT))
         self.row = np.full(len(self.terms), -1, np.int32)
         self.row[often] = np.arange(len(often))
         dense, blocks = self.row[at] >= 0, -(-n // BLOCK)
-        self.blocks = np.zeros((blocks, len(often), BLOCK))
-        self.blocks[self.doc[dense] // BLOCK, self.row[at[dense]], self.doc[dense] % BLOCK] = self.w[dense]
+        self.blocks = np.zeros((blocks, len(often), BLOCK), np.float32)
+        self.blocks[doc[dense] // BLOCK, self.row[at[dense]], doc[dense] % BLOCK] = w[dense]
         self.bounds = np.ascontiguousarray(self.blocks.max(2).T)
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(at[rare], kind="stable")]
+        self.postings = np.empty(len(rare), np.uint64)  # a weight and an example's number in 32 bits each
+        self.postings.view(np.float32)[::2], self.postings.view(np.int32)[1::2] = w[rare], doc[rare]
+        self.first = np.searchsorted(at[rare], np.arange(len(self.terms) + 1))
+        self.size = np.diff(self.first)
 
     def _order(self, at: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Examples by their frequent terms, alike ones next to each other: by the signs of the two main axes, then along the third."""
         n = len(cut) - 1
-        often = np.flatnonzero(np.bincount(at, minlength=len(self.terms)) > max(8, n // FREQUENT))
+        size = np.bincount(at, minlength=len(self.terms))
+        often = np.argsort(-size, kind="stable")[:ORDERED_BY]
+        often = often[size[often] > max(8, n // FREQUENT)]
         if n < 3 or len(often) < 3:
             return np.arange(n)
         row = np.full(len(self.terms), -1, np.int32)
@@ -134,13 +140,12 @@ class Index:
 
     def __getstate__(self):
         """What executors can't make anew from the counts."""
-        return {k: x for k, x in vars(self).items() if k not in ("own", "doc", "w", "first", "size", "row", "blocks", "bounds")}
+        return {k: x for k, x in vars(self).items() if k not in ("own", "postings", "first", "size", "row", "blocks", "bounds")}
 
     def __setstate__(self, state):
         vars(self).update(state)
         at, count, cut = self.counts
         self._build(np.cumsum(np.frombuffer(zlib.decompress(at), np.int32), dtype=np.int32), np.frombuffer(zlib.decompress(count), np.int32), cut)
-        del self.own
 
     def _counts(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term number, count) of the index's terms, by document and term."""
@@ -162,7 +167,8 @@ class Index:
         """nearest() of each of the queries.
 
         The rare terms' postings and the largest weights of the frequent terms' blocks bound what a block of examples can reach. The blocks of the largest
-        bounds are read first; then those whose bound reaches the k-th cosine found so far. The other blocks are not read.
+        bounds are read first; then those whose bound reaches the k-th cosine found so far. The other blocks are not read. All this is in 32-bit floats; what comes
+        within their error of the k-th cosine is multiplied out again with the examples' own vectors.
         """
         out = []
         for low in range(0, len(queries), TOGETHER):
@@ -174,7 +180,7 @@ class Index:
         nq, nb = len(queries), len(self.blocks)
         if not nb:
             return [[] for _ in queries]
-        q, scores = np.zeros((nq, self.blocks.shape[1])), np.zeros((nq, nb * BLOCK))
+        q, scores = np.zeros((nq, self.blocks.shape[1]), np.float32), np.zeros((nq, nb * BLOCK), np.float32)
         for i, (at, w) in enumerate(queries):
             r = self.row[at]
             rare, often = r < 0, r >= 0
@@ -182,13 +188,13 @@ class Index:
             n = self.size[at[rare]]
             cuts = list(zip(self.first[at[rare]].tolist(), (self.first[at[rare]] + n).tolist(), strict=True))
             if cuts:
-                docs, weights = (np.concatenate([x[a:b] for a, b in cuts]) for x in (self.doc, self.w))
-                scores[i] = np.bincount(docs, weights * np.repeat(w[rare], n), nb * BLOCK)
+                found = np.concatenate([self.postings[a:b] for a, b in cuts])
+                scores[i] = np.bincount(found.view(np.int32)[1::2], found.view(np.float32)[::2] * np.repeat(w[rare], n), nb * BLOCK)
         cells = scores.reshape(nq, nb, BLOCK)
         bound = cells.max(2) + q @ self.bounds
         wanted, read = np.zeros((nq, nb), bool), np.zeros((nq, nb), bool)
         np.put_along_axis(wanted, np.argpartition(bound, -min(FIRST, nb), 1)[:, -min(FIRST, nb) :], True, 1)
-        least = np.zeros(nq)
+        least = np.zeros(nq, np.float32)
         for _ in range(2):
             for b in np.flatnonzero(wanted.any(0)).tolist():
                 rows = np.flatnonzero(wanted[:, b])
@@ -197,16 +203,25 @@ class Index:
             own = np.flatnonzero(without >= 0)
             scores[own, without[own]] = 0
             known = np.where(read[:, :, None], cells, 0).reshape(nq, -1)
-            known = np.round(known, 12)
             if known.shape[1] >= k:
-                least = np.partition(known, -k, 1)[:, -k]
-            wanted = (bound >= np.maximum(least - 1e-9, 1e-300)[:, None]) & ~read
-        out = []
-        for row, edge in zip(known, least, strict=True):
-            some = np.flatnonzero((row > 0) & (row >= edge))
-            order = some[np.lexsort((some, -row[some]))[:k]]
-            out.append(list(zip(row[order].tolist(), order.tolist(), strict=True)))
-        return out
+                least = np.partition(known, -k, 1)[:, -k] - 2 * INEXACT
+            wanted = (bound >= np.maximum(least, 1e-30)[:, None]) & ~read
+        weights = np.zeros(len(self.terms))
+        return [self._exact(np.flatnonzero((row > 0) & (row >= edge)), *query, k, weights) for query, row, edge in zip(queries, known, least, strict=True)]
+
+    def _exact(self, found: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, weights: np.ndarray) -> list[tuple[float, int]]:
+        """The first k of the found examples by their exact cosine. weights: zeros for all terms, which it leaves as they were."""
+        if not len(found):
+            return []
+        terms, values, cut = self.own
+        n = cut[found + 1] - cut[found]
+        where = np.repeat(cut[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        weights[at] = w
+        shared = weights[terms[where]] * values[where]
+        weights[at] = 0
+        scores = np.round(np.add.reduceat(shared, np.cumsum(n) - n), 12)
+        order = np.lexsort((found, -scores))[:k]
+        return [(s, i) for s, i in zip(scores[order].tolist(), found[order].tolist(), strict=True) if s > 0]
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Share of the toxic votes; a vote weighs the cosine and what its label stands for, beside half a vote of the prior."""
@@ -217,7 +232,7 @@ class Index:
     def _calibrate(self):
         """Isotonic fit of the examples' labels to the votes that the others cast. An example's vector is then over the terms of the others, as that of any text."""
         terms, values, cut = self.own
-        votes, shared = np.zeros(len(self.labels)), self.size > 1
+        votes, shared = np.zeros(len(self.labels)), np.bincount(terms, minlength=len(self.terms)) > 1
         for low in range(0, len(votes), TOGETHER):
             queries, numbers = [], list(range(low, min(low + TOGETHER, len(votes))))
             for i in numbers:
@@ -225,7 +240,6 @@ class Index:
                 at, w = at[shared[at]], w[shared[at]]
                 queries.append((at, w / np.sqrt((w**2).sum()) if len(at) else w))
             votes[numbers] = [self.vote(found) for found in self.all_nearest(queries, without=numbers)]
-        del self.own
         if len(votes):
             order = np.argsort(votes, kind="stable")
             means: list[list[float]] = []

@@ -123,8 +123,8 @@ def test_nearest_is_exact():
     ix = toxicity.Index(toy())
     assert len(ix.terms) and len(ix.labels)
     dense = np.zeros((len(ix.labels), len(ix.terms)))
-    for t in range(len(ix.terms)):
-        dense[ix.doc[ix.first[t] : ix.first[t + 1]], t] = ix.w[ix.first[t] : ix.first[t + 1]]
+    for i, (a, b) in enumerate(zip(ix.own[2][:-1], ix.own[2][1:], strict=True)):
+        dense[i, ix.own[0][a:b]] = ix.own[1][a:b]
     assert np.allclose((dense**2).sum(1), 1)
     data, off = tb.buffers(pa.array([t for t, _ in toy(2, 80)] + ["idiot idiot scum", "", None]))
     for k in (1, 5, 15):
@@ -155,9 +155,8 @@ def test_toxicity_scores_against_plain_python():
     rows = toy(4, 120)
     ix = toxicity.Index(rows)
     dense = np.zeros((len(ix.labels), len(ix.terms)))
-    for t in range(len(ix.terms)):
-        at, w = ix.doc[ix.first[t] : ix.first[t + 1]], ix.w[ix.first[t] : ix.first[t + 1]]
-        dense[at, t] = w
+    for i, (a, b) in enumerate(zip(ix.own[2][:-1], ix.own[2][1:], strict=True)):
+        dense[i, ix.own[0][a:b]] = ix.own[1][a:b]
 
     def vote(cosines):
         cosines = np.round(cosines, 12)
