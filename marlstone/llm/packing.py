@@ -26,8 +26,8 @@ WINDOWS, SLACK = 128, 3
 TOGETHER = 2 << 20
 #: The id that ends a document.
 END_ID = 1
-#: Words that are kept, and the characters of the longest: 250 bytes each at most, 100 MB in a process.
-_CACHE_WORDS, _CACHE_LENGTH = 400_000, 32
+#: Words that are kept, and the characters of the longest: 250 bytes each at most, 125 MB in a process.
+_CACHE_WORDS, _CACHE_LENGTH = 500_000, 40
 _END = struct.pack("<I", END_ID)
 #: str.split also splits at these, which the tokenizer doesn't take for white space.
 _CONTROL, _SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"[ \n\r\t]+")
