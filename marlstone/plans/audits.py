@@ -165,7 +165,7 @@ def mean_variance(spark, sf):
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("pca_scores", f"with {PANEL} select cast(count(distinct d) as bigint) n, 5 as components, true as orthogonal, 1.0 as explained from panel")
+@query("pca_scores", f"with {PANEL} select cast(count(distinct d) as bigint) n, 5 as components, true as orthogonal, 1.0::double as explained from panel")
 def pca_scores(spark, sf):
     """Scores on all components without shrinkage are uncorrelated with the components' eigenvalues as variances; the shares sum to 1."""
     m = R.pivot_matrix(panel(spark, sf), "d", "event_type", "v", KINDS)
@@ -178,7 +178,7 @@ def pca_scores(spark, sf):
     return s.agg(n_(), F.lit(5).alias("components"), ok.alias("orthogonal")).withColumn("explained", f.select(F.round(F.sum("explained"), 6)).scalar())
 
 
-@query("sharpe_variants", f"with {MONTHLY} select round(sqrt(12) * avg(ret) / stddev_samp(ret), 6) sample, round(sqrt(12) * avg(ret) / stddev_pop(ret), 6) population, 0.0 as flat from monthly")
+@query("sharpe_variants", f"with {MONTHLY} select round(sqrt(12) * avg(ret) / stddev_samp(ret), 6) sample, round(sqrt(12) * avg(ret) / stddev_pop(ret), 6) population, 0.0::double as flat from monthly")
 def sharpe_variants(spark, sf):
     return monthly(spark, sf).withColumn("one", F.lit(1.0)).agg(r6(stats.sharpe("ret", 12), "sample"), r6(stats.sharpe("ret", 12, sample=False), "population"), stats.sharpe("one").alias("flat"))
 
@@ -196,7 +196,7 @@ def strategy_stats(spark, sf):
     return out.select("event_type", *(r6(F.col(c), c) for c in ("mean", "vol", "sharpe", "win_rate")))
 
 
-_ANNUAL = "a as (select o_custkey k, year(o_orderdate) y, sum(o_totalprice) revenue, sum(o_totalprice) / 10 - 5000 net_income, sum(o_totalprice) / 8 operating_income, avg(o_totalprice) / 1e6 roe, count(*) * 1000.0 cf_operating, -count(*) * 300.0 cf_investing from orders group by 1, 2)"
+_ANNUAL = "a as (select o_custkey k, year(o_orderdate) y, sum(o_totalprice) revenue, sum(o_totalprice) / 10 - 5000 net_income, sum(o_totalprice) / 8 operating_income, avg(o_totalprice) / 1e6 roe, count(*) * 1000.0::double cf_operating, -count(*) * 300.0::double cf_investing from orders group by 1, 2)"
 
 
 @query(
@@ -519,7 +519,7 @@ def multiscale_windows(spark, sf):
 @query(
     "scalar_codes",
     """with c as (select p_partkey, cast(p_partkey + 10000 as varchar) code, case p_partkey % 4 when 0 then '-' when 1 then ' 1.5 ' when 2 then '' else 'x' end num from part)
-    select p_partkey, case when code like '%0' then left(code, 4) else code end security_code, regexp_matches(code, '^[0-9][0-9ACDFGHJKLMNPRSTUWXY][0-9][0-9ACDFGHJKLMNPRSTUWXY]$') valid, case when p_partkey % 4 = 1 then 1.5 end number, cast(p_partkey as bigint) prefix, p_partkey * 1234.5 as percent, 1900 + p_partkey % 30 + 70 as year_a, 2000 + p_partkey % 70 as year_b from c""",
+    select p_partkey, case when code like '%0' then left(code, 4) else code end security_code, regexp_matches(code, '^[0-9][0-9ACDFGHJKLMNPRSTUWXY][0-9][0-9ACDFGHJKLMNPRSTUWXY]$') valid, case when p_partkey % 4 = 1 then 1.5::double end number, cast(p_partkey as bigint) prefix, p_partkey * 1234.5::double as percent, 1900 + p_partkey % 30 + 70 as year_a, 2000 + p_partkey % 70 as year_b from c""",
 )
 def scalar_codes(spark, sf):
     k, code = F.col("p_partkey"), (F.col("p_partkey") + 10_000).cast("string")

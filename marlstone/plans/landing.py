@@ -196,7 +196,7 @@ def fred_csv(spark, sf):
 SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Year</t></is></c></row><row r="2"><c r="A2"><v>2004</v></c><c r="C2"><v>{0}.5</v></c></row><row r="3"><c r="A3" t="inlineStr"><is><t>2005e</t></is></c><c r="B3"><v>{0}</v></c></row></sheetData></worksheet>'
 
 
-@query("workbooks", "select r_name, 2004 as year, r_regionkey + 0.5 as value from region union all select r_name, 2005, r_regionkey from region")
+@query("workbooks", "select r_name, 2004 as year, r_regionkey + 0.5::double as value from region union all select r_name, 2005, r_regionkey::double from region")
 def workbooks(spark, sf):
     def book(frames):
         for pdf in frames:
@@ -322,7 +322,7 @@ def paging_styles(spark, sf):
     return spark.createDataFrame([(k, len(v), sum(v)) for k, v in got.items()], "style string, n int, total int")
 
 
-@query("provider_chain", "select 'second' provider, 3 n, 0.45 as mid")
+@query("provider_chain", "select 'second' provider, 3 n, 0.45::double as mid")
 def provider_chain(spark, sf):
     name, rows = connectors.first_provider([("first", lambda: [1]), ("second", lambda: [1, 2, 3])], 2)
     return spark.createDataFrame([(name, len(rows), connectors.optional_number(lambda: {"mid_price": "0.45"}, "mid", "mid_price"))], "provider string, n int, mid double")
