@@ -6,13 +6,13 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import try_ratio
 from .relational import range_join
 from .stats import safe_corr, sharpe
-from .timeseries import max_drawdown, ordered
+from .timeseries import max_drawdown, ordered, over
 
 
 def neutral_weights(df: DataFrame, date: str, weight: str, out: str = "w") -> DataFrame:
@@ -72,13 +72,17 @@ def compare_gates(primary: DataFrame, ablation: DataFrame, folds: int) -> DataFr
     return out.withColumn("decision", F.when(~F.col("enough_folds"), "feasibility_only").when(F.array_position(F.array(*gates), False) == 0, "confirm").otherwise("reject"))
 
 
-def market_reward(df: DataFrame, key: Sequence[str], time: str, own: str, market: str, turnover: str, window: int = 60, corr_weight: float = 1.0, cost_weight: float = 1.0) -> DataFrame:
+def market_reward(df: DataFrame, key: Sequence[str], time: str, own: str, market: str, turnover: str, window: int = 60, corr_weight: float = 1.0, cost_weight: float = 1.0, parts: int | None = None) -> DataFrame:
     """(own - market) / deviation - correlation and turnover terms, over the `window` rows before each."""
-    w = ordered(key, time).rowsBetween(-window, -1)
-    sd, sm = F.stddev_pop(own).over(w), F.stddev_pop(market).over(w)
-    corr = F.when((F.count(own).over(w) >= 2) & (sd > 1e-12) & (sm > 1e-12), try_ratio(F.covar_pop(own, market).over(w), sd * sm)).otherwise(0.0)
-    sigma = F.greatest(F.coalesce(sd, F.lit(0.0)), F.lit(1e-8))
-    return df.withColumn("reward", (F.col(own) - F.col(market)) / sigma - corr_weight * corr - cost_weight * F.col(turnover))
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        w = w.rowsBetween(-window, -1)
+        sd, sm = F.stddev_pop(own).over(w), F.stddev_pop(market).over(w)
+        corr = F.when((F.count(own).over(w) >= 2) & (sd > 1e-12) & (sm > 1e-12), try_ratio(F.covar_pop(own, market).over(w), sd * sm)).otherwise(0.0)
+        sigma = F.greatest(F.coalesce(sd, F.lit(0.0)), F.lit(1e-8))
+        return {"reward": (F.col(own) - F.col(market)) / sigma - corr_weight * corr - cost_weight * F.col(turnover)}
+
+    return over(df, key, time, columns, before=window, parts=parts)
 
 
 def scaled_position(df: DataFrame, key: Sequence[str], time: str, signal: str, sigma: str, ret: str, target: float = 0.15, cost_bps: float = 0.0) -> DataFrame:

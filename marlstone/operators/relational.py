@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .scan import scan
 
 #: Rows of a side that a join may broadcast without asking Catalyst; larger sides are left to it.
 SMALL_ROWS = 100_000
@@ -48,17 +49,22 @@ def as_of(df: DataFrame, key: Sequence[str], time: str, cutoff: Column, values:
     return df.filter(F.col(time) <= cutoff).groupBy(*key).agg(*(F.max_by(v, by).alias(v) for v in values))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, right_time: str, values: Sequence[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, right_time: str, values: Sequence[str], parts: int | None = None) -> DataFrame:
     """Each left row with the values of the right row of its key that is latest at its time.
 
-    One sort of both sides by key and time, instead of a range join.
+    Both sides are cut into segments of (key, time) together; each segment takes the last right row before it from those in front of it,
+    so that a key of any size is spread over as many tasks as it has rows for.
     """
-    l = left.withColumns({"__t": F.col(time), "__r": F.lit(1), **{f"__v_{v}": F.lit(None).cast(right.schema[v].dataType) for v in values}, "__has": F.lit(None).cast("boolean")})
-    r = right.select(*key, F.col(right_time).alias("__t"), F.lit(0).alias("__r"), *(F.col(v).alias(f"__v_{v}") for v in values), F.lit(True).alias("__has"))
-    w = Window.partitionBy(*key).orderBy("__t", "__r").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True)
-    last = F.last(F.when(F.col("__has"), F.struct(*(F.col(f"__v_{v}").alias(v) for v in values))), ignorenulls=True).over(w)
-    return both.withColumn("__last", last).filter("__r = 1").select(*left.columns, *(F.col("__last")[v].alias(v) for v in values))
+    none, held = lambda v: F.lit(None).cast(right.schema[v].dataType), F.struct(*(F.col(f"__v_{v}").alias(v) for v in values))
+    l = left.withColumns({"__t": F.col(time), "__r": F.lit(1), **{f"__v_{v}": none(v) for v in values}})
+    r = right.select(*key, F.col(right_time).alias("__t"), F.lit(0).alias("__r"), *(F.col(v).alias(f"__v_{v}") for v in values))
+    both = scan(
+        l.unionByName(r, allowMissingColumns=True), key, ["__t", "__r"],
+        local=lambda w: {"__x": F.last(F.when(F.col("__r") == 0, held), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))},
+        summary={"x": F.max_by("__x", F.struct("__t", "__r"))},
+        combine=lambda a, b: {"x": F.coalesce(b["x"], a["x"])}, finish=lambda c: {"__last": F.coalesce(F.col("__x"), c["x"])}, parts=parts,
+    )
+    return both.filter("__r = 1").select(*left.columns, *(F.col("__last")[v].alias(v) for v in values))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, rows: int = SMALL_ROWS) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import try_ratio
 from .relational import keep_row
-from .timeseries import max_drawdown, ordered
+from .scan import whole
+from .timeseries import max_drawdown, ordered, over
 
 
 def sharpe(ret: str, periods: int = 252, sample: bool = True) -> Column:
@@ -34,12 +35,11 @@ def factor_metrics(df: DataFrame, key: Sequence[str], time: str, ret: str, perio
     return out.join(worst, list(key)) if key else out.withColumn("max_drawdown", worst.scalar())
 
 
-def newey_west(df: DataFrame, key: Sequence[str], time: str, ret: str, lags: int = 6, strict: bool = False) -> DataFrame:
+def newey_west(df: DataFrame, key: Sequence[str], time: str, ret: str, lags: int = 6, strict: bool = False, parts: int | None = None) -> DataFrame:
     """t value of the mean with Bartlett weights over min(lags, n - 1) autocovariances; if the variance isn't positive null, or with `strict` an error."""
-    whole = Window.partitionBy(*key)
-    c = df.withColumns({"__c": F.col(ret) - F.avg(ret).over(whole), "__n": F.count(ret).over(whole)})
+    c = whole(df, key, __m=F.avg(ret), __n=F.count(ret)).withColumn("__c", F.col(ret) - F.col("__m"))
     used = F.least(F.lit(lags), F.col("__n") - 1)
-    c = c.withColumns({f"__c{k}": F.col("__c") * F.lag("__c", k).over(ordered(key, time)) for k in range(1, lags + 1)})
+    c = over(c, key, time, lambda w: {f"__c{k}": F.col("__c") * F.lag("__c", k).over(w) for k in range(1, lags + 1)}, before=lags, parts=parts)
     weight = [F.greatest(F.lit(0.0), 1 - F.lit(k) / (used + 1)) for k in range(1, lags + 1)]
     variance = F.sum(F.col("__c") * F.col("__c")) + 2 * sum((F.coalesce(F.sum(w * F.col(f"__c{k}")), F.lit(0.0)) for k, w in enumerate(weight, 1)), F.lit(0.0))
     out = c.groupBy(*key).agg(F.avg(ret).alias("mean"), F.count(ret).alias("n"), variance.alias("v"))

@@ -1,39 +1,55 @@
-"""Time series by key: every function takes (frame, key columns, order column) and adds columns over one window."""
+"""Time series by key: every function takes (frame, key columns, order column) and adds columns.
+
+With keys, the columns are windows by key. Without any (`key=[]`), or where `parts` says into how many, the series are cut into segments that are
+worked on apart (`scan`), so that one long series, or a key that holds much of the rows, doesn't end in one task; the results are the same.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import try_ratio
+from .scan import scan, whole, windowed
 
 
 def ordered(key: Sequence[str], time: str):
     return Window.partitionBy(*key).orderBy(time)
 
 
-def simple_return(df: DataFrame, key: Sequence[str], time: str, price: str, out: str = "ret") -> DataFrame:
+def over(df: DataFrame, key: Sequence[str], time: str, columns: Callable[[WindowSpec], dict[str, Column]], before: int = 0, after: int = 0, parts: int | None = None) -> DataFrame:
+    """df with columns(w), over frames that reach at most so many rows back and ahead."""
+    if key and parts is None:
+        return df.withColumns(columns(ordered(key, time)))
+    return windowed(df, key, time, columns, before, after, parts)
+
+
+def simple_return(df: DataFrame, key: Sequence[str], time: str, price: str, out: str = "ret", parts: int | None = None) -> DataFrame:
     """(p - p') / p' against the row before; null where either is missing or zero."""
-    p, before = F.nullif(F.col(price), F.lit(0.0)), F.lag(price).over(ordered(key, time))
-    return df.withColumn(out, try_ratio(p - before, before))
+    p = F.nullif(F.col(price), F.lit(0.0))
+    return over(df, key, time, lambda w: {out: try_ratio(p - F.lag(price).over(w), F.lag(price).over(w))}, before=1, parts=parts)
 
 
-def log_return(df: DataFrame, key: Sequence[str], time: str, price: str, lag: int = 1, out: str = "log_ret") -> DataFrame:
+def log_return(df: DataFrame, key: Sequence[str], time: str, price: str, lag: int = 1, out: str = "log_ret", parts: int | None = None) -> DataFrame:
     """ln(p / p') against the row `lag` before."""
-    return df.withColumn(out, F.ln(F.col(price)) - F.ln(F.lag(price, lag).over(ordered(key, time))))
+    return over(df, key, time, lambda w: {out: F.ln(F.col(price)) - F.ln(F.lag(price, lag).over(w))}, before=lag, parts=parts)
 
 
-def momentum(df: DataFrame, key: Sequence[str], time: str, price: str, window: int, out: str = "mom") -> DataFrame:
-    return log_return(df, key, time, price, window, out)
+def momentum(df: DataFrame, key: Sequence[str], time: str, price: str, window: int, out: str = "mom", parts: int | None = None) -> DataFrame:
+    return log_return(df, key, time, price, window, out, parts)
 
 
-def rolling(df: DataFrame, key: Sequence[str], time: str, value: str, window: int, full: bool = True) -> DataFrame:
+def rolling(df: DataFrame, key: Sequence[str], time: str, value: str, window: int, full: bool = True, parts: int | None = None) -> DataFrame:
     """Mean and population deviation of the last `window` rows, as mean_w and std_w; with `full`, null until all of them have values."""
-    w = ordered(key, time).rowsBetween(1 - window, 0)
-    ok = (F.count(value).over(w) == window) if full else F.lit(True)
-    return df.withColumns({f"mean_{window}": F.when(ok, F.avg(value).over(w)), f"std_{window}": F.when(ok, F.stddev_pop(value).over(w))})
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        w = w.rowsBetween(1 - window, 0)
+        ok = (F.count(value).over(w) == window) if full else F.lit(True)
+        return {f"mean_{window}": F.when(ok, F.avg(value).over(w)), f"std_{window}": F.when(ok, F.stddev_pop(value).over(w))}
+
+    return over(df, key, time, columns, before=window - 1, parts=parts)
 
 
 def cross_section_zscore(df: DataFrame, date: str, values: Sequence[str]) -> DataFrame:
@@ -42,22 +58,51 @@ def cross_section_zscore(df: DataFrame, date: str, values: Sequence[str]) -> Dat
     return df.withColumns({f"z_{v}": F.coalesce(try_ratio(F.col(v) - F.avg(v).over(w), F.stddev_pop(v).over(w)), F.lit(0.0)) for v in values})
 
 
-def wealth(df: DataFrame, key: Sequence[str], time: str, ret: str, out: str = "wealth") -> DataFrame:
+_SO_FAR = (Window.unboundedPreceding, 0)
+
+
+def _growth(df: DataFrame, key: Sequence[str], time: str, ret: str, parts: int | None) -> DataFrame:
+    """df with __log and __top: the sum of log1p(r) up to each row, and its largest value so far."""
+    if key and parts is None:
+        w = ordered(key, time).rowsBetween(*_SO_FAR)
+        return df.withColumn("__log", F.sum(F.log1p(ret)).over(w)).withColumn("__top", F.max("__log").over(w))
+    total = F.coalesce(F.sum(F.log1p(ret)), F.lit(0.0))
+    none = F.lit(float("-inf"))
+    return scan(
+        df, key, time, local=lambda w: {"__l": F.sum(F.log1p(ret)).over(w.rowsBetween(*_SO_FAR)), "__m": F.max("__l").over(w.rowsBetween(*_SO_FAR))},
+        summary={"sum": total, "top": F.coalesce(F.max("__l"), none)},
+        combine=lambda a, b: {"sum": a["sum"] + b["sum"], "top": F.greatest(a["top"], a["sum"] + b["top"])},
+        finish=lambda c: {"__log": F.coalesce(F.col("__l") + F.coalesce(c["sum"], F.lit(0.0)), F.when(c["top"] > none, c["sum"])), "__top": F.nullif(F.greatest(c["top"], F.col("__m") + F.coalesce(c["sum"], F.lit(0.0))), none)},
+        parts=parts,
+    )
+
+
+def wealth(df: DataFrame, key: Sequence[str], time: str, ret: str, out: str = "wealth", parts: int | None = None) -> DataFrame:
     """Running product of 1 + r, for r > -1."""
-    return df.withColumn(out, F.exp(F.sum(F.log1p(ret)).over(ordered(key, time).rowsBetween(Window.unboundedPreceding, 0))))
+    return _growth(df, key, time, ret, parts).withColumn(out, F.exp("__log")).drop("__log", "__top")
 
 
-def drawdown(df: DataFrame, key: Sequence[str], time: str, ret: str, include_initial: bool = True, out: str = "drawdown") -> DataFrame:
+def drawdown(df: DataFrame, key: Sequence[str], time: str, ret: str, include_initial: bool = True, out: str = "drawdown", parts: int | None = None) -> DataFrame:
     """wealth / peak - 1, where the peak counts the initial 1.0 or not."""
-    df = wealth(df, key, time, ret, "__w")
-    peak = F.max("__w").over(ordered(key, time).rowsBetween(Window.unboundedPreceding, 0))
+    df = _growth(df, key, time, ret, parts)
+    peak = F.exp("__top")
     peak = F.greatest(F.lit(1.0), peak) if include_initial else peak
-    return df.withColumn(out, F.col("__w") / peak - 1).drop("__w")
+    return df.withColumn(out, F.exp("__log") / peak - 1).drop("__log", "__top")
 
 
-def max_drawdown(df: DataFrame, key: Sequence[str], time: str, ret: str, include_initial: bool = True, positive_percent: bool = False) -> DataFrame:
+def max_drawdown(df: DataFrame, key: Sequence[str], time: str, ret: str, include_initial: bool = True, positive_percent: bool = False, parts: int | None = None) -> DataFrame:
     worst = F.min(F.least(F.col("drawdown"), F.lit(0.0)))
-    return drawdown(df, key, time, ret, include_initial).groupBy(*key).agg((-worst * 100 if positive_percent else worst).alias("max_drawdown"))
+    return drawdown(df, key, time, ret, include_initial, parts=parts).groupBy(*key).agg((-worst * 100 if positive_percent else worst).alias("max_drawdown"))
+
+
+def numbered(df: DataFrame, key: Sequence[str], time: str, out: str, parts: int | None = None) -> DataFrame:
+    """df with each row's number, from 1."""
+    if key and parts is None:
+        return df.withColumn(out, F.row_number().over(ordered(key, time)).cast("long"))
+    return scan(
+        df, key, time, local=lambda w: {"__row": F.row_number().over(w).cast("long")}, summary={"n": F.count("*")},
+        combine=lambda a, b: {"n": a["n"] + b["n"]}, finish=lambda c: {out: F.col("__row") + F.coalesce(c["n"], F.lit(0))}, parts=parts,
+    )
 
 
 def turnover(df: DataFrame, asset: Sequence[str], date: str, weight: str = "w") -> DataFrame:
@@ -66,10 +111,10 @@ def turnover(df: DataFrame, asset: Sequence[str], date: str, weight: str = "w")
     return df.withColumn("__s", step).groupBy(date).agg(F.sum("__s").alias("turnover"))
 
 
-def blocks(df: DataFrame, key: Sequence[str], time: str, value: str, size: int, out: str = "realized") -> DataFrame:
+def blocks(df: DataFrame, key: Sequence[str], time: str, value: str, size: int, out: str = "realized", parts: int | None = None) -> DataFrame:
     """Sum of squares over blocks of `size` rows in order; the last may be shorter."""
-    n = F.floor((F.row_number().over(ordered(key, time)) - 1) / size)
-    return df.withColumn("block", n).groupBy(*key, "block").agg(F.sum(F.col(value) * F.col(value)).alias(out))
+    n = F.floor((F.col("__i") - 1) / size)
+    return numbered(df, key, time, "__i", parts).withColumn("block", n).groupBy(*key, "block").agg(F.sum(F.col(value) * F.col(value)).alias(out))
 
 
 def gaps(df: DataFrame, key: Sequence[str], year: str) -> DataFrame:
@@ -78,8 +123,8 @@ def gaps(df: DataFrame, key: Sequence[str], year: str) -> DataFrame:
     return df.withColumn("__b", before).filter((F.col("__b").isNotNull()) & (F.col(year) != F.col("__b") + 1)).drop("__b")
 
 
-def sign_signal(df: DataFrame, key: Sequence[str], time: str, price: str, lag: int = 252, out: str = "signal") -> DataFrame:
-    return df.withColumn(out, F.signum(F.col(price) - F.lag(price, lag).over(ordered(key, time))))
+def sign_signal(df: DataFrame, key: Sequence[str], time: str, price: str, lag: int = 252, out: str = "signal", parts: int | None = None) -> DataFrame:
+    return over(df, key, time, lambda w: {out: F.signum(F.col(price) - F.lag(price, lag).over(w))}, before=lag, parts=parts)
 
 
 def yoy_growth(df: DataFrame, key: Sequence[str], period: str, value: str, out: str = "growth") -> DataFrame:
@@ -90,10 +135,13 @@ def yoy_growth(df: DataFrame, key: Sequence[str], period: str, value: str, out:
     return rows.select(*key, F.when(ok, (F.col(value) - F.col("__p")) / F.abs("__p")).alias(out))
 
 
-def midpoint(df: DataFrame, key: Sequence[str], time: str, out: str = "half") -> DataFrame:
+def midpoint(df: DataFrame, key: Sequence[str], time: str, out: str = "half", parts: int | None = None) -> DataFrame:
     """'early' for the first n // 2 rows of each key, else 'late'."""
-    n = F.count("*").over(Window.partitionBy(*key))
-    return df.withColumn(out, F.when(F.row_number().over(ordered(key, time)) <= F.floor(n / 2), "early").otherwise("late"))
+    if key and parts is None:
+        rows = df.withColumns({"__n": F.count("*").over(Window.partitionBy(*key)), "__i": F.row_number().over(ordered(key, time))})
+    else:
+        rows = whole(numbered(df, key, time, "__i", parts), key, __n=F.count("*"))
+    return rows.withColumn(out, F.when(F.col("__i") <= F.floor(F.col("__n") / 2), "early").otherwise("late")).drop("__n", "__i")
 
 
 def early_and_recent(df: DataFrame, key: Sequence[str], time: str, value: str, most: int = 7) -> DataFrame:
@@ -125,9 +173,9 @@ def multiscale_window(series: Column, t: Column, steps: Sequence[int] = (1, 5, 2
     return F.array(*map(at_step, steps))
 
 
-def next_period(df: DataFrame, key: Sequence[str], time: str, value: str, out: str = "target") -> DataFrame:
+def next_period(df: DataFrame, key: Sequence[str], time: str, value: str, out: str = "target", parts: int | None = None) -> DataFrame:
     """The value one row later, for decisions that see only what came before; the last row of each key goes."""
-    return df.withColumn(out, F.lead(value).over(ordered(key, time))).withColumn("__l", F.lead(F.lit(1)).over(ordered(key, time))).filter("__l = 1").drop("__l")
+    return over(df, key, time, lambda w: {out: F.lead(value).over(w), "__l": F.lead(F.lit(1)).over(w)}, after=1, parts=parts).filter("__l = 1").drop("__l")
 
 
 def tumbling(df: DataFrame, time: str, width: str, key: Sequence[str], *aggregates: Column) -> DataFrame:

@@ -104,8 +104,8 @@ def invest_or_cash(spark, sf):
     select d, round((own - mkt) / greatest(coalesce(so, 0), 1e-8) - case when n >= 2 and so > 1e-12 and sm > 1e-12 then cv / (so * sm) else 0 end - 0.01, 4) reward from w qualify row_number() over (order by d) > 20""",
 )
 def market_reward(spark, sf):
-    r = TS.simple_return(daily(spark, sf).withColumn("k", F.lit(1)), ["k"], "d", "p", "own").filter("own is not null").withColumns({"mkt": (F.col("p") - 200_000) / 1e6, "turn": F.lit(0.01)})
-    out = portfolio.market_reward(r, ["k"], "d", "own", "mkt", "turn", 20).withColumn("i", F.row_number().over(TS.ordered(["k"], "d")))
+    r = TS.simple_return(daily(spark, sf), [], "d", "p", "own").filter("own is not null").withColumns({"mkt": (F.col("p") - 200_000) / 1e6, "turn": F.lit(0.01)})
+    out = TS.numbered(portfolio.market_reward(r, [], "d", "own", "mkt", "turn", 20), [], "d", "i")
     return out.filter("i > 20").select("d", F.round("reward", 4).alias("reward"))
 
 
@@ -186,8 +186,8 @@ def sharpe_variants(spark, sf):
 @query("drawdown_variants", f"with {MONTHLY}, w as (select month, exp(sum(ln(1 + ret)) over (order by month)) w from monthly), d as (select w / greatest(1, max(w) over (order by month)) - 1 a, w / max(w) over (order by month) - 1 b from w) select round(least(min(a), 0), 6) from_initial, round(least(min(b), 0), 6) from_first, round(-100 * least(min(a), 0), 6) positive_percent from d")
 def drawdown_variants(spark, sf):
     m = monthly(spark, sf)
-    one = lambda name, **p: TS.max_drawdown(m, ["k"], "month", "ret", **p).select("k", r6(F.col("max_drawdown"), name))
-    return one("from_initial").join(one("from_first", include_initial=False), "k").join(one("positive_percent", positive_percent=True), "k").drop("k")
+    one = lambda name, **p: TS.max_drawdown(m, [], "month", "ret", **p).select(r6(F.col("max_drawdown"), name))
+    return one("from_initial").withColumn("from_first", one("from_first", include_initial=False).scalar()).withColumn("positive_percent", one("positive_percent", positive_percent=True).scalar())
 
 
 @query("strategy_stats", "select event_type, round(avg(value - 20), 6) mean, round(stddev_pop(value - 20), 6) vol, round(sqrt(252) * avg(value - 20) / stddev_pop(value - 20), 6) sharpe, round(avg(case when value > 20 then 1.0 else 0.0 end), 6) win_rate from events group by 1")
@@ -228,8 +228,8 @@ def confusion_rates(spark, sf):
 def gate_verdict(spark, sf):
     """The gate over the Newey-West t, the interval that its standard error gives, the late half and the mean net of 25 basis points."""
     m = monthly(spark, sf)
-    late = TS.midpoint(m, ["k"], "month").filter("half = 'late'").select(F.avg("ret")).scalar()
-    a = stats.newey_west(m, ["k"], "month", "ret").withColumn("late", late).withColumn("low", F.col("mean") - 1.96 * F.col("mean") / F.col("t_nw"))
+    late = TS.midpoint(m, [], "month").filter("half = 'late'").select(F.avg("ret")).scalar()
+    a = stats.newey_west(m, [], "month", "ret").withColumn("late", late).withColumn("low", F.col("mean") - 1.96 * F.col("mean") / F.col("t_nw"))
     return a.select(r6(12 * F.col("late"), "late_mean"), r6(F.col("t_nw"), "t_nw"), r6(12 * F.col("low"), "ci_low"), stats.gate(F.col("t_nw"), F.col("low"), F.col("late"), F.col("mean") - 0.0025).alias("verdict"))
 
 

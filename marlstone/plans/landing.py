@@ -6,7 +6,6 @@ Files lie in a folder of the storage that driver and executors share.
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import relational as R
 from ..operators import timeseries as TS
 from ..session import table
@@ -26,13 +26,8 @@ text = lambda c: F.col(c).cast("string")
 
 
 def landing(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only a local master may do without that setting."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not (spark.sparkContext.master + "[").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="marlstone-landing-")
-    return f"{found.rstrip('/')}/landing-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{storage.shared_dir(spark)}/landing-{uuid.uuid4().hex}"
 
 
 @query("csv_round_trip", "select c_custkey, 'a \"b\", ' || c_name as c_name, c_acctbal from customer")

@@ -38,8 +38,7 @@ DAILY = "daily as (select cast(o_orderdate as date) d, avg(o_totalprice) p from
 def monthly(spark, sf) -> DataFrame:
     """A return for each month: the change of the mean order price, a tenth of it."""
     m = orders(spark, sf).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.avg("o_totalprice").alias("p"))
-    m = m.withColumn("k", F.lit(1))
-    return TS.simple_return(m, ["k"], "month", "p").filter("ret is not null").select("k", "month", (F.col("ret") / 10).alias("ret"))
+    return TS.simple_return(m, [], "month", "p").filter("ret is not null").select("month", (F.col("ret") / 10).alias("ret"))
 
 
 MONTHLY = """months as (select strftime(o_orderdate, '%Y-%m') as month, avg(o_totalprice) p from orders group by 1),
@@ -242,22 +241,22 @@ def entity_match(spark, sf):
 
 @query("simple_returns", f"with {DAILY} select d, round((p - lag(p) over (order by d)) / lag(p) over (order by d), 6) ret from daily")
 def simple_returns(spark, sf):
-    return TS.simple_return(daily(spark, sf).withColumn("k", F.lit(1)), ["k"], "d", "p").select("d", r6(F.col("ret"), "ret"))
+    return TS.simple_return(daily(spark, sf), [], "d", "p").select("d", r6(F.col("ret"), "ret"))
 
 
 @query("log_returns", f"with {DAILY} select d, round(ln(p) - ln(lag(p) over (order by d)), 6) log_ret from daily")
 def log_returns(spark, sf):
-    return TS.log_return(daily(spark, sf).withColumn("k", F.lit(1)), ["k"], "d", "p").select("d", r6(F.col("log_ret"), "log_ret"))
+    return TS.log_return(daily(spark, sf), [], "d", "p").select("d", r6(F.col("log_ret"), "log_ret"))
 
 
 @query("rolling_mean_std", f"with {DAILY} select d, case when count(p) over w = 20 then round(avg(p) over w, 4) end mean_20, case when count(p) over w = 20 then round(stddev_pop(p) over w, 4) end std_20 from daily window w as (order by d rows between 19 preceding and current row)")
 def rolling_mean_std(spark, sf):
-    return TS.rolling(daily(spark, sf).withColumn("k", F.lit(1)), ["k"], "d", "p", 20).select("d", F.round("mean_20", 4).alias("mean_20"), F.round("std_20", 4).alias("std_20"))
+    return TS.rolling(daily(spark, sf), [], "d", "p", 20).select("d", F.round("mean_20", 4).alias("mean_20"), F.round("std_20", 4).alias("std_20"))
 
 
 @query("momentum", f"with {DAILY} select d, round(ln(p) - ln(lag(p, 60) over (order by d)), 6) mom from daily")
 def momentum(spark, sf):
-    return TS.momentum(daily(spark, sf).withColumn("k", F.lit(1)), ["k"], "d", "p", 60).select("d", r6(F.col("mom"), "mom"))
+    return TS.momentum(daily(spark, sf), [], "d", "p", 60).select("d", r6(F.col("mom"), "mom"))
 
 
 @query(
@@ -271,7 +270,7 @@ def zscore(spark, sf):
 
 @query("drawdown", f"with {MONTHLY}, w as (select month, exp(sum(ln(1 + ret)) over (order by month)) w from monthly) select month, round(w / greatest(1.0, max(w) over (order by month)) - 1, 6) drawdown from w")
 def drawdown(spark, sf):
-    return TS.drawdown(monthly(spark, sf), ["k"], "month", "ret").select("month", r6(F.col("drawdown"), "drawdown"))
+    return TS.drawdown(monthly(spark, sf), [], "month", "ret").select("month", r6(F.col("drawdown"), "drawdown"))
 
 
 @query(
@@ -281,7 +280,7 @@ def drawdown(spark, sf):
     round(avg(case when ret > 0 then 1.0 else 0.0 end), 6) hit_rate, round(avg(ret) / (stddev_samp(ret) / sqrt(count(*))), 6) t_iid, round((select m from dd), 6) max_drawdown from monthly""",
 )
 def factor_metrics(spark, sf):
-    out = stats.factor_metrics(monthly(spark, sf), ["k"], "month", "ret").drop("k")
+    out = stats.factor_metrics(monthly(spark, sf), [], "month", "ret")
     return out.select("n", *(r6(F.col(c), c) for c in out.columns if c != "n"))
 
 
@@ -290,7 +289,7 @@ def factor_metrics(spark, sf):
     f"with {MONTHLY}, c as (select ret, ret - avg(ret) over () c, month from monthly), l as (select ret, c, " + ", ".join(f"c * lag(c, {k}) over (order by month) c{k}" for k in range(1, 7)) + f" from c) select {N} n, round(avg(ret), 6) mean, round(avg(ret) / sqrt((sum(c * c) + 2 * (" + " + ".join(f"sum(c{k}) * (1 - {k} / 7)" for k in range(1, 7)) + ")) / count(*) / count(*)), 6) t_nw from l",
 )
 def newey_west(spark, sf):
-    return stats.newey_west(monthly(spark, sf), ["k"], "month", "ret").select("n", r6(F.col("mean"), "mean"), r6(F.col("t_nw"), "t_nw"))
+    return stats.newey_west(monthly(spark, sf), [], "month", "ret").select("n", r6(F.col("mean"), "mean"), r6(F.col("t_nw"), "t_nw"))
 
 
 @query("cost_sensitivity", f"with {MONTHLY} select cast(b as int) cost_bps, round(12 * avg(ret - b / 10000), 6) mean_net from monthly, (values (0), (10), (25), (50)) t(b) group by 1")
@@ -300,7 +299,7 @@ def cost_sensitivity(spark, sf):
 
 @query("midpoint_split", f"with {MONTHLY} select month, case when row_number() over (order by month) <= count(*) over () // 2 then 'early' else 'late' end half from monthly")
 def midpoint_split(spark, sf):
-    return TS.midpoint(monthly(spark, sf), ["k"], "month").select("month", "half")
+    return TS.midpoint(monthly(spark, sf), [], "month").select("month", "half")
 
 
 @query("safe_corr", "select l_returnflag, round(case when count(*) >= 2 and stddev_pop(l_quantity) > 1e-12 and stddev_pop(l_extendedprice) > 1e-12 then corr(l_quantity, l_extendedprice) else 0 end, 6) corr, 0.0::double as constant_corr from lineitem group by 1")
@@ -462,7 +461,7 @@ def yoy_growth(spark, sf):
 
 @query("next_period_alignment", f"with {DAILY} select * from (select d, round(lead(p) over (order by d), 6) target from daily) where target is not null")
 def next_period(spark, sf):
-    return TS.next_period(daily(spark, sf).withColumn("k", F.lit(1)), ["k"], "d", "p").select("d", F.round("target", 6).alias("target"))
+    return TS.next_period(daily(spark, sf), [], "d", "p").select("d", F.round("target", 6).alias("target"))
 
 
 @query("upsert", "select c_custkey, c_name, 'new' as origin from customer where c_custkey % 4 = 0 union all select c_custkey, c_name, 'old' from customer where c_custkey % 4 <> 0")

@@ -111,9 +111,9 @@ def normalize_prices(df: DataFrame) -> DataFrame:
 
 def normalize_benchmark(df: DataFrame) -> DataFrame:
     """(Date, benchmark) of daily closes: the log return."""
-    df = df.select(F.col("Date").cast("date").alias("Date"), F.col("Close").cast("double").alias("Close"), F.lit(1).alias("k")).filter("Close > 0")
+    df = df.select(F.col("Date").cast("date").alias("Date"), F.col("Close").cast("double").alias("Close")).filter("Close > 0")
     quality.assert_empty(quality.unique_key(df, ["Date"]))
-    return TS.log_return(df, ["k"], "Date", "Close", out="benchmark").filter("benchmark IS NOT NULL").select("Date", "benchmark")
+    return TS.log_return(df, [], "Date", "Close", out="benchmark").filter("benchmark IS NOT NULL").select("Date", "benchmark")
 
 
 CODECS = ("cp932", "utf-8-sig", "utf-8")
