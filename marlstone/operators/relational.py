@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .scan import scan
 
-#: Rows of a side that a join may broadcast without asking Catalyst; larger sides are left to it.
-SMALL_ROWS = 100_000
+#: Rows and bytes of a side that a join may broadcast without asking Catalyst; larger sides are left to it.
+SMALL_ROWS, SMALL_BYTES = 100_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; looking takes one more than that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and, written as JSON, bytes; looking takes one row more than that."""
+    found = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found.n <= rows and found.b <= size else df
 
 
 def keep_row(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -67,19 +68,64 @@ def as_of_join(left: DataFrame, right: DataFrame, key: Sequence[str], time: str,
     return both.filter("__r = 1").select(*left.columns, *(F.col("__last")[v].alias(v) for v in values))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, rows: int = SMALL_ROWS) -> DataFrame:
-    """Points with the half-open ranges that hold them.
+#: Cells that a range join's axis is cut into, as a power of 2, and how much smaller than a range its smallest nodes may be.
+CELL_BITS, NODE_BITS = 40, 3
 
-    Few ranges (folds, calendars) are broadcast. More are cut into bins as wide as the mean range, about two for each range, and joined by the bin; nulls and empty ranges hold nothing.
+
+def _axis(kinds: set[str]) -> Callable[[Column], Column]:
+    """A function that keeps the order of such values, as a double."""
+    if kinds <= {"date", "timestamp", "timestamp_ntz"}:
+        if len(kinds) > 1:
+            one = "timestamp" if "timestamp" in kinds else "timestamp_ntz"
+            return lambda c: _axis({one})(c.cast(one))
+        if kinds == {"date"}:
+            return lambda c: F.unix_date(c).cast("double")
+        if kinds == {"timestamp"}:
+            return lambda c: F.unix_micros(c).cast("double")
+        day = lambda c: F.unix_date(c.cast("date")) * F.lit(86_400e6)
+        return lambda c: day(c) + (F.hour(c) * 3600 + F.minute(c) * 60) * F.lit(1e6) + F.extract(F.lit("SECOND"), c).cast("double") * 1e6
+    return lambda c: c.cast("double")
+
+
+def _nodes(a: Column, b: Column, least: Column) -> Column:
+    """The nodes of a binary tree over the cells that cover a..b and nothing else, but for the ends' rounding to 2^least cells: (level, index) structs, two a level at most."""
+    shift = lambda c, n: F.call_function("shiftright", c, n.cast("int"))
+    low, high = shift(a, least), shift(b, least)
+
+    def at(i: Column) -> Column:
+        left, right = shift(low + F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")) - 1, i), shift(high + 1, i) - 1
+        node = lambda when, index: F.when((left <= right) & when, F.struct((least + i).alias("level"), index.alias("index")))
+        return F.array(node(left % 2 == 1, left), node(right % 2 == 0, right))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CELL_BITS) - least), at)))
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
+    """Points with the half-open ranges that hold them; nulls and empty ranges hold nothing.
+
+    The axis is a binary tree over 2^CELL_BITS cells from the least to the largest bound. A range becomes the few nodes that cover it, from an
+    eighth of its width up; a point its ancestors on the levels that any range uses. So ranges of all widths meet their points by an
+    equi-join on nodes, each pair once, and the bounds themselves are compared last. Neither side is compared row by row with the other. The
+    nodes are broadcast if they are small; else both sides shuffle, and a node that holds much of the points is split by AQE.
     """
-    if ranges.limit(rows + 1).count() <= rows:
-        return points.join(F.broadcast(ranges), (F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
-    number = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) if dict((points if c == at else ranges).dtypes)[c] in ("date", "timestamp", "timestamp_ntz") else F.col(c)).cast("double")
+    kinds = {dict(points.dtypes)[at], *(dict(ranges.dtypes)[c] for c in (low, high))}
+    number = _axis(kinds)
     ranges = ranges.filter(F.col(low) < F.col(high))
-    width = ranges.agg(F.coalesce(F.avg(number(high) - number(low)), F.lit(1.0))).first()[0]
-    bin_ = lambda c: F.floor(number(c) / width)
-    cut = ranges.withColumn("__bin", F.explode(F.sequence(bin_(low), bin_(high))))
-    return points.withColumn("__bin", bin_(at)).join(cut, "__bin").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bin")
+    ends = F.array(number(F.col(low)), number(F.col(high)))
+    bounds = ranges.select(F.explode(F.filter(ends, lambda x: F.abs(x) < float("inf"))).alias("x")).agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    first, last = (bounds.a, bounds.b) if bounds.a is not None else (0.0, 0.0)
+    scale = 2.0**CELL_BITS / (last - first) if last > first else 0.0
+    top = F.lit((1 << CELL_BITS) - 1)
+    cell = lambda x: F.when(x >= last, top).when(x <= first, F.lit(0)).otherwise(F.least(top, F.floor((x - F.lit(first)) * F.lit(scale))))
+    name = lambda level, index: level.cast("long") * (1 << 52) + index
+    a, b = cell(number(F.col(low))), cell(number(F.col(high)))
+    least = F.greatest(F.lit(0), F.floor(F.log2(b - a + 1)).cast("int") - NODE_BITS)
+    covered = ranges.withColumn("__node", F.explode(_nodes(a, b, least)))
+    levels = sorted(r[0] for r in covered.select("__node.level").distinct().collect())
+    covered = covered.withColumn("__node", name(F.col("__node.level"), F.col("__node.index")))
+    here = F.array(*(name(F.lit(n), F.call_function("shiftright", F.col("__cell"), F.lit(n))) for n in levels)) if levels else F.array().cast("array<bigint>")
+    spread = points.filter(F.col(at).isNotNull()).withColumn("__cell", cell(number(F.col(at)))).withColumn("__node", F.explode(here)).drop("__cell")
+    return spread.join(small(covered), "__node").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__node")
 
 
 def anti_known(df: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:

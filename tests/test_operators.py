@@ -373,10 +373,3 @@ def test_registered_resamples(spark, monkeypatch):
     queries.bootstrap_ci(spark, "/root/testdata/sf0.001")
     queries.poisson_bootstrap(spark, "/root/testdata/sf0.001")
     assert seen == [(3, {}), (2, {})]
-
-
-def test_range_join_by_bins(spark):
-    points = spark.createDataFrame([(i, i * 7 % 101 / 3) for i in range(200)] + [(900, None)], "p int, x double")
-    ranges = spark.createDataFrame([(k, k * 1.5 - 4, k * 1.5 - 4 + (60 if k == 3 else k % 4)) for k in range(30)], "r int, a double, b double")
-    few, many = (sorted(tuple(x) for x in R.range_join(points, ranges, "x", "a", "b", rows=n).select("p", "r").collect()) for n in (100, 5))
-    assert few == many and len(few) > 200
