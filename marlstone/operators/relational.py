@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.textindex import TextIndex
 from .scan import scan
 
 #: Rows and bytes of a side that a join may broadcast without asking Catalyst; larger sides are left to it.
@@ -374,9 +375,10 @@ def keyword_or_member(kind: Column, kinds: Sequence, text: Column, term: str) ->
     return F.coalesce(kind.isin(list(kinds)), F.lit(False)) | F.coalesce(F.contains(text, F.lit(term)), F.lit(False))
 
 
-def search_page(df: DataFrame, q: str, exact: Sequence[str], folded: Sequence[str], order: Sequence[Column], most: int = 100) -> DataFrame:
-    """The first `most` rows that a search finds, in a total order; an empty q gives the first page of all."""
-    return text_search(df, q, exact, folded).orderBy(*order).limit(most)
+def search_page(df: DataFrame | TextIndex, q: str, exact: Sequence[str], folded: Sequence[str], order: Sequence[Column], most: int = 100) -> DataFrame:
+    """The first `most` rows that a search finds, in a total order; an empty q gives the first page of all. Over a TextIndex only the blocks that can match are read."""
+    found = text_search(df, q, exact, folded) if isinstance(df, DataFrame) else df.search(q, exact, folded)
+    return found.orderBy(*order).limit(most)
 
 
 def plot_window(df: DataFrame, year: str, last: int, value: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .. import storage
 from ..operators import relational as R
 from ..operators import timeseries as TS
 from ..session import table
-from ..sources import connectors, readers, sinks
+from ..sources import connectors, readers, sinks, textindex
 from ..streaming import ingest
 from .catalog import query
 from .queries import n_, orders, r6
@@ -99,7 +99,8 @@ def cache_pages(spark, sf):
     n = table(spark, sf, "nation")
     pages = n.groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list(F.struct("n_name", text("n_nationkey").alias("k"))).alias("data"))).alias("value"))
     pages = pages.select(F.concat(F.lit("API/Bars/"), text("n_regionkey")).alias("key"), "value", F.col("n_regionkey").cast("long").alias("created_at"))
-    out = readers.cache_pages(pages.unionByName(pages.withColumn("key", F.lit("other"))), "%api/bars%", 2)
+    cache = textindex.build(pages.unionByName(pages.withColumn("key", F.lit("other"))), ["key"], landing(spark))
+    out = readers.cache_pages(cache, "%api/bars%", 2)
     return out.select(F.col("created_at").cast("int").alias("n_regionkey"), F.col("record")["n_name"].alias("n_name"), F.col("record")["k"].cast("int").alias("n_nationkey"))
 
 

@@ -354,7 +354,7 @@ def fold_dates(spark, sf):
 @query(
     "shipments_in_ranges",
     """with r as (select p_partkey, timestamp '1992-01-01' + (p_partkey % 2600) * interval 1 day + (p_partkey % 86400) * interval 1 second a, cast(pow(2, p_partkey % 32) as bigint) w from part), d as (select l_shipdate x, count(*) n from lineitem group by 1)
-    select p_partkey, cast(sum(n) as bigint) n, cast(count(*) as bigint) days from d join r on cast(x as timestamp) >= a and cast(x as timestamp) < a + w * interval 1 second group by 1""",
+    select p_partkey, cast(sum(n) as bigint) n, cast(count(*) as bigint) n_dates from d join r on cast(x as timestamp) >= a and cast(x as timestamp) < a + to_seconds(w) group by 1""",
 )
 def shipments_in_ranges(spark, sf):
     """Line items shipped within each of many ranges, whose widths go from a second to a hundred years."""
@@ -363,7 +363,7 @@ def shipments_in_ranges(spark, sf):
     width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pow(F.lit(2.0), k % 32).cast("decimal(18,6)"))
     r = table(spark, sf, "part").select("p_partkey", a.alias("a")).withColumn("b", F.col("a") + width)
     d = table(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("timestamp_ntz").alias("at")).agg(n_("n"))
-    return R.range_join(d, r, "at", "a", "b").groupBy("p_partkey").agg(F.sum("n").cast("bigint").alias("n"), n_("days"))
+    return R.range_join(d, r, "at", "a", "b").groupBy("p_partkey").agg(F.sum("n").cast("bigint").alias("n"), n_("n_dates"))
 
 
 @query(

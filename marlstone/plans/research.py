@@ -14,7 +14,9 @@ from ..operators import claims as C
 from ..operators import facts, feeds, quality, stats
 from ..operators import relational as R
 from ..session import table
+from ..sources import textindex
 from .catalog import query
+from .landing import landing
 from .queries import n_, r6
 
 text = lambda c: F.col(c).cast("string")
@@ -414,5 +416,15 @@ def keyword_or_member(spark, sf):
 
 @query("search_page", "(select c_custkey, 'found' kind from customer where contains(c_name, 'BUILD') or contains(lower(c_mktsegment), 'build') order by c_custkey limit 100) union all (select c_custkey, 'all' from customer order by c_custkey limit 100)")
 def search_page(spark, sf):
-    page = lambda q, kind: R.search_page(table(spark, sf, "customer"), q, ["c_name"], ["c_mktsegment"], [F.col("c_custkey")]).select("c_custkey", F.lit(kind).alias("kind"))
+    index = textindex.build(table(spark, sf, "customer"), ["c_name", "c_mktsegment"], landing(spark))
+    page = lambda q, kind: R.search_page(index, q, ["c_name"], ["c_mktsegment"], [F.col("c_custkey")]).select("c_custkey", F.lit(kind).alias("kind"))
     return page("BUILD", "found").unionByName(page("", "all"))
+
+
+@query("indexed_search", "select doc_id, 'text' as kind from documents where contains(text, 'password') or contains(lower(text), 'licensed under') union all select doc_id, 'source' from documents where source ilike '%s_t%'")
+def indexed_search(spark, sf):
+    """Two searches in one stored index of whole texts: a literal in the texts, and a LIKE pattern of the sources."""
+    docs = table(spark, sf, "documents").repartitionByRange("doc_id")
+    index = textindex.build(docs.select("doc_id", "text", "source"), ["text", "source"], landing(spark), block_rows=64, row_group=1 << 18)
+    found = index.search("password", ["text"]).unionByName(index.search("licensed under", folded=["text"])).distinct().select("doc_id", F.lit("text").alias("kind"))
+    return found.unionByName(index.ilike("source", "%s_t%").select("doc_id", F.lit("source").alias("kind")))

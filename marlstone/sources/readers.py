@@ -19,6 +19,7 @@ from ..functions import scalars as S
 from ..operators import quality
 from ..operators import relational as R
 from ..operators import timeseries as TS
+from .textindex import TextIndex
 
 STOCK_LIST = "code string, name string, name_en string, sector17_code string, sector17 string, sector_code string, sector string, scale string, market string"
 
@@ -68,9 +69,10 @@ def list_files(spark: SparkSession, path: str, part: str, n: int = 10) -> DataFr
     return files.filter(F.col("path").contains(part)).orderBy("path").limit(n)
 
 
-def cache_pages(df: DataFrame, like: str, n: int = 500, element: str = "map<string,string>") -> DataFrame:
-    """Records of the newest n cached JSON pages whose key matches, without regard to case."""
-    newest = df.filter(F.col("key").ilike(like)).orderBy(F.desc("created_at"), "key").limit(n)
+def cache_pages(df: DataFrame | TextIndex, like: str, n: int = 500, element: str = "map<string,string>") -> DataFrame:
+    """Records of the newest n cached JSON pages whose key matches, without regard to case. Over a TextIndex of `key` only the blocks that can match are read."""
+    found = df.filter(F.col("key").ilike(like)) if isinstance(df, DataFrame) else df.ilike("key", like)
+    newest = found.orderBy(F.desc("created_at"), "key").limit(n)
     return newest.select("key", "created_at", F.explode(F.from_json("value", f"data array<{element}>")["data"]).alias("record"))
 
 
