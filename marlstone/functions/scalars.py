@@ -1,9 +1,11 @@
-"""Scalar expressions: Column in, Column out, all inside Catalyst."""
+"""Scalar expressions: Column in, Column out, all inside Catalyst but for matched_terms."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,8 +68,43 @@ def has_term(text: Column, term: str) -> Column:
 
 
 def matched_terms(text: Column, terms: list[str]) -> Column:
-    """The terms that stand in the text, sorted and distinct."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(has_term(text, t), F.lit(t)) for t in sorted(set(terms)))))))
+    """The terms that stand in the text as whole words, sorted and distinct, without regard to case and kind of white space; null has none.
+
+    One automaton of all terms goes over each text once, by Arrow batches, so that the time doesn't grow with the number of terms; terms may
+    overlap and lie in each other. The terms, a dictionary that fits a task, go to the executors with the function.
+    """
+    terms = sorted(set(terms))
+
+    @F.pandas_udf("array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        flat = lambda x: " ".join(x.casefold().split())
+        machine, by_key = ahocorasick.Automaton(), {}
+        for t in terms:
+            by_key.setdefault(t.casefold(), []).append(t)
+        for key in by_key:
+            if key:
+                machine.add_word(key, key)
+        machine.make_automaton()
+        in_word = lambda c: c.isalnum() or c == "_"
+
+        def of(x):
+            if x is None:
+                return []
+            x, found = f" {flat(x)} ", set()  # the ends are no word's
+            if machine.kind == ahocorasick.AHOCORASICK:
+                for last, key in machine.iter(x[1:-1]):
+                    if key not in found and not in_word(x[last - len(key) + 1]) and not in_word(x[last + 2]):
+                        found.add(key)
+            if "" in by_key and any(not in_word(x[i]) and not in_word(x[i + 1]) for i in range(len(x) - 1)):
+                found.add("")
+            return sorted(t for key in found for t in by_key[key])
+
+        for batch in batches:
+            yield batch.map(of)
+
+    return find(text.cast("string"))
 
 
 def keyword_density(text: Column, words: list[str], digits: int = 2, least: int = 50) -> Column:

@@ -373,3 +373,25 @@ def test_registered_resamples(spark, monkeypatch):
     queries.bootstrap_ci(spark, "/root/testdata/sf0.001")
     queries.poisson_bootstrap(spark, "/root/testdata/sf0.001")
     assert seen == [(3, {}), (2, {})]
+
+
+def test_many_terms_in_one_pass(spark):
+    import re
+    import time
+
+    texts = ["Out-of-Sample  tests\tof momentum", "momentum and Momentum Factor", "a momentums factor_x", "cross-sectional momentum factor, t+1", "STRASSE Straße", "", None, "C++ is c", "x+ +x"]
+    terms = ["momentum", "momentum factor", "factor", "Out-of-sample", "sample", "of", "t+1", "+1", "strasse", "c++", "c", "+x", "Momentum", "cross-sectional momentum", "none such"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: list(r.m) for r in df.select("i", S.matched_terms(F.col("t"), terms).alias("m")).collect()}
+    flat = lambda t: " ".join(t.casefold().split())
+    assert got == {i: sorted(w for w in terms if t is not None and re.search(rf"(?<!\w){re.escape(w.casefold())}(?!\w)", flat(t))) for i, t in enumerate(texts)}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+
+    def took(n):
+        start = time.perf_counter()
+        docs.select(S.matched_terms(F.col("text"), [f"w{i} x{i}" for i in range(n)]).alias("m")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    took(10)
+    few, many = min(took(10) for _ in range(2)), min(took(10_000) for _ in range(2))
+    assert many < 3 * few + 2
