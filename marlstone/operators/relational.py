@@ -182,13 +182,49 @@ def full_calendar(panel: DataFrame, date: str, code: str, codes: int | None = No
     return panel.join(whole.select(date), date, "left_semi")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+#: Buckets of keys whose digests are compared.
+DIGEST_BUCKETS = 1 << 14
+
+
+def _bucket(key: Sequence[Column], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def digests(df: DataFrame, key: Sequence[str], columns: Sequence[str], buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """(bucket, n, a, b): for each bucket of keys the number of rows and two sums of 64-bit row hashes.
+
+    The sums don't depend on the rows' order and count repeats, nulls are told apart from absent values, and two buckets of different rows
+    agree by chance once in 2^128. Combined in the map tasks: what shuffles are at most `buckets` rows of each.
+    """
+    whole = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    part = lambda seed: F.sum(F.xxhash64(*whole, F.lit(seed)).cast("decimal(20,0)"))
+    return df.groupBy(_bucket([F.col(c) for c in key], buckets).alias("bucket")).agg(F.count("*").alias("n"), part(1).alias("a"), part(2).alias("b"))
+
+
+def changed_buckets(old: DataFrame, new: DataFrame, key: Sequence[str], columns: Sequence[str], buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """(bucket) of the buckets whose rows aren't the same on both sides: at most `buckets` rows."""
+    value = F.struct("n", "a", "b")
+    x, y = (digests(df, key, columns, buckets).select("bucket", value.alias(n)) for df, n in ((old, "x"), (new, "y")))
+    return x.join(y, "bucket", "full").filter(~F.col("x").eqNullSafe(F.col("y"))).select("bucket")
+
+
+def of_buckets(df: DataFrame, key: Sequence[str], wanted: DataFrame, buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """The rows in some of the buckets; these, one number each, go to every task."""
+    bucketed = df.withColumn("__bucket", _bucket([F.col(c) for c in key], buckets))
+    return bucketed.join(F.broadcast(wanted.select(F.col("bucket").alias("__bucket"))), "__bucket", "left_semi").drop("__bucket")
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], buckets: int = DIGEST_BUCKETS) -> DataFrame:
     """key, status (added, removed, modified), and one row for each changed field with both values as text.
 
-    Equality is null-safe; keys that are the same in both give no row.
+    Equality is null-safe; keys that are the same in both give no row. Both tables are read for digests by bucket of keys, and again for
+    the buckets that differ; only rows of these are joined.
     """
-    side = lambda df, n: df.select(F.col(key), F.struct(*(F.col(f).cast("string").alias(f) for f in fields)).alias(n))
-    both = side(old, "o").join(side(new, "n"), key, "full")
+    text = lambda df: df.select(F.col(key), *(F.col(f).cast("string").alias(f) for f in fields if f != key))
+    a, b = text(old), text(new)
+    changed = changed_buckets(a, b, [key], a.columns, buckets)
+    side = lambda df, n: of_buckets(df, [key], changed, buckets).select(F.col(key), F.struct(*(F.col(f).cast("string").alias(f) for f in fields)).alias(n))
+    both = side(a, "o").join(side(b, "n"), key, "full")
     changes = F.array(*(F.struct(F.lit(f).alias("field"), F.col("o")[f].alias("old"), F.col("n")[f].alias("new")) for f in fields))
     status = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("modified")
     out = both.select(key, status.alias("status"), F.filter(changes, lambda x: ~x["old"].eqNullSafe(x["new"])).alias("c"))
@@ -196,9 +232,21 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str
     return rows.select(key, "status", F.explode_outer("c").alias("c")).select(key, "status", "c.field", "c.old", "c.new")
 
 
-def unchanged(old: DataFrame, new: DataFrame) -> bool:
-    """Whether both have the same rows, each as often."""
-    return old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty()
+def unchanged(old: DataFrame, new: DataFrame, buckets: int = DIGEST_BUCKETS) -> bool:
+    """Whether both have the same rows, each as often: one pass over each, by digests; columns are taken by their place."""
+    new = new.toDF(*old.columns)
+    if [f.dataType for f in old.schema] != [f.dataType for f in new.schema]:
+        raise ValueError("columns of different types")
+    return changed_buckets(old, new, old.columns, old.columns, buckets).isEmpty()
+
+
+def row_changes(old: DataFrame, new: DataFrame, buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """Rows that one side has more often than the other: all columns, `side` (old or new) and by how many, n. Only buckets that differ shuffle."""
+    new = new.toDF(*old.columns)
+    changed = changed_buckets(old, new, old.columns, old.columns, buckets)
+    signed = of_buckets(old, old.columns, changed, buckets).withColumn("__n", F.lit(-1)).unionByName(of_buckets(new, old.columns, changed, buckets).withColumn("__n", F.lit(1)))
+    more = signed.groupBy(*old.columns).agg(F.sum("__n").alias("n")).filter("n <> 0")
+    return more.withColumn("side", F.when(F.col("n") < 0, "old").otherwise("new")).withColumn("n", F.abs("n"))
 
 
 def classify(df: DataFrame, reasons: Sequence[tuple[str, Column]], otherwise: str, name: str = "reason") -> DataFrame:

@@ -366,6 +366,18 @@ def shipments_in_ranges(spark, sf):
     return R.range_join(d, r, "at", "a", "b").groupBy("p_partkey").agg(F.sum("n").cast("bigint").alias("n"), n_("n_dates"))
 
 
+@query(
+    "row_changes",
+    """with a as (select l_orderkey, l_linenumber, l_quantity from lineitem), b as (select l_orderkey, l_linenumber, l_quantity + case when l_orderkey % 997 = 5 then 1 else 0 end l_quantity from lineitem where l_orderkey % 1009 <> 7),
+    x as (select *, -1 n from a union all select *, 1 from b) select l_orderkey, l_linenumber, l_quantity, abs(sum(n)) n, case when sum(n) < 0 then 'old' else 'new' end side from x group by 1, 2, 3 having sum(n) <> 0""",
+)
+def row_changes(spark, sf):
+    """Two states of the line items: some orders are gone, and some quantities changed."""
+    old = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    new = old.filter("l_orderkey % 1009 <> 7").withColumn("l_quantity", F.col("l_quantity") + (F.col("l_orderkey") % 997 == 5).cast("int"))
+    return R.row_changes(old, new)
+
+
 @query(
     "frozen_split",
     "with r as (select doc_id, lang, row_number() over (partition by lang order by sha256(concat('20260803', chr(0), lang, chr(0), cast(doc_id as varchar))), doc_id) p, count(*) over (partition by lang) n from documents) select doc_id, lang, p <= case when n > 1 then greatest(1, least(n - 1, cast(floor(n * 0.2 + 0.5) as bigint))) else 0 end evaluation from r",
