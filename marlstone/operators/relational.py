@@ -196,9 +196,14 @@ def digests(df: DataFrame, key: Sequence[str], columns: Sequence[str], buckets:
     The sums don't depend on the rows' order and count repeats, nulls are told apart from absent values, and two buckets of different rows
     agree by chance once in 2^128. Combined in the map tasks: what shuffles are at most `buckets` rows of each.
     """
+    return df.groupBy(_bucket([F.col(c) for c in key], buckets).alias("bucket")).agg(*row_sums(columns))
+
+
+def row_sums(columns: Sequence[str]) -> list[Column]:
+    """Aggregates n, a and b that are the same for the same rows in any order."""
     whole = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
     part = lambda seed: F.sum(F.xxhash64(*whole, F.lit(seed)).cast("decimal(20,0)"))
-    return df.groupBy(_bucket([F.col(c) for c in key], buckets).alias("bucket")).agg(F.count("*").alias("n"), part(1).alias("a"), part(2).alias("b"))
+    return [F.count("*").alias("n"), part(1).alias("a"), part(2).alias("b")]
 
 
 def changed_buckets(old: DataFrame, new: DataFrame, key: Sequence[str], columns: Sequence[str], buckets: int = DIGEST_BUCKETS) -> DataFrame:
@@ -356,9 +361,10 @@ def batches(df: DataFrame, order: str, size: int = 40) -> DataFrame:
     return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """All rows of new, and those of old whose key it lacks."""
-    return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], ordinal: str | None = None) -> DataFrame:
+    """The rows of new, and those of old whose key it lacks. Of repeated keys of new the row of the largest ordinal stays, or without one the last in the frame's order."""
+    last = last_wins(new.withColumn("__at", F.monotonically_increasing_id() if ordinal is None else F.col(ordinal)), key, "__at").drop("__at")
+    return old.join(new.select(*key), list(key), "left_anti").unionByName(last)
 
 
 def set_algebra(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:

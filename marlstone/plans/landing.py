@@ -17,7 +17,7 @@ from .. import storage
 from ..operators import relational as R
 from ..operators import timeseries as TS
 from ..session import table
-from ..sources import connectors, readers, sinks, textindex
+from ..sources import connectors, hashed, readers, sinks, textindex
 from ..streaming import ingest
 from .catalog import query
 from .queries import n_, orders, r6
@@ -370,8 +370,9 @@ def window_fetch(spark, sf):
 @query("upsert_versions", "select c_custkey, case when c_custkey % 3 = 0 then 'new' else 'old' end origin from customer")
 def upsert_versions(spark, sf):
     path, c = landing(spark), table(spark, sf, "customer").select("c_custkey")
-    sinks.upsert_parquet(spark, path, c.withColumn("origin", F.lit("old")), ["c_custkey"], "v1")
-    return spark.read.parquet(sinks.upsert_parquet(spark, path, c.filter("c_custkey % 3 = 0").withColumn("origin", F.lit("new")), ["c_custkey"], "v2"))
+    hashed.upsert(spark, path, c.withColumn("origin", F.lit("old")), ["c_custkey"], parts=8)
+    hashed.upsert(spark, path, c.filter("c_custkey % 3 = 0").withColumn("origin", F.lit("new")), ["c_custkey"])
+    return hashed.read(spark, path)
 
 
 @query("manifest_write", "select cast(count(*) as bigint) as rows, 'c_custkey,c_name' columns, 'blocked' publish_gate from customer")

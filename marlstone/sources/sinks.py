@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
-from ..operators import relational as R
 
 #: Rows that a view for people may have; they are put together on the driver.
 VIEW_ROWS = 100_000
@@ -26,20 +25,6 @@ def digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, key: Sequence[str], version: str) -> str:
-    """Write the table at path/<version>, which holds all of new and the rest of the version before; readers take the path that is returned.
-
-    Versions are never written over, so that a failed or repeated run leaves the table before it whole.
-    """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = sorted(s.getPath().getName() for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
-    old = [v for v in old if v < version]
-    out = R.upsert(spark.read.parquet(f"{path}/{old[-1]}"), new, key) if old else new
-    out.write.mode("errorifexists").parquet(f"{path}/{version}")
-    return f"{path}/{version}"
-
-
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
