@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import relational as R
 
 
 class QualityError(ValueError):
@@ -242,26 +243,32 @@ def counts_by_year(df: DataFrame, year: str, wanted: DataFrame) -> DataFrame:
     return _rule(both, "year_count", F.col("year"), F.concat_ws(" for ", "got", "n"))
 
 
-def json_nodes(df: DataFrame, key: str, json_col: str, depth: int = 8) -> DataFrame:
-    """(__key, name, node): every value below a JSON document with the name that it stands under (null in arrays), as a variant; one explode for each level, `depth` of them. What isn't JSON has none."""
-    level, found = df.select(F.col(key).alias("__key"), F.try_parse_json(json_col).alias("node")), []
-    for _ in range(depth):
-        below = df.sparkSession.tvf.variant_explode(F.col("node").outer())
-        level = level.lateralJoin(below).select("__key", F.col("key").alias("name"), F.col("value").alias("node"))
-        found.append(level)
-    return reduce(DataFrame.unionByName, found)
+def json_nodes(df: DataFrame, key: str, json_col: str) -> DataFrame:
+    """(__key, name, node): every value below a JSON document, however deep, with the name that it stands under (null in arrays), as a variant. What isn't JSON has none.
 
-
-def forbidden_keys(df: DataFrame, key: str, json_col: str, names: Sequence[str], depth: int = 8) -> DataFrame:
-    """Rows whose JSON has one of the names as a key of an object, down to `depth` levels; the same text within a value is none."""
-    nodes = json_nodes(df, key, json_col, depth).filter(F.col("name").isin(list(names)))
+    A recursive query whose every step opens the values of the step before, until none is left. Deeper than relational.MOST_LEVELS is an error.
+    """
+    rows = df.select(F.col(key).alias("__key"), F.try_parse_json(json_col).alias("node"))
+    return R.recursive(
+        rows,
+        """WITH RECURSIVE nodes(__key, depth, name, node) MAX RECURSION LEVEL {levels} AS (
+            SELECT __key, 0, CAST(NULL AS STRING), node FROM {rows}
+            UNION ALL
+            SELECT n.__key, n.depth + 1, x.key, x.value FROM nodes n, LATERAL variant_explode(n.node) x
+        ) SELECT __key, name, node FROM nodes WHERE depth > 0""",
+    )
+
+
+def forbidden_keys(df: DataFrame, key: str, json_col: str, names: Sequence[str]) -> DataFrame:
+    """Rows whose JSON has one of the names as a key of an object, at any depth; the same text within a value is none."""
+    nodes = json_nodes(df, key, json_col).filter(F.col("name").isin(list(names)))
     found = nodes.groupBy("__key").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("n"))
     return _rule(found, "forbidden_key", F.col("__key"), F.col("n"))
 
 
-def json_urls(df: DataFrame, key: str, json_col: str, depth: int = 8) -> DataFrame:
-    """(key, url): the distinct urls among the text values of JSON documents."""
-    nodes = json_nodes(df, key, json_col, depth)
+def json_urls(df: DataFrame, key: str, json_col: str) -> DataFrame:
+    """(key, url): the distinct urls among the text values of JSON documents, at any depth."""
+    nodes = json_nodes(df, key, json_col)
     text = F.try_variant_get("node", "$", "string")
     return nodes.select(F.col("__key").alias(key), text.alias("url")).filter(F.col("url").rlike("^https?://")).distinct()
 

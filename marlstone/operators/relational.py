@@ -182,6 +182,31 @@ def full_calendar(panel: DataFrame, date: str, code: str, codes: int | None = No
     return panel.join(whole.select(date), date, "left_semi")
 
 
+#: Steps of a recursive query; one that needs more fails.
+MOST_LEVELS = 1000
+
+
+def recursive(rows: DataFrame, query: str) -> DataFrame:
+    """A recursive query over {rows}, in at most {levels} steps. The session's limit on its rows is lifted: no step's rows are dropped, and large results don't fail."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(query.replace("{levels}", str(MOST_LEVELS)), rows=rows)
+
+
+def descendants(links: DataFrame, parent: str, child: str) -> DataFrame:
+    """(root, node, depth): all that is below each parent, by the links between them; a node that is reached by several ways comes once for each depth. A cycle is an error."""
+    rows = links.select(F.col(parent).alias("parent"), F.col(child).alias("child")).filter("parent IS NOT NULL AND child IS NOT NULL").distinct()
+    found = recursive(
+        rows,
+        """WITH RECURSIVE below(root, node, path, depth) MAX RECURSION LEVEL {levels} AS (
+            SELECT parent, IF(parent = child, raise_error('a cycle of links'), child), array(parent, child), 1 FROM {rows}
+            UNION ALL
+            SELECT b.root, IF(array_contains(b.path, l.child), raise_error('a cycle of links'), l.child), array_append(b.path, l.child), b.depth + 1 FROM below b JOIN {rows} l ON b.node = l.parent
+        ) SELECT root, node, depth FROM below""",
+    )
+    return found.distinct()
+
+
 #: Buckets of keys whose digests are compared.
 DIGEST_BUCKETS = 1 << 14
 

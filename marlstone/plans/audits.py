@@ -381,14 +381,14 @@ def state_rules(spark, sf):
 def forbidden_keys(spark, sf):
     k = F.col("c_custkey")
     body = F.when(k % 4 == 0, '{"a": [{"secret": 1}]}').when(k % 4 == 1, '{"token": {"b": {"secret": null}}}').when(k % 4 == 2, '{"text": "a \\"secret\\": in a value"}').otherwise("no json")
-    return quality.forbidden_keys(table(spark, sf, "customer").select("c_custkey", body.alias("j")), "c_custkey", "j", ["secret", "token"], 4).select("key", "detail")
+    return quality.forbidden_keys(table(spark, sf, "customer").select("c_custkey", body.alias("j")), "c_custkey", "j", ["secret", "token"]).select("key", "detail")
 
 
 @query("json_urls", "select c_custkey, 'https://h/' || c_custkey url from customer where c_custkey % 2 = 0")
 def json_urls(spark, sf):
     c = table(spark, sf, "customer")
     body = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{"a": [{"u": "https://h/'), text("c_custkey"), F.lit('"}], "t": "see https"}'))).otherwise('{"u": "ftp://x"}')
-    return quality.json_urls(c.select("c_custkey", body.alias("j")), "c_custkey", "j", 4)
+    return quality.json_urls(c.select("c_custkey", body.alias("j")), "c_custkey", "j")
 
 
 @query("capture_rules", "select 'captured_before_cutoff' as rule, count(*) n from orders where o_orderkey % 3 = 0 union all select 'more_rows_than_matches', count(*) from orders where o_orderkey % 4 = 0")

@@ -378,6 +378,16 @@ def row_changes(spark, sf):
     return R.row_changes(old, new)
 
 
+@query(
+    "descendants",
+    "with recursive l as (select c_custkey // 10 p, c_custkey c from customer where c_custkey >= 10), b(root, node, depth) as (select p, c, 1 from l union all select b.root, l.c, b.depth + 1 from b join l on b.node = l.p) select root, max(depth) depth, cast(count(*) as bigint) n from b group by 1",
+)
+def descendants(spark, sf):
+    """Depth and size of what is below each customer, where a number hangs below its tenth."""
+    links = table(spark, sf, "customer").filter("c_custkey >= 10").select(F.floor(F.col("c_custkey") / 10).alias("p"), F.col("c_custkey").alias("c"))
+    return R.descendants(links, "p", "c").groupBy("root").agg(F.max("depth").alias("depth"), n_())
+
+
 @query(
     "frozen_split",
     "with r as (select doc_id, lang, row_number() over (partition by lang order by sha256(concat('20260803', chr(0), lang, chr(0), cast(doc_id as varchar))), doc_id) p, count(*) over (partition by lang) n from documents) select doc_id, lang, p <= case when n > 1 then greatest(1, least(n - 1, cast(floor(n * 0.2 + 0.5) as bigint))) else 0 end evaluation from r",
