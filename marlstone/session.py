@@ -43,3 +43,9 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(top.parent))
     context.addPyFile(out)
     context._marlstone_shipped = True
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, after the package's code has gone to the executors: for functions whose Python workers call it."""
+    ship(df.sparkSession)
+    return df

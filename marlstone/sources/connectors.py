@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import storage
 from ..operators import quality
+from ..session import shipped
 
 #: Answers that mean "nothing there"; others that aren't 2xx are errors.
 ABSENT = (400, 403, 404)
+#: Requests that run side by side.
+AT_ONCE = 3
 
 Fetch = Callable[[str], tuple[int, str]]
 
@@ -38,8 +42,8 @@ def to_fetch(wanted: DataFrame, cache: DataFrame, now: int, ttl: int | None = No
     return wanted.join(fresh, "key", "left_anti")
 
 
-def fetch_rows(wanted: DataFrame, fetch: Fetch, now: int) -> DataFrame:
-    """Cache rows (key, value, created_at) of the wanted (key, url); partitions fetch side by side, absent ones give no row."""
+def fetch_rows(wanted: DataFrame, fetch: Fetch, now: int, at_once: int = AT_ONCE) -> DataFrame:
+    """Cache rows (key, value, created_at) of the wanted (key, url); absent ones give no row. Not more than `at_once` tasks fetch side by side, one request after the other in each."""
     import pandas as pd
 
     def run(frames):
@@ -47,12 +51,12 @@ def fetch_rows(wanted: DataFrame, fetch: Fetch, now: int) -> DataFrame:
             got = [(k, fetch_one(fetch, u)) for k, u in zip(pdf["key"], pdf["url"], strict=True)]
             yield pd.DataFrame([(k, v, now) for k, v in got if v is not None], columns=["key", "value", "created_at"])
 
-    return wanted.select("key", "url").mapInPandas(run, "key string, value string, created_at long")
+    return shipped(wanted.select("key", "url").repartition(at_once)).mapInPandas(run, "key string, value string, created_at long")
 
 
-def read_through(wanted: DataFrame, cache: DataFrame, fetch: Fetch, now: int, ttl: int | None = None) -> DataFrame:
-    """The cache with what it lacked of the wanted keys, the newest of each key."""
-    new = fetch_rows(to_fetch(wanted, cache, now, ttl), fetch, now)
+def read_through(wanted: DataFrame, cache: DataFrame, fetch: Fetch, now: int, ttl: int | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """The cache with what it lacked of the wanted keys, the newest of each key. What is fetched is stored first, so that each url is asked once; repeated keys are asked for once."""
+    new = storage.stash(fetch_rows(to_fetch(wanted.dropDuplicates(["key"]), cache, now, ttl), fetch, now, at_once))
     return cache.join(new.select("key"), "key", "left_anti").unionByName(new)
 
 

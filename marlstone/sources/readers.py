@@ -19,6 +19,7 @@ from ..functions import scalars as S
 from ..operators import quality
 from ..operators import relational as R
 from ..operators import timeseries as TS
+from ..session import shipped
 from .textindex import TextIndex
 
 STOCK_LIST = "code string, name string, name_en string, sector17_code string, sector17 string, sector_code string, sector string, scale string, market string"
@@ -142,7 +143,7 @@ def from_files(files: DataFrame, parse: Callable[[str, bytes], Iterable[dict]],
                 if rows:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return shipped(files.select("path", "content")).mapInPandas(run, schema)
 
 
 def zip_members(content: bytes, suffix: str = "") -> Iterable[tuple[str, bytes]]:
@@ -315,7 +316,7 @@ def html_rows(df: DataFrame, key: str, html: str) -> DataFrame:
             rows = [(k, t, r, cells) for k, h in zip(pdf[key], pdf[html], strict=True) for t, table in enumerate(html_tables(h)) for r, cells in enumerate(table)]
             yield pd.DataFrame(rows, columns=["key", "table_no", "row_no", "cells"])
 
-    return df.select(key, html).mapInPandas(run, f"key {kind}, table_no int, row_no int, cells array<string>")
+    return shipped(df.select(key, html)).mapInPandas(run, f"key {kind}, table_no int, row_no int, cells array<string>")
 
 
 def html_text(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -330,7 +331,7 @@ def html_text(df: DataFrame, key: str, html: str) -> DataFrame:
                 out.append(" ".join("".join(p.parts).split()))
             yield pd.DataFrame({"key": pdf[key], "text": out})
 
-    return df.select(key, html).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, text string")
+    return shipped(df.select(key, html)).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, text string")
 
 
 def parse_feed(xml: str) -> list[dict]:
@@ -352,7 +353,7 @@ def feed_rows(df: DataFrame, xml: str) -> DataFrame:
         for pdf in frames:
             yield pd.DataFrame([r for x in pdf[xml] for r in parse_feed(x)], columns=[f.split()[0] for f in schema.split(", ")])
 
-    return df.select(xml).mapInPandas(run, schema)
+    return shipped(df.select(xml)).mapInPandas(run, schema)
 
 
 def xml_text(xml: Column, *paths: str) -> Column:
@@ -374,7 +375,7 @@ def zipped_xml_text(df: DataFrame, key: str, value: str, *paths: str) -> DataFra
                 out.append(v)
             yield pd.DataFrame({"key": pdf[key], "xml": out})
 
-    plain = df.select(key, value).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, xml string")
+    plain = shipped(df.select(key, value)).mapInPandas(run, f"key {df.schema[key].dataType.simpleString()}, xml string")
     return plain.select("key", xml_text(F.col("xml"), *paths).alias("text"))
 
 
