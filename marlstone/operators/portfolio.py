@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.scalars import try_ratio
 from .relational import range_join
 from .stats import safe_corr, sharpe
-from .timeseries import max_drawdown, ordered, over
+from .timeseries import max_drawdown, numbered, ordered, over
 
 
 def neutral_weights(df: DataFrame, date: str, weight: str, out: str = "w") -> DataFrame:
@@ -194,25 +195,67 @@ def signal_returns(signals: DataFrame, returns: DataFrame, key: str, time: str)
     return signals.join(returns.select(key, time, "ret"), [key, time], "left").na.fill(0.0, ["ret"])
 
 
+#: Rounds of the block iteration at most, and the residual |Gv - lambda v| / lambda at which it ends.
+PCA_ROUNDS, PCA_RESIDUAL = 500, 1e-10
+
+
+def _standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(z array<double>): rows with all columns' z-scores by sample deviation; 0 without spread and where a value is missing. Means and deviations are one aggregate by column."""
+    long = df.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("i", "x"))
+    found = {r.i: r for r in long.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()}
+    mean = [float(found[i].m or 0.0) if i in found else 0.0 for i in range(len(columns))]
+    scale = [1.0 / found[i].s if i in found and found[i].s and found[i].s > 1e-12 else 0.0 for i in range(len(columns))]
+    centred = F.zip_with(F.array(*(F.col(c).cast("double") for c in columns)), F.lit(mean), lambda x, m: F.coalesce(x - m, F.lit(0.0)))
+    return df.select(F.zip_with(centred, F.lit(scale), lambda x, s: x * s).alias("z"))
+
+
 def pca_factors(df: DataFrame, date: str, columns: Sequence[str], k: int = 3, alpha: float = 0.1) -> DataFrame:
-    """(component, eigenvalue, explained, loadings map): principal axes of the z-scored columns, their Gram matrix shrunk to the unit matrix by alpha.
+    """(component, eigenvalue, explained, loadings map): principal axes of the z-scored columns, their Gram matrix G = Z'Z / rows shrunk to the unit matrix by alpha.
 
-    explained: the eigenvalue's share of the k found. The matrix is one aggregate over all rows, of the size of columns squared; its eigenvectors are found on the driver, with the largest loading positive.
+    explained: the eigenvalue's share of the k found. G is never made: each round multiplies the stored rows with a block of k + 8 vectors, Z'(ZB), in one
+    pass whose partial results are columns x block, and the block is made orthogonal on the driver (Rayleigh-Ritz), until the k residuals are below
+    PCA_RESIDUAL; not reaching it in PCA_ROUNDS is an error. So thousands of columns need neither squared aggregates nor a square matrix.
+    The largest loading of each component is positive. Without rows, or where no column varies, G is alpha times the unit matrix.
     """
     import numpy as np
+    import pyarrow as pa
 
     n = len(columns)
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    a = df.agg(*(safe_corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs), F.count("*").alias("t")).first()
-    gram = np.zeros((n, n))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = a[f"c{i}_{j}"] * ((a.t - 1) / a.t if a.t else 0)
-    values, vectors = np.linalg.eigh((1 - alpha) * gram + alpha * np.eye(n))
-    best, rows = np.argsort(-values)[:k], []
-    for c, i in enumerate(best):
-        v = vectors[:, i] * (1 if vectors[np.abs(vectors[:, i]).argmax(), i] > 0 else -1)
-        rows.append((c, float(values[i]), float(values[i] / values[best].sum()), dict(zip(columns, map(float, v), strict=True))))
-    return df.sparkSession.createDataFrame(rows, "component int, eigenvalue double, explained double, loadings map<string,double>")
+    z = storage.stash(_standard(df, columns))
+    rows, size = z.count(), min(n, k + 8)
+
+    def times(block):
+        def run(batches):
+            total = np.zeros((n, size))
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n)
+                    total += x.T @ (x @ block)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(list(total))], names=["i", "v"])
+
+        parts = z.mapInArrow(run, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+        out = np.zeros((n, size))
+        for i, j, x in parts.collect():
+            out[i, j] = x
+        return (1 - alpha) * out / max(1, rows) + alpha * block
+
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((n, size)))[0]
+    for _ in range(PCA_ROUNDS):
+        product = times(basis)
+        values, turn = np.linalg.eigh((basis.T @ product + product.T @ basis) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        vectors, product = basis @ turn, product @ turn
+        least = np.abs(values[:k]).clip(1e-300)
+        if (np.linalg.norm(product[:, :k] - vectors[:, :k] * values[:k], axis=0) <= PCA_RESIDUAL * least).all():
+            break
+        basis = np.linalg.qr(product)[0]
+    else:
+        raise ValueError(f"the components did not settle in {PCA_ROUNDS} rounds")
+    found, total = [], float(values[:k].sum())
+    for c in range(min(k, n)):
+        v = vectors[:, c] * (1 if vectors[np.abs(vectors[:, c]).argmax(), c] > 0 else -1)
+        found.append((c, float(values[c]), float(values[c] / total), dict(zip(columns, map(float, v), strict=True))))
+    return df.sparkSession.createDataFrame(found, "component int, eigenvalue double, explained double, loadings map<string,double>")
 
 
 def pca_scores(df: DataFrame, date: str, columns: Sequence[str], factors: DataFrame) -> DataFrame:
@@ -258,19 +301,39 @@ def monte_carlo_wealth(spark: SparkSession, paths: int, steps: int, mu: float |
     return spark.range(paths).mapInPandas(run, "w double").agg(F.avg("w").alias("mean"), F.var_pop("w").alias("variance"), F.count("*").alias("n"))
 
 
+def _window_sums(rows: DataFrame, key: Sequence[str], weight: str, values: Sequence[str], window: int) -> DataFrame:
+    """(__t, values): for each date the weighted sums of the values over the `window` dates before it, by differences of running sums.
+
+    rows: key, __t, weight and values. Those of date t weigh the window that ends with t, for date t + 1. Each row is met twice, whatever
+    the window: where its running sum ends the window, and `window` dates before, where the sum is taken off.
+    """
+    ends = rows.select(*key, F.col("__t").alias("__at"), F.lit(0).alias("__kind"), F.col("__t").alias("__of"), weight, *values)
+    begins = rows.select(*key, (F.col("__t") - window).alias("__at"), F.lit(1).alias("__kind"), F.col("__t").alias("__of"), (-F.col(weight)).alias(weight), *(F.lit(0.0).alias(v) for v in values))
+    w = Window.partitionBy(*key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    running = ends.unionByName(begins).withColumns({f"__p_{v}": F.sum(v).over(w) for v in values})
+    return running.groupBy((F.col("__of") + 1).alias("__t")).agg(*(F.sum(F.col(weight) * F.col(f"__p_{v}")).alias(v) for v in values))
+
+
 def reapplied_window(df: DataFrame, date: str, asset: str, weight: str, ret: str, market: str, window: int = 60) -> DataFrame:
     """(date, sigma, corr): for each date the weights of the date before it, applied to the assets' returns of the `window` dates before it: deviation (1e-8 at least) and correlation with the market.
 
-    The first date has no weights before it: 1e-8 and 0. A missing weight or return counts 0. Dates are numbered in one task; their rows aren't.
+    The first date has no weights before it: 1e-8 and 0. A missing weight or return counts 0, a date without a market return isn't in the correlation.
+    The deviation is that of w' C w, where C comes from running sums of products for each pair of assets: the work doesn't depend on
+    the window. Spread below a millionth of the returns' size is none.
     """
-    days = df.groupBy(date).agg(F.first(market, ignorenulls=True).alias("__m")).withColumn("__t", F.row_number().over(Window.orderBy(date)))
-    rows = df.join(days.select(date, "__t"), date)
-    held = rows.select(F.col(asset).alias("__a"), (F.col("__t") + 1).alias("__t"), F.col(weight).alias("__w"))
-    past = rows.select(F.col(asset).alias("__a"), F.col("__t").alias("__s"), F.col(ret).alias("__r")).withColumn("__t", F.explode(F.sequence(F.col("__s") + 1, F.col("__s") + window)))
-    own = held.join(past, ["__a", "__t"]).groupBy("__t", "__s").agg(F.sum(F.col("__w") * F.col("__r")).alias("__p"))
-    grid = days.select(date, "__t", F.explode(F.sequence(F.greatest(F.lit(1), F.col("__t") - window), F.col("__t") - 1)).alias("__s")).filter("__s < __t and __s > 0 and __t > 1")
-    both = grid.join(own, ["__t", "__s"], "left").join(days.select(F.col("__t").alias("__s"), "__m"), "__s").withColumn("__p", F.coalesce("__p", F.lit(0.0)))
-    sd, sm = F.stddev_pop("__p"), F.stddev_pop("__m")
-    corr = F.when((F.count("*") >= 2) & (sd > 1e-12) & (sm > 1e-12), try_ratio(F.covar_pop("__p", "__m"), sd * sm)).otherwise(0.0)
-    out = both.groupBy("__t").agg(F.greatest(sd, F.lit(1e-8)).alias("sigma"), corr.alias("corr"))
-    return days.join(out, "__t", "left").select(date, F.coalesce("sigma", F.lit(1e-8)).alias("sigma"), F.coalesce("corr", F.lit(0.0)).alias("corr"))
+    days = numbered(df.groupBy(date).agg(F.first(market, ignorenulls=True).alias("__m")), [], date, "__t")
+    held = df.join(days, date).select(F.col(asset).alias("__a"), "__t", F.coalesce(weight, F.lit(0.0)).alias("__w"), F.coalesce(ret, F.lit(0.0)).alias("__r"), "__m")
+    one = held.withColumns({"r": F.col("__r"), "rk": F.when(F.col("__m").isNotNull(), F.col("__r")).otherwise(0.0), "rm": F.coalesce(F.col("__r") * F.col("__m"), F.lit(0.0))})
+    other = held.select("__t", F.col("__a").alias("__b"), F.col("__w").alias("__v"), F.col("__r").alias("__q"))
+    pairs = held.join(other, "__t").filter("__a <= __b").select("__a", "__b", "__t", (F.col("__w") * F.col("__v") * F.when(F.col("__a") == F.col("__b"), 1.0).otherwise(2.0)).alias("__ww"), (F.col("__r") * F.col("__q")).alias("rr"))
+    sums = _window_sums(one, ["__a"], "__w", ["r", "rk", "rm"], window).join(_window_sums(pairs, ["__a", "__b"], "__ww", ["rr"], window), "__t")
+    past = lambda w: w.rowsBetween(-window, -1)
+    market_ = over(days, [], "__t", lambda w: {"__n": F.count("*").over(past(w)), "__k": F.count("__m").over(past(w)), "__sm": F.stddev_pop("__m").over(past(w)), "__mm": F.avg("__m").over(past(w))}, before=window)
+    both = market_.join(sums, "__t", "left")
+    square, mean = F.col("rr") / F.col("__n"), F.col("r") / F.col("__n")
+    variance = F.when(square - mean * mean > 1e-12 * square, square - mean * mean).otherwise(0.0)
+    # the spread of the portfolio over the dates with a market return is taken over all dates, as its deviation is
+    cov = try_ratio(F.col("rm"), F.col("__k")) - try_ratio(F.col("rk"), F.col("__k")) * F.col("__mm")
+    sd = F.sqrt(F.coalesce(variance, F.lit(0.0)))
+    corr = F.when((F.col("__n") >= 2) & (sd > 1e-12) & (F.col("__sm") > 1e-12), try_ratio(cov, sd * F.col("__sm"))).otherwise(0.0)
+    return both.select(date, F.greatest(sd, F.lit(1e-8)).alias("sigma"), F.coalesce(corr, F.lit(0.0)).alias("corr"))

@@ -395,3 +395,40 @@ def test_many_terms_in_one_pass(spark):
     took(10)
     few, many = min(took(10) for _ in range(2)), min(took(10_000) for _ in range(2))
     assert many < 3 * few + 2
+
+
+def test_pca_of_many_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    columns = [f"c{i}" for i in range(120)]
+    x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 120)) * 2 + rng.normal(size=(300, 120))
+    x[:, 7] = 4.0  # no spread
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["d", *columns]).repartition(3)
+    z = np.where(x.std(axis=0) > 0, (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0, ddof=1), 1), 0)
+    values, vectors = np.linalg.eigh(0.9 * z.T @ z / len(z) + 0.1 * np.eye(120))
+    for r in portfolio.pca_factors(df, "d", columns, 3).collect():
+        v = np.array([r.loadings[c] for c in columns])
+        assert math.isclose(r.eigenvalue, values[-1 - r.component], rel_tol=1e-9) and abs(abs(v @ vectors[:, -1 - r.component]) - 1) < 1e-9
+        assert v[np.abs(v).argmax()] > 0 and math.isclose(r.explained, values[-1 - r.component] / values[-3:].sum(), rel_tol=1e-9)
+
+
+def test_reapplied_window_with_gaps(spark):
+    """Missing assets, weights, returns and market returns; a window longer than the series."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = [(t, a, None if rng.random() < 0.1 else float(rng.normal()), None if rng.random() < 0.1 else float(rng.normal(0, 0.01)), float(t % 5) / 100) for t in range(25) for a in range(4) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "d int, a int, w double, r double, m double")
+    dates = sorted({r[0] for r in rows})
+    w = {(t, a): x or 0.0 for t, a, x, _, _ in rows}
+    ret = {(t, a): x or 0.0 for t, a, _, x, _ in rows}
+    for window in (3, 100):
+        got = {x.d: x for x in portfolio.reapplied_window(df, "d", "a", "w", "r", "m", window).collect()}
+        for i, t in enumerate(dates):
+            past = dates[max(0, i - window) : i]
+            p = [sum(w.get((dates[i - 1], a), 0.0) * ret.get((s, a), 0.0) for a in range(4)) for s in past]
+            want = max(1e-8, float(np.std(p))) if p else 1e-8
+            assert math.isclose(got[t].sigma, want, rel_tol=1e-7)
+            if len(p) > 2 and want > 1e-6:
+                assert math.isclose(got[t].corr, np.corrcoef(p, [s % 5 / 100 for s in past])[0, 1], abs_tol=1e-7)
