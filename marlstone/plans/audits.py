@@ -165,6 +165,18 @@ def mean_variance(spark, sf):
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
+@query(
+    "pca_moments",
+    f"""with {PANEL}, w as (select d, event_type, coalesce(v, 0) v from (select distinct d from panel) cross join (select unnest(['click', 'error', 'purchase', 'signup', 'view']) event_type) left join panel using (d, event_type)),
+    c as (select a.event_type i, b.event_type j, corr(a.v, b.v) * (count(*) - 1) / count(*) r from w a join w b using (d) group by 1, 2), g as (select case when i = j then 0.9 * r + 0.1 else 0.9 * r end x, i = j same from c)
+    select round(sum(x) filter (same), 6) trace, round(sum(x * x), 6) squares from g""",
+)
+def pca_moments(spark, sf):
+    """Sums of all eigenvalues and of their squares: the trace and the squared norm of the shrunk matrix."""
+    f = portfolio.pca_factors(R.pivot_matrix(panel(spark, sf), "d", "event_type", "v", KINDS), "d", KINDS, 5)
+    return f.agg(r6(F.sum("eigenvalue"), "trace"), r6(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), "squares"))
+
+
 @query("pca_scores", f"with {PANEL} select cast(count(distinct d) as bigint) n, 5 as components, true as orthogonal, 1.0::double as explained from panel")
 def pca_scores(spark, sf):
     """Scores on all components without shrinkage are uncorrelated with the components' eigenvalues as variances; the shares sum to 1."""

@@ -14,7 +14,7 @@ from ..operators import claims as C
 from ..operators import facts, feeds, quality, stats
 from ..operators import relational as R
 from ..session import table
-from ..sources import textindex
+from ..sources import rankindex, textindex
 from .catalog import query
 from .landing import landing
 from .queries import n_, r6
@@ -428,3 +428,14 @@ def indexed_search(spark, sf):
     index = textindex.build(docs.select("doc_id", "text", "source"), ["text", "source"], landing(spark), block_rows=64, row_group=1 << 18)
     found = index.search("password", ["text"]).unionByName(index.search("licensed under", folded=["text"])).distinct().select("doc_id", F.lit("text").alias("kind"))
     return found.unionByName(index.ilike("source", "%s_t%").select("doc_id", F.lit("source").alias("kind")))
+
+
+@query(
+    "deep_page",
+    "with t as (select l_orderkey, l_linenumber, l_shipdate, row_number() over (order by l_shipdate, l_orderkey, l_linenumber) i, count(*) over () n from lineitem) select l_orderkey, l_linenumber, l_shipdate from t where (i - 1) // 50 in ((n - 1) // 50, n // 200)",
+)
+def deep_page(spark, sf):
+    """The last page of the line items by date, and one of the middle, by an index of ranks."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    index = rankindex.build(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], landing(spark), 256)
+    return index.page(index.pages()).unionByName(index.page(index.rows // 200 + 1))
