@@ -232,3 +232,11 @@ def verdict_stability(df: DataFrame, key: Sequence[str], verdict: str) -> DataFr
 def best_restart(df: DataFrame, key: Sequence[str], objective: str, ident: str) -> DataFrame:
     """The row of the largest objective of each key, the first by ident of equals."""
     return keep_row(df, key, [F.col(objective).desc_nulls_last(), F.col(ident).asc()])
+
+
+def merged_moments(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """n, mean and variance of each key from sums of values and squares, which chunks can add up in any order; a variance below 0 by rounding is 0. Values that aren't finite are an error."""
+    x = F.when(F.abs(value) < float("inf"), F.col(value)).when(F.col(value).isNotNull(), F.raise_error(F.lit("a value that is not finite")).cast("double"))
+    sums = df.groupBy(*key).agg(F.count(value).alias("n"), F.sum(x).alias("__s"), F.sum(x * x).alias("__q"))
+    mean = try_ratio(F.col("__s"), F.col("n"))
+    return sums.select(*key, "n", mean.alias("mean"), F.greatest(F.lit(0.0), try_ratio(F.col("__q"), F.col("n")) - mean * mean).alias("variance"))

@@ -519,11 +519,13 @@ def document_metadata(spark, sf):
     return orders(spark, sf).join(R.small(c), "o_custkey").groupBy("o_custkey", "c_name").agg(n_())
 
 
-@query("multiscale_windows", "with s as (select list(value order by event_id) v from events where user_id = 1), k as (select unnest([1, 5, 21]) step), i as (select step, unnest(generate_series(0, 9)) j from k) select step, j, v[greatest(0, least(30 - (9 - j) * step, len(v) - 1)) + 1] as value from i, s")
+@query("multiscale_windows", "with s as (select user_id, list(value order by event_id) v from events group by 1), k as (select unnest([1, 5, 21]) step), i as (select step, unnest(generate_series(0, 99)) j from k) select user_id, step, j, v[greatest(0, len(v) - 1 - (99 - j) * step) + 1] as value from i, s")
 def multiscale_windows(spark, sf):
-    e = table(spark, sf, "events").filter("user_id = 1").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    w = e.select(F.posexplode(TS.multiscale_window(F.col("v"), F.lit(30), samples=10)).alias("s", "w"))
-    return w.select(F.element_at(F.array(*map(F.lit, (1, 5, 21))), F.col("s") + 1).alias("step"), F.posexplode("w").alias("j", "value"))
+    """Of every user's series the windows that end with its last event; a series needs only its last 99 * 21 + 1 rows."""
+    rows = R.last_n_per_key(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", 99 * 21 + 1)
+    e = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
+    w = e.select("user_id", F.posexplode(TS.multiscale_window(F.col("v"), F.size("v") - 1)).alias("s", "w"))
+    return w.select("user_id", F.element_at(F.array(*map(F.lit, (1, 5, 21))), F.col("s") + 1).alias("step"), F.posexplode("w").alias("j", "value"))
 
 
 # scalars

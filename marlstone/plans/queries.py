@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import panel as panels
 from ..operators import portfolio, quality, stats
 from ..operators import relational as R
 from ..operators import timeseries as TS
@@ -131,10 +134,56 @@ def peak_day(spark, sf):
     return R.peak(table(spark, sf, "events").groupBy(F.to_date("ts").alias("d")).agg(n_()), "n", "d")
 
 
-@query("universe_topn", "select l_partkey, cast(count(distinct cast(l_shipdate as date)) as bigint) days_, round(avg(l_extendedprice * l_quantity), 6) adv from lineitem group by 1 having count(distinct cast(l_shipdate as date)) >= 10 order by avg(l_extendedprice * l_quantity) desc, days_ desc, l_partkey limit 20")
+@query("universe_topn", """with s as (select l_suppkey, count(distinct cast(l_shipdate as date)) days_, avg(l_extendedprice * l_quantity) a from lineitem where l_shipdate <= date '1998-12-31' group by 1)
+    select l_suppkey, cast(days_ as bigint) days_, round(a, 6) adv from s where days_ >= (select least(60, max(days_)) from s) order by a desc, days_ desc, l_suppkey limit 20""")
 def universe_topn(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.countDistinct(F.to_date("l_shipdate")).cast("bigint").alias("days_"), F.avg(F.col("l_extendedprice") * F.col("l_quantity")).alias("a"))
-    return g.filter("days_ >= 10").orderBy(F.desc("a"), F.desc("days_"), "l_partkey").limit(20).select("l_partkey", "days_", r6(F.col("a"), "adv"))
+    prices = table(spark, sf, "lineitem").withColumn("d", F.to_date("l_shipdate"))
+    found = panels.choose_universe(prices, datetime.date(1998, 12, 31), 20, "d", "l_suppkey", "l_extendedprice", "l_quantity")
+    return found.select("l_suppkey", F.col("days").cast("bigint").alias("days_"), r6(F.col("adv"), "adv"))
+
+
+_FEATURES = ["log_return", "log_volume", *(f"{f}_{n}" for n in panels.WINDOWS for f in ("ret_mean", "ret_std", "momentum", "vol_mean", "vol_std"))]
+
+
+def _panel_sql() -> str:
+    each = []
+    for n in panels.WINDOWS:
+        frame = f"(partition by code order by d rows between {n - 1} preceding and current row)"
+        for name, c in (("ret", "r"), ("vol", "lv")):
+            each += [f"case when count({c}) over {frame} = {n} then {f}({c}) over {frame} end {name}_{g}_{n}" for f, g in (("avg", "mean"), ("stddev_pop", "std"))]
+        each.append(f"p - lag(p, {n}) over (partition by code order by d) momentum_{n}")
+    z = ", ".join(f"coalesce(({c} - avg({c}) over (partition by d)) / nullif(stddev_pop({c}) over (partition by d), 0), 0) {c}" for c in _FEATURES)
+    return f"""with q as (select cast(o_orderdate as date) d, cast(o_custkey % 4 as int) code, avg(o_totalprice) c, sum(o_totalprice) v from orders where o_custkey % 9 > 0 group by 1, 2),
+    b as (select d, ln(c) - lag(ln(c)) over (order by d) benchmark from (select cast(o_orderdate as date) d, avg(o_totalprice) c from orders where o_orderkey % 3 > 0 group by 1)),
+    s as (select code, count(distinct d) days_, avg(c * v) adv from q where d <= date '1997-01-01' group by 1), u as (select code from s where days_ >= (select least(60, max(days_)) from s) order by adv desc, days_ desc, code limit 3),
+    x as (select *, ln(c) p, ln(1 + v) lv, ln(c) - lag(ln(c)) over (partition by code order by d) r from q where code in (select code from u)),
+    f as (select d, code, r asset_return, r log_return, lv log_volume, {", ".join(each)} from x), g as (select * from f where d >= date '1995-06-01'),
+    z as (select d, code, asset_return, {z} from g), k as (select d from z group by 1 having count(distinct code) = 3 and count(distinct case when asset_return is not null then code end) = 3)
+    select z.d, z.code, round(asset_return, 5) asset_return, round(benchmark, 5) benchmark, {", ".join(f"round({c}, 4) {c}" for c in _FEATURES)} from z join k on k.d = z.d join b on b.d = z.d where asset_return is not null and benchmark is not null"""
+
+
+@query("prepared_panel", _panel_sql())
+def prepared_panel(spark, sf):
+    """Customers' quarters as assets: mean and sum of order prices by day."""
+    day = F.to_date("o_orderdate")
+    q = orders(spark, sf).filter("o_custkey % 9 > 0").groupBy(day.alias("d"), (F.col("o_custkey") % 4).cast("int").alias("code")).agg(F.avg("o_totalprice").alias("Close"), F.sum("o_totalprice").alias("Volume"))
+    b = TS.log_return(orders(spark, sf).filter("o_orderkey % 3 > 0").groupBy(day.alias("d")).agg(F.avg("o_totalprice").alias("c")), [], "d", "c", out="benchmark")
+    out = panels.prepared_panel(q, b, datetime.date(1997, 1, 1), 3, start=datetime.date(1995, 6, 1), date="d", code="code", least_dates=20)
+    return out.select("d", "code", F.round("asset_return", 5).alias("asset_return"), F.round("benchmark", 5).alias("benchmark"), *(F.round(c, 4).alias(c) for c in _FEATURES))
+
+
+@query("significance", """with c as (select count(*) filter (quality = 1 and toxic = 1) tp, count(*) filter (quality = 0 and toxic = 1) fp, count(*) filter (quality = 1 and toxic = 0) fn, count(*) filter (quality = 0 and toxic = 0) tn from labels),
+    d as (select tp::double tp, fp::double fp, fn::double fn, tn::double tn from c)
+    select unnest(['accuracy', 'precision', 'recall', 'f1', 'mcc']) metric, round(unnest([(tp + tn) / (tp + fp + fn + tn), tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))]), 6) value, true as inside from d""")
+def significance(spark, sf):
+    """Point values, and whether each lies in its interval."""
+    return stats.significance(table(spark, sf, "labels"), "quality", "toxic").select("metric", r6(F.col("value"), "value"), F.col("value").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+@query("merged_moments", f"select l_returnflag, {N} n, round(avg(l_quantity), 6) mean, round(var_pop(l_quantity), 6) variance from lineitem group by 1")
+def merged_moments(spark, sf):
+    out = stats.merged_moments(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity")
+    return out.select("l_returnflag", "n", r6(F.col("mean"), "mean"), r6(F.col("variance"), "variance"))
 
 
 @query("calendar_intersection", f"select cast(ts as date) d, {N} n from events where cast(ts as date) in (select cast(ts as date) from events group by 1 having count(distinct event_type) = (select count(distinct event_type) from events)) group by 1")
