@@ -45,14 +45,14 @@ def naive_split(spark, sf):
     return table(spark, sf, "customer").select(a.cast("long").alias("c_custkey"), b.alias("c_mktsegment"), c.alias("third"))
 
 
-@query("stock_list", "select cast(p_size as varchar) code, count(*) filter (p_partkey % 3 > 0)::int % 1 + 1 as n from part where p_partkey % 5 > 0 group by 1")
+@query("stock_list", "select cast(p_size as varchar) code, max_by(p_name, p_partkey) as name, max_by(p_type, p_partkey) sector, case when max(p_partkey) % 3 > 0 then 'Prime' else '不明' end market from part where p_partkey % 5 > 0 group by 1")
 def stock_list(spark, sf):
     """Stocks of a list whose codes repeat: one line of each code with a name and a sector."""
     path = landing(spark)
     blank = F.lit("")
-    p = table(spark, sf, "part").select(text("p_size").alias("code"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_name")).otherwise(blank).alias("name"), blank.alias("e"), F.lit("1").alias("s17"), F.lit("s").alias("s17n"), F.lit("10").alias("sc"), F.col("p_type").alias("sector"), F.lit("big").alias("scale"), F.when(F.col("p_partkey") % 3 > 0, "Prime").otherwise(blank).alias("market"))
+    p = table(spark, sf, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").select(text("p_size").alias("code"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_name")).otherwise(blank).alias("name"), blank.alias("e"), F.lit("1").alias("s17"), F.lit("s").alias("s17n"), F.lit("10").alias("sc"), F.col("p_type").alias("sector"), F.lit("big").alias("scale"), F.when(F.col("p_partkey") % 3 > 0, "Prime").otherwise(blank).alias("market"))
     p.write.option("header", True).csv(path)
-    return readers.stock_list(spark, path).groupBy("code").agg(F.count("*").cast("int").alias("n"))
+    return readers.stock_list(spark, path).select("code", "name", "sector", "market")
 
 
 @query("statements", "select o_custkey, max(o_orderdate) o_orderdate from orders where o_orderpriority like '%URGENT%' group by 1")

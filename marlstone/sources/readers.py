@@ -36,16 +36,22 @@ def naive_split(line: Column, n: int) -> list[Column]:
     return [F.get(parts, F.lit(i)) for i in range(n)]
 
 
+def line_order() -> Column:
+    """Where a line of text files stands: file, block of the file, and place in the block. Tasks read blocks in any order, but each from front to end."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def stock_list(spark: SparkSession, path: str, schema: str = STOCK_LIST) -> DataFrame:
-    """Stocks with code, name and sector; a missing market is '不明'; of equal codes the last line counts."""
-    df = spark.read.options(header=True, mode="PERMISSIVE").schema(schema).csv(path).withColumn("__o", F.monotonically_increasing_id())
+    """Stocks with code, name and sector; a missing market is '不明'; of equal codes the last line counts, by file name and line."""
+    df = spark.read.options(header=True, mode="PERMISSIVE").schema(schema).csv(path).withColumn("__o", line_order())
     ok = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("code", "name", "sector")]
     return R.last_wins(df.filter(ok[0] & ok[1] & ok[2]).withColumn("market", S.first_filled(F.col("market"), F.lit("不明"))), ["code"], "__o").drop("__o")
 
 
-def statements(df: DataFrame, code: str, date: str, doc_type: str, kind: str = "FYFinancialStatements") -> DataFrame:
-    """The latest statement of a kind of each code."""
-    return R.latest_per_key(df.filter(F.col(doc_type).contains(kind)).withColumn("__o", F.monotonically_increasing_id()), [code], date, "__o").drop("__o")
+def statements(df: DataFrame, code: str, date: str, doc_type: str, kind: str = "FYFinancialStatements", order: Column | None = None) -> DataFrame:
+    """The latest statement of a kind of each code; of equal dates the first in an order (line_order() for a frame of files), else that of the smallest row."""
+    at = F.to_json(F.struct("*")) if order is None else order
+    return R.latest_per_key(df.withColumn("__o", at).filter(F.col(doc_type).contains(kind)), [code], date, "__o").drop("__o")
 
 
 def latest_prices(df: DataFrame, code: str, date: str, close: str) -> DataFrame:
@@ -80,7 +86,7 @@ def cache_pages(df: DataFrame | TextIndex, like: str, n: int = 500, element: str
 def factor_csv(spark: SparkSession, path: str, column: str, date: str = "date") -> DataFrame:
     """(month, value) of a percent column; months must be unique and in order, and dates valid."""
     df = read_csv(spark, path, f"{date} string, {', '.join(f'{c} double' for c in _header(spark, path) if c != date)}")
-    df = df.select(S.month_key(F.col(date)).alias("month"), (F.col(column) / 100).alias("value"), F.monotonically_increasing_id().alias("ord"))
+    df = df.select(S.month_key(F.col(date)).alias("month"), (F.col(column) / 100).alias("value"), line_order().alias("ord"))
     bad = quality.violations(spark, quality.unique_key(df, ["month"]), quality.require_columns(df, ["month", "value"]), quality.chronological(df.withColumn("k", F.lit(1)), ["k"], "ord", "month"))
     quality.assert_empty(bad)
     return df.select("month", "value")
@@ -417,8 +423,8 @@ def merge_registry(spark: SparkSession, *fragments: DataFrame, key: str = "sourc
 
 def log_tail(spark: SparkSession, path: str, n: int = 50, part: str = "") -> DataFrame:
     """The last n lines, by file name and line, that contain a text, in order."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
-    return lines.filter(F.col("value").contains(part)).orderBy(F.desc("file"), F.desc("line")).limit(n).orderBy("file", "line")
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), line_order().alias("line"), "value")
+    return lines.filter(F.col("value").contains(part)).orderBy(F.desc("line")).limit(n).orderBy("line")
 
 
 def projection_contract(payload: str, schema_version: str) -> dict:

@@ -185,3 +185,22 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/w").agg(F.sum("n")).first()[0] >= 10
     ingest.drain(ingest.running_totals(ingest.watch(spark, str(src), df.schema), "doc_id", "v"), f"{tmp_path}/cp3", f"{tmp_path}/r").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/r").groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == 15
+
+
+def test_lines_keep_their_order_in_split_files(spark, tmp_path):
+    """Blocks of a few hundred bytes are read in any order; the last line still wins."""
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.log").write_text("".join(f"a line {i:05d} {'x' * (i % 40)}\n" for i in range(400)))
+    (tmp_path / "logs/b.log").write_text("".join(f"b line {i:05d} {'y' * (i % 7)}\n" for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = [r.value[:12] for r in readers.log_tail(spark, str(tmp_path / "logs"), 320).collect()]
+        assert got == [f"a line {i:05d}" for i in range(380, 400)] + [f"b line {i:05d}" for i in range(300)]
+        text = "code,name,name_en,sector17_code,sector17,sector_code,sector,scale,market\n" + "".join(f"{i % 5},n{i},,,,,s{'z' * (i % 30)},,\n" for i in range(300))
+        (tmp_path / "list.csv").write_text(text)
+        assert sorted(r.name for r in readers.stock_list(spark, str(tmp_path / "list.csv")).collect()) == [f"n{i}" for i in range(295, 300)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
