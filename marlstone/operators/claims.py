@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,55 @@ def _class() -> Column:
     return F.when(rule == DEFERRED, DEFERRED).when(known & F.col("n").isNull(), UNRESOLVED).otherwise(out)
 
 
+#: What a fact that is shown as evidence tells, where it has it.
+REF = ("feed_id", "logical_repo", "metric_id", "period", "value", "unit", "entity", "fact_class", "mirror_snapshot_id", "mirror_sha256", "source_url", "dimensions")
+#: Latest facts and compared entities that are shown.
+LATEST, COMPARISONS = 8, 10
+#: The single facts that rules show: (rule, kind, metric or None for any, first or last).
+_SINGLE = (
+    ("latest_productivity_direction", "latest_labor_productivity", "labor_productivity", False), ("bitcoin_partial", "treasury_first", "bitcoin_holdings", True), ("bitcoin_partial", "treasury_latest", "bitcoin_holdings", False),
+    ("issuer_supply_trend", "first", "circulation_usdc", True), ("issuer_supply_trend", "latest", "circulation_usdc", False),
+)
+
+
+def claim_observations(claims: DataFrame, series: DataFrame) -> DataFrame:
+    """What each claim's rule shows, as rows: (claim_id, kind, place, name, n, first, last, ref), ref being the fact as JSON of those of REF that it has.
+
+    `comparison`: entities with at least two facts, their first and last value, n 1 if it rose, the COMPARISONS whose first fact comes first. `latest_observation`: the LATEST last facts,
+    in order. `status`: events by status. `under_construction_capacity`: such facts. `deployment_metric`: the last fact of each metric. And first and last facts of holdings, supply
+    and productivity; supply of fewer than two facts shows none. Facts are ordered as in evaluate_claims; deferred claims and claims without facts show nothing.
+    Every kind keeps or counts rows with an aggregate or a pruned rank, and all but the facts under construction are bounded for each claim and entity, status or metric.
+    """
+    shown = F.to_json(F.struct(*(c for c in REF if c in series.columns)), {"ignoreNullFields": "true"})
+    rows = claim_facts(claims, series.withColumn("__ref", shown)).withColumn("o", F.struct("period", "feed_id", "metric_id", F.coalesce("entity", F.lit("")), "value"))
+    rows = rows.select("claim_id", "evaluation_rule", "metric_id", "value", "entity", "dimensions", F.col("__ref").alias("ref"), "o")
+    of = lambda rule: rows.filter(F.col("evaluation_rule") == rule)
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def out(df, kind, place, name=None, n=None, first=None, last=None, ref=None):
+        cells = (("place", place, "int"), ("name", name, "string"), ("n", n, "long"), ("first", first, "double"), ("last", last, "double"), ("ref", ref, "string"))
+        return df.select("claim_id", kind.alias("kind"), *((none(t) if c is None else c.cast(t)).alias(x) for x, c, t in cells))
+
+    place = lambda *by: F.row_number().over(Window.partitionBy("claim_id").orderBy(*by))
+    each = of("entity_trend_share").groupBy("claim_id", F.coalesce("entity", F.lit("unknown")).alias("e")).agg(F.min("o").alias("a"), F.max("o").alias("z"), F.count("*").alias("n")).filter("n >= 2")
+    compared = keep_row(each, ["claim_id"], [F.col("a")], COMPARISONS)
+    parts = [out(compared, F.lit("comparison"), place("a"), F.col("e"), (F.col("z.value") > F.col("a.value")).cast("int"), F.col("a.value"), F.col("z.value"))]
+    few = keep_row(of("consumer_scale_evidence"), ["claim_id"], [F.col("o").desc()], LATEST)
+    parts.append(out(few, F.lit("latest_observation"), place("o"), F.col("metric_id"), last=F.col("value"), ref=F.col("ref")))
+    status = of("robotics_deployment_evidence").filter("metric_id = 'deployment_evidence'").groupBy("claim_id", F.coalesce(F.col("dimensions")["status"], F.lit("unknown")).alias("e")).agg(F.count("*").alias("n"))
+    parts.append(out(status, F.lit("status"), place("e"), F.col("e"), F.col("n")))
+    building = of("distributed_energy_partial").filter((F.col("metric_id") == "net_electrical_capacity") & F.contains(F.lower(F.coalesce(F.col("dimensions")["status"], F.lit(""))), F.lit("construction")))
+    parts.append(out(building, F.lit("under_construction_capacity"), None, F.col("metric_id"), last=F.col("value"), ref=F.col("ref")))
+    vehicles = of("autonomous_vehicle_evidence").filter(F.col("metric_id").isin("autonomous_testing_miles", "permitted_company_groups")).groupBy("claim_id", "metric_id").agg(F.max_by(F.struct("value", "ref"), "o").alias("x"))
+    parts.append(out(vehicles, F.lit("deployment_metric"), place("metric_id"), F.col("metric_id"), last=F.col("x.value"), ref=F.col("x.ref")))
+    single = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), F.lit(first).alias("first")) for rule, kind, metric, first in _SINGLE))
+    ends = rows.withColumn("s", F.explode(F.filter(single, lambda x: (x["rule"] == F.col("evaluation_rule")) & (x["metric"] == F.col("metric_id")))))
+    ends = ends.groupBy("claim_id", "evaluation_rule", "s.kind", "s.first").agg(F.min_by(F.struct("metric_id", "value", "ref"), "o").alias("a"), F.max_by(F.struct("metric_id", "value", "ref"), "o").alias("z"), F.count("*").alias("n"))
+    ends = ends.filter("evaluation_rule <> 'issuer_supply_trend' OR n >= 2").withColumn("x", F.when(F.col("first"), F.col("a")).otherwise(F.col("z")))
+    parts.append(out(ends, F.col("kind"), None, F.col("x.metric_id"), last=F.col("x.value"), ref=F.col("x.ref")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fund_links(funds: DataFrame, claims: DataFrame, series: DataFrame, feed: str = "ark-etf-holdings-latest") -> DataFrame:
     """Each fund (fund, relation, claim_ids) with its claims' themes and the audited figures of its holdings, if there are any."""
     claim = funds.select("fund", F.posexplode("claim_ids").alias("i", "claim_id")).join(claims.select("claim_id", "theme"), "claim_id", "left")

@@ -237,6 +237,29 @@ def claim_evaluation(spark, sf):
     return out.select(*whole, *(r6(F.col(c), c) for c in ("early_mean", "recent_mean", "productivity", "holdings_first", "holdings_last", "supply_first", "supply_last")))
 
 
+@query(
+    "claim_observations",
+    f"""with {SERIES}, {_CLAIMS}, sel as (select c.claim_id, c.rule, s.* from claims c join series s on list_contains(c.feeds, s.feed_id) and list_contains(c.metrics, s.metric_id)),
+    ent as (select claim_id, entity e, first(value order by {_ORDER}) a, last(value order by {_ORDER}) z, min((period, feed_id, metric_id, entity, value)) o from sel where rule = 'entity_trend_share' group by 1, 2 having count(*) >= 2),
+    comp as (select *, row_number() over (partition by claim_id order by o) i from ent), late as (select *, row_number() over (partition by claim_id order by period desc, feed_id desc, metric_id desc, entity desc, value desc) k from sel where rule = 'consumer_scale_evidence'),
+    st as (select claim_id, regexp_extract(dims, '(^|;)status=([^;]*)', 2) e, count(*) n from sel where rule = 'robotics_deployment_evidence' and metric_id = 'deployment_evidence' group by 1, 2),
+    one as (select claim_id, rule, metric_id, first(value order by {_ORDER}) a, last(value order by {_ORDER}) z, count(*) n from sel where rule in ('latest_productivity_direction', 'bitcoin_partial', 'issuer_supply_trend', 'autonomous_vehicle_evidence') group by 1, 2, 3)
+    select claim_id, 'comparison' kind, i::int place, e as name, cast(z > a as bigint) n, round(a, 6) "first", round(z, 6) "last", null period from comp where i <= 10
+    union all select claim_id, 'latest_observation', (least(8, (select count(*) from late)) + 1 - k)::int, metric_id, null, null, round(value, 6), period from late where k <= 8
+    union all select claim_id, 'status', (row_number() over (partition by claim_id order by e))::int, e, n, null, null, null from st
+    union all select claim_id, 'under_construction_capacity', null, metric_id, null, null, round(value, 6), period from sel where rule = 'distributed_energy_partial' and metric_id = 'net_electrical_capacity' and contains(lower(dims), 'construction')
+    union all select claim_id, 'deployment_metric', (row_number() over (partition by claim_id order by metric_id))::int, metric_id, null, null, round(z, 6), null from one where metric_id in ('autonomous_testing_miles', 'permitted_company_groups')
+    union all select claim_id, 'latest_labor_productivity', null, metric_id, null, null, round(z, 6), null from one where rule = 'latest_productivity_direction' and metric_id = 'labor_productivity'
+    union all select claim_id, k, null, metric_id, null, null, round(case when k = 'treasury_first' then a else z end, 6), null from one, (values ('treasury_first'), ('treasury_latest')) t(k) where rule = 'bitcoin_partial' and metric_id = 'bitcoin_holdings'
+    union all select claim_id, k, null, metric_id, null, null, round(case when k = 'first' then a else z end, 6), null from one, (values ('first'), ('latest')) t(k) where rule = 'issuer_supply_trend' and metric_id = 'circulation_usdc' and n >= 2""",
+)
+def claim_observations(spark, sf):
+    """What the rules show; of a listed fact its period, taken from its reference."""
+    out = C.claim_observations(claim_table(spark), series(spark, sf))
+    period = F.when(F.col("kind").isin("latest_observation", "under_construction_capacity"), F.get_json_object("ref", "$.period"))
+    return out.select("claim_id", "kind", "place", "name", "n", r6(F.col("first"), "first"), r6(F.col("last"), "last"), period.alias("period"))
+
+
 @query("fact_selection", f"with {SERIES} select feed_id, metric_id, period, round(value, 6) as value from series where feed_id in ('defi-daily', 'space-launches') and metric_id in ('aave_event_count', 'completed_launch_count')")
 def fact_selection(spark, sf):
     return facts.select_facts(series(spark, sf), ["defi-daily", "space-launches"], ["aave_event_count", "completed_launch_count"]).select("feed_id", "metric_id", "period", r6(F.col("value"), "value"))
