@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     Each document is cut at multiples of CAPACITY; these pieces are sequences of their own. The rest is cut to at most
     PIECE tokens. Each partition gathers such pieces up to WINDOWS windows less SLACK tokens each, cutting the last one, and
     packs them; what is left when it ends makes one smaller group. Nothing shuffles and no more than a group is held. Sequence ids
-    hold the partition's number in the high bits. Repeated rows are packed each for itself; other columns are not read.
+    hold the partition's number in the high bits. Repeated rows are packed each for itself; other columns are not read. Ids keep their type; an empty table gives an empty result.
     """
 
     def run(batches):
@@ -156,7 +156,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             group, size = [], 0
             return rows
 
+        id_type = None
         for batch in batches:
+            id_type = batch.schema.field("id").type
             for part, _, _ in tb.chunks(batch, "text", TOGETHER):
                 rows = []
                 docs_ = part.column(part.schema.get_field_index("id")).to_pylist()
@@ -173,14 +175,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                         start, size = start + n, size + n
                         if size == most:
                             rows += flush()
-                yield from _batches(rows, part.schema.field("id").type)
+                yield from _batches(rows, id_type)
         if group:
             yield from _batches(flush(), id_type)
 
-    kind = docs.select(F.col(id_col).alias("id"))
-    id_type = pa.int64() if kind.schema[0].dataType.simpleString() == "bigint" else pa.string()
-    rows = docs.select((F.col(id_col) if id_type == pa.int64() else F.col(id_col).cast("string")).alias("id"), F.col(text_col).alias("text"))
-    return base.map_arrow(rows, run, f"id {'long' if id_type == pa.int64() else 'string'}, {SCHEMA}").withColumnRenamed("id", id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return base.map_arrow(rows, run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def _batches(rows, id_type):

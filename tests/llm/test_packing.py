@@ -73,3 +73,13 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, offset int")
     check(packing.pack_documents(df, packing.tokenizer_path()).collect(), texts)
     assert packing.pack_documents(df.limit(0), packing.tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "decimal(12,0)", "string", "date", "bigint"])
+def test_ids_keep_their_type(spark, kind):
+    value = "date_add(date'2020-01-01', cast(id as int))" if kind == "date" else f"cast(id as {kind})"
+    df = spark.range(5).selectExpr(f"{value} as doc_id", "if(id = 3, null, 'one two three') as text").unionByName(spark.sql(f"select cast(null as {kind}) as doc_id, 'x' as text"))
+    out = packing.pack_documents(df, packing.tokenizer_path())
+    assert dict(out.dtypes)["doc_id"] == kind
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in df.collect())
+    assert packing.pack_documents(df.limit(0), packing.tokenizer_path()).count() == 0
