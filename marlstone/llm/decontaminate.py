@@ -159,7 +159,7 @@ def is_contaminated(n_words, n_hit):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
-    """docs without those of which a twentieth of the words or more is hit; all columns stay."""
+    """docs without those of which a twentieth of the words or more is hit; all columns stay. Null texts and texts without words have no hit and stay; with an empty benchmark all do."""
     marked, (n_words, n_hit, *_) = mark(docs, benchmark, **columns)
     return marked.filter(~is_contaminated(n_words, n_hit)).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     """docs with three further columns, whose names are returned: lang_pred, score, ambiguous.
 
     The whole text is read, a very long one in pieces; repeated rows are judged each for itself, and alike. lang_pred is UNKNOWN, with score 0, if the text is null or has no letter, or
-    if the model learned no language. A narrow pass: no shuffle, the model is of a fixed size.
+    if the model learned no language. An empty table gives an empty result; if docs has columns of these names, the new ones get an underscore in front. A narrow pass: no shuffle, the model is of a fixed size.
     """
     names = base.fresh(docs, "lang_pred", "score", "ambiguous")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])

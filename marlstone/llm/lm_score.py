@@ -136,6 +136,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_c
     The table of counts grows with the corpus and is nowhere whole: documents are written in blocks, each of which hands its distinct words and pairs on, cut by the hash
     into parts; a part adds up its counts and answers the blocks, which come together with their documents by a shuffle. No task holds
     more than a block or a part, so a very long text is a block of its own. Rows that are repeated count as often as they are there; repeated or null target ids count once or not at all. The ids are broadcast if they fit, else joined by a shuffle.
+    An empty table gives an empty result; columns of docs may have any names.
     """
     ids = base.stash(target_ids.select(F.col(target_ids.columns[0]).alias("id")).filter("id is not null").distinct())
     names = base.fresh(docs, "n_tokens", "ce_target", "ce_background", "score")

@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Of two equal windows, each holds a block of its own that the other's probe meets, so both hold a hit; the windows around hits
     are then compared whole, by 80 bits of two hashes besides the bucket, and what they cover are the maximal repeats. Both shuffles
     carry hashes only, in as many buckets as the input asks for; a key that repeats within a chunk of text is settled there and sent once.
-    Null and empty texts have no words. Rows that are repeated count as often as they are there. Positions find their row again by a 64-bit
+    Null and empty texts have no words; an empty table gives an empty result. Rows that are repeated count as often as they are there. Positions find their row again by a 64-bit
     hash of id and text. Positions and runs are broadcast if they fit base.BROADCAST_BYTES; beyond, a Bloom filter of their rows goes first, so that of the texts only those with hits shuffle.
     """
     rid = base.row_key(F.col(id_col), F.col(text_col))

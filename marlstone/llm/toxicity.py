@@ -325,7 +325,7 @@ def rate(docs: DataFrame, index: Index, text_col: str = "text") -> tuple[DataFra
 
     evidence: the neighbours as array<struct<example int, toxic int, cosine double>>, nearest first. Texts that hold no
     term, null and empty ones too, have the rate of such examples as score and no evidence. A narrow pass: no shuffle;
-    the index is of a bounded size. Documents with the same terms in the same numbers are looked up once in a part of a batch.
+    the index is of a bounded size. An empty table gives an empty result; if docs has columns of these names, the new ones get an underscore in front. Documents with the same terms in the same numbers are looked up once in a part of a batch.
     """
     names = base.fresh(docs, "score", "predicted", "evidence")
     kinds = ("double", "int", "array<struct<example:int,toxic:int,cosine:double>>")
