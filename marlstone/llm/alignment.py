@@ -273,8 +273,8 @@ def _links(docs: DataFrame, byte_level: str, pieces: str) -> tuple[DataFrame, Da
     counts = _counted(links.select("stripe", "salt", "codes", F.col("docs").alias("counts"), F.lit(False).alias("wide")), ["stripe", "salt"], wide, parts)
     if salts > 1:
         counts = _counted(counts.select("stripe", "codes", "counts", F.lit(True).alias("wide")), ["stripe"], wide, parts)
-        counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return known, links, base.stash(counts), wide, size_b, parts
+    counts = base.stash(counts)
+    return known, links, counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), wide, size_b, parts
 
 
 def alignment(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
