@@ -258,11 +258,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     1. Equal sets become one node; only nodes go on. The signatures weigh all shingles alike, so that a band's buckets follow the similarity that links.
     2. Every member of a band's bucket is verified against the smallest set in it.
-    3. Buckets of more than BLOCK nodes that still hold several components are split by the other bands, in which alike sets
-       agree as well as in the first, each pair of bands once, and their parts go through step 2.
-    4. What still holds several components is compared in full but within the largest component, in blocks of about BLOCK nodes or BLOCK_WORDS words, and the
-       links that join components come out; groups with the same members are compared once. So no link of a bucket is lost but with the banding's own
-       small chance. A text of the largest component goes to as many tasks as the others have blocks, mostly one.
+    3. Buckets of any size that still hold several components are compared in full but within the largest component, in blocks of about BLOCK nodes or
+       BLOCK_WORDS words, and the links that join components come out; buckets with the same members are compared once. So no link of a bucket is lost: what
+       can be is a link whose sets share no band, the banding's own small chance. A text of the largest component goes to as many tasks as the others have blocks, mostly one.
     """
     rid = base.row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), rid.alias("rid"), F.col(text_col).alias("text"))
@@ -275,13 +273,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = base.stash(base.semi_first(rows.select("rid", "text"), wanted, "rid").select("node", "text"))
     root = components(_stars(members, texts))
     open_ = _open(members, root)
-    large = open_.filter(F.col("n") > BLOCK)
-    if not large.isEmpty():
-        both = lambda open_: lambda b: F.transform(F.filter("bands", lambda o: (o != b) & (~F.array_contains(open_, o) | (o > b))), lambda o: F.xxhash64(F.least(b, o), F.greatest(b, o)))
-        own = large.groupBy("node").agg(F.collect_set("bucket").alias("open")).join(nodes.select("node", "size", "bands"), "node")
-        finer = _grouped(own.select("node", "size", F.explode(F.flatten(F.transform("open", both("open")))).alias("bucket")))
-        root = _joined(root, _stars(finer, texts))
-        open_ = _open(finer.unionByName(open_.filter(F.col("n") <= BLOCK).select(*finer.columns)), root)
     if not open_.isEmpty():
         grouped = _dealt(open_).join(texts, "node").select("bucket", "i", "j", "node", "component", "block", "text").groupBy("bucket", "i", "j")
         base.ship(docs.sparkSession)

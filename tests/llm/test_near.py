@@ -143,3 +143,43 @@ def test_repeated_passage_keeps_its_bands():
     signed = near_dedup._sign([pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["id", "rid", "text"])])
     bands = [b for out in signed for b in out.column(4).to_pylist()]
     assert all(set(a) & set(b) for a, b in zip(bands[::2], bands[1::2], strict=True))
+
+
+def test_large_bucket_keeps_a_link_of_one_band(spark, monkeypatch):
+    """Of a bucket larger than BLOCK, two alike texts that share no other band, and whose smallest set is like neither."""
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(10**6)}"
+    one = [word() for _ in range(104)]
+
+    def near(places, last, n):
+        out = []
+        for _ in range(n):
+            w = list(one)
+            for i in r.sample(range(len(w)), places):
+                w[i] = word()
+            out.append(" ".join(w[:last] + [word() for _ in range(2)]))
+        return out
+
+    def bands(texts):
+        doc, h, _ = near_dedup.shingles(tb.tokenize(*tb.buffers(pa.array(texts)), tb.ALNUM))
+        return near_dedup.bands(near_dedup.signatures(doc, h, np.ones(len(h)), len(texts)))
+
+    alike = lambda a, texts: near_dedup.jaccard(pa.array([a] * len(texts)), pa.array(texts))
+    text = " ".join(one)
+    own = bands([text])[0]
+    found = []
+    while not found:
+        tried = near(2, None, 2000)
+        found = [(t, b) for t, b, s in zip(tried, bands(tried) == own, alike(text, tried), strict=True) if b.sum() == 1 and s >= near_dedup.SIMILAR]
+    other, same = found[0]
+    tried = near(4, 90, 2000)
+    fillers = [t for t, b, s, o in zip(tried, bands(tried) == own, alike(text, tried), alike(other, tried), strict=True) if b[same][0] and max(s, o) < near_dedup.SIMILAR][:12]
+    assert len(fillers) == 12
+    docs = list(enumerate([*fillers, text, other]))
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    classes = {}
+    for x in near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        classes.setdefault(x.class_id, []).append(x.doc_id)
+    want = brute(docs)
+    assert any({12, 13} <= set(x) for x in want)
+    assert sorted(sorted(v) for v in classes.values()) == want
