@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,11 @@ CAPACITY, PIECE = 2048, 512
 #: Windows that are packed together, and tokens that are left free in each for their differences.
 WINDOWS, SLACK = 128, 3
 #: Bytes of text that are encoded together.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 #: The id that ends a document.
 END_ID = 1
 #: Words that are kept, and the characters of the longest: 250 bytes each at most, 125 MB in a process.
 _CACHE_WORDS, _CACHE_LENGTH = 500_000, 40
-_END = struct.pack("<I", END_ID)
-#: str.split also splits at these, which the tokenizer doesn't take for white space.
-_CONTROL, _SPACE = re.compile("[\x1c-\x1f]"), re.compile(r"[ \n\r\t]+")
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -78,7 +76,7 @@ class Encoder:
     """Ids of whole texts, as little-endian uint32.
 
     The pre-tokenizer drops white space and cuts between letters and other signs, and no token crosses these cuts. So words
-    are encoded apart, and frequent ones once. Words of plain Latin letters, with or without closing signs, are put
+    are encoded apart, each distinct one of the texts once, and frequent ones once. Words of plain Latin letters, with or without closing signs, are put
     together from their lower-cased letters and the signs; all others go to the tokenizer as they are.
     """
 
@@ -95,31 +93,50 @@ class Encoder:
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Of words of letters only, each of which ends where a token does that ends a word: all in one text."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(cut) != len(words):
             return self._apart(words)
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)] if words else []
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_SPACE.split(t) if _CONTROL.search(t) else t.split() for t in texts]
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = set().union(*words).difference(known)
-        cut = [(w, m[1].lower(), m[2]) for w in new if (m := _PLAIN.fullmatch(w))]
-        other = list(new.difference(w for w, _, _ in cut))
+    def _learn(self, new: list[str]) -> list[str]:
+        """Makes words known, and the letters that plain ones are put together from, which are returned."""
+        known, cut, other = self.known, [], []
+        for w in new:
+            if m := _PLAIN.fullmatch(w):
+                cut.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
         known.update(zip(other, self._apart(other), strict=True))
-        letters, signs = list({a for _, a, _ in cut}), list({b for _, _, b in cut})
-        part = dict(zip(letters, self._letters(letters), strict=True)) | dict(zip(signs, self._apart(signs), strict=True))
-        known.update((w, part[a] + part[b]) for w, a, b in cut)
-        get = known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, w)) + _END, "<u4") for w in words]
+        letters, signs = list({a for _, a, _ in cut}.difference(known)), list({b for _, _, b in cut})
+        known.update(zip(letters, self._letters(letters), strict=True))
+        end = dict(zip(signs, self._apart(signs), strict=True))
+        for w, a, b in cut:
+            known[w] = known[a] + end[b] if b else known[a]
+        return letters
+
+    def __call__(self, texts: pa.Array | list) -> list[np.ndarray]:
+        """Ids of each text and END_ID; null is empty. Words end at ASCII white space; what other white space is in them the tokenizer drops."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > _CACHE_WORDS:  # those that are met again stay
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        new = [w for w in distinct if w not in self.known]
+        new += self._learn(new)
+        found = list(map(self.known.__getitem__, distinct))
         for w in new:
             if len(w) > _CACHE_LENGTH:
-                del known[w]
-        return out
+                self.known.pop(w, None)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = size[at]
+        ends = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat((np.cumsum(size) - size)[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[words.offsets.to_numpy()]
+        ids, cut = np.insert(ids, cut[1:], END_ID), cut + np.arange(len(cut))
+        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @functools.cache
@@ -162,8 +179,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             for part, _, _ in tb.chunks(batch, "text", TOGETHER):
                 rows = []
                 docs_ = part.column(part.schema.get_field_index("id")).to_pylist()
-                texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                for doc, ids in zip(docs_, encode(texts), strict=True):
+                for doc, ids in zip(docs_, encode(part.column(part.schema.get_field_index("text"))), strict=True):
                     whole = len(ids) // CAPACITY * CAPACITY
                     for start in range(0, whole, CAPACITY):
                         rows.append((doc, start, CAPACITY, zlib.crc32(ids[start : start + CAPACITY]), len(ids), at, 0))

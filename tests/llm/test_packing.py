@@ -83,3 +83,17 @@ def test_ids_keep_their_type(spark, kind):
     assert dict(out.dtypes)["doc_id"] == kind
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(r.doc_id) for r in df.collect())
     assert packing.pack_documents(df.limit(0), packing.tokenizer_path()).count() == 0
+
+
+def test_letters_are_encoded_once(monkeypatch):
+    encoder, asked = packing.Encoder(packing.tokenizer_path()), []
+    real = encoder._letters
+    monkeypatch.setattr(encoder, "_letters", lambda words: asked.append(sorted(words)) or real(words))
+    texts = ["Kestrel, rover", "kestrel rover! KESTREL", "Rover.", "kestrel rover\x1fx", "", "k" * 60 + " rover"]
+    for limit in (packing._CACHE_WORDS, 3):
+        monkeypatch.setattr(packing, "_CACHE_WORDS", limit)
+        for t in texts:
+            (ids,) = encoder([t])
+            assert ids.tolist() == [*PLAIN.encode(t, add_special_tokens=False).ids, 1]
+    assert asked[:3] == [["kestrel", "rover"], [], []]
+    assert "k" * 60 not in encoder.known and len(encoder.known) < 9
