@@ -177,9 +177,10 @@ def test_large_bucket_keeps_a_link_of_one_band(spark, monkeypatch):
     assert len(fillers) == 12
     docs = list(enumerate([*fillers, text, other]))
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
-    classes = {}
-    for x in near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+    classes, df = {}, spark.createDataFrame(docs, "doc_id long, text string")
+    for x in near_dedup.near_classes(df).collect():
         classes.setdefault(x.class_id, []).append(x.doc_id)
     want = brute(docs)
     assert any({12, 13} <= set(x) for x in want)
     assert sorted(sorted(v) for v in classes.values()) == want
+    assert near_dedup.keep_one(df).count() == len(want)  # the pipeline's stage
