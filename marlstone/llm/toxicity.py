@@ -189,7 +189,7 @@ class Index:
             cuts = list(zip(self.first[at[rare]].tolist(), (self.first[at[rare]] + n).tolist(), strict=True))
             if cuts:
                 found = np.concatenate([self.postings[a:b] for a, b in cuts])
-                scores[i] = np.bincount(found.view(np.int32)[1::2], found.view(np.float32)[::2] * np.repeat(w[rare], n), nb * BLOCK)
+                scores[i] = np.bincount(found.view(np.int32)[1::2], found.view(np.float32)[::2] * np.repeat(w[rare].astype(np.float32), n), nb * BLOCK)
         cells = scores.reshape(nq, nb, BLOCK)
         bound = cells.max(2) + q @ self.bounds
         wanted, read = np.zeros((nq, nb), bool), np.zeros((nq, nb), bool)
@@ -215,9 +215,9 @@ class Index:
             return []
         terms, values, cut = self.own
         n = cut[found + 1] - cut[found]
-        where = np.repeat(cut[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cuts = list(zip(cut[found].tolist(), cut[found + 1].tolist(), strict=True))
         weights[at] = w
-        shared = weights[terms[where]] * values[where]
+        shared = weights.take(np.concatenate([terms[a:b] for a, b in cuts])) * np.concatenate([values[a:b] for a, b in cuts])
         weights[at] = 0
         scores = np.round(np.add.reduceat(shared, np.cumsum(n) - n), 12)
         order = np.lexsort((found, -scores))[:k]
