@@ -19,6 +19,8 @@ REGISTERS = BANDS * ROWS
 BLOCK, BLOCK_WORDS = 400, 1 << 20
 #: Documents that are signed together: arrivals take some 25 KB for each.
 TOGETHER = 256
+#: One in so many shingles of a set is looked at beyond those of which like sets share one: like sets share as many more.
+FURTHER = 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,6 +101,27 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return tb.mix(acc + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
+def _shared(size):
+    """How many shingles a set of that size shares with one like it, at least; rounding only makes it one less."""
+    return np.ceil(SIMILAR * size - 1e-3).astype(np.int64)
+
+
+def _least(doc: np.ndarray, h: np.ndarray, n: int) -> pa.ListArray:
+    """The first shingles, by hash, of each document's set: one in FURTHER, and so many that in any order like sets share one of their first."""
+    size = np.bincount(doc, minlength=n)
+    taken = np.minimum(size, size - _shared(size) + 1 + size // FURTHER)
+    at = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)).astype(np.int32)), pa.array(h[at < taken[doc]].view(np.int64)))
+
+
+def _sets(batches):
+    for batch in batches:
+        for part, data, offsets in tb.chunks(batch, "text"):
+            doc, h, _ = shingles(tb.tokenize(data, offsets, tb.ALNUM))
+            cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], names=["node", "shingles"])
+
+
 def _sign(batches):
     for batch in batches:
         for part, data, offsets in tb.chunks(batch, "text", rows=TOGETHER):
@@ -108,7 +131,7 @@ def _sign(batches):
             hashes = bands(signatures(doc, h, np.ones(len(h)), n)).view(np.int64)
             size = np.bincount(doc, minlength=n).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(hashes.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.binary()), pa.array(size), lists], names=["id", "rid", "fp", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.binary()), pa.array(size), lists, _least(doc, h, n)], names=["id", "rid", "fp", "size", "bands", "least"])
 
 
 def jaccard(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
@@ -248,6 +271,38 @@ def _dealt(open_: DataFrame) -> DataFrame:
     return rows.select("bucket", "node", "component", "block", other.alias("other")).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
+def _compared(members: DataFrame, root: DataFrame, texts: DataFrame) -> DataFrame:
+    """root after the links within the buckets of members, which are compared in full where they hold several components."""
+    open_ = _open(members, root)
+    if open_.isEmpty():
+        return root
+    base.ship(members.sparkSession)
+    grouped = _dealt(open_).join(texts, "node").select("bucket", "i", "j", "node", "component", "block", "text").groupBy("bucket", "i", "j")
+    more = base.stash(grouped.applyInArrow(_compare, "a long, b long"))
+    return root if more.isEmpty() else _joined(root, more)
+
+
+def _unbanded(signed: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node, size, ...) of buckets in which any two like sets meet, share they a band or not, and the texts (node, text) of their nodes.
+
+    Of two sets that link, each shares _shared() of its shingles at least. So in any order of all shingles, the first k that they share are among the first
+    size - _shared(size) + k of either set. First by hash: a set of which too few of those stand in another set's has no link, and most go. Then, among the sets left, the rarest
+    shingles first: of each set those are its buckets of which a like set shares one. Those that no other set holds come first of all and need no bucket.
+    """
+    places = signed.filter("fp is not null").select("rid", F.xxhash64("fp").alias("set"), F.explode("least").alias("bucket"))
+    twice = base.stash(places.groupBy("bucket").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("bucket"))
+    held = base.semi_first(places.select("rid", "bucket"), twice, "bucket").groupBy("rid").agg(F.count("*").alias("n"))
+    shared = F.ceil(SIMILAR * F.col("size") - 1e-3)
+    few = base.stash(held.join(nodes.select("rid", "node", "size"), "rid").filter(F.col("n") > F.floor(shared / FURTHER)).select("rid", "node", "size"))
+    texts = base.stash(base.semi_first(rows.select("rid", "text"), few, "rid").select("node", "text").dropDuplicates(["node"]))
+    sets = base.stash(base.map_arrow(texts, _sets, "node long, shingles array<long>"))
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("bucket"))
+    often = base.stash(each.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1"))
+    of = Window.partitionBy("node")
+    ranked = base.semi_first(each, often, "bucket").withColumns({"known": F.count("*").over(of), "place": F.row_number().over(of.orderBy("often", "bucket"))})
+    return _grouped(base.stash(ranked.filter(F.col("place") <= F.col("known") - shared + 1).select("bucket", "node", "size"))), texts
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), kept (whether it is that row), and rid, a hash of id and text.
 
@@ -259,26 +314,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     1. Equal sets become one node; only nodes go on. The signatures weigh all shingles alike, so that a band's buckets follow the similarity that links.
     2. Every member of a band's bucket is verified against the smallest set in it.
     3. Buckets of any size that still hold several components are compared in full but within the largest component, in blocks of about BLOCK nodes or
-       BLOCK_WORDS words, and the links that join components come out; buckets with the same members are compared once. So no link of a bucket is lost: what
-       can be is a link whose sets share no band, the banding's own small chance. A text of the largest component goes to as many tasks as the others have blocks, mostly one.
+       BLOCK_WORDS words, and the links that join components come out; buckets with the same members are compared once. So no link of a bucket is lost.
+       A text of the largest component goes to as many tasks as the others have blocks, mostly one.
+    4. Links whose sets share no band, some in 10,000 of the least similar, are found by buckets of rare shingles (_unbanded), one of which any two like sets share;
+       those are compared as in 3. So no link is lost.
     """
     rid = base.row_key(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), rid.alias("rid"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    signed = base.stash(base.map_arrow(rows, _sign, f"id {id_type}, rid long, fp binary, size int, bands array<long>"))
+    signed = base.stash(base.map_arrow(rows, _sign, f"id {id_type}, rid long, fp binary, size int, bands array<long>, least array<long>"))
     nodes = signed.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "rid")).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = base.stash(nodes.select("fp", F.col("first.rid").alias("rid"), "size", "bands", F.monotonically_increasing_id().alias("node")))
     members = _grouped(nodes.select("node", "size", F.explode("bands").alias("bucket")))
     wanted = base.stash(members.select("node").distinct().join(nodes.select("node", "rid"), "node"))
     texts = base.stash(base.semi_first(rows.select("rid", "text"), wanted, "rid").select("node", "text"))
-    root = components(_stars(members, texts))
-    open_ = _open(members, root)
-    if not open_.isEmpty():
-        grouped = _dealt(open_).join(texts, "node").select("bucket", "i", "j", "node", "component", "block", "text").groupBy("bucket", "i", "j")
-        base.ship(docs.sparkSession)
-        more = base.stash(grouped.applyInArrow(_compare, "a long, b long"))
-        if not more.isEmpty():
-            root = _joined(root, more)
+    root = _compared(members, components(_stars(members, texts)), texts)
+    rest, texts = _unbanded(signed, nodes, rows)
+    root = _compared(rest, root, texts)
     named = base.stash(root.join(nodes.select("fp", "node"), "node").select("fp", "root").unionByName(root.select(F.col("root").alias("node")).distinct().join(nodes.select("fp", "node"), "node").select("fp", F.col("node").alias("root"))))
     final = base.stash(signed.select("id", "rid", "fp").join(base.bounded(named, 64), "fp", "left").withColumn("class", F.when(F.col("root").isNull(), F.col("fp")).otherwise(F.col("root").cast("string").cast("binary"))))
     best = base.stash(final.filter("class is not null").groupBy("class").agg(F.min(F.struct("id", "rid")).alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n"))

@@ -184,3 +184,45 @@ def test_large_bucket_keeps_a_link_of_one_band(spark, monkeypatch):
     assert any({12, 13} <= set(x) for x in want)
     assert sorted(sorted(v) for v in classes.values()) == want
     assert near_dedup.keep_one(df).count() == len(want)  # the pipeline's stage
+
+
+def classes_of(docs):
+    found = {}
+    for x in near_dedup.near_classes(docs).collect():
+        found.setdefault(x.class_id, []).append(x.doc_id)
+    return sorted(sorted(v) for v in found.values())
+
+
+def test_a_link_without_a_band(spark):
+    """Sets of similarity 0.8 that share no band are linked, too."""
+    docs = []
+    for seed in (40646, 66154):
+        r = random.Random(seed)
+        w = [f"w{r.randrange(10**6)}" for _ in range(49)]
+        docs += [" ".join(w), " ".join(w[:24] + ["other"] + w[25:]), " ".join(w[:20] + ["some", "others"] + w[22:])]
+    texts = pa.array(docs)
+    doc, h, _ = near_dedup.shingles(tb.tokenize(*tb.buffers(texts), tb.ALNUM))
+    bands = near_dedup.bands(near_dedup.signatures(doc, h, np.ones(len(h)), len(docs)))
+    assert not set(bands[0]) & set(bands[1]) and not set(bands[3]) & set(bands[4])
+    docs = list(enumerate(docs))
+    assert {0, 1} <= set(brute(docs)[0])
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert classes_of(df) == brute(docs)
+    assert near_dedup.keep_one(df).count() == len(brute(docs))  # the pipeline's stage
+
+
+@pytest.mark.parametrize("limit", [base.BROADCAST_BYTES, 0])
+def test_rare_shingles_find_all_links(spark, monkeypatch, limit):
+    """All links are found by the buckets of rare shingles alone, without a band."""
+    compared, calls = near_dedup._compared, []
+
+    def second_only(members, root, texts):
+        calls.append(1)
+        return compared(members, root, texts) if len(calls) == 2 else root
+
+    monkeypatch.setattr(base, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(near_dedup, "_compared", second_only)
+    monkeypatch.setattr(near_dedup, "_stars", lambda members, texts: base.stash(members.select("node", "least").filter("false").toDF("a", "b")))
+    docs = corpus(11)
+    docs += [(len(docs) + i, t) for i, t in docs[:10]]
+    assert classes_of(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
