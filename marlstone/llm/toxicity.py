@@ -94,7 +94,10 @@ class Index:
         self.prior = float((self.weight[1] * (blank == 1).sum() + 0.5) / (self.weight[blank].sum() + 10))
         size = np.diff(cut)[order]
         where = np.repeat(cut[:-1][order] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        self._build(at[where], count[where], np.append(0, np.cumsum(size)))
+        at, count = at[where], count[where]
+        del doc, where  # large
+        self._build(at, count, np.append(0, np.cumsum(size)))
+        del at, count
         self.grid = np.linspace(0, 1, 21)
         self.calibrated = self.grid
         self._calibrate()
@@ -119,7 +122,7 @@ class Index:
         self.postings = np.empty(len(rare), np.uint64)  # a weight and an example's number in 32 bits each
         self.postings.view(np.float32)[::2], self.postings.view(np.int32)[1::2] = w[rare], doc[rare]
         self.first = np.searchsorted(at[rare], np.arange(len(self.terms) + 1))
-        self.size = np.diff(self.first)
+        self.size, self.places = np.diff(self.first), np.arange(1 << 18)
 
     def _order(self, at: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Examples by their frequent terms, alike ones next to each other: by the signs of the two main axes, then along the third."""
@@ -140,7 +143,7 @@ class Index:
 
     def __getstate__(self):
         """What executors can't make anew from the counts."""
-        return {k: x for k, x in vars(self).items() if k not in ("own", "postings", "first", "size", "row", "blocks", "bounds")}
+        return {k: x for k, x in vars(self).items() if k not in ("own", "postings", "first", "size", "places", "row", "blocks", "bounds")}
 
     def __setstate__(self, state):
         vars(self).update(state)
@@ -186,23 +189,26 @@ class Index:
             rare, often = r < 0, r >= 0
             q[i, r[often]] = w[often]
             n = self.size[at[rare]]
-            cuts = list(zip(self.first[at[rare]].tolist(), (self.first[at[rare]] + n).tolist(), strict=True))
-            if cuts:
-                found = np.concatenate([self.postings[a:b] for a, b in cuts])
+            end = np.cumsum(n)
+            if len(n) and end[-1]:
+                where = np.repeat(self.first[at[rare]] - end + n, n)
+                where += self.places[: len(where)] if len(where) <= len(self.places) else np.arange(len(where))
+                found = self.postings.take(where, mode="clip")  # "raise" would copy
                 scores[i] = np.bincount(found.view(np.int32)[1::2], found.view(np.float32)[::2] * np.repeat(w[rare].astype(np.float32), n), nb * BLOCK)
         cells = scores.reshape(nq, nb, BLOCK)
         bound = cells.max(2) + q @ self.bounds
         wanted, read = np.zeros((nq, nb), bool), np.zeros((nq, nb), bool)
-        np.put_along_axis(wanted, np.argpartition(bound, -min(FIRST, nb), 1)[:, -min(FIRST, nb) :], True, 1)
+        best = np.argpartition(bound, -min(FIRST, nb), 1)[:, -min(FIRST, nb) :]
+        np.put_along_axis(wanted, best, True, 1)
         least = np.zeros(nq, np.float32)
-        for _ in range(2):
+        for again in (False, True):
             for b in np.flatnonzero(wanted.any(0)).tolist():
                 rows = np.flatnonzero(wanted[:, b])
                 cells[rows, b] += q[rows] @ self.blocks[b]
             read |= wanted
             own = np.flatnonzero(without >= 0)
             scores[own, without[own]] = 0
-            known = np.where(read[:, :, None], cells, 0).reshape(nq, -1)
+            known = (np.where(read[:, :, None], cells, 0) if again else np.take_along_axis(cells, best[:, :, None], 1)).reshape(nq, -1)
             if known.shape[1] >= k:
                 least = np.partition(known, -k, 1)[:, -k] - 2 * INEXACT
             wanted = (bound >= np.maximum(least, 1e-30)[:, None]) & ~read
