@@ -316,7 +316,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. Buckets of any size that still hold several components are compared in full but within the largest component, in blocks of about BLOCK nodes or
        BLOCK_WORDS words, and the links that join components come out; buckets with the same members are compared once. So no link of a bucket is lost.
        A text of the largest component goes to as many tasks as the others have blocks, mostly one.
-    4. Links whose sets share no band, some in 10,000 of the least similar, are found by buckets of rare shingles (_unbanded), one of which any two like sets share;
+    4. Links whose sets share no band, some 0.7 in 10,000 of the least similar, are found by buckets of rare shingles (_unbanded), one of which any two like sets share;
        those are compared as in 3. So no link is lost.
     """
     rid = base.row_key(F.col(id_col), F.col(text_col))
