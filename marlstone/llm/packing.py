@@ -25,6 +25,8 @@ CAPACITY, PIECE = 2048, 512
 WINDOWS, SLACK = 128, 3
 #: Bytes of text that are encoded together.
 TOGETHER = 4 << 20
+#: Words that are encoded together, and words whose ids are put together at once: what both take for each word is hundreds of bytes.
+LEARNT, JOINED = 1 << 14, 1 << 17
 #: The id that ends a document.
 END_ID = 1
 #: Words that are kept, and the characters of the longest: 250 bytes each at most, 125 MB in a process.
@@ -125,18 +127,25 @@ class Encoder:
         if len(self.known) > _CACHE_WORDS:  # those that are met again stay
             self.known = {w: self.known[w] for w in distinct if w in self.known}
         new = [w for w in distinct if w not in self.known]
-        new += self._learn(new)
+        new += [a for i in range(0, len(new), LEARNT) for a in self._learn(new[i : i + LEARNT])]
         found = list(map(self.known.__getitem__, distinct))
         for w in new:
             if len(w) > _CACHE_LENGTH:
                 self.known.pop(w, None)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        n = size[at]
-        ends = np.append(0, np.cumsum(n))
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat((np.cumsum(size) - size)[at] - ends[:-1], n) + np.arange(ends[-1])]
-        cut = ends[words.offsets.to_numpy()]
-        ids, cut = np.insert(ids, cut[1:], END_ID), cut + np.arange(len(cut))
-        return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        first, raw, edge = np.cumsum(size) - size, np.frombuffer(b"".join(found), "<u4"), words.offsets.to_numpy()
+        out, low = [], 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(edge, edge[low] + JOINED, "right")) - 1)
+            part = at[edge[low] - edge[0] : edge[high] - edge[0]]
+            n = size[part]
+            ends = np.append(0, np.cumsum(n))
+            ids = raw[np.repeat(first[part] - ends[:-1], n) + np.arange(ends[-1])]
+            cut = ends[edge[low : high + 1] - edge[low]]
+            ids, cut = np.insert(ids, cut[1:], END_ID), cut + np.arange(len(cut))
+            out += [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            low = high
+        return out
 
 
 @functools.cache
@@ -194,6 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 yield from _batches(rows, id_type)
         if group:
             yield from _batches(flush(), id_type)
+        pa.default_memory_pool().release_unused()  # the process stays for tasks of other kinds
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

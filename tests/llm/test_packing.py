@@ -97,3 +97,25 @@ def test_letters_are_encoded_once(monkeypatch):
             assert ids.tolist() == [*PLAIN.encode(t, add_special_tokens=False).ids, 1]
     assert asked[:3] == [["kestrel", "rover"], [], []]
     assert "k" * 60 not in encoder.known and len(encoder.known) < 9
+
+
+def test_few_words_are_encoded_at_once(monkeypatch):
+    """What the tokenizer takes for a word is hundreds of bytes: a chunk of unlike words goes to it in portions."""
+    encoder, asked = packing.Encoder(packing.tokenizer_path()), []
+    for name in ("_letters", "_apart"):
+        monkeypatch.setattr(encoder, name, lambda words, real=getattr(encoder, name): asked.append(len(words)) or real(words))
+    texts = [" ".join(f"w{i}x" for i in range(40_000)), None, " ".join("".join("abcdefghij"[int(c)] for c in str(i)) for i in range(40_000)), ""]
+    for t, ids in zip(texts, encoder(texts), strict=True):
+        assert ids.tolist() == [*PLAIN.encode(t or "", add_special_tokens=False).ids, 1]
+    assert sum(asked) >= 80_000 and max(asked) <= 1 << 14
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(ALPHABET), max_size=30).map("".join), min_size=1, max_size=12), st.integers(1, 9), st.integers(1, 9), st.integers(0, 3))
+def test_portions(texts, learnt, joined, skipped):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "LEARNT", learnt)
+        m.setattr(packing, "JOINED", joined)
+        found = packing.Encoder.__call__(ENCODER, packing.pa.array(texts, packing.pa.string()).slice(skipped))
+    for t, ids in zip(texts[skipped:], found, strict=True):
+        assert ids.tolist() == [*PLAIN.encode(t or "", add_special_tokens=False).ids, 1]
