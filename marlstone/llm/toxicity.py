@@ -26,6 +26,8 @@ FREQUENT, BLOCK, FIRST, COUNTS = 8, 8, 12, 1 << 15
 INEXACT, ORDERED_BY = 1e-4, 256
 #: Queries that are answered together, so that a block is read once for all that need it.
 TOGETHER = 128
+#: Bytes of text whose queries are gathered, so that they fill such groups.
+GATHERED = 4 << 20
 #: score at which a document is predicted toxic.
 THRESHOLD = 0.3
 
@@ -263,6 +265,8 @@ class Index:
 
 def _counts(terms: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, number of the term in the sorted terms, count), by document and term; hashes of no term are left out."""
+    order = np.argsort(h)  # neighbours are found in the same part of the terms
+    h, doc = h[order], doc[order]
     at = np.searchsorted(terms, h)
     at[at == len(terms)] = 0
     ok = terms[at] == h if len(terms) else np.zeros(len(h), bool)
@@ -341,8 +345,8 @@ def rate(docs: DataFrame, index: Index, text_col: str = "text") -> tuple[DataFra
     def run(batches):
         index = sent.value
         for batch in batches:
-            for part, data, offsets in tb.chunks(batch, text_col):
-                queries = list(index.vectors(data, offsets))
+            for part, _, _ in tb.chunks(batch, text_col, GATHERED):
+                queries = [x for _, data, offsets in tb.chunks(part, text_col) for x in index.vectors(data, offsets)]
                 keys = [(at.tobytes(), w.tobytes()) for at, w in queries]
                 first = {key: i for i, key in reversed(list(enumerate(keys)))}
                 known = dict(zip(first, index.scores([queries[i] for i in first.values()]), strict=True))
