@@ -88,17 +88,18 @@ def _axis(kinds: set[str]) -> Callable[[Column], Column]:
     return lambda c: c.cast("double")
 
 
-def _nodes(a: Column, b: Column, least: Column) -> Column:
-    """The nodes of a binary tree over the cells that cover a..b and nothing else, but for the ends' rounding to 2^least cells: (level, index) structs, two a level at most."""
-    shift = lambda c, n: F.call_function("shiftright", c, n.cast("int"))
-    low, high = shift(a, least), shift(b, least)
+def _nodes(low: Column, high: Column, least: Column) -> Column:
+    """The nodes of a binary tree that cover the cells low..high of 2^least of the least ones: (level, index) structs, two a level at most.
 
-    def at(i: Column) -> Column:
-        left, right = shift(low + F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")) - 1, i), shift(high + 1, i) - 1
-        node = lambda when, index: F.when((left <= right) & when, F.struct((least + i).alias("level"), index.alias("index")))
-        return F.array(node(left % 2 == 1, left), node(right % 2 == 0, right))
-
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(CELL_BITS) - least), at)))
+    A range of at most 2^(NODE_BITS + 1) + 1 cells has no node above that level. The arguments are columns of the table: as expressions they would be worked out anew in every place.
+    """
+    shift = lambda c, n: F.call_function("shiftright", c, F.lit(n))
+    found = []
+    for i in range(NODE_BITS + 2):
+        left, right = shift(low + ((1 << i) - 1), i), shift(high + 1, i) - 1
+        node = lambda index: F.struct((least + i).alias("level"), index.alias("index"))  # noqa: B023, E731
+        found += [F.when((left <= right) & (left % 2 == 1), node(left)), F.when((left <= right) & (right % 2 == 0), node(right))]
+    return F.array_compact(F.array(*found))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str) -> DataFrame:
@@ -119,9 +120,10 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     top = F.lit((1 << CELL_BITS) - 1)
     cell = lambda x: F.when(x >= last, top).when(x <= first, F.lit(0)).otherwise(F.least(top, F.floor((x - F.lit(first)) * F.lit(scale))))
     name = lambda level, index: level.cast("long") * (1 << 52) + index
-    a, b = cell(number(F.col(low))), cell(number(F.col(high)))
-    least = F.greatest(F.lit(0), F.floor(F.log2(b - a + 1)).cast("int") - NODE_BITS)
-    covered = ranges.withColumn("__node", F.explode(_nodes(a, b, least)))
+    at_least = lambda c: F.call_function("shiftright", F.col(c), F.col("__least"))
+    ends = ranges.withColumns({"__a": number(F.col(low)), "__b": number(F.col(high))}).withColumns({"__a": cell(F.col("__a")), "__b": cell(F.col("__b"))})
+    ends = ends.withColumn("__least", F.greatest(F.lit(0), F.floor(F.log2(F.col("__b") - F.col("__a") + 1)).cast("int") - NODE_BITS)).withColumns({"__a": at_least("__a"), "__b": at_least("__b")})
+    covered = ends.withColumn("__node", F.explode(_nodes(F.col("__a"), F.col("__b"), F.col("__least")))).drop("__a", "__b", "__least")
     levels = sorted(r[0] for r in covered.select("__node.level").distinct().collect())
     covered = covered.withColumn("__node", name(F.col("__node.level"), F.col("__node.index")))
     here = F.array(*(name(F.lit(n), F.call_function("shiftright", F.col("__cell"), F.lit(n))) for n in levels)) if levels else F.array().cast("array<bigint>")
@@ -129,6 +131,26 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return spread.join(small(covered), "__node").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__node")
 
 
+def range_sums(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, key: Sequence[str], **sums: Column) -> DataFrame:
+    """For each key of the ranges the sums, of whole numbers of the points, over the points that its half-open ranges hold: a point once for each range. Nulls and empty ranges hold nothing; keys of empty ranges alone are left out.
+
+    A range's sum is the total of all points before its upper bound less the total of those before its lower one. Points and bounds are put in one
+    order, in segments, for one running total: a row for each point and two for each range, however many points a range holds.
+    """
+    bound = lambda c, sign: F.struct(F.col(c).alias("at"), F.lit(sign).alias("sign"))
+    ends = ranges.filter(F.col(low) < F.col(high)).select(*key, F.explode(F.array(bound(low, -1), bound(high, 1))).alias("__end"))
+    ends = ends.select(*key, F.col("__end.at").alias("__at"), F.lit(0).alias("__point"), F.col("__end.sign").alias("__sign"))
+    held = points.filter(F.col(at).isNotNull()).select(F.col(at).alias("__at"), F.lit(1).alias("__point"), *(c.cast("long").alias(f"__v_{n}") for n, c in sums.items()))
+    whole = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    totals = scan(
+        ends.unionByName(held, allowMissingColumns=True), [], ["__at", "__point"],  # a bound stands before the points that lie on it
+        local=lambda w: {f"__t_{n}": whole(F.sum(f"__v_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0))) for n in sums},
+        summary={n: whole(F.sum(f"__v_{n}")) for n in sums},
+        combine=lambda a, b: {n: (a[n] + b[n]).alias(n) for n in sums}, finish=lambda c: {f"__s_{n}": F.col(f"__t_{n}") + whole(c[n]) for n in sums},
+    )
+    return totals.filter("__point = 0").groupBy(*key).agg(*(F.sum(F.col("__sign") * F.col(f"__s_{n}")).alias(n) for n in sums))
+
+
 def anti_known(df: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.join(known.select(*key).distinct(), list(key), "left_anti")
 

@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import relational as R
+from marlstone.plans import catalog, queries  # noqa: F401
 
 
 def pairs(points, ranges):
@@ -60,3 +62,52 @@ def test_wide_rows_are_not_broadcast(spark):
     wide = spark.range(50).withColumn("t", F.repeat(F.lit("x"), 1000))
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
     assert hinted(R.small(wide)) and not hinted(R.small(wide, size=10_000)) and not hinted(R.small(wide, rows=10))
+
+
+def test_bounds_are_worked_out_once(spark):
+    """The tree's nodes are made from stored columns: as expressions the bounds were worked out anew for each level and node, 2 ms a range."""
+    points = spark.range(50).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("x"))
+    ranges = spark.range(50).select("id", F.timestamp_seconds("id").cast("timestamp_ntz").alias("a"), F.timestamp_seconds(F.col("id") + 9).cast("timestamp_ntz").alias("b"))
+    plan = R.range_join(points, ranges, "x", "a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("hour(") <= 6
+
+
+def sums(points, ranges):
+    found = {}
+    for k, a, b in ranges:
+        if None not in (k, a, b):
+            held = [v for x, v in points if x is not None and a <= x < b]
+            s, n = found.get(k, (0, 0))
+            found[k] = (s + sum(v or 0 for v in held), n + len(held)) if a < b else (s, n)
+    return {k: v for k, v in found.items() if v[1]}
+
+
+@pytest.mark.parametrize("parts", ["1", "4", "40"])
+def test_sums_of_ranges_are_those_of_their_pairs(spark, parts):
+    rng = random.Random(4)
+    points = [(rng.randrange(300), rng.choice([None, *range(-5, 9)])) for _ in range(900)] + [(None, 3), (-50, 1), (400, 1)]
+    ranges = [(rng.randrange(60), a, a + rng.choice([-3, 0, 1, 2, 7, 60, 300])) for _ in range(150) for a in [rng.randrange(-20, 320)]] + [(90, None, 9), (91, 9, None), (92, 5, 5), (93, 500, 600), (None, 5, 9)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        p, r = spark.createDataFrame(points, "x long, v int"), spark.createDataFrame(ranges, "k int, a long, b long")
+        out = R.range_sums(p, r, "x", "a", "b", ["k"], s=F.col("v"), n=F.lit(1)).filter("n > 0 and k is not null")
+        assert {x.k: (x.s, x.n) for x in out.collect()} == sums(points, ranges)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().replace("Join LeftOuter", "")  # but for the segments' carries
+        assert R.range_sums(p.limit(0), r, "x", "a", "b", ["k"], n=F.lit(1)).filter("n <> 0").isEmpty() and R.range_sums(p, r.limit(0), "x", "a", "b", ["k"], n=F.lit(1)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_sums_of_times(spark):
+    points = [(dt.datetime(2000, 1, d), d) for d in range(1, 29)]
+    ranges = [(k, dt.date(2000, 1, k), dt.date(2000, 1, k) + dt.timedelta(days=9)) for k in range(1, 20)]
+    out = R.range_sums(spark.createDataFrame(points, "x timestamp_ntz, v int"), spark.createDataFrame(ranges, "k int, a date, b date"), "x", "a", "b", ["k"], s=F.col("v"))
+    assert {r.k: r.s for r in out.collect()} == {k: sum(range(k, min(29, k + 9))) for k in range(1, 20)}
+
+
+def test_shipments_in_ranges_make_no_pairs(spark):
+    """Ranges met each date that they hold, one by one."""
+    df = catalog.QUERIES["shipments_in_ranges"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert "Join Inner" not in df._jdf.queryExecution().optimizedPlan().toString()
