@@ -164,11 +164,13 @@ def is_close(a: Column, b: Column, rel: float = 1e-9, absolute: float = 1e-12) -
     return F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
-def byte_size(c: Column) -> Column:
-    """'1.5 KB' and the like."""
-    out = F.concat(F.format_number(c / 1024.0**3, 1), F.lit(" GB"))
-    for limit, unit, name in ((1024**3, 1024.0**2, " MB"), (1024**2, 1024.0, " KB")):
-        out = F.when(c < limit, F.concat(F.format_number(c / unit, 1), F.lit(name))).otherwise(out)
+def byte_size(c: Column, largest: str = "GB") -> Column:
+    """'1.5 KB' and the like, without separators of thousands ('1000.0 KB'); sizes beyond the largest unit, KB, MB or GB, are told in it."""
+    units = ["KB", "MB", "GB"][: ["KB", "MB", "GB"].index(largest) + 1]
+    told = lambda i: F.concat(F.call_function("format_number", c / 1024.0 ** (i + 1), F.lit("0.0")), F.lit(f" {units[i]}"))
+    out = told(len(units) - 1)
+    for i in reversed(range(len(units) - 1)):
+        out = F.when(c < 1024 ** (i + 2), told(i)).otherwise(out)
     return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).otherwise(out)
 
 
