@@ -67,11 +67,13 @@ def has_term(text: Column, term: str) -> Column:
     return F.coalesce(flat.rlike(r"(?U)(?<!\w)\Q" + term.lower() + r"\E(?!\w)"), F.lit(False))
 
 
-def matched_terms(text: Column, terms: list[str]) -> Column:
+def matched_terms(text: Column, terms: list[str], ascii: bool = False) -> Column:
     """The terms that stand in the text as whole words, sorted and distinct, without regard to case and kind of white space; null has none.
 
     One automaton of all terms goes over each text once, by Arrow batches, so that the time doesn't grow with the number of terms; terms may
     overlap and lie in each other. The terms, a dictionary that fits a task, go to the executors with the function.
+
+    ascii: only A-Z, a-z, 0-9 and _ are signs of words, as for RE2's \\b, so that any other letter ends one; signs are lower-cased one by one and not casefolded.
     """
     terms = sorted(set(terms))
 
@@ -79,15 +81,16 @@ def matched_terms(text: Column, terms: list[str]) -> Column:
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
-        flat = lambda x: " ".join(x.casefold().split())
+        fold = (lambda x: x.replace("\u0130", "i").lower()) if ascii else str.casefold  # of single signs only that one becomes two
+        flat = lambda x: " ".join(fold(x).split())
         machine, by_key = ahocorasick.Automaton(), {}
         for t in terms:
-            by_key.setdefault(t.casefold(), []).append(t)
+            by_key.setdefault(fold(t), []).append(t)
         for key in by_key:
             if key:
                 machine.add_word(key, key)
         machine.make_automaton()
-        in_word = lambda c: c.isalnum() or c == "_"
+        in_word = lambda c: c.isalnum() and (c.isascii() or not ascii) or c == "_"
 
         def of(x):
             if x is None:

@@ -42,3 +42,16 @@ def test_sizes_have_no_separators(spark):
 
 def test_codes_of_large_keys(differs):
     assert differs("scalar_codes", "part", "select * replace (p_partkey + d as p_partkey) from (select * from part limit 20), (values (0), (89985), (100000), (989990), (12345680)) t(d)") is None
+
+
+def test_terms_beside_letters_of_other_scripts(differs):
+    """For the SQL's \\b such a letter ends a word, unless it is lower-cased to one of a-z."""
+    texts = ["the é", "éthe", "theß", "und中 the_", "İthe K", "theK und", "ünd undü", "THÉ und9", "the und", "9the", "x-und-y ẗhe", ""]
+    rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
+    assert differs("term_selection", "documents", f"select i::bigint doc_id, t \"text\", 'en' lang, 's' source, length(t) n_chars from (values {rows}, (99, null)) v(i, t)") is None
+
+
+def test_terms_by_ascii_words_or_any(spark):
+    df = spark.createDataFrame([("théo the_ the-é",), ("élan theé",), ("Straßenthe",)], "t string")
+    found = lambda **k: [list(r.m) for r in df.select(S.matched_terms(F.col("t"), ["the", "lan"], **k).alias("m")).collect()]
+    assert found() == [["the"], [], []] and found(ascii=True) == [["the"], ["lan", "the"], []]
